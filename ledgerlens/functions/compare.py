@@ -28,7 +28,7 @@ def _c(x) -> Column:
 
 def null_to_zero(x) -> Column:
     """NULL (or a value that is not a number) becomes 0, as a DOUBLE."""
-    return F.coalesce(F.try_cast(_c(x), "double"), F.lit(0.0))
+    return F.coalesce(_c(x).try_cast("double"), F.lit(0.0))
 
 
 def pct_change(current, prior) -> Column:

@@ -32,24 +32,35 @@ class Measure:
     period: str
     value: str
     coalesce: bool = False
+    # When several fact tables are stacked into one input, the tag of the table
+    # this measure reads (column ``_src``); rows of other tables give NULL and
+    # are skipped, so each measure keeps the NULL/0 rules of its own table.
+    source: str | None = None
 
     def value_col(self) -> Column:
         v = F.col(self.value)
         return F.coalesce(v, F.lit(0)) if self.coalesce else v
 
+    def for_source(self, source: str) -> "Measure":
+        return Measure(self.name, self.period, self.value, self.coalesce, source)
+
 
 def in_range(date_col: str, lo: dt.date, hi: dt.date) -> Column:
     return F.col(date_col).between(F.lit(lo), F.lit(hi))
 
 
-def period_sum(date_col: str, lo: dt.date, hi: dt.date, value: Column) -> Column:
-    return F.sum(F.when(in_range(date_col, lo, hi), value).otherwise(F.lit(0)))
+def period_sum(date_col: str, lo: dt.date, hi: dt.date, value: Column,
+               source: str | None = None) -> Column:
+    term = F.when(in_range(date_col, lo, hi), value).otherwise(F.lit(0))
+    if source is not None:
+        term = F.when(F.col("_src") == F.lit(source), term)
+    return F.sum(term)
 
 
 def measure_columns(date_col: str, windows: PeriodWindows,
                     measures: Sequence[Measure]) -> list[Column]:
     ranges = windows.ranges()
-    return [period_sum(date_col, *ranges[m.period], m.value_col()).alias(m.name)
+    return [period_sum(date_col, *ranges[m.period], m.value_col(), m.source).alias(m.name)
             for m in measures]
 
 

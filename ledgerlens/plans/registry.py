@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from oracle import queries as Q
 
@@ -88,3 +89,63 @@ _simple("wip_aging_firm", SN.wip_aging, Q.wip_aging, firm=FIRM)
 _simple("wip_risk_firm", SN.wip_risk, Q.wip_risk, firm=FIRM)
 _simple("ar_risk_firm", SN.ar_risk, Q.ar_risk, firm=FIRM)
 _simple("ar_risk_missing_firm", SN.ar_risk, Q.ar_risk, firm=MISSING_FIRM)
+
+# -- derived layer ----------------------------------------------------------------
+from oracle import report_sql as RQ  # noqa: E402
+
+from . import report as R  # noqa: E402
+from ..functions.params import reporting_friday as _friday  # noqa: E402
+
+SEARCH = "nation_1"
+CLIENT_SEARCH = "#0000011"
+
+
+def _measures(star, as_of=AS_OF, firm=None, **kw):
+    return R.scorecard_measures(star, as_of, firm, **kw)
+
+
+register("perf_table", lambda: RQ.perf_table(AS_OF))(lambda s: R.perf_table(_measures(s)))
+register("perf_table_unpruned", lambda: RQ.perf_table(AS_OF))(
+    lambda s: R.perf_table(_measures(s, prune=False)))
+register("perf_table_firm", lambda: RQ.perf_table(AS_OF, FIRM))(
+    lambda s: R.perf_table(_measures(s, firm=FIRM)))
+register("perf_table_no_data_year", lambda: RQ.perf_table(NO_DATA_YEAR))(
+    lambda s: R.perf_table(_measures(s, as_of=NO_DATA_YEAR)))
+register("perf_table_leap_day", lambda: RQ.perf_table(LEAP_DAY))(
+    lambda s: R.perf_table(_measures(s, as_of=LEAP_DAY)))
+register("gauges", lambda: RQ.gauges(AS_OF))(lambda s: R.gauges_table(_measures(s)))
+register("gauges_leap_year_end", lambda: RQ.gauges(LEAP_YEAR_END))(
+    lambda s: R.gauges_table(_measures(s, as_of=LEAP_YEAR_END)))
+register("gauges_unknown_firm", lambda: RQ.gauges(AS_OF, UNKNOWN_FIRM))(
+    lambda s: R.gauges_table(_measures(s, firm=UNKNOWN_FIRM)))
+register("tvp_summary", lambda: RQ.tvp_summary(AS_OF))(
+    lambda s: R.tvp_summary(G.time_gauges(s, AS_OF)))
+register("service_line_change", lambda: RQ.service_line_change(AS_OF))(
+    lambda s: R.service_line_change(G.service_lines(s, AS_OF)))
+register("utilization_metrics", lambda: RQ.utilization_metrics(AS_OF))(
+    lambda s: R.utilization_metrics(U.utilization(s, AS_OF)))
+register("utilization_share", lambda: RQ.utilization_share(AS_OF))(
+    lambda s: R.utilization_share(U.utilization(s, AS_OF)))
+register("utilization_share_firm", lambda: RQ.utilization_share(AS_OF, FIRM))(
+    lambda s: R.utilization_share(U.utilization(s, AS_OF, FIRM)))
+register("ar_distribution", lambda: RQ.ar_distribution(AS_OF))(
+    lambda s: R.ar_distribution(SN.ar_aging(s, AS_OF)))
+register("ar_distribution_missing_firm", lambda: RQ.ar_distribution(AS_OF, MISSING_FIRM))(
+    lambda s: R.ar_distribution(SN.ar_aging(s, AS_OF, MISSING_FIRM)))
+register("ar_risk_total", lambda: RQ.risk_total("ar", AS_OF))(
+    lambda s: R.risk_total(SN.ar_risk(s, AS_OF), "ar_amount"))
+register("wip_risk_total", lambda: RQ.risk_total("wip", AS_OF))(
+    lambda s: R.risk_total(SN.wip_risk(s, AS_OF), "wip_amount"))
+register("ar_risk_search", lambda: RQ.risk_search("ar", SEARCH.upper(), AS_OF))(
+    lambda s: R.risk_search(SN.ar_risk(s, AS_OF), SEARCH.upper()))
+register("wip_risk_search", lambda: RQ.risk_search("wip", CLIENT_SEARCH, AS_OF))(
+    lambda s: R.risk_search(SN.wip_risk(s, AS_OF), CLIENT_SEARCH))
+
+
+def _reporting_friday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event tagged with its week-ending (reporting) Friday."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    return normalize(ev.select("event_id", "ts", _friday(F.col("ts")).alias("week_ending")))
+
+
+QUERIES["reporting_friday"] = (_reporting_friday, RQ.reporting_friday)
