@@ -149,3 +149,22 @@ def _reporting_friday(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["reporting_friday"] = (_reporting_friday, RQ.reporting_friday)
+
+# -- scale form: all firms in one pass ----------------------------------------------
+from oracle import firms_sql as FQ  # noqa: E402
+
+from . import all_firms as AF  # noqa: E402
+
+for _name, _op, _oracle in [
+    ("time_gauges_all_firms", AF.time_gauges, FQ.time_gauges),
+    ("perf_table_all_firms", AF.perf_table, FQ.perf_table),
+    ("gauges_all_firms", AF.gauges, FQ.gauges),
+    ("service_lines_all_firms", AF.service_lines, FQ.service_lines),
+    ("utilization_all_firms", AF.utilization, FQ.utilization),
+    ("utilization_share_all_firms", AF.utilization_share, FQ.utilization_share),
+    ("ar_aging_all_firms", AF.ar_aging, FQ.ar_aging),
+    ("ar_distribution_all_firms", AF.ar_distribution, FQ.ar_distribution),
+    ("ar_risk_all_firms", AF.ar_risk, FQ.ar_risk),
+    ("wip_risk_all_firms", AF.wip_risk, FQ.wip_risk),
+]:
+    register(_name, (lambda o=_oracle: o(AS_OF)))(lambda s, op=_op: op(s, AS_OF))
