@@ -168,3 +168,21 @@ for _name, _op, _oracle in [
     ("wip_risk_all_firms", AF.wip_risk, FQ.wip_risk),
 ]:
     register(_name, (lambda o=_oracle: o(AS_OF)))(lambda s, op=_op: op(s, AS_OF))
+
+# -- daily rollup and many as-of dates --------------------------------------------
+from . import rollup as RU  # noqa: E402
+
+SERIES = [YEAR_EDGE, BEFORE_SNAPSHOTS, AS_OF, LEAP_YEAR_END, LEAP_DAY, NO_DATA_YEAR]
+
+register("time_gauges_rollup", lambda: Q.time_gauges(AS_OF))(
+    lambda s: G.time_gauges(RU.with_time_rollup(s), AS_OF))
+register("time_gauges_rollup_leap_day", lambda: Q.time_gauges(LEAP_DAY, FIRM))(
+    lambda s: G.time_gauges(RU.with_time_rollup(s), LEAP_DAY, FIRM))
+register("service_lines_rollup", lambda: Q.service_lines(AS_OF))(
+    lambda s: G.service_lines(RU.with_time_rollup(s), AS_OF))
+register("perf_table_rollup", lambda: RQ.perf_table(AS_OF))(
+    lambda s: R.perf_table(R.scorecard_measures(RU.with_time_rollup(s), AS_OF)))
+register("time_gauges_series", lambda: Q.time_gauges_series(SERIES))(
+    lambda s: RU.time_gauges_series(s, SERIES))
+register("time_gauges_series_firm", lambda: Q.time_gauges_series(SERIES, FIRM))(
+    lambda s: RU.time_gauges_series(RU.with_time_rollup(s), SERIES, FIRM))
