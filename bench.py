@@ -84,7 +84,8 @@ def main() -> None:
     build = time.perf_counter() - t0
     t0 = time.perf_counter()
     rollup = RU.daily_time_rollup(star.fct_time_entry)
-    rollup.write.partitionBy("entry_date").parquet(os.path.join(root, "time_rollup"))
+    (rollup.repartitionByRange("entry_date").sortWithinPartitions("entry_date")
+     .write.parquet(os.path.join(root, "time_rollup")))
     rollup_star = RU.with_time_rollup(
         star, spark.read.parquet(os.path.join(root, "time_rollup")))
     rollup_build = time.perf_counter() - t0

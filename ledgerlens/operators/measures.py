@@ -83,11 +83,28 @@ def conditional_sums(df: DataFrame, date_col: str, windows: PeriodWindows,
     if not prune:
         return df.agg(*cols)
     lo, hi = windows.span()
-    inside = in_range(date_col, lo, hi)
-    spanned = df.filter(inside).agg(*cols)
-    # A NULL date is outside every period, so it counts as "outside the span".
-    outside_exists = df.filter(~F.coalesce(inside, F.lit(False))).exists()
-    return spanned.select([
-        F.when(outside_exists, F.coalesce(F.col(m.name), F.lit(0)))
-        .otherwise(F.col(m.name)).alias(m.name)
-        for m in measures])
+    spanned = df.filter(in_range(date_col, lo, hi)).agg(*cols)
+    return restore_zero_sums(spanned, [m.name for m in measures],
+                             outside_span(df, date_col, lo, hi))
+
+
+def outside_span(df: DataFrame, date_col: str, lo: dt.date, hi: dt.date) -> Column:
+    """EXISTS a row outside [lo, hi] (a NULL date is outside every period).
+
+    Written as a disjunction of plain comparisons so it is pushed to the scan;
+    planned as a LIMIT 1 subquery that stops at the first row found.
+    """
+    d = F.col(date_col)
+    return df.filter((d < F.lit(lo)) | (d > F.lit(hi)) | d.isNull()).exists()
+
+
+def restore_zero_sums(spanned: DataFrame, names: Sequence[str], outside: Column) -> DataFrame:
+    """Turn NULL sums into 0 when rows outside the span exist.
+
+    The flag is projected once; the columns then read it (one subquery per
+    query, not one per column).
+    """
+    flagged = spanned.select("*", outside.alias("_outside"))
+    return flagged.select([
+        F.when(F.col("_outside"), F.coalesce(F.col(n), F.lit(0))).otherwise(F.col(n)).alias(n)
+        for n in names])

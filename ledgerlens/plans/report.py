@@ -25,7 +25,7 @@ from ..functions.periods import PeriodWindows
 from ..operators import gauges as G
 from ..operators import snapshots as SN
 from ..operators import utilization as U
-from ..operators.measures import in_range, measure_columns
+from ..operators.measures import in_range, measure_columns, outside_span
 from ..sources.star import StarSchema
 
 num = C.null_to_zero
@@ -65,7 +65,7 @@ def scorecard_measures(star: StarSchema, as_of: str | dt.date | None, firm: str
                                  F.col(date_col).alias("_date"), *value_cols))
         measures += [m.for_source(src) for m in ms]
         if prune:
-            outside[src] = df.filter(~F.coalesce(inside, F.lit(False))).exists()
+            outside[src] = outside_span(df, date_col, lo, hi)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     cols = measure_columns("_date", w, measures)
     if by:
@@ -73,8 +73,10 @@ def scorecard_measures(star: StarSchema, as_of: str | dt.date | None, firm: str
     out = stacked.agg(*cols)
     if not prune:
         return out
-    return out.select([
-        F.when(outside[m.source], F.coalesce(F.col(m.name), F.lit(0)))
+    # One flag column per table, each a single subquery.
+    flagged = out.select("*", *[flag.alias(f"_outside_{src}") for src, flag in outside.items()])
+    return flagged.select([
+        F.when(F.col(f"_outside_{m.source}"), F.coalesce(F.col(m.name), F.lit(0)))
         .otherwise(F.col(m.name)).alias(m.name) for m in measures])
 
 

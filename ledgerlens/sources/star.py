@@ -59,19 +59,23 @@ class StarSchema:
     def materialize(self, root: str, mode: str = "overwrite") -> "StarSchema":
         """Write the tables as parquet below ``root`` and return them read back.
 
-        Facts are partitioned by their date column and sorted by date inside
-        each file, so period filters prune whole partitions. ``root`` should be a
-        shared folder (see ``session.shared_path``); the written tables also cut
-        the lineage of the mapping joins, so a lost executor re-reads files
-        instead of recomputing the star build.
+        Transaction facts are range-clustered and sorted by date, snapshots are
+        partitioned by report date (see ``schema.CLUSTER_COLUMNS`` and
+        ``PARTITION_COLUMNS``). ``root`` should be a shared folder (see
+        ``session.shared_path``); the written tables also cut the lineage of
+        the mapping joins, so a lost executor re-reads files instead of
+        recomputing the star build.
         """
         spark = self.fct_time_entry.sparkSession
         for name, df in self.tables().items():
-            writer_df = df
+            cluster = S.CLUSTER_COLUMNS.get(name)
             part = S.PARTITION_COLUMNS.get(name)
-            writer = writer_df.write.mode(mode)
+            if cluster:
+                df = df.repartitionByRange(cluster).sortWithinPartitions(cluster)
+            elif part:
+                df = df.repartition(part)
+            writer = df.write.mode(mode)
             if part:
-                writer = writer_df.repartition(part).sortWithinPartitions(part).write.mode(mode)
                 writer = writer.partitionBy(part)
             writer.parquet(os.path.join(root, name))
         return StarSchema.from_path(spark, root)
