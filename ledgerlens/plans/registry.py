@@ -186,3 +186,24 @@ register("time_gauges_series", lambda: Q.time_gauges_series(SERIES))(
     lambda s: RU.time_gauges_series(s, SERIES))
 register("time_gauges_series_firm", lambda: Q.time_gauges_series(SERIES, FIRM))(
     lambda s: RU.time_gauges_series(RU.with_time_rollup(s), SERIES, FIRM))
+
+# -- alternative week rule and ad-hoc SQL ------------------------------------------
+from .adhoc import adhoc as _adhoc  # noqa: E402
+
+_simple("utilization_monday_week", U.utilization, Q.utilization_monday_week, as_of=YEAR_EDGE,
+        week_rule="monday_week")
+
+
+def _adhoc_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's SQL over the star views, cut to the 200-row preview.
+
+    The bound parameter stands for a value a caller would pass; the statement
+    text equals the oracle's (whose literal takes its place).
+    """
+    star = from_test_tables(spark, sf_dir)
+    sql = Q.ADHOC_SQL.replace("DATE '2000-01-01'", ":since")
+    import datetime as _dt
+    return normalize(_adhoc(spark, sql, {"since": _dt.date(2000, 1, 1)}, star=star))
+
+
+QUERIES["adhoc_preview"] = (_adhoc_preview, Q.adhoc_preview)

@@ -1,0 +1,29 @@
+"""The incremental rollup equals the batch rollup of the same files."""
+
+from __future__ import annotations
+
+import uuid
+
+from ledgerlens.plans.rollup import GRAIN, daily_time_rollup
+from ledgerlens.session import shared_path
+from ledgerlens.sources.star import time_entries
+from ledgerlens.streaming.rollup import latest_rollup, start_rollup_stream
+
+
+def rows(df):
+    return sorted(map(str, df.select(*GRAIN, "hours", "production_amount", "write_up_down",
+                                     "entries").collect()))
+
+
+def test_stream_rollup_matches_batch(spark):
+    base = shared_path(spark, f"test-stream-{uuid.uuid4().hex[:8]}")
+    src, sink = f"{base}/source", f"{base}/sink"
+    facts = time_entries(spark, "/root/testdata/sf0.001")
+    # Two arrivals of files: entries before and from 1998.
+    facts.filter("entry_date < date'1998-01-01'").write.parquet(f"{src}/part=1")
+    q = start_rollup_stream(spark, src, sink, checkpoint_dir=f"{base}/ckpt")
+    q.awaitTermination()
+    facts.filter("entry_date >= date'1998-01-01'").write.parquet(f"{src}/part=2")
+    q = start_rollup_stream(spark, src, sink, checkpoint_dir=f"{base}/ckpt")
+    q.awaitTermination()
+    assert rows(latest_rollup(spark, sink)) == rows(daily_time_rollup(facts))
