@@ -66,3 +66,9 @@ def reporting_friday_of(now: dt.datetime) -> dt.date:
     if back == 0 and now.hour < FRIDAY_CUTOFF_HOUR:
         back = 7
     return now.date() - dt.timedelta(days=back)
+
+
+def days_before(as_of: str | dt.date | None, days: int) -> dt.date:
+    """The as-of date minus ``days`` (the source's unused DATE_SUB helper), as a
+    driver-side parameter value."""
+    return as_of_date(as_of) - dt.timedelta(days=days)

@@ -81,6 +81,18 @@ def utilization_share(star: StarSchema, as_of: str | dt.date | None) -> DataFram
     return R.utilization_share(utilization(star, as_of), BY)
 
 
+def wip_aging(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
+    return _per_firm_row(star, SN.wip_aging(star, as_of, by=BY))
+
+
+def tvp_summary(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
+    return R.tvp_summary(time_gauges(star, as_of), BY)
+
+
+def service_line_change(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
+    return R.service_line_change(service_lines(star, as_of), BY)
+
+
 def ar_aging(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     return _per_firm_row(star, SN.ar_aging(star, as_of, by=BY))
 

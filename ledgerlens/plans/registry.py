@@ -166,6 +166,11 @@ for _name, _op, _oracle in [
     ("ar_distribution_all_firms", AF.ar_distribution, FQ.ar_distribution),
     ("ar_risk_all_firms", AF.ar_risk, FQ.ar_risk),
     ("wip_risk_all_firms", AF.wip_risk, FQ.wip_risk),
+    ("invoice_gauges_all_firms", AF.invoice_gauges, FQ.invoice_gauges),
+    ("cash_gauges_all_firms", AF.cash_gauges, FQ.cash_gauges),
+    ("tvp_summary_all_firms", AF.tvp_summary, FQ.tvp_summary),
+    ("service_line_change_all_firms", AF.service_line_change, FQ.service_line_change),
+    ("wip_aging_all_firms", AF.wip_aging, FQ.wip_aging),
 ]:
     register(_name, (lambda o=_oracle: o(AS_OF)))(lambda s, op=_op: op(s, AS_OF))
 

@@ -143,3 +143,56 @@ def ar_risk(as_of: str) -> str:
 def wip_risk(as_of: str) -> str:
     return (with_star(["fct_time_entry", "fct_wip_aging_snapshot", "dim_client"], [FIRMS_CTE])
             + _risk("wip", as_of))
+
+
+def invoice_gauges(as_of: str) -> str:
+    return (with_star(["fct_time_entry", "fct_invoice"], [FIRMS_CTE, f"g AS ({_ig(as_of)})"])
+            + "SELECT * FROM f LEFT JOIN g USING (member_firm_id)")
+
+
+def cash_gauges(as_of: str) -> str:
+    return (with_star(["fct_time_entry", "fct_cash_receipt"], [FIRMS_CTE, f"g AS ({_cg(as_of)})"])
+            + "SELECT * FROM f LEFT JOIN g USING (member_firm_id)")
+
+
+def tvp_summary(as_of: str) -> str:
+    rows = [{"period": RS._lit(p), "current": RS._num(f"cy_{k}_tvp"), "prior": RS._num(f"py_{k}_tvp")}
+            for p, k, _ in RS._PERIOD_KEYS]
+    base = RS._union(rows, "tg", ["member_firm_id"])
+    return (with_star(["fct_time_entry"],
+                      [FIRMS_CTE, f"g AS ({_tg(as_of)})",
+                       "tg AS (SELECT * FROM f LEFT JOIN g USING (member_firm_id))"])
+            + f"SELECT *, {RS._status('pct_chg')} AS status FROM ("
+              f"SELECT *, {RS._pct(chr(34) + 'current' + chr(34), 'prior')} AS pct_chg FROM ({base}))")
+
+
+def service_line_change(as_of: str) -> str:
+    hc, hp = RS._num("cy_mtd_hours"), RS._num("py_mtd_hours")
+    tc, tp = RS._num("cy_mtd_tvp"), RS._num("py_mtd_tvp")
+    sl = ("SELECT t.member_firm_id, service_line,\n    " + ",\n    ".join(Q.service_line_cols(as_of))
+          + "\nFROM fct_time_entry t WHERE t.is_billable = true AND t.member_firm_id IS NOT NULL"
+            " AND t.member_firm_id != ''\nGROUP BY t.member_firm_id, service_line")
+    inner = (f"SELECT member_firm_id, service_line, {hc} AS cy_mtd_hours, {hp} AS py_mtd_hours, "
+             f"{RS._pct(hc, hp)} AS hours_pct_chg, {tc} AS cy_mtd_tvp, {tp} AS py_mtd_tvp, "
+             f"{RS._pct(tc, tp)} AS tvp_pct_chg FROM sl")
+    return (with_star(["fct_time_entry"], [f"sl AS ({sl})"])
+            + f"SELECT *, {RS._status('hours_pct_chg')} AS hours_status, "
+              f"{RS._status('tvp_pct_chg')} AS tvp_status FROM ({inner})")
+
+
+def wip_aging(as_of: str) -> str:
+    latest = ("(SELECT MAX(report_date) FROM fct_wip_aging_snapshot "
+              f"WHERE report_date <= DATE '{as_of}')")
+    g = f"""SELECT t.member_firm_id,
+    CAST(SUM(wip_0_30) AS DOUBLE) AS wip_0_30,
+    CAST(SUM(wip_31_60) AS DOUBLE) AS wip_31_60,
+    CAST(SUM(wip_61_90) AS DOUBLE) AS wip_61_90,
+    CAST(SUM(wip_91_120) AS DOUBLE) AS wip_91_120,
+    CAST(SUM(wip_121_150 + wip_151_180 + wip_181_210 + wip_211_240 + wip_241_270 + wip_271_300
+             + wip_301_330 + wip_331_364 + wip_1yr_2yr + wip_2yr_plus) AS DOUBLE) AS wip_120_plus,
+    CAST(SUM(wip_total) AS DOUBLE) AS total
+FROM fct_wip_aging_snapshot t
+WHERE t.report_date = {latest}
+GROUP BY t.member_firm_id"""
+    return (with_star(["fct_time_entry", "fct_wip_aging_snapshot"], [FIRMS_CTE, f"g AS ({g})"])
+            + "SELECT * FROM f LEFT JOIN g USING (member_firm_id)")
