@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare as C
-from ..functions.params import apply_firm, as_of_date
-from ..functions.periods import PeriodWindows
+from ..functions.params import as_of_date
 from ..operators import gauges as G
 from ..operators import snapshots as SN
 from ..operators import utilization as U
-from ..operators.measures import in_range, measure_columns, outside_span
 from ..sources.star import StarSchema
 
 num = C.null_to_zero
@@ -37,47 +35,22 @@ num = C.null_to_zero
 
 def scorecard_measures(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
                        by: Sequence[str] = (), prune: bool = True) -> DataFrame:
-    """The 28 gauge sums of the time, invoice and cash facts in one aggregate.
-
-    The three fact scans are stacked (``unionByName``) and aggregated together:
-    one job, one shuffle of partial rows, no join between one-row results. Each
-    measure only reads rows of its own table (see ``Measure.source``), so a firm
-    without invoices still gets NULL billings, as the separate queries give.
-    ``prune`` (global form) reads only the two-year span of the six periods,
-    with one EXISTS probe per table restoring the ``ELSE 0`` outcome.
+    """The 28 gauge sums of the time, invoice and cash facts as one row (per group).
+
+    Each fact table gets its own aggregate (one scan each, fully codegen'd
+    partial aggregation, each row evaluating only its own table's measures);
+    the one-row (or one-row-per-firm) results are then stacked and merged with
+    ``max``, which sees one non-NULL value per column. No join between the
+    results, and each table keeps its own NULL/0 rules: a firm without invoices
+    still gets NULL billings, as the separate queries give.
     """
-    w = PeriodWindows(as_of_date(as_of))
-    lo, hi = w.span()
-    prune = prune and not by
-    sources = [
-        ("time", G.billable_time(star, firm), "entry_date", G.TIME_MEASURES,
-         ["hours", "production_amount", "write_up_down"]),
-        ("invoice", apply_firm(star.fct_invoice, firm), "invoice_date", G.INVOICE_MEASURES,
-         ["invoice_amount"]),
-        ("cash", apply_firm(star.fct_cash_receipt, firm), "receipt_date", G.CASH_MEASURES,
-         ["receipt_amount"]),
-    ]
-    parts, measures, outside = [], [], {}
-    for src, df, date_col, ms, value_cols in sources:
-        inside = in_range(date_col, lo, hi)
-        part = df.filter(inside) if prune else df
-        parts.append(part.select(F.lit(src).alias("_src"), *by,
-                                 F.col(date_col).alias("_date"), *value_cols))
-        measures += [m.for_source(src) for m in ms]
-        if prune:
-            outside[src] = outside_span(df, date_col, lo, hi)
+    parts = [G.time_gauges(star, as_of, firm, by=by, prune=prune),
+             G.invoice_gauges(star, as_of, firm, by=by, prune=prune),
+             G.cash_gauges(star, as_of, firm, by=by, prune=prune)]
+    names = [c for p in parts for c in p.columns if c not in by]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    cols = measure_columns("_date", w, measures)
-    if by:
-        return stacked.groupBy(*by).agg(*cols)
-    out = stacked.agg(*cols)
-    if not prune:
-        return out
-    # One flag column per table, each a single subquery.
-    flagged = out.select("*", *[flag.alias(f"_outside_{src}") for src, flag in outside.items()])
-    return flagged.select([
-        F.when(F.col(f"_outside_{m.source}"), F.coalesce(F.col(m.name), F.lit(0)))
-        .otherwise(F.col(m.name)).alias(m.name) for m in measures])
+    merged = [F.max(c).alias(c) for c in names]
+    return stacked.groupBy(*by).agg(*merged) if by else stacked.agg(*merged)
 
 
 # ---------------------------------------------------------------------------
