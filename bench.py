@@ -24,7 +24,10 @@ import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from ledgerlens.functions.params import as_of_date  # noqa: E402
+from ledgerlens.functions.periods import PeriodWindows  # noqa: E402
 from ledgerlens.operators import gauges as G  # noqa: E402
+from ledgerlens.operators.measures import conditional_sums  # noqa: E402
 from ledgerlens.operators import snapshots as SN  # noqa: E402
 from ledgerlens.operators import utilization as U  # noqa: E402
 from ledgerlens.plans import all_firms as AF  # noqa: E402
@@ -102,6 +105,13 @@ def main() -> None:
         G.time_gauges(star, AS_OF, f).collect()
     times["time_gauges_per_firm_loop"] = time.perf_counter() - t0
 
+    # Baseline: one job per measure (16 conditional sums as 16 scans).
+    windows = PeriodWindows(as_of_date(AS_OF))
+    t0 = time.perf_counter()
+    for m in G.TIME_MEASURES:
+        conditional_sums(G.billable_time(star), "entry_date", windows, [m]).collect()
+    times["time_gauges_per_measure_loop"] = time.perf_counter() - t0
+
     # Every panel of the page for every firm, each panel one grouped job.
     t0 = time.perf_counter()
     for df in AF.scorecard(star, AS_OF).values():
