@@ -117,12 +117,17 @@ def ar_risk_total(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     return R.risk_total(ar_risk(star, as_of), "ar_amount", BY)
 
 
-def scorecard(star: StarSchema, as_of: str | dt.date | None) -> dict[str, DataFrame]:
-    """All panels for all listed firms."""
+def scorecard(star: StarSchema, as_of: str | dt.date | None,
+              time_rollup: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All panels for all listed firms; ``time_rollup`` as in ``report.scorecard``."""
+    from .rollup import with_time_rollup
+
+    gstar = star if time_rollup is None else with_time_rollup(star, time_rollup)
     return {
-        "perf_table": perf_table(star, as_of),
-        "gauges": gauges(star, as_of),
-        "service_lines": service_lines(star, as_of),
+        "perf_table": perf_table(gstar, as_of),
+        "gauges": gauges(gstar, as_of),
+        "tvp_summary": tvp_summary(gstar, as_of),
+        "service_line_change": service_line_change(gstar, as_of),
         "utilization_share": utilization_share(star, as_of),
         "ar_distribution": ar_distribution(star, as_of),
         "wip_risk": wip_risk(star, as_of),

@@ -7,6 +7,9 @@ conversion is a projection over the schema, fused into the last codegen stage.
 
 from __future__ import annotations
 
+import datetime as dt
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,3 +27,17 @@ def normalize(df: DataFrame) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
         cols.append(c.alias(f.name))
     return df.select(cols)
+
+
+def write_panels(panels: dict[str, DataFrame], root: str, as_of: dt.date | str) -> None:
+    """Scale sink: write each panel below ``root/<panel>``, partitioned by as-of date.
+
+    Only the partition of this as-of date is replaced (dynamic partition
+    overwrite), so re-running a date after a failure is idempotent and other
+    dates stay. ``root`` should be a shared folder.
+    """
+    as_of = as_of if isinstance(as_of, str) else as_of.isoformat()
+    for name, df in panels.items():
+        out = normalize(df).withColumn("as_of", F.lit(as_of))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("as_of").parquet(os.path.join(root, name)))

@@ -209,15 +209,23 @@ def risk_search(risk: DataFrame, query: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def scorecard(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
-              by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Every panel of the scorecard for one (as-of, firm), or for all firms with
-    ``by=["member_firm_id"]``. Lazy DataFrames; panels that share a fact scan
-    are separate jobs unless the caller caches the star tables or uses the
-    daily rollup (``plans.rollup``)."""
+              by: Sequence[str] = (), time_rollup: DataFrame | None = None
+              ) -> dict[str, DataFrame]:
+    """Every panel of the scorecard for one (as-of, firm). Lazy DataFrames.
+
+    ``time_rollup`` (the daily rollup of ``plans.rollup``, ideally materialised)
+    serves the time gauges and service lines, which are exact on it; utilization
+    needs the person and keeps reading the raw time facts. For all firms at
+    once use ``plans.all_firms.scorecard``, which also gives firms without rows
+    their NULL row.
+    """
+    from .rollup import with_time_rollup
+
     t = as_of_date(as_of)
-    measures = scorecard_measures(star, t, firm, by=by)
-    time_g = G.time_gauges(star, t, firm, by=by)
-    lines = G.service_lines(star, t, firm, by=by)
+    gstar = star if time_rollup is None else with_time_rollup(star, time_rollup)
+    measures = scorecard_measures(gstar, t, firm, by=by)
+    time_g = G.time_gauges(gstar, t, firm, by=by)
+    lines = G.service_lines(gstar, t, firm, by=by)
     util = U.utilization(star, t, firm, by=by)
     aging = SN.ar_aging(star, t, firm, by=by)
     wip_r = SN.wip_risk(star, t, firm, by=by)

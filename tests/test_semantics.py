@@ -224,3 +224,28 @@ def test_series_equals_single_dates(spark):
     empty = make_star(spark)
     rows = RU.time_gauges_series(empty, dates).collect()
     assert len(rows) == 4 and all(r.cy_mtd_hours is None for r in rows)
+
+
+def test_scorecard_with_rollup_equals_raw_and_sink_is_idempotent(spark):
+    import uuid
+
+    from ledgerlens.plans.output import normalize, write_panels
+    from ledgerlens.session import shared_path
+    from ledgerlens.sources.star import from_test_tables
+
+    star = from_test_tables(spark, "/root/testdata/sf0.001")
+    rollup = RU.daily_time_rollup(star.fct_time_entry)
+    raw = R.scorecard(star, AS_OF)
+    rolled = R.scorecard(star, AS_OF, time_rollup=rollup)
+    for name in ("perf_table", "gauges", "tvp_summary", "service_line_change"):
+        assert sorted(map(str, normalize(raw[name]).collect())) == \
+            sorted(map(str, normalize(rolled[name]).collect())), name
+    root = shared_path(spark, f"test-sink-{uuid.uuid4().hex[:8]}")
+    panels = AF.scorecard(star, AS_OF, time_rollup=rollup)
+    write_panels(panels, root, AS_OF)
+    write_panels(panels, root, AS_OF)
+    write_panels({"perf_table": panels["perf_table"]}, root, "2000-06-09")
+    back = spark.read.parquet(f"{root}/perf_table")
+    n = panels["perf_table"].count()
+    assert back.filter(F.col("as_of") == "2000-06-16").count() == n
+    assert back.count() == 2 * n
