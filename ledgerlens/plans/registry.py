@@ -212,3 +212,24 @@ def _adhoc_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["adhoc_preview"] = (_adhoc_preview, Q.adhoc_preview)
+
+# -- more edges -----------------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+# Every reporting Friday of 2000 (week-ending dates of one year).
+FRIDAYS_2000 = [(_dt.date(2000, 1, 7) + _dt.timedelta(weeks=i)).isoformat() for i in range(52)]
+
+_simple("service_lines_leap_day", G.service_lines, Q.service_lines, as_of=LEAP_DAY)
+_simple("utilization_no_data_year", U.utilization, Q.utilization, as_of=NO_DATA_YEAR)
+_simple("wip_risk_before_first_snapshot", SN.wip_risk, Q.wip_risk, as_of=BEFORE_SNAPSHOTS)
+_simple("wip_aging_before_first_snapshot", SN.wip_aging, Q.wip_aging, as_of=BEFORE_SNAPSHOTS)
+_simple("cash_gauges_no_data_year", G.cash_gauges, Q.cash_gauges, as_of=NO_DATA_YEAR)
+register("gauges_firm", lambda: RQ.gauges(AS_OF, FIRM))(
+    lambda s: R.gauges_table(_measures(s, firm=FIRM)))
+register("ar_distribution_firm", lambda: RQ.ar_distribution(AS_OF, FIRM))(
+    lambda s: R.ar_distribution(SN.ar_aging(s, AS_OF, FIRM)))
+register("ar_distribution_before_first_snapshot",
+         lambda: RQ.ar_distribution(BEFORE_SNAPSHOTS))(
+    lambda s: R.ar_distribution(SN.ar_aging(s, BEFORE_SNAPSHOTS)))
+register("time_gauges_series_weekly", lambda: Q.time_gauges_series(FRIDAYS_2000))(
+    lambda s: RU.time_gauges_series(s, FRIDAYS_2000))
