@@ -18,6 +18,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,33 +59,51 @@ def conditional_sums(df: DataFrame, date_col: str, windows: PeriodWindows,
                      prune: bool = False) -> DataFrame:
     """Aggregate ``measures`` over ``df``, globally or grouped ``by``.
 
-    ``prune=True`` (global aggregates only) reads only the rows between Jan 1 of
-    the prior year and the as-of date, the span of all six periods, so a
-    date-partitioned fact table is read for two years instead of its whole
-    history. Rows outside the span would only have added ``ELSE 0`` terms, whose
-    one visible effect is turning a NULL sum into 0; an uncorrelated EXISTS
-    subquery (planned as a LIMIT 1 scan that stops at the first row found)
-    restores exactly that.
+    ``prune=True`` sums only the rows between Jan 1 of the prior year and the
+    as-of date, the span of all six periods, so a date-clustered fact table is
+    read for two years instead of its whole history. Rows outside the span only
+    add ``ELSE 0`` terms, whose one visible effect is turning a NULL sum into 0
+    (and, when grouped, giving a group without span rows its row of zeros):
+
+    * global: an uncorrelated EXISTS subquery (a LIMIT 1 scan with a pushed
+      filter, stopping at the first row) restores exactly that;
+    * grouped: the history outside the span is read for the key columns only
+      (no measure columns), reduced to its distinct keys, and full-outer-joined
+      to the span aggregate with null-safe key equality.
     """
     cols = measure_columns(date_col, windows, measures)
-    if by:
-        return df.groupBy(*by).agg(*cols)
     if not prune:
-        return df.agg(*cols)
+        return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
     lo, hi = windows.span()
-    spanned = df.filter(in_range(date_col, lo, hi)).agg(*cols)
-    return restore_zero_sums(spanned, [m.name for m in measures],
-                             outside_span(df, date_col, lo, hi))
+    names = [m.name for m in measures]
+    span_rows = df.filter(in_range(date_col, lo, hi))
+    if not by:
+        return restore_zero_sums(span_rows.agg(*cols), names, outside_span(df, date_col, lo, hi))
+    spanned = span_rows.groupBy(*by).agg(*cols)
+    keys = [f"_key{i}" for i in range(len(by))]
+    outside_keys = (outside_rows(df, date_col, lo, hi)
+                    .select(*[F.col(k).alias(a) for k, a in zip(by, keys)]).distinct()
+                    .withColumn("_outside", F.lit(True)))
+    cond = reduce(lambda a, b: a & b,
+                  [spanned[k].eqNullSafe(outside_keys[a]) for k, a in zip(by, keys)])
+    joined = spanned.join(outside_keys, cond, "full")
+    return joined.select(
+        *[F.coalesce(spanned[k], outside_keys[a]).alias(k) for k, a in zip(by, keys)],
+        *[F.when(F.col("_outside"), F.coalesce(spanned[n], F.lit(0))).otherwise(spanned[n])
+          .alias(n) for n in names])
+
+
+def outside_rows(df: DataFrame, date_col: str, lo: dt.date, hi: dt.date) -> DataFrame:
+    """Rows outside [lo, hi]; a NULL date is outside every period. Written as a
+    disjunction of plain comparisons so it is pushed to the scan."""
+    d = F.col(date_col)
+    return df.filter((d < F.lit(lo)) | (d > F.lit(hi)) | d.isNull())
 
 
 def outside_span(df: DataFrame, date_col: str, lo: dt.date, hi: dt.date) -> Column:
-    """EXISTS a row outside [lo, hi] (a NULL date is outside every period).
-
-    Written as a disjunction of plain comparisons so it is pushed to the scan;
-    planned as a LIMIT 1 subquery that stops at the first row found.
-    """
-    d = F.col(date_col)
-    return df.filter((d < F.lit(lo)) | (d > F.lit(hi)) | d.isNull()).exists()
+    """EXISTS a row outside [lo, hi], planned as a LIMIT 1 subquery that stops
+    at the first row found."""
+    return outside_rows(df, date_col, lo, hi).exists()
 
 
 def restore_zero_sums(spanned: DataFrame, names: Sequence[str], outside: Column) -> DataFrame:

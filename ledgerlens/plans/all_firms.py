@@ -45,8 +45,9 @@ def _per_firm_row(star: StarSchema, grouped: DataFrame) -> DataFrame:
     return listed_firms(star).join(grouped, BY, "left")
 
 
-def time_gauges(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
-    return _per_firm_row(star, G.time_gauges(star, as_of, by=BY))
+def time_gauges(star: StarSchema, as_of: str | dt.date | None,
+                prune: bool | None = None) -> DataFrame:
+    return _per_firm_row(star, G.time_gauges(star, as_of, by=BY, prune=prune))
 
 
 def invoice_gauges(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
@@ -57,20 +58,23 @@ def cash_gauges(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     return _per_firm_row(star, G.cash_gauges(star, as_of, by=BY))
 
 
-def measures(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
-    return _per_firm_row(star, R.scorecard_measures(star, as_of, by=BY))
+def measures(star: StarSchema, as_of: str | dt.date | None,
+             prune: bool | None = None) -> DataFrame:
+    return _per_firm_row(star, R.scorecard_measures(star, as_of, by=BY, prune=prune))
 
 
-def perf_table(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
-    return R.perf_table(measures(star, as_of), BY)
+def perf_table(star: StarSchema, as_of: str | dt.date | None,
+               prune: bool | None = None) -> DataFrame:
+    return R.perf_table(measures(star, as_of, prune), BY)
 
 
 def gauges(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     return R.gauges_table(measures(star, as_of), BY)
 
 
-def service_lines(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
-    return _listed(G.service_lines(star, as_of, by=BY))
+def service_lines(star: StarSchema, as_of: str | dt.date | None,
+                  prune: bool | None = None) -> DataFrame:
+    return _listed(G.service_lines(star, as_of, by=BY, prune=prune))
 
 
 def utilization(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:

@@ -233,3 +233,14 @@ register("ar_distribution_before_first_snapshot",
     lambda s: R.ar_distribution(SN.ar_aging(s, BEFORE_SNAPSHOTS)))
 register("time_gauges_series_weekly", lambda: Q.time_gauges_series(FRIDAYS_2000))(
     lambda s: RU.time_gauges_series(s, FRIDAYS_2000))
+
+# -- grouped span pruning (opt-in) ------------------------------------------------------
+_simple("service_lines_pruned", G.service_lines, Q.service_lines, prune=True)
+_simple("service_lines_pruned_no_data_year", G.service_lines, Q.service_lines,
+        as_of=NO_DATA_YEAR, prune=True)
+register("time_gauges_all_firms_pruned", lambda: FQ.time_gauges(AS_OF))(
+    lambda s: AF.time_gauges(s, AS_OF, prune=True))
+register("service_lines_all_firms_pruned", lambda: FQ.service_lines(AS_OF))(
+    lambda s: AF.service_lines(s, AS_OF, prune=True))
+register("perf_table_all_firms_pruned", lambda: FQ.perf_table(AS_OF))(
+    lambda s: AF.perf_table(s, AS_OF, prune=True))

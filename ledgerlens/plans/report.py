@@ -34,7 +34,7 @@ num = C.null_to_zero
 # ---------------------------------------------------------------------------
 
 def scorecard_measures(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
-                       by: Sequence[str] = (), prune: bool = True) -> DataFrame:
+                       by: Sequence[str] = (), prune: bool | None = None) -> DataFrame:
     """The 28 gauge sums of the time, invoice and cash facts as one row (per group).
 
     Each fact table gets its own aggregate (one scan each, fully codegen'd

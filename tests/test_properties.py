@@ -34,5 +34,11 @@ def test_pruned_unpruned_rollup_and_series_agree(spark, facts, t, firm):
     assert rows(G.time_gauges(RU.with_time_rollup(star), t, firm)) == raw
     series = RU.time_gauges_series(star, [t], firm).drop("as_of")
     assert rows(series) == raw
-    assert rows(G.service_lines(star, t, firm)) == rows(
-        G.service_lines(RU.with_time_rollup(star), t, firm))
+    lines = rows(G.service_lines(star, t, firm, prune=False))
+    assert rows(G.service_lines(star, t, firm, prune=True)) == lines
+    assert rows(G.service_lines(RU.with_time_rollup(star), t, firm)) == lines
+    by = ["member_firm_id"]
+    assert rows(G.time_gauges(star, t, by=by, prune=True)) == rows(
+        G.time_gauges(star, t, by=by, prune=False))
+    assert rows(G.service_lines(star, t, by=by, prune=True)) == rows(
+        G.service_lines(star, t, by=by, prune=False))
