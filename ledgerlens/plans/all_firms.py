@@ -41,8 +41,10 @@ def _listed(df: DataFrame) -> DataFrame:
     return df.filter(F.col("member_firm_id").isNotNull() & (F.col("member_firm_id") != ""))
 
 
-def _per_firm_row(star: StarSchema, grouped: DataFrame) -> DataFrame:
-    return listed_firms(star).join(grouped, BY, "left")
+def _per_firm_row(star: StarSchema, grouped: DataFrame,
+                  firms: DataFrame | None = None) -> DataFrame:
+    firms = listed_firms(star) if firms is None else firms
+    return firms.join(grouped, BY, "left")
 
 
 def time_gauges(star: StarSchema, as_of: str | dt.date | None,
@@ -59,8 +61,8 @@ def cash_gauges(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
 
 
 def measures(star: StarSchema, as_of: str | dt.date | None,
-             prune: bool | None = None) -> DataFrame:
-    return _per_firm_row(star, R.scorecard_measures(star, as_of, by=BY, prune=prune))
+             prune: bool | None = None, firms: DataFrame | None = None) -> DataFrame:
+    return _per_firm_row(star, R.scorecard_measures(star, as_of, by=BY, prune=prune), firms)
 
 
 def perf_table(star: StarSchema, as_of: str | dt.date | None,
@@ -97,24 +99,30 @@ def service_line_change(star: StarSchema, as_of: str | dt.date | None) -> DataFr
     return R.service_line_change(service_lines(star, as_of), BY)
 
 
-def ar_aging(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
-    return _per_firm_row(star, SN.ar_aging(star, as_of, by=BY))
+def ar_aging(star: StarSchema, as_of: str | dt.date | None,
+             firms: DataFrame | None = None) -> DataFrame:
+    return _per_firm_row(star, SN.ar_aging(star, as_of, by=BY), firms)
 
 
-def ar_distribution(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
-    return R.ar_distribution(ar_aging(star, as_of), BY)
+def ar_distribution(star: StarSchema, as_of: str | dt.date | None,
+                    firms: DataFrame | None = None) -> DataFrame:
+    return R.ar_distribution(ar_aging(star, as_of, firms), BY)
 
 
-def _risk_for_listed(star: StarSchema, risk: DataFrame) -> DataFrame:
-    return risk.join(listed_firms(star), BY, "left_semi")
+def _risk_for_listed(star: StarSchema, risk: DataFrame,
+                     firms: DataFrame | None = None) -> DataFrame:
+    firms = listed_firms(star) if firms is None else firms
+    return risk.join(firms, BY, "left_semi")
 
 
-def ar_risk(star: StarSchema, as_of: str | dt.date | None, top: int = SN.RISK_TOP_K) -> DataFrame:
-    return _risk_for_listed(star, SN.ar_risk(star, as_of, top=top, by=BY))
+def ar_risk(star: StarSchema, as_of: str | dt.date | None, top: int = SN.RISK_TOP_K,
+            firms: DataFrame | None = None) -> DataFrame:
+    return _risk_for_listed(star, SN.ar_risk(star, as_of, top=top, by=BY), firms)
 
 
-def wip_risk(star: StarSchema, as_of: str | dt.date | None, top: int = SN.RISK_TOP_K) -> DataFrame:
-    return _risk_for_listed(star, SN.wip_risk(star, as_of, top=top, by=BY))
+def wip_risk(star: StarSchema, as_of: str | dt.date | None, top: int = SN.RISK_TOP_K,
+             firms: DataFrame | None = None) -> DataFrame:
+    return _risk_for_listed(star, SN.wip_risk(star, as_of, top=top, by=BY), firms)
 
 
 def ar_risk_total(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
@@ -123,17 +131,24 @@ def ar_risk_total(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
 
 def scorecard(star: StarSchema, as_of: str | dt.date | None,
               time_rollup: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All panels for all listed firms; ``time_rollup`` as in ``report.scorecard``."""
+    """All panels for all listed firms; ``time_rollup`` as in ``report.scorecard``.
+
+    The firm list and the 28 measures per firm feed several panels; both are one
+    row per firm, so they are cached (and rebuilt from lineage if lost) instead
+    of being recomputed from the facts for every panel.
+    """
     from .rollup import with_time_rollup
 
     gstar = star if time_rollup is None else with_time_rollup(star, time_rollup)
+    firms = listed_firms(star).cache()
+    m = measures(gstar, as_of, firms=firms).cache()
     return {
-        "perf_table": perf_table(gstar, as_of),
-        "gauges": gauges(gstar, as_of),
-        "tvp_summary": tvp_summary(gstar, as_of),
+        "perf_table": R.perf_table(m, BY),
+        "gauges": R.gauges_table(m, BY),
+        "tvp_summary": R.tvp_summary(m, BY),
         "service_line_change": service_line_change(gstar, as_of),
         "utilization_share": utilization_share(star, as_of),
-        "ar_distribution": ar_distribution(star, as_of),
-        "wip_risk": wip_risk(star, as_of),
-        "ar_risk": ar_risk(star, as_of),
+        "ar_distribution": ar_distribution(star, as_of, firms),
+        "wip_risk": wip_risk(star, as_of, firms=firms),
+        "ar_risk": ar_risk(star, as_of, firms=firms),
     }

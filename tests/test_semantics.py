@@ -249,3 +249,22 @@ def test_scorecard_with_rollup_equals_raw_and_sink_is_idempotent(spark):
     n = panels["perf_table"].count()
     assert back.filter(F.col("as_of") == "2000-06-16").count() == n
     assert back.count() == 2 * n
+
+
+def test_all_firms_scorecard_panels_equal_standalone_queries(spark):
+    from ledgerlens.plans.output import normalize
+    from ledgerlens.sources.star import from_test_tables
+
+    star = from_test_tables(spark, "/root/testdata/sf0.001")
+    panels = AF.scorecard(star, AS_OF)
+    standalone = {
+        "perf_table": AF.perf_table(star, AS_OF), "gauges": AF.gauges(star, AS_OF),
+        "tvp_summary": AF.tvp_summary(star, AS_OF),
+        "service_line_change": AF.service_line_change(star, AS_OF),
+        "utilization_share": AF.utilization_share(star, AS_OF),
+        "ar_distribution": AF.ar_distribution(star, AS_OF),
+        "wip_risk": AF.wip_risk(star, AS_OF), "ar_risk": AF.ar_risk(star, AS_OF)}
+    assert set(panels) == set(standalone)
+    for name, df in standalone.items():
+        got = sorted(map(str, normalize(panels[name]).collect()))
+        assert got == sorted(map(str, normalize(df).collect())), name
