@@ -67,6 +67,8 @@ def main(argv):
         "time_gauges (span-pruned, one EXISTS probe)": G.time_gauges(star, AS_OF, "NATION_3"),
         "time_gauges, prune=False": G.time_gauges(star, AS_OF, prune=False),
         "service_lines": G.service_lines(star, AS_OF),
+        "service_lines, prune=True (span aggregate + distinct history keys)":
+            G.service_lines(star, AS_OF, prune=True),
         "utilization": U.utilization(star, AS_OF),
         "ar_aging": SN.ar_aging(star, AS_OF),
         "ar_risk": SN.ar_risk(star, AS_OF),
