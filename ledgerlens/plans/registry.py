@@ -8,17 +8,25 @@ DuckDB statement over the same raw tables.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oracle import firms_sql as FQ
 from oracle import queries as Q
+from oracle import report_sql as RQ
 
+from ..functions.params import reporting_friday
 from ..operators import gauges as G
 from ..operators import snapshots as SN
 from ..operators import utilization as U
 from ..sources.star import StarSchema, from_test_tables
+from . import all_firms as AF
+from . import report as R
+from . import rollup as RU
+from .adhoc import adhoc
 from .output import normalize
 
 # Parameter sets of the checks (see FIXTURES): a Friday as the flagship as-of
@@ -91,10 +99,7 @@ _simple("ar_risk_firm", SN.ar_risk, Q.ar_risk, firm=FIRM)
 _simple("ar_risk_missing_firm", SN.ar_risk, Q.ar_risk, firm=MISSING_FIRM)
 
 # -- derived layer ----------------------------------------------------------------
-from oracle import report_sql as RQ  # noqa: E402
 
-from . import report as R  # noqa: E402
-from ..functions.params import reporting_friday as _friday  # noqa: E402
 
 SEARCH = "nation_1"
 CLIENT_SEARCH = "#0000011"
@@ -145,15 +150,13 @@ register("wip_risk_search", lambda: RQ.risk_search("wip", CLIENT_SEARCH, AS_OF))
 def _reporting_friday(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event tagged with its week-ending (reporting) Friday."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
-    return normalize(ev.select("event_id", "ts", _friday(F.col("ts")).alias("week_ending")))
+    return normalize(ev.select("event_id", "ts", reporting_friday(F.col("ts")).alias("week_ending")))
 
 
 QUERIES["reporting_friday"] = (_reporting_friday, RQ.reporting_friday)
 
 # -- scale form: all firms in one pass ----------------------------------------------
-from oracle import firms_sql as FQ  # noqa: E402
 
-from . import all_firms as AF  # noqa: E402
 
 for _name, _op, _oracle in [
     ("time_gauges_all_firms", AF.time_gauges, FQ.time_gauges),
@@ -175,7 +178,6 @@ for _name, _op, _oracle in [
     register(_name, (lambda o=_oracle: o(AS_OF)))(lambda s, op=_op: op(s, AS_OF))
 
 # -- daily rollup and many as-of dates --------------------------------------------
-from . import rollup as RU  # noqa: E402
 
 SERIES = [YEAR_EDGE, BEFORE_SNAPSHOTS, AS_OF, LEAP_YEAR_END, LEAP_DAY, NO_DATA_YEAR]
 
@@ -193,7 +195,6 @@ register("time_gauges_series_firm", lambda: Q.time_gauges_series(SERIES, FIRM))(
     lambda s: RU.time_gauges_series(RU.with_time_rollup(s), SERIES, FIRM))
 
 # -- alternative week rule and ad-hoc SQL ------------------------------------------
-from .adhoc import adhoc as _adhoc  # noqa: E402
 
 _simple("utilization_monday_week", U.utilization, Q.utilization_monday_week, as_of=YEAR_EDGE,
         week_rule="monday_week")
@@ -207,17 +208,15 @@ def _adhoc_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     star = from_test_tables(spark, sf_dir)
     sql = Q.ADHOC_SQL.replace("DATE '2000-01-01'", ":since")
-    import datetime as _dt
-    return normalize(_adhoc(spark, sql, {"since": _dt.date(2000, 1, 1)}, star=star))
+    return normalize(adhoc(spark, sql, {"since": dt.date(2000, 1, 1)}, star=star))
 
 
 QUERIES["adhoc_preview"] = (_adhoc_preview, Q.adhoc_preview)
 
 # -- more edges -----------------------------------------------------------------------
-import datetime as _dt  # noqa: E402
 
 # Every reporting Friday of 2000 (week-ending dates of one year).
-FRIDAYS_2000 = [(_dt.date(2000, 1, 7) + _dt.timedelta(weeks=i)).isoformat() for i in range(52)]
+FRIDAYS_2000 = [(dt.date(2000, 1, 7) + dt.timedelta(weeks=i)).isoformat() for i in range(52)]
 
 _simple("service_lines_leap_day", G.service_lines, Q.service_lines, as_of=LEAP_DAY)
 _simple("utilization_no_data_year", U.utilization, Q.utilization, as_of=NO_DATA_YEAR)
