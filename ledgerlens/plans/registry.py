@@ -243,3 +243,7 @@ register("service_lines_all_firms_pruned", lambda: FQ.service_lines(AS_OF))(
     lambda s: AF.service_lines(s, AS_OF, prune=True))
 register("perf_table_all_firms_pruned", lambda: FQ.perf_table(AS_OF))(
     lambda s: AF.perf_table(s, AS_OF, prune=True))
+register("perf_table_series", lambda: RQ.perf_table_series(SERIES))(
+    lambda s: R.perf_table(RU.measures_series(s, SERIES), ["as_of"]))
+register("perf_table_series_firm", lambda: RQ.perf_table_series(SERIES[:3], FIRM))(
+    lambda s: R.perf_table(RU.measures_series(s, SERIES[:3], FIRM), ["as_of"]))

@@ -14,8 +14,9 @@ the person and therefore reads the raw facts.
 
 Many as-of dates
 ----------------
-``gauges_series`` computes the time gauges for a list of as-of dates in one
-aggregate. Each row is placed (by a generator over the parameter list, not a
+``series_sums`` computes conditional period sums for a list of as-of dates in
+one aggregate (``time_gauges_series`` for the time gauges, ``measures_series``
+for all three fact tables and so a performance table per date). Each row is placed (by a generator over the parameter list, not a
 join) at every as-of date whose two-year span contains its date, the period
 bounds of that as-of date travel with it as literals, and a grouped aggregate on
 ``as_of`` sums all measures. Rows outside a date's span only add ``ELSE 0`` terms;
@@ -28,6 +29,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,3 +100,25 @@ def time_gauges_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
                        firm: str | None = None) -> DataFrame:
     dates = [as_of_date(a) for a in as_of_dates]
     return series_sums(G.billable_time(star, firm), "entry_date", dates, G.TIME_MEASURES)
+
+
+def measures_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
+                    firm: str | None = None) -> DataFrame:
+    """The 28 gauge sums of time, invoice and cash facts, one row per as-of date.
+
+    Each table gets one ``series_sums`` aggregate; the per-date rows are stacked
+    and merged with ``max`` per column (one non-NULL value each), as in
+    ``report.scorecard_measures``. Feed it to ``report.perf_table(..., by=["as_of"])``
+    for a performance table per date (a weekly trend in one pass).
+    """
+    from ..functions.params import apply_firm
+
+    dates = [as_of_date(a) for a in as_of_dates]
+    parts = [series_sums(G.billable_time(star, firm), "entry_date", dates, G.TIME_MEASURES),
+             series_sums(apply_firm(star.fct_invoice, firm), "invoice_date", dates,
+                         G.INVOICE_MEASURES),
+             series_sums(apply_firm(star.fct_cash_receipt, firm), "receipt_date", dates,
+                         G.CASH_MEASURES)]
+    names = [c for p in parts for c in p.columns if c != "as_of"]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.groupBy("as_of").agg(*[F.max(c).alias(c) for c in names])

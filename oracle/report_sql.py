@@ -207,3 +207,16 @@ def reporting_friday() -> str:
     return (f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, "
             f"strftime(CAST(ts AS DATE) - CAST({back} AS INTEGER), '%Y-%m-%d') AS week_ending "
             f"FROM events")
+
+
+def perf_table_series(dates: list[str], firm: str | None = None) -> str:
+    ctes = []
+    for i, d in enumerate(dates):
+        ctes += [f"tg{i} AS ({Q.time_gauges_body(d, firm)})",
+                 f"ig{i} AS ({Q.invoice_gauges_body(d, firm)})",
+                 f"cg{i} AS ({Q.cash_gauges_body(d, firm)})",
+                 f"m{i} AS (SELECT '{d}' AS as_of, * FROM tg{i}, ig{i}, cg{i})"]
+    ctes.append("m AS (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(len(dates)))
+                + ")")
+    stars = ["fct_time_entry", "fct_invoice", "fct_cash_receipt"]
+    return with_star(stars, ctes) + perf_select("m", ["as_of"])
