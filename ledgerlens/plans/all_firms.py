@@ -125,8 +125,21 @@ def wip_risk(star: StarSchema, as_of: str | dt.date | None, top: int = SN.RISK_T
     return _risk_for_listed(star, SN.wip_risk(star, as_of, top=top, by=BY), firms)
 
 
+def _risk_total(star: StarSchema, risk: DataFrame, amount: str) -> DataFrame:
+    """Per firm: items and total of its top-k list. A single-firm total over an
+    empty list is (0, 0.0), so firms without at-risk clients get that row."""
+    totals = R.risk_total(risk, amount, BY)
+    return (listed_firms(star).join(totals, BY, "left")
+            .select("member_firm_id", F.coalesce("items", F.lit(0)).alias("items"),
+                    F.coalesce("total", F.lit(0.0)).alias("total")))
+
+
 def ar_risk_total(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
-    return R.risk_total(ar_risk(star, as_of), "ar_amount", BY)
+    return _risk_total(star, ar_risk(star, as_of), "ar_amount")
+
+
+def wip_risk_total(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
+    return _risk_total(star, wip_risk(star, as_of), "wip_amount")
 
 
 def scorecard(star: StarSchema, as_of: str | dt.date | None,

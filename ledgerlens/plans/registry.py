@@ -247,3 +247,7 @@ register("perf_table_series", lambda: RQ.perf_table_series(SERIES))(
     lambda s: R.perf_table(RU.measures_series(s, SERIES), ["as_of"]))
 register("perf_table_series_firm", lambda: RQ.perf_table_series(SERIES[:3], FIRM))(
     lambda s: R.perf_table(RU.measures_series(s, SERIES[:3], FIRM), ["as_of"]))
+register("ar_risk_total_all_firms", lambda: FQ.risk_total("ar", AS_OF))(
+    lambda s: AF.ar_risk_total(s, AS_OF))
+register("wip_risk_total_all_firms", lambda: FQ.risk_total("wip", AS_OF))(
+    lambda s: AF.wip_risk_total(s, AS_OF))

@@ -114,7 +114,7 @@ def ar_distribution(as_of: str) -> str:
             + RS._ar_distribution_select("a", ["member_firm_id"]))
 
 
-def _risk(kind: str, as_of: str, top: int = 50) -> str:
+def _risk(kind: str, as_of: str, top: int = 50, dbl: bool = True) -> str:
     cols = {"ar": ["ar_61_90", "ar_91_120", "ar_121_150", "ar_151_180", "ar_181_364",
                    "ar_365_plus"],
             "wip": ["wip_61_90", "wip_91_120", "wip_121_150", "wip_151_180", "wip_181_210",
@@ -123,7 +123,8 @@ def _risk(kind: str, as_of: str, top: int = 50) -> str:
     snap = f"fct_{kind}_aging_snapshot"
     amt = " + ".join(f"t.{c}" for c in cols)
     latest = f"(SELECT MAX(report_date) FROM {snap} WHERE report_date <= DATE '{as_of}')"
-    return f"""SELECT member_firm_id, client_name, partner_name, CAST(amt AS DOUBLE) AS {kind}_amount
+    amount = "CAST(amt AS DOUBLE)" if dbl else "amt"
+    return f"""SELECT member_firm_id, client_name, partner_name, {amount} AS {kind}_amount
 FROM (
     SELECT t.member_firm_id, c.client_name, c.partner_name, SUM({amt}) AS amt
     FROM {snap} t JOIN dim_client c ON t.client_key = c.client_key
@@ -196,3 +197,14 @@ WHERE t.report_date = {latest}
 GROUP BY t.member_firm_id"""
     return (with_star(["fct_time_entry", "fct_wip_aging_snapshot"], [FIRMS_CTE, f"g AS ({g})"])
             + "SELECT * FROM f LEFT JOIN g USING (member_firm_id)")
+
+
+def risk_total(kind: str, as_of: str) -> str:
+    snap = f"fct_{kind}_aging_snapshot"
+    return (with_star(["fct_time_entry", snap, "dim_client"],
+                      [FIRMS_CTE, f"r AS ({_risk(kind, as_of, dbl=False)})",
+                       f"g AS (SELECT member_firm_id, CAST(COUNT(*) AS BIGINT) AS items, "
+                       f"CAST(SUM({kind}_amount) AS DOUBLE) AS total FROM r "
+                       f"GROUP BY member_firm_id)"])
+            + "SELECT f.member_firm_id, COALESCE(g.items, 0) AS items, "
+              "COALESCE(g.total, 0.0) AS total FROM f LEFT JOIN g USING (member_firm_id)")
