@@ -25,21 +25,6 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Suggested settings for a large cluster (1000 executors, ~100 TB of facts).
-# Shuffles in the scorecard are tiny (partial aggregates) except when the star
-# tables or snapshots are built, so the partition count is sized for those.
-CLUSTER_CONF = {
-    **BASE_CONF,
-    "spark.sql.shuffle.partitions": "8000",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.files.maxPartitionBytes": "512m",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
-    "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-}
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   app_name: str = "ledgerlens", driver_memory: str = "16g") -> SparkSession:
     """Session for tests and the local benchmark."""
@@ -61,19 +46,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder for materialised tables and checkpoints.
 
     On a cluster this is ``spark.checkpoint.dir`` (a shared file system named by
-    the cluster). Only when it is unset, as in local tests, a fresh local folder is
-    created and registered.
+    the cluster), read from the session. Only a ``local`` master without that
+    setting gets a fresh local folder (tests); any other master raises, because
+    executors cannot see a folder on the driver's disk.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if not current:
-        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-        if conf_dir:
-            sc.setCheckpointDir(conf_dir)
-        else:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-ckpt-"))
-        current = sc.getCheckpointDir()
-    return current
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        conf_dir = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+    sc.setCheckpointDir(conf_dir)
+    return sc.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
