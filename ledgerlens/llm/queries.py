@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import exact_dedup, licenses, mixing, repeats, toxicity, warc
+from ledgerlens.llm import exact_dedup, licenses, lm_scoring, mixing, repeats, toxicity, warc
 from ledgerlens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_mixing, op4_toxicity, op5_license_scan, op8_exact_dedup, op10_warc)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_mixing, op4_toxicity, op5_license_scan, op6_lm_scores, op8_exact_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
