@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import exact_dedup, licenses, lm_scoring, mixing, repeats, toxicity, warc
-from ledgerlens.llm.shared import table
+from ledgerlens.llm import embedding_dedup, exact_dedup, licenses, lm_scoring, mixing, near_dedup, repeats, toxicity, warc
+from ledgerlens.llm.shared import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -36,12 +41,27 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc(table(spark, sf_dir, "pages"))
 
 
+def _shipped(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_mixing, op4_toxicity, op5_license_scan, op6_lm_scores, op8_exact_dedup, op10_warc)}
+    return {f.__name__: _shipped(f) for f in (
+        op1_embedding_dedup, op2_substring_dedup, op3_mixing, op4_toxicity, op5_license_scan, op6_lm_scores,
+        op8_exact_dedup, op9_minhash_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -86,3 +89,20 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     return (df.join(sums, same, "left")
             .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
             .drop("_one", "_block", "_kb", "_before", *[f"_k{i}" for i in range(len(keys))]))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where they cannot find it themselves.
+
+    Nothing to do if the folder is on PYTHONPATH or is the working folder of a local master; else
+    the package is sent along as a zip file, once per session.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    seen = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if spark.sparkContext.master.startswith("local["):
+        seen.append(os.getcwd())
+    if root in seen or spark.conf.get("ledgerlens.shipped", None):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-zip-"), "ledgerlens")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "ledgerlens"))
+    spark.conf.set("ledgerlens.shipped", "true")
