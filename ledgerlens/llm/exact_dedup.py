@@ -140,6 +140,24 @@ def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
+def unique(docs: DataFrame, **bounds) -> DataFrame:
+    """One row of ``docs`` for each distinct text: the one with the smallest id, unchanged.
+
+    The texts move only for joins with the (few) rows that go; rows that repeat both id and
+    text are reduced to one.
+    """
+    found = materialize(exact_dedup(docs, **bounds).where("group_size > 1"), "equal-texts")
+    pair = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
+    gone = found.where("NOT kept").select(*pair).distinct()
+    twice = materialize(found.where("kept").select(*pair).groupBy("__id", "__sha").count().where("count > 1").drop("count"), "repeated-rows")
+    here = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
+    left = docs.withColumn("__digest", text_digest()).join(gone, here, "left_anti")
+    if twice.isEmpty():
+        return left.drop("__digest")
+    one = left.join(twice, here, "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return left.join(twice, here, "left_anti").unionByName(one).drop("__digest")
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

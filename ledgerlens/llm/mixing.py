@@ -108,19 +108,18 @@ def mix(docs: DataFrame, **rule) -> DataFrame:
     """The mixed documents in training order, with the columns of ``docs``.
 
     A document is repeated as often as it is taken. Texts stay whole: the one document of
-    a source that its target cuts is taken if at least half of it is due.
+    a source that its target cuts is taken if at least half of it is due. Rows that repeat an id share
+    one schedule, the one that takes most; rows with a null id are not mixed.
     """
-    plan = materialize(schedule(docs, **rule), "schedule")
+    plan = materialize(schedule(docs, **rule).where("size > 0 AND doc_id IS NOT NULL"), "schedule")
     copies = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
-    plan = (plan.where("size > 0").withColumn("_copies", copies).where("_copies > 0")
-            .select(F.col("doc_id").alias("_id"), "_copies", F.col("position").alias("_p0"),
-                    F.coalesce("second_position", "position").alias("_p1"))
-            # rows that repeat an id share its schedule, one row of it each
-            .withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_p0"))))
-    every = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(F.length("text"), F.lit(0)).desc())))
-    both = every.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (every["_nth"] == plan["_nth"]))
-    return (both.select(*[docs[c] for c in docs.columns], F.explode(F.slice(F.array("_p0", "_p1"), 1, F.col("_copies"))).alias("_position"))
-            .orderBy("_position", "doc_id").drop("_position"))
+    chosen = (plan.select("doc_id", F.struct(copies.alias("n"), "position", F.coalesce("second_position", "position").alias("again")).alias("s"))
+              .groupBy("doc_id").agg(F.max("s").alias("s")).where("s.n > 0")
+              .select(F.col("doc_id").alias("__mix_id"),
+                      F.slice(F.array("s.position", "s.again"), F.lit(1), F.col("s.n")).alias("__mix_at")))
+    taken = docs.join(materialize(chosen, "chosen"), F.col("doc_id") == F.col("__mix_id"))
+    return (taken.withColumn("__mix_position", F.explode("__mix_at")).orderBy("__mix_position", "__mix_id")
+            .drop("__mix_id", "__mix_at", "__mix_position"))
 
 
 ORACLE_SQL = r"""

@@ -1,6 +1,6 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-1. Every document becomes its set of distinct 2-word shingles (64-bit hashes), a digest of the set and a
+1. Every document becomes its set of distinct word shingles (64-bit hashes), a digest of the set and a
    signature of ``COORDINATES`` minima. Documents with equal sets are linked by their digest; one of
    them represents them from here on.
 2. A representative is posted under (coordinate, value) pairs. Two sets whose similarity reaches the
@@ -37,7 +37,7 @@ from ledgerlens.llm.components import components
 from ledgerlens.llm.shared import materialize, slices
 from ledgerlens.llm.words import mix, windows, words
 
-SHINGLE = 2
+SHINGLE = 5
 COORDINATES = 128
 MATCHES = 80
 TILE = 4096
@@ -216,7 +216,6 @@ def further_pairs(posted: DataFrame, found: DataFrame, id_type: str) -> DataFram
     rows = (named.join(mixed, F.col("token") == F.col("t"))
             .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
             .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "component", "coarse"))
-    spark = posted.sparkSession
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "component")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +248,6 @@ def further_pairs(posted: DataFrame, found: DataFrame, id_type: str) -> DataFram
         if held:
             yield from run(pa.Table.from_batches(held))
 
-    del spark
     return dealt.mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
 
 
@@ -311,3 +309,10 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> Data
                .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
     rest = sets.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return members.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group of near-duplicates, unchanged."""
+    gone = (near_dedup(docs, width, percent).where("doc_id IS NOT NULL")
+            .groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__id")))
+    return docs.join(materialize(gone, "near-copies"), F.col("doc_id") == F.col("__id"), "left_anti")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import embedding_dedup, exact_dedup, licenses, lm_scoring, mixing, near_dedup, repeats, toxicity, warc
+import corpus_pipeline
+from ledgerlens.llm import embedding_dedup, exact_dedup, licenses, lm_scoring, mixing, near_dedup, packing, repeats, toxicity, warc
 from ledgerlens.llm.shared import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,12 +38,16 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=2)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def _shipped(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     return {f.__name__: _shipped(f) for f in (
         op1_embedding_dedup, op2_substring_dedup, op3_mixing, op4_toxicity, op5_license_scan, op6_lm_scores,
-        op8_exact_dedup, op9_minhash_dedup, op10_warc)}
+        op7_best_fit_packing, op8_exact_dedup, op9_minhash_dedup, op10_warc)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -305,3 +305,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, **bounds) -
                 names=["doc_id", "held_out", "score", "predicted", "n_toxic_words", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(score, schema)
+
+
+def clean(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, unchanged; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **bounds))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            yield batch.filter(pa.array(shared.value.score(batch.column("text"))[0] < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
