@@ -27,14 +27,14 @@ def _c(x) -> Column:
 
 
 def null_to_zero(x) -> Column:
-    """NULL (or a value that is not a number) becomes 0, as a DOUBLE."""
-    return F.coalesce(_c(x).try_cast("double"), F.lit(0.0))
+    """NULL, NaN or a value that is not a number becomes 0, as a DOUBLE."""
+    return F.coalesce(F.nanvl(_c(x).try_cast("double"), F.lit(None).cast("double")), F.lit(0.0))
 
 
 def pct_change(current, prior) -> Column:
-    """(current - prior) / |prior| * 100; NULL when prior is 0 or NULL."""
+    """(current - prior) / |prior| * 100; NULL when prior is 0, NULL or NaN."""
     cur, pri = _c(current).cast("double"), _c(prior).cast("double")
-    return F.when(pri != 0, (cur - pri) / F.abs(F.nullif(pri, F.lit(0.0))) * 100)
+    return F.when((pri != 0) & ~F.isnan(pri), (cur - pri) / F.abs(F.nullif(pri, F.lit(0.0))) * 100)
 
 
 def status(change) -> Column:

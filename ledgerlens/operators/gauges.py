@@ -28,16 +28,17 @@ CASH_MEASURES = [Measure(f"{p}_cash", p, "receipt_amount") for p in PERIODS]
 SERVICE_LINE_MEASURES = [m for m in _HOURS_TVP if m.period in TO_DATE_PERIODS]
 
 
-def default_prune(prune: bool | None, by: Sequence[str]) -> bool:
-    """Span pruning by default for global gauges only.
-
-    Globally, pruning skips the history outright (one LIMIT 1 probe restores the
-    NULL/0 rule). Grouped, the history must still be read for its distinct group
-    keys (key columns only), which saves the measure columns but adds a join;
-    at scale the daily rollup (``plans.rollup``) is the better path for grouped
-    panels, so grouped pruning is opt-in (``prune=True``).
-    """
-    return (not by) if prune is None else prune
+def pruning(star: StarSchema, table: str, by: Sequence[str], prune: bool | None,
+            firm: str | None, billable: bool = False) -> dict:
+    """Span pruning is the default where a date profile answers what lies outside the span
+    (a materialised star); otherwise it takes ``prune=True``. Returns the arguments of
+    ``conditional_sums``, with the profile cut to the same rows as the facts."""
+    profile = star.profiles.get(table)
+    if profile is not None:
+        profile = apply_firm(profile.filter(F.col("is_billable")) if billable else profile, firm)
+    if prune is None:
+        prune = profile is not None and set(by) <= set(profile.columns)
+    return {"by": by, "prune": prune, "profile": profile}
 
 
 def billable_time(star: StarSchema, firm: str | None = None) -> DataFrame:
@@ -58,26 +59,26 @@ def firms(star: StarSchema) -> DataFrame:
 def time_gauges(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
                 by: Sequence[str] = (), prune: bool | None = None) -> DataFrame:
     """Hours and TVP over the six periods, write-up/down over the four to-date
-    periods, of billable time. ``prune`` as in ``default_prune``."""
+    periods, of billable time. ``prune`` as in ``pruning``."""
     w = PeriodWindows(as_of_date(as_of))
     return conditional_sums(billable_time(star, firm), "entry_date", w, TIME_MEASURES,
-                            by=by, prune=default_prune(prune, by))
+                            **pruning(star, "fct_time_entry", by, prune, firm, True))
 
 
 def invoice_gauges(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
                    by: Sequence[str] = (), prune: bool | None = None) -> DataFrame:
     w = PeriodWindows(as_of_date(as_of))
     inv = apply_firm(star.fct_invoice, firm)
-    return conditional_sums(inv, "invoice_date", w, INVOICE_MEASURES, by=by,
-                            prune=default_prune(prune, by))
+    return conditional_sums(inv, "invoice_date", w, INVOICE_MEASURES,
+                            **pruning(star, "fct_invoice", by, prune, firm))
 
 
 def cash_gauges(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
                 by: Sequence[str] = (), prune: bool | None = None) -> DataFrame:
     w = PeriodWindows(as_of_date(as_of))
     cash = apply_firm(star.fct_cash_receipt, firm)
-    return conditional_sums(cash, "receipt_date", w, CASH_MEASURES, by=by,
-                            prune=default_prune(prune, by))
+    return conditional_sums(cash, "receipt_date", w, CASH_MEASURES,
+                            **pruning(star, "fct_cash_receipt", by, prune, firm))
 
 
 def service_lines(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
@@ -90,5 +91,5 @@ def service_lines(star: StarSchema, as_of: str | dt.date | None, firm: str | Non
     w = PeriodWindows(as_of_date(as_of))
     keys = [*by, "service_line"]
     out = conditional_sums(billable_time(star, firm), "entry_date", w,
-                           SERVICE_LINE_MEASURES, by=keys, prune=default_prune(prune, keys))
+                           SERVICE_LINE_MEASURES, **pruning(star, "fct_time_entry", keys, prune, firm, True))
     return out.orderBy(*[F.col(k).asc_nulls_first() for k in keys])

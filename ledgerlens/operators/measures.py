@@ -43,33 +43,39 @@ def in_range(date_col: str, lo: dt.date, hi: dt.date) -> Column:
     return F.col(date_col).between(F.lit(lo), F.lit(hi))
 
 
-def period_sum(date_col: str, lo: dt.date, hi: dt.date, value: Column) -> Column:
-    return F.sum(F.when(in_range(date_col, lo, hi), value).otherwise(F.lit(0)))
+def period_sum(date_col: str, lo: dt.date, hi: dt.date, value: Column,
+               where: Column | None = None) -> Column:
+    """Sum over the period; ``where`` keeps other rows out of it (they add no 0 either)."""
+    inside = in_range(date_col, lo, hi)
+    if where is None:
+        return F.sum(F.when(inside, value).otherwise(F.lit(0)))
+    return F.sum(F.when(where & inside, value).when(where, F.lit(0)))
 
 
-def measure_columns(date_col: str, windows: PeriodWindows,
-                    measures: Sequence[Measure]) -> list[Column]:
+def measure_columns(date_col: str, windows: PeriodWindows, measures: Sequence[Measure],
+                    where: Column | None = None) -> list[Column]:
     ranges = windows.ranges()
-    return [period_sum(date_col, *ranges[m.period], m.value_col()).alias(m.name)
+    return [period_sum(date_col, *ranges[m.period], m.value_col(), where).alias(m.name)
             for m in measures]
 
 
 def conditional_sums(df: DataFrame, date_col: str, windows: PeriodWindows,
                      measures: Sequence[Measure], by: Sequence[str] = (),
-                     prune: bool = False) -> DataFrame:
+                     prune: bool = False, profile: DataFrame | None = None) -> DataFrame:
     """Aggregate ``measures`` over ``df``, globally or grouped ``by``.
 
     ``prune=True`` sums only the rows between Jan 1 of the prior year and the
     as-of date, the span of all six periods, so a date-clustered fact table is
     read for two years instead of its whole history. Rows outside the span only
     add ``ELSE 0`` terms, whose one visible effect is turning a NULL sum into 0
-    (and, when grouped, giving a group without span rows its row of zeros):
-
-    * global: an uncorrelated EXISTS subquery (a LIMIT 1 scan with a pushed
-      filter, stopping at the first row) restores exactly that;
-    * grouped: the history outside the span is read for the key columns only
-      (no measure columns), reduced to its distinct keys, and full-outer-joined
-      to the span aggregate with null-safe key equality.
+    (and, when grouped, giving a group without span rows its row of zeros). What
+    lies outside is read from ``profile`` (a date profile of the same rows, see
+    ``StarSchema.materialize``) if it has the group keys; without one, from the fact
+    table's key columns, which touches every split of the history:
+
+    * global: an uncorrelated EXISTS subquery restores the zeros;
+    * grouped: the distinct keys outside the span are full-outer-joined to the
+      span aggregate with null-safe key equality.
     """
     cols = measure_columns(date_col, windows, measures)
     if not prune:
@@ -77,11 +83,12 @@ def conditional_sums(df: DataFrame, date_col: str, windows: PeriodWindows,
     lo, hi = windows.span()
     names = [m.name for m in measures]
     span_rows = df.filter(in_range(date_col, lo, hi))
+    history = profile if profile is not None and set(by) <= set(profile.columns) else df
     if not by:
-        return restore_zero_sums(span_rows.agg(*cols), names, outside_span(df, date_col, lo, hi))
+        return restore_zero_sums(span_rows.agg(*cols), names, outside_span(history, date_col, lo, hi))
     spanned = span_rows.groupBy(*by).agg(*cols)
     keys = [f"_key{i}" for i in range(len(by))]
-    outside_keys = (outside_rows(df, date_col, lo, hi)
+    outside_keys = (outside_rows(history, date_col, lo, hi)
                     .select(*[F.col(k).alias(a) for k, a in zip(by, keys)]).distinct()
                     .withColumn("_outside", F.lit(True)))
     cond = reduce(lambda a, b: a & b,
@@ -101,8 +108,8 @@ def outside_rows(df: DataFrame, date_col: str, lo: dt.date, hi: dt.date) -> Data
 
 
 def outside_span(df: DataFrame, date_col: str, lo: dt.date, hi: dt.date) -> Column:
-    """EXISTS a row outside [lo, hi], planned as a LIMIT 1 subquery that stops
-    at the first row found."""
+    """EXISTS a row outside [lo, hi], as an uncorrelated subquery. Spark takes the limit per
+    split, so this is meant for a small date profile, not for a fact table of many splits."""
     return outside_rows(df, date_col, lo, hi).exists()
 
 

@@ -8,9 +8,9 @@ the scan. The whole week counts, including days after the as-of date.
 
 Plan: the week's billable facts are first summed per person (partial aggregation
 on the map side, so one person with a large share of the rows costs one row per
-map task), then joined to the person dimension, then summed per level. Counting
-the per-person rows gives COUNT(DISTINCT person_key) without a second
-distinct-aggregation shuffle. The join side from the facts is at most one row per
+map task), then joined to the person dimension, then summed per level. The headcount is
+the distinct people after the join (also if a dimension repeated a key), over one row per
+person. The join side from the facts is at most one row per
 person; Spark broadcasts whichever side AQE measures under the threshold and
 falls back to a sort-merge join otherwise.
 """
@@ -55,7 +55,7 @@ def utilization(star: StarSchema, as_of: str | dt.date | None, firm: str | None
                        F.sum("production_amount").alias("tvp")))
     joined = per_person.join(staffed_levels(star), "person_key")
     out = (joined.groupBy(*by, "staff_level", "staff_level_index")
-           .agg(F.count(F.lit(1)).alias("headcount"),
+           .agg(F.countDistinct("person_key").alias("headcount"),
                 F.sum("hours").alias("total_hours"),
                 F.sum("tvp").alias("total_tvp")))
     return out.orderBy(*by, "staff_level_index", "staff_level")

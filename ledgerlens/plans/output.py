@@ -9,11 +9,16 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.params import as_of_date
+
+ALL_FIRMS = "__all__"
+
 
 def normalize(df: DataFrame) -> DataFrame:
     cols = []
@@ -24,20 +29,25 @@ def normalize(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            # ISO text: no fraction when it is zero, six digits otherwise
+            whole = F.date_trunc("second", c) == c
+            c = F.when(whole, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
+                F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
         cols.append(c.alias(f.name))
     return df.select(cols)
 
 
-def write_panels(panels: dict[str, DataFrame], root: str, as_of: dt.date | str) -> None:
-    """Scale sink: write each panel below ``root/<panel>``, partitioned by as-of date.
+def write_panels(panels: dict[str, DataFrame], root: str, as_of: dt.date | str,
+                 firm: str | None = None) -> None:
+    """Scale sink: each panel goes to its own folder per as-of date and firm.
 
-    Only the partition of this as-of date is replaced (dynamic partition
-    overwrite), so re-running a date after a failure is idempotent and other
-    dates stay. ``root`` should be a shared folder.
+    ``<root>/<panel>/as_of=<date>/firm=<firm or __all__>`` is overwritten as a whole, also by
+    an empty result, so a re-run leaves exactly its own rows and touches no other
+    date or firm. ``root`` should be a shared folder; reading ``<root>/<panel>`` gives back
+    ``as_of`` and ``firm`` as partition columns.
     """
-    as_of = as_of if isinstance(as_of, str) else as_of.isoformat()
+    day = as_of_date(as_of).isoformat()
+    part = quote(firm, safe="") if firm else ALL_FIRMS
     for name, df in panels.items():
-        out = normalize(df).withColumn("as_of", F.lit(as_of))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("as_of").parquet(os.path.join(root, name)))
+        normalize(df).write.mode("overwrite").parquet(
+            os.path.join(root, name, f"as_of={day}", f"firm={part}"))

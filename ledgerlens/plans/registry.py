@@ -22,7 +22,7 @@ from ..functions.params import reporting_friday
 from ..operators import gauges as G
 from ..operators import snapshots as SN
 from ..operators import utilization as U
-from ..sources.star import StarSchema, from_test_tables
+from ..sources.star import StarSchema, from_test_tables, with_null_bucket, without_firm
 from . import all_firms as AF
 from . import report as R
 from . import rollup as RU
@@ -61,6 +61,17 @@ def _simple(name, op, oracle, as_of=AS_OF, firm=None, **kw):
     register(name, lambda: oracle(as_of, firm))(lambda star: op(star, as_of, firm, **kw))
 
 
+# Edge inputs of the snapshot panels, only for the entries that test them.
+EDGES = {
+    "null_bucket": with_null_bucket,
+    "missing_firm": lambda star: without_firm(star, MISSING_FIRM, dt.date(2000, 3, 31)),
+}
+
+
+def _edge(name, edge, op, oracle, firm=None):
+    register(name, lambda: oracle(AS_OF, firm, edge))(lambda star: op(EDGES[edge](star), AS_OF, firm))
+
+
 # -- source queries ---------------------------------------------------------------
 register("firms", Q.firms)(G.firms)
 _simple("time_gauges", G.time_gauges, Q.time_gauges)
@@ -91,12 +102,18 @@ _simple("utilization_year_edge", U.utilization, Q.utilization, as_of=YEAR_EDGE)
 _simple("utilization_leap_year_end", U.utilization, Q.utilization, as_of=LEAP_YEAR_END)
 _simple("utilization_firm", U.utilization, Q.utilization, firm=FIRM)
 _simple("ar_aging_firm", SN.ar_aging, Q.ar_aging, firm=FIRM)
-_simple("ar_aging_missing_firm", SN.ar_aging, Q.ar_aging, firm=MISSING_FIRM)
+_edge("ar_aging_missing_firm", "missing_firm", SN.ar_aging, Q.ar_aging, MISSING_FIRM)
+_edge("wip_aging_missing_firm", "missing_firm", SN.wip_aging, Q.wip_aging, MISSING_FIRM)
+_edge("wip_risk_missing_firm", "missing_firm", SN.wip_risk, Q.wip_risk, MISSING_FIRM)
+_edge("ar_aging_null_bucket", "null_bucket", SN.ar_aging, Q.ar_aging)
+_edge("wip_aging_null_bucket", "null_bucket", SN.wip_aging, Q.wip_aging)
+_edge("ar_risk_null_bucket", "null_bucket", SN.ar_risk, Q.ar_risk)
+_edge("wip_risk_null_bucket", "null_bucket", SN.wip_risk, Q.wip_risk)
 _simple("ar_aging_before_first_snapshot", SN.ar_aging, Q.ar_aging, as_of=BEFORE_SNAPSHOTS)
 _simple("wip_aging_firm", SN.wip_aging, Q.wip_aging, firm=FIRM)
 _simple("wip_risk_firm", SN.wip_risk, Q.wip_risk, firm=FIRM)
 _simple("ar_risk_firm", SN.ar_risk, Q.ar_risk, firm=FIRM)
-_simple("ar_risk_missing_firm", SN.ar_risk, Q.ar_risk, firm=MISSING_FIRM)
+_edge("ar_risk_missing_firm", "missing_firm", SN.ar_risk, Q.ar_risk, MISSING_FIRM)
 
 # -- derived layer ----------------------------------------------------------------
 
@@ -135,8 +152,8 @@ register("utilization_share_firm", lambda: RQ.utilization_share(AS_OF, FIRM))(
     lambda s: R.utilization_share(U.utilization(s, AS_OF, FIRM)))
 register("ar_distribution", lambda: RQ.ar_distribution(AS_OF))(
     lambda s: R.ar_distribution(SN.ar_aging(s, AS_OF)))
-register("ar_distribution_missing_firm", lambda: RQ.ar_distribution(AS_OF, MISSING_FIRM))(
-    lambda s: R.ar_distribution(SN.ar_aging(s, AS_OF, MISSING_FIRM)))
+_edge("ar_distribution_missing_firm", "missing_firm",
+      lambda s, t, firm: R.ar_distribution(SN.ar_aging(s, t, firm)), RQ.ar_distribution, MISSING_FIRM)
 register("ar_risk_total", lambda: RQ.risk_total("ar", AS_OF))(
     lambda s: R.risk_total(SN.ar_risk(s, AS_OF), "ar_amount"))
 register("wip_risk_total", lambda: RQ.risk_total("wip", AS_OF))(
@@ -245,8 +262,25 @@ register("perf_table_all_firms_pruned", lambda: FQ.perf_table(AS_OF))(
     lambda s: AF.perf_table(s, AS_OF, prune=True))
 register("perf_table_series", lambda: RQ.perf_table_series(SERIES))(
     lambda s: R.perf_table(RU.measures_series(s, SERIES), ["as_of"]))
-register("perf_table_series_firm", lambda: RQ.perf_table_series(SERIES[:3], FIRM))(
-    lambda s: R.perf_table(RU.measures_series(s, SERIES[:3], FIRM), ["as_of"]))
+register("perf_table_series_firm", lambda: RQ.perf_table_series(SERIES, FIRM))(
+    lambda s: R.perf_table(RU.measures_series(s, SERIES, FIRM), ["as_of"]))
+register("utilization_metrics_all_firms", lambda: FQ.utilization_metrics(AS_OF))(
+    lambda s: R.utilization_metrics(AF.utilization(s, AS_OF), AF.BY))
+# firm forms of the derived layer
+register("tvp_summary_firm", lambda: RQ.tvp_summary(AS_OF, FIRM))(
+    lambda s: R.tvp_summary(G.time_gauges(s, AS_OF, FIRM)))
+register("service_line_change_firm", lambda: RQ.service_line_change(AS_OF, FIRM))(
+    lambda s: R.service_line_change(G.service_lines(s, AS_OF, FIRM)))
+register("utilization_metrics_firm", lambda: RQ.utilization_metrics(AS_OF, FIRM))(
+    lambda s: R.utilization_metrics(U.utilization(s, AS_OF, FIRM)))
+register("ar_risk_total_firm", lambda: RQ.risk_total("ar", AS_OF, FIRM))(
+    lambda s: R.risk_total(SN.ar_risk(s, AS_OF, FIRM), "ar_amount"))
+register("wip_risk_total_firm", lambda: RQ.risk_total("wip", AS_OF, FIRM))(
+    lambda s: R.risk_total(SN.wip_risk(s, AS_OF, FIRM), "wip_amount"))
+register("ar_risk_search_firm", lambda: RQ.risk_search("ar", "#00000", AS_OF, FIRM))(
+    lambda s: R.risk_search(SN.ar_risk(s, AS_OF, FIRM), "#00000"))
+register("wip_risk_search_firm", lambda: RQ.risk_search("wip", "#00000", AS_OF, FIRM))(
+    lambda s: R.risk_search(SN.wip_risk(s, AS_OF, FIRM), "#00000"))
 register("ar_risk_total_all_firms", lambda: FQ.risk_total("ar", AS_OF))(
     lambda s: AF.ar_risk_total(s, AS_OF))
 register("wip_risk_total_all_firms", lambda: FQ.risk_total("wip", AS_OF))(

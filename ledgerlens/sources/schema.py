@@ -70,15 +70,20 @@ STAR_SCHEMAS = {
 DIMENSION_KEYS = {"dim_person": "person_key", "dim_client": "client_key"}
 
 # Layout of each table when it is materialised.
-# Transaction facts are range-clustered by their date: every file holds a narrow,
+# Transaction facts are range-clustered by their date and then by keys (so a day that holds a
+# large share of the rows is split over tasks): every file holds a narrow,
 # sorted date range, so the pushed period filter skips files and row groups by
 # their min/max statistics, without one directory per day (thousands of small
 # partitions at small scale, and a listing bottleneck at large scale).
 CLUSTER_COLUMNS = {
-    "fct_time_entry": "entry_date",
-    "fct_invoice": "invoice_date",
-    "fct_cash_receipt": "receipt_date",
+    "fct_time_entry": ["entry_date", "member_firm_id", "person_key"],
+    "fct_invoice": ["invoice_date", "member_firm_id", "client_key"],
+    "fct_cash_receipt": ["receipt_date", "member_firm_id", "client_key"],
+    "fct_ar_aging_snapshot": ["report_date", "client_key"],
+    "fct_wip_aging_snapshot": ["report_date", "client_key"],
 }
+DATE_COLUMNS = {"fct_time_entry": "entry_date", "fct_invoice": "invoice_date",
+                "fct_cash_receipt": "receipt_date"}
 # Snapshots have few report dates and are read one date at a time: one
 # directory per report date, pruned by the latest-snapshot filter.
 PARTITION_COLUMNS = {
@@ -88,8 +93,25 @@ PARTITION_COLUMNS = {
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the declared columns in order, cast to the declared types."""
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Select the declared columns in order, with the declared types.
+
+    Amounts are never rounded: a decimal source with a finer scale keeps its scale (and enough
+    digits for the declared integer part), and a floating-point source is refused, since
+    it has no exact scale; cast it to the decimal that it stands for first.
+    """
+    cols = []
+    for f in schema.fields:
+        kind, have = f.dataType, df.schema[f.name].dataType
+        if isinstance(kind, T.DecimalType):
+            if isinstance(have, (T.DoubleType, T.FloatType)):
+                raise TypeError(f"{f.name}: floating-point amounts have no exact scale; cast to DECIMAL first")
+            if isinstance(have, T.DecimalType) and have.scale > kind.scale:
+                whole = max(kind.precision - kind.scale, have.precision - have.scale)
+                if whole + have.scale > 38:
+                    raise TypeError(f"{f.name}: {have.simpleString()} does not fit DECIMAL(38) without rounding")
+                kind = T.DecimalType(whole + have.scale, have.scale)
+        cols.append(F.col(f.name).cast(kind).alias(f.name))
+    return df.select(cols)
 
 
 def duplicate_keys(dim: DataFrame, key: str) -> DataFrame:

@@ -3,13 +3,12 @@
 The scorecard reads AR and WIP aging snapshots: one row per (report_date,
 client_key, member_firm_id) with the open amount split into age buckets. The
 driver's test data has open items but no snapshots, so this builder derives them:
-every open item is placed in each report date at which it is between 0 and
-``max_age`` days old, then amounts are summed per bucket.
+every open item is placed in each report date on or after its own date, however old
+it is, then amounts are summed per bucket.
 
-The placement is a generator over the (parameter-sized) list of report dates,
-evaluated per row inside the scan stage; there is no join, and the only shuffle
-is the final aggregate, which is partially aggregated map-side, so a client that
-holds a large share of the items sends at most one row per map task.
+Items are first summed per client, firm and day (a client that holds a large share of the
+items sends one row per day and map task), then placed by a generator over the
+(parameter-sized) list of report dates and summed per snapshot row; there is no join.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ GRAIN = ["report_date", "client_key", "member_firm_id"]
 
 
 def aging_snapshot(open_items: DataFrame, report_dates: Sequence[dt.date],
-                   buckets: Sequence[tuple[str, int, int | None]], max_age: int,
+                   buckets: Sequence[tuple[str, int, int | None]],
                    total_col: str) -> DataFrame:
     """Aggregate open items into aging snapshots.
 
@@ -33,10 +32,12 @@ def aging_snapshot(open_items: DataFrame, report_dates: Sequence[dt.date],
     Bucket sums use ``ELSE 0``, so every bucket of a non-empty group is non-null.
     """
     dates = F.array(*[F.lit(d) for d in sorted(report_dates)])
-    in_life = F.filter(dates, lambda r: F.datediff(r, F.col("item_date")).between(0, max_age))
-    placed = (open_items
+    due = F.filter(dates, lambda r: r >= F.col("item_date"))
+    per_day = (open_items.groupBy("client_key", "member_firm_id", "item_date")
+               .agg(F.sum("amount").alias("amount")))
+    placed = (per_day
               .select("client_key", "member_firm_id", "item_date", "amount",
-                      F.explode(in_life).alias("report_date"))
+                      F.explode(due).alias("report_date"))
               .withColumn("age", F.datediff(F.col("report_date"), F.col("item_date"))))
 
     def in_bucket(lo: int, hi: int | None):

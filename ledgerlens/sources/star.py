@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from . import schema as S
 from .snapshots import aging_snapshot
 
 TABLES = list(S.STAR_SCHEMAS)
+PROFILES = "_date_profiles"
 
 
 @dataclass
@@ -33,9 +34,11 @@ class StarSchema:
     fct_wip_aging_snapshot: DataFrame
     dim_person: DataFrame
     dim_client: DataFrame
+    # date profiles by table name, as written by ``materialize``
+    profiles: dict[str, DataFrame] = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {t: getattr(self, t) for t in TABLES}
 
     def register(self, prefix: str = "") -> None:
         """Register every table as a temp view (for SQL and ``adhoc``)."""
@@ -52,33 +55,48 @@ class StarSchema:
                       for t in TABLES})
 
     @classmethod
-    def from_path(cls, spark: SparkSession, root: str) -> "StarSchema":
-        return cls(**{t: S.conform(spark.read.parquet(os.path.join(root, t)), S.STAR_SCHEMAS[t])
+    def from_path(cls, spark: SparkSession, root: str, profiles: bool = False) -> "StarSchema":
+        """Tables below ``root``; ``profiles`` if :meth:`materialize` wrote them there."""
+        star = cls(**{t: S.conform(spark.read.parquet(os.path.join(root, t)), S.STAR_SCHEMAS[t])
                       for t in TABLES})
+        if profiles:
+            star.profiles = {t: spark.read.parquet(os.path.join(root, PROFILES, t)) for t in S.DATE_COLUMNS}
+        return star
 
     def materialize(self, root: str, mode: str = "overwrite") -> "StarSchema":
         """Write the tables as parquet below ``root`` and return them read back.
 
-        Transaction facts are range-clustered and sorted by date, snapshots are
-        partitioned by report date (see ``schema.CLUSTER_COLUMNS`` and
-        ``PARTITION_COLUMNS``). ``root`` should be a shared folder (see
-        ``session.shared_path``); the written tables also cut the lineage of
-        the mapping joins, so a lost executor re-reads files instead of
-        recomputing the star build.
+        Transaction facts are range-clustered and sorted by date and keys, snapshots are
+        partitioned by report date and range-clustered inside it (``schema.CLUSTER_COLUMNS``,
+        ``PARTITION_COLUMNS``): the keys after the date let a day with very many rows go
+        to several tasks. Dimension keys are checked first. Next to each transaction fact lies
+        its date profile (rows per day, firm and billable flag), which lets period queries skip
+        the history. ``root`` should be a shared folder (see ``session.shared_path``); the
+        written tables also cut the lineage of the mapping joins, so a lost executor re-reads
+        files instead of recomputing the star build.
         """
+        self.validate()
         spark = self.fct_time_entry.sparkSession
         for name, df in self.tables().items():
             cluster = S.CLUSTER_COLUMNS.get(name)
             part = S.PARTITION_COLUMNS.get(name)
             if cluster:
-                df = df.repartitionByRange(cluster).sortWithinPartitions(cluster)
-            elif part:
-                df = df.repartition(part)
+                df = df.repartitionByRange(*cluster).sortWithinPartitions(*cluster)
             writer = df.write.mode(mode)
             if part:
                 writer = writer.partitionBy(part)
             writer.parquet(os.path.join(root, name))
-        return StarSchema.from_path(spark, root)
+        written = StarSchema.from_path(spark, root)
+        for name, date_col in S.DATE_COLUMNS.items():
+            (date_profile(getattr(written, name), date_col).repartition(1)  # one row per day, firm and flag
+             .write.mode(mode).parquet(os.path.join(root, PROFILES, name)))
+        return StarSchema.from_path(spark, root, profiles=True)
+
+
+def date_profile(facts: DataFrame, date_col: str) -> DataFrame:
+    """Rows per day, firm and (if there is one) billable flag of a transaction fact."""
+    keys = [c for c in (date_col, "member_firm_id", "is_billable") if c in facts.columns]
+    return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
 
 
 # ---------------------------------------------------------------------------
@@ -91,11 +109,6 @@ STAFF_LEVELS = ["Partner", "Director", "Manager", "Senior", "Staff", ""]
 # Snapshot report dates: every quarter end from 1999-03-31 to 2001-09-30.
 FIRST_REPORT_QUARTER = (1999, 1)
 LAST_REPORT_QUARTER = (2001, 3)
-# Firm NATION_2 is absent from the snapshots from this date on.
-DROPPED_FIRM = "NATION_2"
-DROPPED_FIRM_FROM = dt.date(2000, 3, 31)
-AR_MAX_AGE = 730
-WIP_MAX_AGE = 1095
 
 
 def quarter_ends(first: tuple[int, int], last: tuple[int, int]) -> list[dt.date]:
@@ -167,8 +180,8 @@ def time_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("member_firm_id"),
         F.col("l_suppkey").alias("person_key"),
         F.col("l_shipdate").cast("date").alias("entry_date"),
-        F.col("l_quantity").alias("hours"),
-        F.col("l_extendedprice").alias("production_amount"),
+        F.col("l_quantity").cast(S.MONEY).alias("hours"),
+        F.col("l_extendedprice").cast(S.MONEY).alias("production_amount"),
         F.when(F.col("l_discount") == 0, F.lit(None)).otherwise(wuwd).alias("write_up_down"),
         billable.alias("is_billable"),
         F.when(F.col("p_size") == 1, F.lit(None)).otherwise(F.col("p_type"))
@@ -186,7 +199,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders_with_firm(spark, sf_dir, "o_orderdate", "o_totalprice")
     out = o.select("member_firm_id", F.col("o_custkey").alias("client_key"),
                    F.col("o_orderdate").cast("date").alias("invoice_date"),
-                   F.col("o_totalprice").alias("invoice_amount"))
+                   F.col("o_totalprice").cast(S.MONEY).alias("invoice_amount"))
     return S.conform(out, S.FCT_INVOICE)
 
 
@@ -232,8 +245,8 @@ def ar_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("o_orderdate").cast("date").alias("item_date"),
                           F.col("o_totalprice")))
     open_items = open_items.withColumn("amount", _signed("o_totalprice"))
-    snap = aging_snapshot(open_items, REPORT_DATES, AR_AGE_BUCKETS, AR_MAX_AGE, "ar_total")
-    return S.conform(_plant_snapshot_edges(snap, "ar_121_150"), S.FCT_AR_AGING_SNAPSHOT)
+    snap = aging_snapshot(open_items, REPORT_DATES, AR_AGE_BUCKETS, "ar_total")
+    return S.conform(snap, S.FCT_AR_AGING_SNAPSHOT)
 
 
 def wip_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,18 +259,27 @@ def wip_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("l_shipdate").cast("date").alias("item_date"),
                           F.col("l_extendedprice")))
     open_items = open_items.withColumn("amount", _signed("l_extendedprice"))
-    snap = aging_snapshot(open_items, REPORT_DATES, WIP_AGE_BUCKETS, WIP_MAX_AGE, "wip_total")
-    return S.conform(_plant_snapshot_edges(snap, "wip_121_150"), S.FCT_WIP_AGING_SNAPSHOT)
-
-
-def _plant_snapshot_edges(snap: DataFrame, null_bucket: str) -> DataFrame:
-    """Edge cases of the test mapping: a NULL bucket for client keys % 25 == 1,
-    and one firm missing from the later snapshots."""
-    snap = snap.withColumn(null_bucket, F.when(F.col("client_key") % 25 == 1, F.lit(None))
-                           .otherwise(F.col(null_bucket)))
-    dropped = (F.coalesce(F.col("member_firm_id") == DROPPED_FIRM, F.lit(False))
-               & (F.col("report_date") >= F.lit(DROPPED_FIRM_FROM)))
-    return snap.filter(~dropped)
+    snap = aging_snapshot(open_items, REPORT_DATES, WIP_AGE_BUCKETS, "wip_total")
+    return S.conform(snap, S.FCT_WIP_AGING_SNAPSHOT)
+
+
+def with_null_bucket(star: StarSchema) -> StarSchema:
+    """Edge input: the 121-150 bucket is unknown (NULL) for client keys % 25 == 1."""
+    unknown = F.col("client_key") % 25 == 1
+
+    def plant(snap: DataFrame, bucket: str) -> DataFrame:
+        return snap.withColumn(bucket, F.when(unknown, F.lit(None)).otherwise(F.col(bucket)))
+
+    return replace(star, fct_ar_aging_snapshot=plant(star.fct_ar_aging_snapshot, "ar_121_150"),
+                   fct_wip_aging_snapshot=plant(star.fct_wip_aging_snapshot, "wip_121_150"))
+
+
+def without_firm(star: StarSchema, firm: str, since: dt.date) -> StarSchema:
+    """Edge input: a firm that stopped reporting, absent from snapshots since a date."""
+    gone = (F.coalesce(F.col("member_firm_id") == firm, F.lit(False))
+            & (F.col("report_date") >= F.lit(since)))
+    return replace(star, fct_ar_aging_snapshot=star.fct_ar_aging_snapshot.filter(~gone),
+                   fct_wip_aging_snapshot=star.fct_wip_aging_snapshot.filter(~gone))
 
 
 def from_test_tables(spark: SparkSession, sf_dir: str) -> StarSchema:

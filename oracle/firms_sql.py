@@ -61,20 +61,12 @@ def service_lines(as_of: str) -> str:
           " AND t.member_firm_id != ''\nGROUP BY t.member_firm_id, service_line")
 
 
+_BY = ["member_firm_id"]
+_LISTED = "SELECT * FROM f LEFT JOIN g USING (member_firm_id)"
+
+
 def _utilization_body(as_of: str) -> str:
-    t = f"DATE '{as_of}'"
-    return f"""SELECT t.member_firm_id, p.staff_level, p.staff_level_index,
-    CAST(COUNT(DISTINCT t.person_key) AS BIGINT) AS headcount,
-    CAST(SUM(t.hours) AS DOUBLE) AS total_hours,
-    CAST(SUM(t.production_amount) AS DOUBLE) AS total_tvp
-FROM fct_time_entry t
-JOIN dim_person p ON t.person_key = p.person_key
-WHERE t.is_billable = true
-    AND WEEKOFYEAR(t.entry_date) = WEEKOFYEAR({t})
-    AND YEAR(t.entry_date) = YEAR({t})
-    AND p.staff_level IS NOT NULL AND p.staff_level != ''
-    AND t.member_firm_id IS NOT NULL AND t.member_firm_id != ''
-GROUP BY t.member_firm_id, p.staff_level, p.staff_level_index"""
+    return f"SELECT * FROM ({Q.utilization_body(as_of, None, _BY)}) WHERE length(member_firm_id) > 0"
 
 
 def utilization(as_of: str) -> str:
@@ -83,67 +75,43 @@ def utilization(as_of: str) -> str:
 
 def utilization_share(as_of: str) -> str:
     return (with_star(["fct_time_entry", "dim_person"], [f"u AS ({_utilization_body(as_of)})"])
-            + RS._util_share_select("u", ["member_firm_id"]))
+            + RS._util_share_select("u", _BY))
+
+
+def utilization_metrics(as_of: str) -> str:
+    return (with_star(["fct_time_entry", "dim_person"], [f"u AS ({_utilization_body(as_of)})"])
+            + RS._util_metrics_select("u", _BY))
 
 
-def _ar_aging(as_of: str) -> str:
-    latest = ("(SELECT MAX(report_date) FROM fct_ar_aging_snapshot "
-              f"WHERE report_date <= DATE '{as_of}')")
-    return f"""SELECT t.member_firm_id,
-    CAST(SUM(ar_0_30) AS DOUBLE) AS current_bucket,
-    CAST(SUM(ar_31_60) AS DOUBLE) AS bucket_31_60,
-    CAST(SUM(ar_61_90) AS DOUBLE) AS bucket_61_90,
-    CAST(SUM(ar_91_120) AS DOUBLE) AS bucket_91_120,
-    CAST(SUM(ar_121_150 + ar_151_180 + ar_181_364 + ar_365_plus) AS DOUBLE) AS bucket_120_plus,
-    CAST(SUM(ar_total) AS DOUBLE) AS total
-FROM fct_ar_aging_snapshot t
-WHERE t.report_date = {latest}
-GROUP BY t.member_firm_id"""
+def _aging(kind: str, as_of: str) -> list[str]:
+    return [FIRMS_CTE, Q.open_items(kind, as_of), f"g AS ({Q.aging_body(kind, by=_BY)})"]
 
 
 def ar_aging(as_of: str) -> str:
-    return (with_star(["fct_time_entry", "fct_ar_aging_snapshot"],
-                      [FIRMS_CTE, f"g AS ({_ar_aging(as_of)})"])
-            + "SELECT * FROM f LEFT JOIN g USING (member_firm_id)")
+    return with_star(["fct_time_entry", "ar_items"], _aging("ar", as_of)) + _LISTED
+
+
+def wip_aging(as_of: str) -> str:
+    return with_star(["fct_time_entry", "wip_items"], _aging("wip", as_of)) + _LISTED
 
 
 def ar_distribution(as_of: str) -> str:
-    return (with_star(["fct_time_entry", "fct_ar_aging_snapshot"],
-                      [FIRMS_CTE, f"g AS ({_ar_aging(as_of)})",
-                       "a AS (SELECT * FROM f LEFT JOIN g USING (member_firm_id))"])
-            + RS._ar_distribution_select("a", ["member_firm_id"]))
-
-
-def _risk(kind: str, as_of: str, top: int = 50, dbl: bool = True) -> str:
-    cols = {"ar": ["ar_61_90", "ar_91_120", "ar_121_150", "ar_151_180", "ar_181_364",
-                   "ar_365_plus"],
-            "wip": ["wip_61_90", "wip_91_120", "wip_121_150", "wip_151_180", "wip_181_210",
-                    "wip_211_240", "wip_241_270", "wip_271_300", "wip_301_330", "wip_331_364",
-                    "wip_1yr_2yr", "wip_2yr_plus"]}[kind]
-    snap = f"fct_{kind}_aging_snapshot"
-    amt = " + ".join(f"t.{c}" for c in cols)
-    latest = f"(SELECT MAX(report_date) FROM {snap} WHERE report_date <= DATE '{as_of}')"
-    amount = "CAST(amt AS DOUBLE)" if dbl else "amt"
-    return f"""SELECT member_firm_id, client_name, partner_name, {amount} AS {kind}_amount
-FROM (
-    SELECT t.member_firm_id, c.client_name, c.partner_name, SUM({amt}) AS amt
-    FROM {snap} t JOIN dim_client c ON t.client_key = c.client_key
-    WHERE t.report_date = {latest}
-      AND t.member_firm_id IN (SELECT member_firm_id FROM f)
-    GROUP BY t.member_firm_id, c.client_name, c.partner_name
-    HAVING SUM({amt}) > 0)
-QUALIFY row_number() OVER (PARTITION BY member_firm_id
-    ORDER BY amt DESC, client_name ASC NULLS FIRST, partner_name ASC NULLS FIRST) <= {top}"""
+    return (with_star(["fct_time_entry", "ar_items"], [*_aging("ar", as_of), f"a AS ({_LISTED})"])
+            + RS._ar_distribution_select("a", _BY))
+
+
+def _risk(kind: str, as_of: str, dbl: bool = True) -> list[str]:
+    body = Q.risk_body(kind, by=_BY, dbl=dbl)
+    return [FIRMS_CTE, Q.open_items(kind, as_of),
+            f"r AS (SELECT * FROM ({body}) WHERE member_firm_id IN (SELECT member_firm_id FROM f))"]
 
 
 def ar_risk(as_of: str) -> str:
-    return (with_star(["fct_time_entry", "fct_ar_aging_snapshot", "dim_client"], [FIRMS_CTE])
-            + _risk("ar", as_of))
+    return with_star(["fct_time_entry", "ar_items", "dim_client"], _risk("ar", as_of)) + "SELECT * FROM r"
 
 
 def wip_risk(as_of: str) -> str:
-    return (with_star(["fct_time_entry", "fct_wip_aging_snapshot", "dim_client"], [FIRMS_CTE])
-            + _risk("wip", as_of))
+    return with_star(["fct_time_entry", "wip_items", "dim_client"], _risk("wip", as_of)) + "SELECT * FROM r"
 
 
 def invoice_gauges(as_of: str) -> str:
@@ -181,28 +149,9 @@ def service_line_change(as_of: str) -> str:
               f"{RS._status('tvp_pct_chg')} AS tvp_status FROM ({inner})")
 
 
-def wip_aging(as_of: str) -> str:
-    latest = ("(SELECT MAX(report_date) FROM fct_wip_aging_snapshot "
-              f"WHERE report_date <= DATE '{as_of}')")
-    g = f"""SELECT t.member_firm_id,
-    CAST(SUM(wip_0_30) AS DOUBLE) AS wip_0_30,
-    CAST(SUM(wip_31_60) AS DOUBLE) AS wip_31_60,
-    CAST(SUM(wip_61_90) AS DOUBLE) AS wip_61_90,
-    CAST(SUM(wip_91_120) AS DOUBLE) AS wip_91_120,
-    CAST(SUM(wip_121_150 + wip_151_180 + wip_181_210 + wip_211_240 + wip_241_270 + wip_271_300
-             + wip_301_330 + wip_331_364 + wip_1yr_2yr + wip_2yr_plus) AS DOUBLE) AS wip_120_plus,
-    CAST(SUM(wip_total) AS DOUBLE) AS total
-FROM fct_wip_aging_snapshot t
-WHERE t.report_date = {latest}
-GROUP BY t.member_firm_id"""
-    return (with_star(["fct_time_entry", "fct_wip_aging_snapshot"], [FIRMS_CTE, f"g AS ({g})"])
-            + "SELECT * FROM f LEFT JOIN g USING (member_firm_id)")
-
-
 def risk_total(kind: str, as_of: str) -> str:
-    snap = f"fct_{kind}_aging_snapshot"
-    return (with_star(["fct_time_entry", snap, "dim_client"],
-                      [FIRMS_CTE, f"r AS ({_risk(kind, as_of, dbl=False)})",
+    return (with_star(["fct_time_entry", f"{kind}_items", "dim_client"],
+                      [*_risk(kind, as_of, dbl=False),
                        f"g AS (SELECT member_firm_id, CAST(COUNT(*) AS BIGINT) AS items, "
                        f"CAST(SUM({kind}_amount) AS DOUBLE) AS total FROM r "
                        f"GROUP BY member_firm_id)"])

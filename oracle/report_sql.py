@@ -179,24 +179,25 @@ def _ar_distribution_select(src: str, keys: list[str]) -> str:
             f"{share} AS share_pct FROM ({base}))")
 
 
-def ar_distribution(as_of: str, firm: str | None = None) -> str:
-    return (with_star(["fct_ar_aging_snapshot"], [f"a AS ({Q.ar_aging_body(as_of, firm)})"])
+def ar_distribution(as_of: str, firm: str | None = None, edge: str | None = None) -> str:
+    return (with_star(["ar_items"], [Q.open_items("ar", as_of, firm, edge), f"a AS ({Q.aging_body('ar', edge)})"])
             + _ar_distribution_select("a", []))
 
 
-def risk_total(kind: str, as_of: str, firm: str | None = None) -> str:
-    body = (Q.ar_risk_body if kind == "ar" else Q.wip_risk_body)(as_of, firm, dbl=False)
-    snap = f"fct_{kind}_aging_snapshot"
-    return (with_star([snap, "dim_client"], [f"r AS ({body})"])
+def _risk_ctes(kind: str, as_of: str, firm: str | None, edge: str | None, dbl: bool) -> str:
+    return with_star([f"{kind}_items", "dim_client"],
+                     [Q.open_items(kind, as_of, firm, edge), f"r AS ({Q.risk_body(kind, edge, dbl=dbl)})"])
+
+
+def risk_total(kind: str, as_of: str, firm: str | None = None, edge: str | None = None) -> str:
+    return (_risk_ctes(kind, as_of, firm, edge, False)
             + f"SELECT CAST(COUNT(*) AS BIGINT) AS items, "
               f"COALESCE(CAST(SUM({kind}_amount) AS DOUBLE), 0.0) AS total FROM r")
 
 
-def risk_search(kind: str, query: str, as_of: str, firm: str | None = None) -> str:
-    body = (Q.ar_risk_body if kind == "ar" else Q.wip_risk_body)(as_of, firm)
-    snap = f"fct_{kind}_aging_snapshot"
+def risk_search(kind: str, query: str, as_of: str, firm: str | None = None, edge: str | None = None) -> str:
     q = query.lower().replace("'", "''")
-    return (with_star([snap, "dim_client"], [f"r AS ({body})"])
+    return (_risk_ctes(kind, as_of, firm, edge, True)
             + f"SELECT * FROM r WHERE contains(lower(COALESCE(client_name, '')), '{q}') "
               f"OR contains(lower(COALESCE(partner_name, '')), '{q}')")
 
@@ -204,7 +205,10 @@ def risk_search(kind: str, query: str, as_of: str, firm: str | None = None) -> s
 def reporting_friday() -> str:
     back = ("CASE WHEN dayofweek(ts) = 5 AND hour(ts) < 17 THEN 7 "
             "ELSE (dayofweek(ts) + 2) % 7 END")
-    return (f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, "
+    # ISO text: no fraction when it is zero, six digits otherwise
+    text = ("CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') "
+            "ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END")
+    return (f"SELECT event_id, {text} AS ts, "
             f"strftime(CAST(ts AS DATE) - CAST({back} AS INTEGER), '%Y-%m-%d') AS week_ending "
             f"FROM events")
 

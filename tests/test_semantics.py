@@ -27,7 +27,7 @@ def one(df):
 
 def both(star, fn, *a, **kw):
     """Run a gauge pruned and unpruned; they must agree."""
-    pruned = one(fn(star, *a, **kw))
+    pruned = one(fn(star, *a, prune=True, **kw))
     assert pruned == one(fn(star, *a, prune=False, **kw))
     return pruned
 
