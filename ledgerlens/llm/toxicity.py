@@ -4,7 +4,8 @@ Training works on a bounded, documented sample of the labelled rows (``max_toxic
 whole documents, the first by CRC-32 of the id), from the training fold only:
 
 1. words of the sample are labelled: in a toxic document, a word (or its beginning) is toxic if the
-   smoothed share of toxic documents among those that hold it is at least ``word_share``; every
+   smoothed share of toxic documents among those that hold it is at least ``WORD_SHARE``, at the label
+   frequencies of all training rows, and at least ``WORD_SUPPORT`` of the toxic ones hold it; every
    other word is clean;
 2. a two-state chain (clean, toxic) with hashed features of the word, its beginnings and end and
    its neighbours is fitted by Adagrad on the exact gradient (forward-backward);
@@ -38,9 +39,11 @@ from ledgerlens.llm.shared import slices
 from ledgerlens.llm.words import ALPHANUMERIC, Words, mix, rolling, words, _BYTE_CODE
 
 FOLDS = 5
-MAX_TOXIC = 3000
-MAX_CLEAN = 6000
+MAX_TOXIC = 2000
+MAX_CLEAN = 3000
 WORD_SHARE = 0.6
+WORD_SUPPORT = 0.01
+MIN_SUPPORT = 3
 PRIOR_DOCS = 4.0
 BITS = 18
 ROUNDS = 25
@@ -151,34 +154,57 @@ def _run(m: np.ndarray) -> np.ndarray:
     return out.transpose(1, 2, 0).reshape(2, k * steps)[:, :n]
 
 
-def fit_chain(slots: np.ndarray, begins: np.ndarray, tags: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> Chain:
+@dataclass
+class Shard:
+    """A few hundred thousand words of the training sample; training never holds more than one expanded."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    toxic: np.ndarray
+    slots: np.ndarray = None
+    tags: np.ndarray = None
+
+    @property
+    def begins(self) -> np.ndarray:
+        return np.unique(self.first[:-1][np.diff(self.first) > 0])
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+def fit_chain(shards: list[Shard], bits: int = BITS, rounds: int = ROUNDS) -> Chain:
     chain = Chain(np.zeros(1 << bits))
     seen_w, seen_m, seen_b = np.full(1 << bits, 1e-8), np.full((2, 2), 1e-8), 1e-8
-    inner = np.ones(len(tags), bool)
-    inner[begins] = False
-    inner = np.flatnonzero(inner)
-    gold = np.zeros((2, 2))
-    np.add.at(gold, (tags[inner - 1].astype(int), tags[inner].astype(int)), 1)
-    scale = 1.0 / max(1, tags.sum())
+    scale = 1.0 / max(1.0, sum(float(s.tags.sum()) for s in shards))
     for _ in range(rounds):
-        score = chain.scores(slots)
-        a, b = chain.messages(score, begins)
-        p = a * b
-        off = (p[1] / p.sum(axis=0) - tags) * scale
-        grad = np.zeros(1 << bits)
-        for row in slots:
-            grad += np.bincount(row, off, 1 << bits)
-        grad += L2 * scale * chain.weights
-        t = np.exp(chain.moves)
-        pair = np.stack([[a[i, inner - 1] * t[i, j] * (np.exp(score[inner]) if j else 1.0) * b[j, inner] for j in (0, 1)] for i in (0, 1)])
-        pair = pair / pair.sum(axis=(0, 1))
-        grad_m = (pair.sum(axis=2) - gold) * scale
+        grad, grad_m, grad_b = L2 * chain.weights, np.zeros((2, 2)), 0.0
+        for s in shards:
+            begins, tags = s.begins, s.tags
+            if not len(tags):
+                continue
+            score = chain.scores(s.slots)
+            a, b = chain.messages(score, begins)
+            p = a * b
+            off = p[1] / p.sum(axis=0) - tags
+            for row in s.slots:
+                grad += np.bincount(row, off, 1 << bits)
+            grad_b += off.sum()
+            inner = np.ones(len(tags), bool)
+            inner[begins] = False
+            inner = np.flatnonzero(inner)
+            t = np.exp(chain.moves)
+            lift = np.exp(score[inner])
+            pair = np.stack([a[i, inner - 1] * t[i, j] * (lift if j else 1.0) * b[j, inner] for i in (0, 1) for j in (0, 1)])
+            grad_m += (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
+            np.add.at(grad_m, (tags[inner - 1].astype(int), tags[inner].astype(int)), -1)
+        grad, grad_m, grad_b = grad * scale, grad_m * scale, grad_b * scale
         seen_w += grad ** 2
         seen_m += grad_m ** 2
-        seen_b += off.sum() ** 2
+        seen_b += grad_b ** 2
         chain.weights -= RATE * grad / np.sqrt(seen_w)
         chain.moves -= RATE * grad_m / np.sqrt(seen_m)
-        chain.bias -= RATE * off.sum() / np.sqrt(seen_b)
+        chain.bias -= RATE * grad_b / np.sqrt(seen_b)
     return chain
 
 
@@ -210,19 +236,38 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1
     return beta
 
 
-def tag_words(k: np.ndarray, first: np.ndarray, toxic: np.ndarray, share: float = WORD_SHARE) -> np.ndarray:
-    """True for words of toxic documents whose own hash or first 8 bytes mark toxic documents."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    base = toxic.mean()
-    marked = np.zeros(k.shape[1], bool)
-    for key in (k[0], k[3]):
-        _, word = np.unique(key, return_inverse=True)
-        in_doc = np.unique(word.astype(np.int64) * len(toxic) + row)
-        of, doc = in_doc // len(toxic), in_doc % len(toxic)
-        n = np.bincount(of, minlength=word.max() + 1)
-        bad = np.bincount(of, toxic[doc].astype(float), minlength=word.max() + 1)
-        marked |= ((bad + PRIOR_DOCS * base) / (n + PRIOR_DOCS) >= share)[word]
-    return marked & toxic[row]
+def tag_words(shards: list[Shard], clean_weight: float, share: float = WORD_SHARE, support: float = WORD_SUPPORT) -> None:
+    """Tag the words of toxic documents whose own hash or first 8 bytes mark toxic documents.
+
+    A mark stands in at least ``support`` of the toxic documents, and they are ``share`` of all
+    documents with it, where a clean document of the sample counts ``clean_weight`` times.
+    """
+    toxic = np.concatenate([s.toxic for s in shards])
+    least = max(MIN_SUPPORT, support * toxic.sum())
+    base = toxic.sum() / (toxic.sum() + clean_weight * (~toxic).sum())
+
+    def distinct(key: np.ndarray, other: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((other, key))
+        k, o = key[order], other[order]
+        fresh = np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])] if len(k) else np.zeros(0, bool)
+        return k[fresh], of[order][fresh]
+
+    marks = []
+    for key in (0, 3):
+        held = [distinct(s.keys[key], s.row, s.toxic[s.row]) for s in shards]  # each word once per document
+        word, bad = (np.concatenate(x) for x in zip(*held, strict=True))
+        # and once per word before it in toxic documents: copies of a document add no support
+        pairs = [(s.keys[key][1:], s.keys[0][:-1], s.toxic[s.row][1:]) for s in shards if len(s.row) > 1]
+        places, before, of = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (word[:0],) * 3
+        where, _ = distinct(places[of], before[of], of[of])
+        names, place = np.unique(word, return_inverse=True)
+        in_toxic = np.bincount(place, bad.astype(float), len(names))
+        in_clean = np.bincount(place, 1.0 - bad, len(names))
+        in_toxic = np.minimum(in_toxic, np.bincount(np.searchsorted(names, where), minlength=len(names)))
+        shared = (in_toxic + PRIOR_DOCS * base) / (in_toxic + clean_weight * in_clean + PRIOR_DOCS)
+        marks.append(names[(shared >= share) & (in_toxic >= least)])
+    for s in shards:
+        s.tags = ((np.isin(s.keys[0], marks[0]) | np.isin(s.keys[3], marks[1])) & s.toxic[s.row]).astype(float)
 
 
 @dataclass
@@ -256,16 +301,21 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_toxic: int
     if not y.any() or y.all():
         n = counts.get(0, 0) + counts.get(1, 0)
         return Model(None, np.array([(counts.get(1, 0) + 0.5) / (n + 1)]))
-    w = words(sample.column("text"), ALPHANUMERIC, lower=True)
-    k = keys(w)
-    begins = np.unique(w.first[:-1][np.diff(w.first) > 0])
-    tags = tag_words(k, w.first, y)
-    slots = features(k, begins, BITS)
-    chain = fit_chain(slots, begins, tags.astype(float)) if tags.any() else None
-    if chain is None:
+    shards = []
+    for piece in slices(iter(sample.to_batches()), "text", 1 << 20):
+        w = words(piece.column("text"), ALPHANUMERIC, lower=True)
+        shards.append(Shard(keys(w), w.first, piece.column("toxic").to_numpy().astype(bool)))
+    clean_weight = (counts.get(0, 0) / (~y).sum()) / (counts.get(1, 0) / y.sum())
+    tag_words(shards, clean_weight)
+    if not any(s.tags.any() for s in shards):
         return Model(None, np.array([counts.get(1, 0) / (counts.get(0, 0) + counts.get(1, 0))]))
+    for s in shards:
+        s.slots = features(s.keys, s.begins, BITS)
+        s.keys = None
+    chain = fit_chain(shards)
     chain.weights = chain.weights.astype(np.float32)
-    x = document_features(chain.marginals(slots, begins), w.first)
+    x = np.concatenate([document_features(chain.marginals(s.slots, s.begins), s.first) for s in shards])
+    y = np.concatenate([s.toxic for s in shards])
     weight = np.where(y, counts.get(1, 0) / y.sum(), counts.get(0, 0) / (~y).sum())
     return Model(chain, fit_logistic(x, y.astype(float), weight / weight.mean()))
 
