@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _ISO_DATE = re.compile(r"^\d{4}-\d{2}-\d{2}$")
@@ -16,13 +17,20 @@ _ISO_DATE = re.compile(r"^\d{4}-\d{2}-\d{2}$")
 FRIDAY_CUTOFF_HOUR = 17
 
 
+def session_now() -> dt.datetime:
+    """The current time in the time zone of the active session (UTC without one)."""
+    session = SparkSession.getActiveSession()
+    zone = session.conf.get("spark.sql.session.timeZone") if session else "UTC"
+    return dt.datetime.now(ZoneInfo(zone))
+
+
 def as_of_date(value: str | dt.date | None, today: dt.date | None = None) -> dt.date:
-    """Strict ``YYYY-MM-DD`` parse; empty or missing means today.
+    """Strict ``YYYY-MM-DD`` parse; empty or missing means today in the session's time zone.
 
     Values are never spliced into SQL text, so there is no quoting to get wrong.
     """
     if value is None or value == "":
-        return today or dt.date.today()
+        return today or session_now().date()
     if isinstance(value, dt.datetime):
         return value.date()
     if isinstance(value, dt.date):
@@ -68,6 +76,11 @@ def reporting_friday_of(now: dt.datetime) -> dt.date:
     return now.date() - dt.timedelta(days=back)
 
 
+def page_date(value: str | dt.date | None, now: dt.datetime | None = None) -> dt.date:
+    """As-of date of the whole page: empty or missing means the reporting Friday."""
+    return as_of_date(value) if value else reporting_friday_of(now or session_now())
+
+
 def days_before(as_of: str | dt.date | None, days: int) -> dt.date:
     """The as-of date minus ``days`` (the source's unused DATE_SUB helper), as a
     driver-side parameter value."""

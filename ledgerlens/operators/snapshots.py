@@ -22,13 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.params import apply_firm, as_of_date
+from ..sources import schema as S
 from ..sources.star import StarSchema
 
-AR_OVER_120 = ["ar_121_150", "ar_151_180", "ar_181_364", "ar_365_plus"]
-AR_OVER_60 = ["ar_61_90", "ar_91_120", *AR_OVER_120]
-WIP_OVER_120 = ["wip_121_150", "wip_151_180", "wip_181_210", "wip_211_240", "wip_241_270",
-                "wip_271_300", "wip_301_330", "wip_331_364", "wip_1yr_2yr", "wip_2yr_plus"]
-WIP_OVER_60 = ["wip_61_90", "wip_91_120", *WIP_OVER_120]
+AR_OVER_60, AR_OVER_120 = S.AR_BUCKETS[2:], S.AR_BUCKETS[4:]
+WIP_OVER_60, WIP_OVER_120 = S.WIP_BUCKETS[2:], S.WIP_BUCKETS[4:]
 
 # Length of the at-risk lists (fixed value).
 RISK_TOP_K = 50
@@ -48,16 +46,19 @@ def latest_snapshot(snapshot: DataFrame, as_of: dt.date) -> DataFrame:
     return snapshot.filter(F.col("report_date") == latest_report_date(snapshot, as_of))
 
 
-def ar_aging(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
-             by: Sequence[str] = ()) -> DataFrame:
-    snap = apply_firm(latest_snapshot(star.fct_ar_aging_snapshot, as_of_date(as_of)), firm)
-    cols = [F.sum("ar_0_30").alias("current_bucket"),
+def ar_aging_columns() -> list[Column]:
+    return [F.sum("ar_0_30").alias("current_bucket"),
             F.sum("ar_31_60").alias("bucket_31_60"),
             F.sum("ar_61_90").alias("bucket_61_90"),
             F.sum("ar_91_120").alias("bucket_91_120"),
             F.sum(row_sum(AR_OVER_120)).alias("bucket_120_plus"),
             F.sum("ar_total").alias("total")]
-    return snap.groupBy(*by).agg(*cols) if by else snap.agg(*cols)
+
+
+def ar_aging(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
+             by: Sequence[str] = ()) -> DataFrame:
+    snap = apply_firm(latest_snapshot(star.fct_ar_aging_snapshot, as_of_date(as_of)), firm)
+    return snap.groupBy(*by).agg(*ar_aging_columns()) if by else snap.agg(*ar_aging_columns())
 
 
 def wip_aging(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
@@ -72,8 +73,8 @@ def wip_aging(star: StarSchema, as_of: str | dt.date | None, firm: str | None =
     return snap.groupBy(*by).agg(*cols) if by else snap.agg(*cols)
 
 
-def _risk(snapshot: DataFrame, dim_client: DataFrame, as_of: dt.date, firm: str | None,
-          buckets: Sequence[str], amount: str, top: int, by: Sequence[str]) -> DataFrame:
+def risk_lists(snap: DataFrame, dim_client: DataFrame, buckets: Sequence[str], amount: str,
+               top: int, by: Sequence[str] = ()) -> DataFrame:
     """Top ``top`` (client_name, partner_name) groups by the row-wise bucket sum.
 
     Groups are names, not keys: equal names with the same partner merge, and a
@@ -82,7 +83,6 @@ def _risk(snapshot: DataFrame, dim_client: DataFrame, as_of: dt.date, firm: str
     the NULL-skipping rule), so the join to the client dimension carries at most
     one row per client instead of one per snapshot row.
     """
-    snap = apply_firm(latest_snapshot(snapshot, as_of), firm)
     per_client = snap.groupBy(*by, "client_key").agg(F.sum(row_sum(buckets)).alias("_amt"))
     named = per_client.join(dim_client.select("client_key", "client_name", "partner_name"),
                             "client_key")
@@ -104,11 +104,11 @@ def _risk(snapshot: DataFrame, dim_client: DataFrame, as_of: dt.date, firm: str
 
 def ar_risk(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
             top: int = RISK_TOP_K, by: Sequence[str] = ()) -> DataFrame:
-    return _risk(star.fct_ar_aging_snapshot, star.dim_client, as_of_date(as_of), firm,
-                 AR_OVER_60, "ar_amount", top, by)
+    snap = apply_firm(latest_snapshot(star.fct_ar_aging_snapshot, as_of_date(as_of)), firm)
+    return risk_lists(snap, star.dim_client, AR_OVER_60, "ar_amount", top, by)
 
 
 def wip_risk(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
              top: int = RISK_TOP_K, by: Sequence[str] = ()) -> DataFrame:
-    return _risk(star.fct_wip_aging_snapshot, star.dim_client, as_of_date(as_of), firm,
-                 WIP_OVER_60, "wip_amount", top, by)
+    snap = apply_firm(latest_snapshot(star.fct_wip_aging_snapshot, as_of_date(as_of)), firm)
+    return risk_lists(snap, star.dim_client, WIP_OVER_60, "wip_amount", top, by)

@@ -18,29 +18,33 @@ To give each firm exactly what its single-firm query gives:
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.params import as_of_date, page_date
+from ..functions.periods import PeriodWindows
 from ..operators import gauges as G
 from ..operators import snapshots as SN
 from ..operators import utilization as U
+from ..operators.measures import measure_columns
 from ..sources.star import StarSchema
 from . import report as R
 
 BY = ["member_firm_id"]
 
 
-def listed_firms(star: StarSchema) -> DataFrame:
-    return (star.fct_time_entry
-            .filter(F.col("member_firm_id").isNotNull() & (F.col("member_firm_id") != ""))
-            .select("member_firm_id").distinct())
-
-
 def _listed(df: DataFrame) -> DataFrame:
     return df.filter(F.col("member_firm_id").isNotNull() & (F.col("member_firm_id") != ""))
 
 
+def listed_firms(star: StarSchema) -> DataFrame:
+    """Firms of the time facts; from their date profile where the star has one."""
+    facts = star.profiles.get("fct_time_entry", star.fct_time_entry)
+    return _listed(facts.select("member_firm_id")).distinct()
+
+
 def _per_firm_row(star: StarSchema, grouped: DataFrame,
                   firms: DataFrame | None = None) -> DataFrame:
     firms = listed_firms(star) if firms is None else firms
@@ -49,7 +53,17 @@ def _per_firm_row(star: StarSchema, grouped: DataFrame,
 
 def time_gauges(star: StarSchema, as_of: str | dt.date | None,
                 prune: bool | None = None) -> DataFrame:
-    return _per_firm_row(star, G.time_gauges(star, as_of, by=BY, prune=prune))
+    """Time gauges of every listed firm.
+
+    One scan: all rows are grouped, so every listed firm gets its row, and the billable test
+    stands inside the sums, where other rows add nothing (a firm without billable rows keeps
+    its NULLs). With a date profile, or ``prune=True``, only the span of the periods is read.
+    """
+    if prune or (prune is None and star.profiles):
+        return _per_firm_row(star, G.time_gauges(star, as_of, by=BY, prune=True))
+    windows = PeriodWindows(as_of_date(as_of))
+    cols = measure_columns("entry_date", windows, G.TIME_MEASURES, F.col("is_billable"))
+    return _listed(star.fct_time_entry).groupBy(*BY).agg(*cols)
 
 
 def invoice_gauges(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
@@ -60,9 +74,16 @@ def cash_gauges(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     return _per_firm_row(star, G.cash_gauges(star, as_of, by=BY))
 
 
-def measures(star: StarSchema, as_of: str | dt.date | None,
-             prune: bool | None = None, firms: DataFrame | None = None) -> DataFrame:
-    return _per_firm_row(star, R.scorecard_measures(star, as_of, by=BY, prune=prune), firms)
+def measures(star: StarSchema, as_of: str | dt.date | None, prune: bool | None = None) -> DataFrame:
+    """The 28 gauge sums of every listed firm; the firms are those of the time part, so the
+    list costs no scan of its own."""
+    time = time_gauges(star, as_of, prune).withColumn("_is_listed", F.lit(True))
+    parts = [time, G.invoice_gauges(star, as_of, by=BY, prune=prune),
+             G.cash_gauges(star, as_of, by=BY, prune=prune)]
+    names = [c for p in parts for c in p.columns if c not in BY]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return (stacked.groupBy(*BY).agg(*[F.max(c).alias(c) for c in names])
+            .filter("_is_listed").drop("_is_listed"))
 
 
 def perf_table(star: StarSchema, as_of: str | dt.date | None,
@@ -143,25 +164,26 @@ def wip_risk_total(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
 
 
 def scorecard(star: StarSchema, as_of: str | dt.date | None,
-              time_rollup: DataFrame | None = None) -> dict[str, DataFrame]:
+              time_rollup: DataFrame | None = None, firms: DataFrame | None = None,
+              firm_measures: DataFrame | None = None) -> dict[str, DataFrame]:
     """All panels for all listed firms; ``time_rollup`` as in ``report.scorecard``.
 
-    The firm list and the 28 measures per firm feed several panels; both are one
-    row per firm, so they are cached (and rebuilt from lineage if lost) instead
-    of being recomputed from the facts for every panel.
+    The firm list and the 28 measures per firm feed several panels. Nothing is cached here; a
+    caller that runs the panels as separate jobs can pass ``listed_firms`` and ``measures``
+    that it has cached, and release them afterwards.
     """
     from .rollup import with_time_rollup
 
+    t = page_date(as_of)
     gstar = star if time_rollup is None else with_time_rollup(star, time_rollup)
-    firms = listed_firms(star).cache()
-    m = measures(gstar, as_of, firms=firms).cache()
+    m = measures(gstar, t) if firm_measures is None else firm_measures
     return {
         "perf_table": R.perf_table(m, BY),
         "gauges": R.gauges_table(m, BY),
         "tvp_summary": R.tvp_summary(m, BY),
-        "service_line_change": service_line_change(gstar, as_of),
-        "utilization_share": utilization_share(star, as_of),
-        "ar_distribution": ar_distribution(star, as_of, firms),
-        "wip_risk": wip_risk(star, as_of, firms=firms),
-        "ar_risk": ar_risk(star, as_of, firms=firms),
+        "service_line_change": service_line_change(gstar, t),
+        "utilization_share": utilization_share(star, t),
+        "ar_distribution": ar_distribution(star, t, firms),
+        "wip_risk": wip_risk(star, t, firms=firms),
+        "ar_risk": ar_risk(star, t, firms=firms),
     }

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracle import firms_sql as FQ
+from oracle import page_sql as PQ
 from oracle import queries as Q
 from oracle import report_sql as RQ
 
@@ -285,3 +286,22 @@ register("ar_risk_total_all_firms", lambda: FQ.risk_total("ar", AS_OF))(
     lambda s: AF.ar_risk_total(s, AS_OF))
 register("wip_risk_total_all_firms", lambda: FQ.risk_total("wip", AS_OF))(
     lambda s: AF.wip_risk_total(s, AS_OF))
+register("time_gauges_series_all_firms", lambda: FQ.time_gauges_series(SERIES))(
+    lambda s: RU.time_gauges_series(s, SERIES, all_firms=True))
+register("perf_table_series_all_firms", lambda: FQ.perf_table_series(SERIES))(
+    lambda s: R.perf_table(RU.measures_series(s, SERIES, all_firms=True), ["member_firm_id", "as_of"]))
+register("service_lines_series", lambda: Q.service_lines_series(SERIES))(
+    lambda s: RU.service_lines_series(s, SERIES))
+register("utilization_series", lambda: Q.utilization_series(SERIES))(
+    lambda s: RU.utilization_series(s, SERIES))
+register("ar_aging_series", lambda: Q.ar_aging_series(SERIES))(
+    lambda s: RU.ar_aging_series(s, SERIES))
+register("ar_risk_series", lambda: Q.ar_risk_series(SERIES))(
+    lambda s: RU.ar_risk_series(s, SERIES))
+# the page as one frame
+register("scorecard", lambda: PQ.scorecard(AS_OF))(
+    lambda s: R.long_form(R.scorecard(s, AS_OF)))
+register("scorecard_firm", lambda: PQ.scorecard(AS_OF, FIRM))(
+    lambda s: R.long_form(R.scorecard(s, AS_OF, FIRM)))
+register("scorecard_all_firms", lambda: PQ.scorecard_all_firms(AS_OF))(
+    lambda s: R.long_form(AF.scorecard(s, AS_OF), AF.BY))

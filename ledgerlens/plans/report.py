@@ -18,9 +18,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import compare as C
-from ..functions.params import as_of_date
+from ..functions.params import page_date
 from ..operators import gauges as G
 from ..operators import snapshots as SN
 from ..operators import utilization as U
@@ -209,22 +210,22 @@ def risk_search(risk: DataFrame, query: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def scorecard(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
-              by: Sequence[str] = (), time_rollup: DataFrame | None = None
-              ) -> dict[str, DataFrame]:
+              by: Sequence[str] = (), time_rollup: DataFrame | None = None,
+              measures: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every panel of the scorecard for one (as-of, firm). Lazy DataFrames.
 
-    ``time_rollup`` (the daily rollup of ``plans.rollup``, ideally materialised)
-    serves the time gauges and service lines, which are exact on it; utilization
-    needs the person and keeps reading the raw time facts. For all firms at
-    once use ``plans.all_firms.scorecard``, which also gives firms without rows
-    their NULL row.
+    A missing as-of date means the reporting Friday. ``time_rollup`` (the daily rollup of
+    ``plans.rollup``, ideally materialised) serves the time gauges and service lines, which
+    are exact on it; utilization needs the person and keeps reading the raw time facts.
+    Nothing is cached here: panels that run as separate jobs can share a ``measures``
+    frame that the caller caches and releases. For all firms at once use
+    ``plans.all_firms.scorecard``, which also gives firms without rows their NULL row.
     """
     from .rollup import with_time_rollup
 
-    t = as_of_date(as_of)
+    t = page_date(as_of)
     gstar = star if time_rollup is None else with_time_rollup(star, time_rollup)
-    # The measures row feeds three panels and is one row: cached once.
-    measures = scorecard_measures(gstar, t, firm, by=by).cache()
+    measures = scorecard_measures(gstar, t, firm, by=by) if measures is None else measures
     lines = G.service_lines(gstar, t, firm, by=by)
     util = U.utilization(star, t, firm, by=by)
     aging = SN.ar_aging(star, t, firm, by=by)
@@ -243,3 +244,47 @@ def scorecard(star: StarSchema, as_of: str | dt.date | None, firm: str | None =
         "ar_risk": ar_r,
         "ar_risk_total": risk_total(ar_r, "ar_amount", by),
     }
+
+
+# Columns that name a row of each panel, in the order of the page (fixed values). Risk
+# lists are ordered by amount first.
+ROW_LABELS = {
+    "tvp_summary": ["period"], "gauges": ["period", "position", "label"],
+    "perf_table": ["period", "position", "metric"], "service_line_change": ["service_line"],
+    "utilization": ["staff_level_index", "staff_level"],
+    "utilization_share": ["staff_level_index", "staff_level"],
+    "ar_distribution": ["position", "bucket"],
+    "wip_risk": ["client_name", "partner_name"], "ar_risk": ["client_name", "partner_name"],
+    "wip_risk_total": [], "ar_risk_total": [],
+}
+
+
+def long_form(panels: dict[str, DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """The page as one frame: by..., panel, position, label, measure, value, text.
+
+    One row per panel row and measure; numbers are in ``value``, everything else in ``text``.
+    Panels are small (a few rows, or a top-k list, per group), so ranking their rows is too.
+    """
+    parts = []
+    for name, df in panels.items():
+        labels = ROW_LABELS[name]
+        order = [F.col(c).asc_nulls_first() for c in labels]
+        if name in ("wip_risk", "ar_risk"):
+            order.insert(0, F.col(name.replace("risk", "amount")).desc())
+        position = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) if labels else F.lit(1)
+        cells = []
+        for f in df.schema.fields:
+            if f.name in labels or f.name in by:
+                continue
+            number = isinstance(f.dataType, T.NumericType)
+            cells.append(F.struct(
+                F.lit(f.name).alias("measure"),
+                (F.col(f.name) if number else F.lit(None)).cast("double").alias("value"),
+                (F.lit(None) if number else F.col(f.name)).cast("string").alias("text")))
+        label = F.concat_ws(" / ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in labels])
+        # ranked before the cells are spread
+        rows = df.select(*by, F.lit(name).alias("panel"), position.alias("position"),
+                         label.alias("label"), F.array(*cells).alias("_cells"))
+        parts.append(rows.withColumn("_c", F.explode("_cells"))
+                     .select(*by, "panel", "position", "label", "_c.*"))
+    return reduce(lambda a, b: a.unionByName(b), parts)

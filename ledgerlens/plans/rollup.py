@@ -9,19 +9,17 @@ lines computed on the rollup equal those on the raw facts, NULL rules included:
 SUM skips NULLs in both steps, a group whose amounts are all NULL sums to NULL in
 both, and an empty input stays empty. Its size is firms x service lines x days,
 independent of the number of time entries, so it is the table to materialise
-(partitioned by ``entry_date``) and cache for interactive use. Utilization needs
+(range-clustered by ``entry_date``) for interactive use. Utilization needs
 the person and therefore reads the raw facts.
 
 Many as-of dates
 ----------------
-``series_sums`` computes conditional period sums for a list of as-of dates in
-one aggregate (``time_gauges_series`` for the time gauges, ``measures_series``
-for all three fact tables and so a performance table per date). Each row is placed (by a generator over the parameter list, not a
-join) at every as-of date whose two-year span contains its date, the period
-bounds of that as-of date travel with it as literals, and a grouped aggregate on
-``as_of`` sums all measures. Rows outside a date's span only add ``ELSE 0`` terms;
-comparing the in-span row count with the total row count restores exactly that,
-and dates without in-span rows still get their row from the parameter grid.
+``series_sums`` computes conditional period sums for a list of as-of dates in one aggregate,
+globally or per group. Rows are first summed per day (and group), which is exact for the
+reasons above; then each day is placed (by a generator over the parameter list, not a
+join) at every as-of date whose two-year span contains it and once more at no date. The latter
+row counts a group's rows at all, so comparing it with the count in the span restores the
+``ELSE 0`` rule, and it lists the groups, each of which gets a row per date.
 """
 
 from __future__ import annotations
@@ -33,11 +31,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.params import as_of_date
-from ..functions.periods import PERIODS, PeriodWindows
+from ..functions.params import apply_firm, as_of_date
+from ..functions.periods import PERIODS, PeriodWindows, iso_week_in_year
 from ..operators import gauges as G
 from ..operators.measures import Measure
+from ..operators.snapshots import AR_OVER_60, RISK_TOP_K, ar_aging_columns, risk_lists
+from ..operators.utilization import staffed_levels
 from ..sources.star import StarSchema
 
 GRAIN = ["member_firm_id", "service_line", "is_billable", "entry_date"]
@@ -71,54 +72,143 @@ def _windows_array(as_of_dates: Sequence[dt.date]):
 
 
 def series_sums(df: DataFrame, date_col: str, as_of_dates: Sequence[dt.date],
-                measures: Sequence[Measure]) -> DataFrame:
+                measures: Sequence[Measure], by: Sequence[str] = ()) -> DataFrame:
     """Conditional period sums of ``measures`` for every date in ``as_of_dates``.
 
-    One row per as-of date, equal to ``conditional_sums`` run once per date.
+    One row per as-of date (and group ``by``), equal to ``conditional_sums`` run once per date.
     The list is a parameter (its length is chosen by the caller, not the data).
     """
     dates = sorted(set(as_of_dates))
     d = F.col(date_col)
-    in_span = F.filter(_windows_array(dates), lambda s: (d >= s["span_lo"]) & (d <= s["as_of"]))
-    value_cols = sorted({m.value for m in measures})
-    placed = df.select(date_col, *value_cols, F.explode(in_span).alias("_w"))
+    inputs = {f"_v{i}": m for i, m in enumerate({(m.value, m.coalesce): m for m in measures}.values())}
+    name_of = {(m.value, m.coalesce): n for n, m in inputs.items()}
+    per_day = df.groupBy(*by, date_col).agg(F.count(F.lit(1)).alias("_rows"),
+                                            *[F.sum(m.value_col()).alias(n) for n, m in inputs.items()])
+    windows = _windows_array(dates)
+    in_span = F.filter(windows, lambda s: (d >= s["span_lo"]) & (d <= s["as_of"]))
+    nowhere = F.transform(F.slice(windows, 1, 1), lambda s: F.lit(None).cast(windows_type(dates)))
+    placed = per_day.select(*by, date_col, "_rows", *inputs,
+                            F.explode(F.concat(in_span, nowhere)).alias("_w"))
     cols = [F.sum(F.when(d.between(F.col(f"_w.{m.period}_lo"), F.col(f"_w.{m.period}_hi")),
-                         m.value_col()).otherwise(F.lit(0))).alias(m.name) for m in measures]
-    spanned = placed.groupBy(F.col("_w.as_of").alias("as_of")).agg(
-        F.count(F.lit(1)).alias("_in_span"), *cols)
-    total_rows = df.agg(F.count(F.lit(1))).scalar()
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(a,) for a in dates], "as_of date")
-    joined = grid.join(spanned, "as_of", "left")
-    outside = total_rows > F.coalesce(F.col("_in_span"), F.lit(0))
-    return joined.select("as_of", *[
+                         F.col(name_of[m.value, m.coalesce])).otherwise(F.lit(0))).alias(m.name)
+            for m in measures]
+    sums = placed.groupBy(*by, F.col("_w.as_of").alias("as_of")).agg(F.sum("_rows").alias("_rows"), *cols)
+    grid = F.explode(F.array(*[F.lit(a) for a in dates])).alias("as_of")
+    totals = sums.filter(F.col("as_of").isNull())
+    if by:
+        totals = totals.select(*by, F.col("_rows").alias("_all"))
+    else:  # without rows there is no total either, but still a row per date
+        totals = totals.agg(F.coalesce(F.max("_rows"), F.lit(0)).alias("_all"))
+    every = totals.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_all", grid)
+    same = reduce(lambda a, b: a & b,
+                  [every["as_of"] == sums["as_of"]]
+                  + [every[f"_by{i}"].eqNullSafe(sums[c]) for i, c in enumerate(by)])
+    joined = every.join(sums.filter(F.col("as_of").isNotNull()), same, "left")
+    outside = F.col("_all") > F.coalesce(F.col("_rows"), F.lit(0))
+    return joined.select(*[F.col(f"_by{i}").alias(c) for i, c in enumerate(by)], every["as_of"], *[
         F.when(outside, F.coalesce(F.col(m.name), F.lit(0))).otherwise(F.col(m.name))
         .alias(m.name) for m in measures])
 
 
+def windows_type(as_of_dates: Sequence[dt.date]) -> T.StructType:
+    """Type of one element of ``_windows_array``."""
+    names = ["as_of", "span_lo"] + [f"{p}_{end}" for p in PERIODS for end in ("lo", "hi")]
+    return T.StructType([T.StructField(n, T.DateType()) for n in names])
+
+
+def _per_firm(star: StarSchema, series: DataFrame, dates: Sequence[dt.date]) -> DataFrame:
+    """A row per listed firm and date; firms without rows get NULLs."""
+    from .all_firms import BY, listed_firms
+
+    grid = F.explode(F.array(*[F.lit(a) for a in sorted(set(dates))])).alias("as_of")
+    return listed_firms(star).select(*BY, grid).join(series, [*BY, "as_of"], "left")
+
+
 def time_gauges_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
-                       firm: str | None = None) -> DataFrame:
+                       firm: str | None = None, all_firms: bool = False) -> DataFrame:
     dates = [as_of_date(a) for a in as_of_dates]
-    return series_sums(G.billable_time(star, firm), "entry_date", dates, G.TIME_MEASURES)
+    by = ["member_firm_id"] if all_firms else []
+    out = series_sums(G.billable_time(star, firm), "entry_date", dates, G.TIME_MEASURES, by)
+    return _per_firm(star, out, dates) if all_firms else out
+
+
+def service_lines_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
+                         firm: str | None = None) -> DataFrame:
+    """``gauges.service_lines`` for every date: as_of, service_line and its measures."""
+    dates = [as_of_date(a) for a in as_of_dates]
+    return series_sums(G.billable_time(star, firm), "entry_date", dates,
+                       G.SERVICE_LINE_MEASURES, ["service_line"])
 
 
 def measures_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
-                    firm: str | None = None) -> DataFrame:
-    """The 28 gauge sums of time, invoice and cash facts, one row per as-of date.
+                    firm: str | None = None, all_firms: bool = False) -> DataFrame:
+    """The 28 gauge sums of time, invoice and cash facts, one row per as-of date (and firm).
 
     Each table gets one ``series_sums`` aggregate; the per-date rows are stacked
     and merged with ``max`` per column (one non-NULL value each), as in
     ``report.scorecard_measures``. Feed it to ``report.perf_table(..., by=["as_of"])``
     for a performance table per date (a weekly trend in one pass).
     """
-    from ..functions.params import apply_firm
-
     dates = [as_of_date(a) for a in as_of_dates]
-    parts = [series_sums(G.billable_time(star, firm), "entry_date", dates, G.TIME_MEASURES),
+    by = ["member_firm_id"] if all_firms else []
+    parts = [series_sums(G.billable_time(star, firm), "entry_date", dates, G.TIME_MEASURES, by),
              series_sums(apply_firm(star.fct_invoice, firm), "invoice_date", dates,
-                         G.INVOICE_MEASURES),
+                         G.INVOICE_MEASURES, by),
              series_sums(apply_firm(star.fct_cash_receipt, firm), "receipt_date", dates,
-                         G.CASH_MEASURES)]
-    names = [c for p in parts for c in p.columns if c != "as_of"]
+                         G.CASH_MEASURES, by)]
+    keys = [*by, "as_of"]
+    names = [c for p in parts for c in p.columns if c not in keys]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return stacked.groupBy("as_of").agg(*[F.max(c).alias(c) for c in names])
+    out = stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in names])
+    return _per_firm(star, out, dates) if all_firms else out
+
+
+def utilization_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
+                       firm: str | None = None) -> DataFrame:
+    """``utilization`` for every date: hours per person and day, placed at the dates whose
+    week has that day, then per level."""
+    dates = sorted({as_of_date(a) for a in as_of_dates})
+    weeks = F.array(*[F.struct(F.lit(a).alias("as_of"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+                      for a in dates for lo, hi in iso_week_in_year(a)])
+    day = F.col("entry_date")
+    per_day = (G.billable_time(star, firm).groupBy("person_key", "entry_date")
+               .agg(F.sum("hours").alias("hours"), F.sum("production_amount").alias("tvp")))
+    placed = per_day.select("person_key", "hours", "tvp",
+                            F.explode(F.filter(weeks, lambda w: (day >= w["lo"]) & (day <= w["hi"]))).alias("_w"))
+    people = (placed.groupBy("person_key", F.col("_w.as_of").alias("as_of"))
+              .agg(F.sum("hours").alias("hours"), F.sum("tvp").alias("tvp")))
+    return (people.join(staffed_levels(star), "person_key")
+            .groupBy("as_of", "staff_level", "staff_level_index")
+            .agg(F.countDistinct("person_key").alias("headcount"),
+                 F.sum("hours").alias("total_hours"), F.sum("tvp").alias("total_tvp")))
+
+
+def _newest_reports(snapshot: DataFrame, dates: Sequence[dt.date]) -> DataFrame:
+    """as_of and the newest report date on or before it (NULL without one), in one aggregate."""
+    cols = [F.max(F.when(F.col("report_date") <= F.lit(a), F.col("report_date"))).alias(f"_d{i}")
+            for i, a in enumerate(dates)]
+    pairs = F.array(*[F.struct(F.lit(a).alias("as_of"), F.col(f"_d{i}").alias("report_date"))
+                      for i, a in enumerate(dates)])
+    return snapshot.agg(*cols).select(F.explode(pairs).alias("_p")).select("_p.*")
+
+
+def ar_aging_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
+                    firm: str | None = None) -> DataFrame:
+    """``ar_aging`` for every date, each with its own newest snapshot."""
+    dates = sorted({as_of_date(a) for a in as_of_dates})
+    newest = _newest_reports(star.fct_ar_aging_snapshot, dates)
+    panels = (apply_firm(star.fct_ar_aging_snapshot, firm).groupBy("report_date")
+              .agg(*ar_aging_columns()))
+    return newest.join(panels, "report_date", "left").drop("report_date")
+
+
+def ar_risk_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
+                   firm: str | None = None, top: int = RISK_TOP_K) -> DataFrame:
+    """``ar_risk`` for every date: the top clients of its newest snapshot."""
+    dates = sorted({as_of_date(a) for a in as_of_dates})
+    newest = _newest_reports(star.fct_ar_aging_snapshot, dates)
+    # only the report dates that are asked for
+    wanted = apply_firm(star.fct_ar_aging_snapshot, firm).join(
+        newest.select("report_date").distinct(), "report_date", "left_semi")
+    lists = risk_lists(wanted, star.dim_client, AR_OVER_60, "ar_amount", top, ["report_date"])
+    return newest.join(lists, "report_date").drop("report_date")

@@ -157,3 +157,17 @@ def risk_total(kind: str, as_of: str) -> str:
                        f"GROUP BY member_firm_id)"])
             + "SELECT f.member_firm_id, COALESCE(g.items, 0) AS items, "
               "COALESCE(g.total, 0.0) AS total FROM f LEFT JOIN g USING (member_firm_id)")
+
+
+def time_gauges_series(dates: list[str]) -> str:
+    parts = [f"SELECT '{d}' AS as_of, * FROM f LEFT JOIN ({_tg(d)}) USING (member_firm_id)" for d in dates]
+    return with_star(["fct_time_entry"], [FIRMS_CTE]) + " UNION ALL ".join(parts)
+
+
+def perf_table_series(dates: list[str]) -> str:
+    ctes = [FIRMS_CTE]
+    for i, d in enumerate(dates):
+        ctes += [f"m{i} AS (SELECT '{d}' AS as_of, * FROM f LEFT JOIN ({_tg(d)}) USING (member_firm_id) "
+                 f"LEFT JOIN ({_ig(d)}) USING (member_firm_id) LEFT JOIN ({_cg(d)}) USING (member_firm_id))"]
+    ctes.append("m AS (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(len(dates))) + ")")
+    return with_star(_STARS, ctes) + RS.perf_select("m", ["member_firm_id", "as_of"])
