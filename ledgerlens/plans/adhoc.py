@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.star import StarSchema
 
-# Preview sizes (fixed values): rows kept, rows shown.
+# Rows of a preview (fixed value).
 PREVIEW_ROWS = 200
-SHOWN_ROWS = 50
 
 
 def adhoc(spark: SparkSession, sql: str, args: dict[str, Any] | None = None,

@@ -268,3 +268,20 @@ def test_all_firms_scorecard_panels_equal_standalone_queries(spark):
     for name, df in standalone.items():
         got = sorted(map(str, normalize(panels[name]).collect()))
         assert got == sorted(map(str, normalize(df).collect())), name
+
+
+def test_nan_is_not_a_number(spark):
+    from ledgerlens.functions.compare import null_to_zero
+
+    df = spark.createDataFrame([(float("nan"), 1.0), (2.0, float("nan")), (None, None)], "a double, b double")
+    got = [tuple(r) for r in df.select(null_to_zero("a"), pct_change("a", "b"), status(pct_change("a", "b"))).collect()]
+    assert got[0][0] == 0.0 and got[0][2] == "N/A"
+    assert got[1] == (2.0, None, "N/A") and got[2] == (0.0, None, "N/A")
+
+
+def test_page_date_is_the_reporting_friday():
+    from ledgerlens.functions.params import page_date
+
+    assert page_date(None, dt.datetime(2000, 6, 16, 16, 59)) == dt.date(2000, 6, 9)
+    assert page_date("", dt.datetime(2000, 6, 16, 17, 0)) == dt.date(2000, 6, 16)
+    assert page_date("2000-06-14") == dt.date(2000, 6, 14)
