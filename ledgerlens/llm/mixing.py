@@ -89,7 +89,7 @@ def schedule(docs: DataFrame, **rule) -> DataFrame:
         a = F.col("slope")
         u = (F.col("before") + F.col("source_size") * k) / F.col("target")
         root = F.sqrt((1 - a) * (1 - a) + 4 * a * u)
-        return F.when(in_pass(k) > 0, 2 * u / ((1 - a) + root))
+        return F.when(in_pass(k) > 0, F.when(u > 0, 2 * u / ((1 - a) + root)).otherwise(F.lit(0.0)))
 
     taken = in_pass(0)
     for k in range(1, max_passes):
