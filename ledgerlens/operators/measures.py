@@ -18,7 +18,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,40 +63,23 @@ def conditional_sums(df: DataFrame, date_col: str, windows: PeriodWindows,
                      prune: bool = False, profile: DataFrame | None = None) -> DataFrame:
     """Aggregate ``measures`` over ``df``, globally or grouped ``by``.
 
-    ``prune=True`` sums only the rows between Jan 1 of the prior year and the
+    ``prune=True`` reads the measures only between Jan 1 of the prior year and the
     as-of date, the span of all six periods, so a date-clustered fact table is
     read for two years instead of its whole history. Rows outside the span only
-    add ``ELSE 0`` terms, whose one visible effect is turning a NULL sum into 0
-    (and, when grouped, giving a group without span rows its row of zeros). What
-    lies outside is read from ``profile`` (a date profile of the same rows, see
-    ``StarSchema.materialize``) if it has the group keys; without one, from the fact
-    table's key columns, which touches every split of the history:
-
-    * global: an uncorrelated EXISTS subquery restores the zeros;
-    * grouped: the distinct keys outside the span are full-outer-joined to the
-      span aggregate with null-safe key equality.
+    add ``ELSE 0`` terms: they turn a NULL sum into 0, or give a group without span
+    rows its row of zeros. So their dates and group keys alone are appended to the span's rows
+    before the one aggregate. They come from ``profile`` (a date profile of the same rows, see
+    ``StarSchema.materialize``) if it has the group keys, else from the key columns of the facts.
     """
+    if prune:
+        lo, hi = windows.span()
+        values = sorted({m.value for m in measures})
+        history = profile if profile is not None and set(by) <= set(profile.columns) else df
+        keys = list(dict.fromkeys([*by, date_col]))
+        df = (df.filter(in_range(date_col, lo, hi)).select(*keys, *values)
+              .unionByName(outside_rows(history, date_col, lo, hi).select(*keys), allowMissingColumns=True))
     cols = measure_columns(date_col, windows, measures)
-    if not prune:
-        return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
-    lo, hi = windows.span()
-    names = [m.name for m in measures]
-    span_rows = df.filter(in_range(date_col, lo, hi))
-    history = profile if profile is not None and set(by) <= set(profile.columns) else df
-    if not by:
-        return restore_zero_sums(span_rows.agg(*cols), names, outside_span(history, date_col, lo, hi))
-    spanned = span_rows.groupBy(*by).agg(*cols)
-    keys = [f"_key{i}" for i in range(len(by))]
-    outside_keys = (outside_rows(history, date_col, lo, hi)
-                    .select(*[F.col(k).alias(a) for k, a in zip(by, keys)]).distinct()
-                    .withColumn("_outside", F.lit(True)))
-    cond = reduce(lambda a, b: a & b,
-                  [spanned[k].eqNullSafe(outside_keys[a]) for k, a in zip(by, keys)])
-    joined = spanned.join(outside_keys, cond, "full")
-    return joined.select(
-        *[F.coalesce(spanned[k], outside_keys[a]).alias(k) for k, a in zip(by, keys)],
-        *[F.when(F.col("_outside"), F.coalesce(spanned[n], F.lit(0))).otherwise(spanned[n])
-          .alias(n) for n in names])
+    return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
 
 
 def outside_rows(df: DataFrame, date_col: str, lo: dt.date, hi: dt.date) -> DataFrame:
@@ -105,21 +87,3 @@ def outside_rows(df: DataFrame, date_col: str, lo: dt.date, hi: dt.date) -> Data
     disjunction of plain comparisons so it is pushed to the scan."""
     d = F.col(date_col)
     return df.filter((d < F.lit(lo)) | (d > F.lit(hi)) | d.isNull())
-
-
-def outside_span(df: DataFrame, date_col: str, lo: dt.date, hi: dt.date) -> Column:
-    """EXISTS a row outside [lo, hi], as an uncorrelated subquery. Spark takes the limit per
-    split, so this is meant for a small date profile, not for a fact table of many splits."""
-    return outside_rows(df, date_col, lo, hi).exists()
-
-
-def restore_zero_sums(spanned: DataFrame, names: Sequence[str], outside: Column) -> DataFrame:
-    """Turn NULL sums into 0 when rows outside the span exist.
-
-    The flag is projected once; the columns then read it (one subquery per
-    query, not one per column).
-    """
-    flagged = spanned.select("*", outside.alias("_outside"))
-    return flagged.select([
-        F.when(F.col("_outside"), F.coalesce(F.col(n), F.lit(0))).otherwise(F.col(n)).alias(n)
-        for n in names])
