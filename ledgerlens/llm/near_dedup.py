@@ -9,10 +9,13 @@
    pairs, so only those are posted. Skip: pairs that no other signature has are left out,
    and the frequent lists at the end of the order are never merged but looked up in the signatures, which
    the postings carry (one byte a coordinate).
-3. Each list compares its members with its first one: collisions are counted over all coordinates, and
-   document pairs that reach ``MATCHES`` are confirmed on their full sets. Then lists whose members are not
-   all in one component yet compare all members of different components. So no link between components is
-   lost, and a list of g copies costs g comparisons instead of g^2.
+3. Each list first compares its members with its leader only, the member that agrees most with the commonest
+   value of each coordinate, which is the text that copies stem from: collisions are counted over all
+   coordinates, and document pairs that reach ``MATCHES`` are confirmed on their full sets. Then lists whose
+   members are still in several components compare all members of different ones, and return a forest of
+   components that may be linked. In each such cluster, members outside the largest component are held
+   against all its members by exact intersection counts. So no link between components is lost, a list of
+   g copies costs about g comparisons, and pairs that turn out to be no links never leave their task.
 4. Confirmed links and their components decide.
 
 Skew: frequencies come from ``exchange`` (one entry per chunk and pair); a frequent list is a skewed join key in
@@ -41,6 +44,7 @@ SHINGLE = 5
 COORDINATES = 128
 MATCHES = 80
 TILE = 4096
+BLOCK = 1024
 SET_BYTES = 6
 REMAINDER = 40
 _SLOPES = np.random.default_rng(7).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,49 +178,71 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COORDINATES)
 
 
-def first_pairs(posted: DataFrame, id_type: str) -> DataFrame:
-    """Pairs of each list's first member with its others that agree in MATCHES coordinates."""
-    firsts = posted.groupBy("token").agg(F.min(F.struct("doc", "coarse")).alias("first"), F.count(F.lit(1)).alias("size"))
-    firsts = materialize(firsts.where("size > 1").select(F.col("token").alias("t"), F.col("first.doc").alias("b"), F.col("first.coarse").alias("other")), "firsts")
-    met = posted.join(firsts, F.col("token") == F.col("t")).where("doc <> b").select(F.col("doc").alias("a"), "b", "coarse", "other")
+def _leader(coarse: np.ndarray) -> int:
+    """The member that agrees most with the commonest value of each coordinate: the text that copies stem from."""
+    if len(coarse) <= 2:
+        return 0
+    if len(coarse) <= 16:
+        return int((coarse[:, None] == coarse[None]).sum(axis=(1, 2)).argmax())
+    cells = coarse.astype(np.int64) + np.arange(COORDINATES) * 256
+    common = np.bincount(cells.ravel(), minlength=256 * COORDINATES).reshape(COORDINATES, 256).argmax(axis=1)
+    return int((coarse == common).sum(axis=1).argmax())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                same = (_matrix(batch.column("coarse")) == _matrix(batch.column("other"))).sum(axis=1) >= MATCHES
-                yield batch.select(["a", "b"]).filter(pa.array(same))
 
-    return met.mapInArrow(count, f"a {id_type}, b {id_type}").distinct()
+def _with_leader(component: np.ndarray, coarse: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the leader of one list with the members of other components that agree in MATCHES coordinates.
+
+    The leader is one of the members outside the largest component (all of them, at first)."""
+    _, place, sizes = np.unique(component, return_inverse=True, return_counts=True)
+    free = np.flatnonzero(place != sizes.argmax()) if sizes.max() > 1 else np.arange(len(doc))
+    leader = free[_leader(coarse[free])]
+    others = np.flatnonzero(place != place[leader])
+    hit = others[(coarse[others] == coarse[leader]).sum(axis=1) >= MATCHES]
+    return [(doc[hit], np.full(len(hit), doc[leader]))] if len(hit) else []
 
 
-def _between(component: np.ndarray, coarse: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list whose components differ and that agree in MATCHES coordinates."""
-    out = []
+def _candidate_forest(component: np.ndarray, coarse: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which components of one list may be linked: a forest over those with members that agree in MATCHES coordinates."""
     names, place, sizes = np.unique(component, return_inverse=True, return_counts=True)
+    root = np.arange(len(names))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     largest = sizes.argmax()
-    # each member outside the largest component against all members of other components
+    # members outside the largest component against all members of other components
     for i in np.flatnonzero(place != largest):
         others = np.flatnonzero((place != place[i]) & ((place == largest) | (np.arange(len(place)) > i)))
-        hit = others[(coarse[others] == coarse[i]).sum(axis=1) >= MATCHES]
-        if len(hit):
-            out.append((np.full(len(hit), doc[i]), doc[hit]))
-    return out
-
-
-def further_pairs(posted: DataFrame, found: DataFrame, id_type: str) -> DataFrame:
-    """Pairs of different components, from the lists that are not one component yet."""
-    named = (posted.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-             .withColumn("component", F.coalesce("component", "doc")))
-    named = materialize(named, "named-postings")
+        for other in np.unique(place[others[(coarse[others] == coarse[i]).sum(axis=1) >= MATCHES]]):
+            x, y = top(place[i]), top(other)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    tops = np.array([top(x) for x in range(len(names))])
+    moved = tops != np.arange(len(names))
+    return [(names[moved], names[tops[moved]])] if moved.any() else []
+
+
+def compare_lists(named: DataFrame, id_type: str, every: bool) -> DataFrame:
+    """Candidates from the lists that are not one component yet.
+
+    Each list, or each block of a frequent one, compares its members with its leader: pairs of documents. With
+    ``every`` it compares all members of different components, a frequent list in tiles of pairs of
+    blocks: pairs of components that may be linked, at most one per component and list.
+    """
     mixed = (named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
              .where("lo <> hi").select(F.col("token").alias("t"), "size"))
     mixed = materialize(mixed, "mixed-lists")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("doc"), tiles).cast("int")
-    rows = (named.join(mixed, F.col("token") == F.col("t"))
-            .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    rows = named.join(mixed, F.col("token") == F.col("t")).withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), tiles - 1)) if every else F.col("own")
+    rows = (rows.withColumn("other", other)
             .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "component", "coarse"))
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "component")
+    pairs_of = _candidate_forest if every else _with_leader
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -226,14 +252,18 @@ def further_pairs(posted: DataFrame, found: DataFrame, id_type: str) -> DataFram
             cuts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])
             component, doc = table.column("component").to_numpy(), table.column("doc").to_numpy()
             coarse = _matrix(table.column("coarse").combine_chunks())
-            pairs = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            # most lists have two members: all at once
+            two = cuts[:-1][(np.diff(cuts) == 2)]
+            near = two[(component[two] != component[two + 1]) & ((coarse[two] == coarse[two + 1]).sum(axis=1) >= MATCHES)]
+            name = component if every else doc
+            pairs = [(name[near], name[near + 1])]
+            longer = np.flatnonzero(np.diff(cuts) > 2)
+            for lo, hi in zip(cuts[longer].tolist(), cuts[longer + 1].tolist(), strict=True):
                 if component[lo] != component[hi - 1]:
-                    pairs += _between(component[lo:hi], coarse[lo:hi], doc[lo:hi])
-            if pairs:
-                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                keep = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1])], names=["a", "b"])
+                    pairs += pairs_of(component[lo:hi], coarse[lo:hi], doc[lo:hi])
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            keep = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -251,10 +281,8 @@ def further_pairs(posted: DataFrame, found: DataFrame, id_type: str) -> DataFram
     return dealt.mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, id_type: str) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def set_members(docs: DataFrame, wanted: DataFrame, width: int, id_type: str) -> DataFrame:
+    """id, members (sorted shingle hashes, SET_BYTES each) of the wanted documents."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -268,21 +296,26 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, id_type
                 names=["id", "members"])
 
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    members = materialize(texts.mapInArrow(sets, f"id {id_type}, members binary"), "members", "none")
+    return materialize(texts.mapInArrow(sets, f"id {id_type}, members binary"), "members", "none")
+
+
+def _wide(data: bytes) -> np.ndarray:
+    n = len(data) // SET_BYTES
+    x = np.zeros((n, 8), np.uint8)
+    x[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(n, SET_BYTES)
+    return x.view("<u8").ravel()
+
+
+def confirm(pairs: DataFrame, members: DataFrame, percent: int, id_type: str) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
     both = (pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("left")), "a")
             .join(members.select(F.col("id").alias("b"), F.col("members").alias("right")), "b").select("a", "b", "left", "right"))
 
-    def wide(data: bytes) -> np.ndarray:
-        n = len(data) // SET_BYTES
-        x = np.zeros((n, 8), np.uint8)
-        x[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(n, SET_BYTES)
-        return x.view("<u8").ravel()
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             real = []
             for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = wide(x.as_py()), wide(y.as_py())
+                x, y = _wide(x.as_py()), _wide(y.as_py())
                 merged = np.sort(np.concatenate([x, y]), kind="stable")
                 same = int((merged[1:] == merged[:-1]).sum())
                 real.append(100 * same >= percent * (len(x) + len(y) - same))
@@ -291,6 +324,73 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, id_type
     return materialize(both.mapInArrow(check, f"a {id_type}, b {id_type}").distinct(), "confirmed-links")
 
 
+def links_within(named: DataFrame, clusters: DataFrame, members: DataFrame, percent: int, id_type: str) -> DataFrame:
+    """All links between different components of a cluster of components, by exact intersection counts.
+
+    Members outside a cluster's largest component are held against all its members, in tiles of
+    ``BLOCK`` x ``BLOCK`` documents; a tile returns links, never its pairs.
+    """
+    inside = materialize(named.select("doc", "component").distinct()
+                         .join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"), "clustered")
+    sizes = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    facts = materialize(sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
+                                                     (F.sum("n") - F.max("n")).alias("free"), F.sum("n").alias("all")), "clusters")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    spread = lambda c: F.sequence(F.lit(0), F.greatest(blocks(c), F.lit(1)) - 1)
+    own = lambda c: F.pmod(F.xxhash64("doc"), F.greatest(blocks(c), F.lit(1))).cast("int")
+    rows = inside.join(facts, "cluster")
+    right = rows.select("cluster", "doc", "component", own("all").alias("j"), F.explode(spread("free")).alias("i"), F.lit(1).alias("side"))
+    left = (rows.where("component <> largest")
+            .select("cluster", "doc", "component", own("free").alias("i"), F.explode(spread("all")).alias("j"), F.lit(0).alias("side")))
+    dealt = (left.unionByName(right).join(members.select(F.col("id").alias("doc"), "members"), "doc"))
+
+    def check(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        doc, component = table.column("doc").to_numpy(), table.column("component").to_numpy()
+        raw = table.column("members").to_pylist()
+        lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        pairs: list[tuple] = []
+        if len(lefts) and len(rights):
+            sets = [_wide(raw[k]) for k in rights]
+            size = np.array([len(x) for x in sets])
+            values = np.concatenate(sets)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(rights)), size)[order]
+            for k in lefts:
+                mine = _wide(raw[k])
+                lo, hi = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
+                n = hi - lo
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
+                same = np.bincount(owner[at], minlength=len(rights))
+                hit = np.flatnonzero((100 * same >= percent * (len(mine) + size - same)) & (component[rights] != component[k]))
+                pairs += [(max(doc[k], d), min(doc[k], d)) for d in doc[rights[hit]]]
+        a, b = zip(*set(pairs), strict=True) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.from_numpy_dtype(doc.dtype)), "b": pa.array(b, pa.from_numpy_dtype(doc.dtype))})
+
+    return materialize(dealt.groupBy("cluster", "i", "j").applyInArrow(check, f"a {id_type}, b {id_type}").distinct(), "cluster-links")
+
+
+def near_links(docs: DataFrame, posted: DataFrame, width: int, percent: int, id_type: str) -> DataFrame:
+    """node, component over all confirmed links: first links to leaders, then what they leave apart."""
+    named = posted.withColumn("component", F.col("doc"))
+    pairs = materialize(compare_lists(named, id_type, False), "pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    members = set_members(docs, wanted, width, id_type)
+    links = confirm(pairs, members, percent, id_type)
+    found = materialize(components(links), "components")
+
+    named = materialize(posted.join(found.withColumnRenamed("node", "doc"), "doc", "left")
+                        .withColumn("component", F.coalesce("component", "doc")), "named-postings")
+    clusters = materialize(components(compare_lists(named, id_type, True)), "candidate-clusters")
+    if clusters.isEmpty():
+        return found
+    inside = named.select("doc", "component").distinct().join(clusters.select(F.col("node").alias("component")), "component", "left_semi")
+    more = materialize(inside.select(F.col("doc").alias("id")).join(members.select("id"), "id", "left_anti"), "wanted")
+    members = members.unionByName(set_members(docs, more, width, id_type))
+    late = links_within(named, clusters, members, percent, id_type)
+    return found if late.isEmpty() else materialize(components(links.unionByName(late)), "components")
+
+
 def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -300,10 +400,7 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> Data
     reps = (linked.join(equal, (F.col("doc_id") == F.col("rep")) & (linked["digest"] == equal["digest"]))
             .dropDuplicates(["rep", "signature"]).select(F.col("rep").alias("doc"), "signature"))
     posted = postings(reps, id_type)
-    one = confirm(docs, first_pairs(posted, id_type), width, percent, id_type)
-    found = materialize(components(one), "components")
-    two = confirm(docs, further_pairs(posted, found, id_type), width, percent, id_type)
-    final = materialize(components(one.unionByName(two)), "components")
+    final = near_links(docs, posted, width, percent, id_type)
     members = (linked.join(equal, "digest").select("doc_id", "n_shingles", "rep")
                .join(final.withColumnRenamed("node", "rep"), "rep", "left")
                .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
@@ -314,5 +411,5 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> Data
 def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group of near-duplicates, unchanged."""
     gone = (near_dedup(docs, width, percent).where("doc_id IS NOT NULL")
-            .groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__id")))
-    return docs.join(materialize(gone, "near-copies"), F.col("doc_id") == F.col("__id"), "left_anti")
+            .groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__gone")))
+    return docs.join(materialize(gone, "near-copies"), docs["doc_id"] == F.col("__gone"), "left_anti")
