@@ -57,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                rows_per_block: int = 100_000) -> DataFrame:
+                rows_per_block: int = 4_000) -> DataFrame:
     """Add ``out``: the sum of ``value`` over earlier rows of the same ``keys`` in ``order``.
 
     Two levels, so that a key with a third of all rows is not one task: the rows of a key are
