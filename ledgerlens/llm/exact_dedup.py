@@ -130,8 +130,9 @@ def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     id_type = digests.schema["doc_id"].dataType.simpleString()
     probed = materialize(digests.mapInArrow(probe, f"doc_id {id_type}, text_sha256 string, maybe boolean"), "probed")
     maybe = probed.where("maybe").drop("maybe")
-    groups = (maybe.groupBy("text_sha256")
-              .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    # a table of its own, so that both sides of the join are plain exchanges and a hot key can be split
+    groups = materialize(maybe.groupBy("text_sha256")
+                         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     repeated = maybe.join(groups, "text_sha256")
     alone = (probed.where("NOT maybe")
              .select("text_sha256", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
@@ -147,15 +148,15 @@ def unique(docs: DataFrame, **bounds) -> DataFrame:
     text are reduced to one.
     """
     found = materialize(exact_dedup(docs, **bounds).where("group_size > 1"), "equal-texts")
-    pair = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
+    pair = [F.col("doc_id").alias("__equal_id"), F.col("text_sha256").alias("__equal_sha")]
     gone = found.where("NOT kept").select(*pair).distinct()
-    twice = materialize(found.where("kept").select(*pair).groupBy("__id", "__sha").count().where("count > 1").drop("count"), "repeated-rows")
-    here = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
-    left = docs.withColumn("__digest", text_digest()).join(gone, here, "left_anti")
+    twice = materialize(found.where("kept").select(*pair).groupBy("__equal_id", "__equal_sha").count().where("count > 1").drop("count"), "repeated-rows")
+    here = F.col("doc_id").eqNullSafe(F.col("__equal_id")) & (F.col("__equal_digest") == F.col("__equal_sha"))
+    left = docs.withColumn("__equal_digest", text_digest()).join(gone, here, "left_anti")
     if twice.isEmpty():
-        return left.drop("__digest")
-    one = left.join(twice, here, "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return left.join(twice, here, "left_anti").unionByName(one).drop("__digest")
+        return left.drop("__equal_digest")
+    one = left.join(twice, here, "left_semi").dropDuplicates(["doc_id", "__equal_digest"])
+    return left.join(twice, here, "left_anti").unionByName(one).drop("__equal_digest")
 
 
 ORACLE_SQL = r"""
