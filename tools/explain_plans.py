@@ -64,10 +64,10 @@ def main(argv):
         shared_path(spark, f"plans-{uuid.uuid4().hex[:8]}"))
     rollup = RU.with_time_rollup(star)
     queries = {
-        "time_gauges (span-pruned, one EXISTS probe)": G.time_gauges(star, AS_OF, "NATION_3"),
+        "time_gauges (span-pruned by the date profile)": G.time_gauges(star, AS_OF, "NATION_3"),
         "time_gauges, prune=False": G.time_gauges(star, AS_OF, prune=False),
         "service_lines": G.service_lines(star, AS_OF),
-        "service_lines, prune=True (span aggregate + distinct history keys)":
+        "service_lines, prune=True (key columns of the history in the same aggregate)":
             G.service_lines(star, AS_OF, prune=True),
         "utilization": U.utilization(star, AS_OF),
         "ar_aging": SN.ar_aging(star, AS_OF),
