@@ -1,21 +1,25 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Counts come from all training documents:
-
-1. word counts, exact: each chunk of documents sends its distinct words (64-bit hashes) with their training counts
-   to hash buckets, which add them up and answer every chunk (``exchange``); the base score and the
-   number of known words follow from the answers.
-2. Words with at least ``word_share`` of all training tokens are symbols of their own, at most
-   ``1 / word_share`` of them; all other words share the symbol OTHER, inside which a word has its
-   smoothed unigram probability. Documents are written once more as symbol numbers.
-3. For each depth, contexts with at least ``word_share`` of all tokens are candidates, and continuations
-   with at least ``pair_share`` of all tokens are counted exactly in hash buckets. At
-   most ``1 / pair_share`` of them can exist, so the tree is bounded whatever the corpus.
-4. A context is retained if the divergence (Kullback-Leibler, in nats) of its next-symbol distribution from the
+Counts come from all training documents and stay in tables that are hash-partitioned; nothing that grows with the
+corpus is collected or broadcast. Each chunk of documents asks hash buckets and gets answers in order (``exchange``):
+
+1. Words: each chunk sends its distinct words (64-bit hashes) with their training counts; the answers are
+   the counts over all chunks and the words' vocabulary numbers (place in the bucket; buckets are numbered on).
+   They give the base score, the number of known words, and the probability without context.
+2. For each depth, a context is a run of that many words that training documents hold at least
+   ``min_count`` times, known from the answers of the depth before. A chunk sends the distinct pairs of such
+   a context and the word (or end) after it, with their training counts and the probability that the longest
+   retained suffix of the context gives. The buckets, by context, add up the counts and test the context.
+   Every continuation counts, also one seen once.
+3. A context is retained if the divergence (Kullback-Leibler, in nats) of its next-word distribution from the
    one of its longest retained suffix is at least ``min_divergence``. Its distribution is smoothed
-   towards that suffix's; continuations it does not list get the suffix's probabilities, scaled to sum to 1.
-5. Scoring walks the symbols of a text; each is predicted by its longest retained suffix. The
-   tree (at most ``(1 / word_share + 1 / pair_share) * depth`` entries of 16 bytes) is broadcast.
+   towards that suffix's: ``(count + smoothing * suffix) / (context count + smoothing)``, which sums to 1.
+   The answers are the counts of the pairs and the result of the test.
+4. Scoring reads all answers of a chunk; each word is predicted by its longest retained suffix.
+
+Skew: a pair is one entry per chunk. A context with more training occurrences than the average bucket is
+dealt to several buckets by its next words; their parts of the divergence (at most two per bucket) are added up on the
+driver, which tells the chunks which of these contexts fail.
 
 Defined cases: a null or empty text is the end token alone; without training documents nothing is known
 and the end token has probability 1 in the base; null ids take the fold of the empty text; repeated
@@ -30,29 +34,28 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import exchange as X
 from ledgerlens.llm.shared import materialize
-from ledgerlens.llm.words import words
+from ledgerlens.llm.words import mix, words
 
 FOLDS = 10
-WORD_SHARE = 2e-5
-PAIR_SHARE = 1e-6
+MIN_COUNT = 2
 DEPTH = 3
 MIN_DIVERGENCE = 0.01
 SMOOTHING = 10.0
 ADD = 0.1  # fixed by the contract's base score
 CHUNK_BYTES = 8 << 20
-HELD_ENTRIES = 2 << 20
 
-OTHER, END, FIRST = 0, 1, 2  # symbols; words follow
 END_HASH = np.uint64(0x5BD1E9955BD1E995)
+NUMBER = np.uint64(32)  # bits of a vocabulary number beside a local context number
 
 COUNTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("answer", pa.binary()),
-                    ("tokens", pa.int64()), ("distinct", pa.int64())])
-COUNTS_SQL = "bucket int, chunk long, answer binary, tokens long, distinct long"
+                    ("tokens", pa.int64()), ("known", pa.int64()), ("size", pa.int64())])
+COUNTS_SQL = "bucket int, chunk long, answer binary, tokens long, known long, size long"
 
 
 def in_training(ids: list, folds: int) -> np.ndarray:
@@ -71,13 +74,25 @@ def _tokens(batch: pa.RecordBatch, folds: int):
     return keys, place[:len(w.starts)], place[len(w.starts):], counts, w.first, train
 
 
+def _zip(*parts: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+
+
+def _unzip(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return np.uint32(len(keys)).tobytes() + keys.astype("<u8").tobytes() + counts.astype("<i8").tobytes()
+    return _zip(keys.astype("<u8"), counts.astype("<i8"))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
-    return np.frombuffer(data, "<u8", n, 4), np.frombuffer(data, "<i8", n, 4 + 8 * n)
+    raw = np.frombuffer(_unzip(data), "<u8")
+    return raw[:len(raw) // 2], raw[len(raw) // 2:].view("<i8")
 
 
 def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]):
@@ -87,11 +102,10 @@ def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]):
     return keys, sums, place
 
 
-def word_counts(chunked: DataFrame, bits: int, folds: int, share: float) -> DataFrame:
-    """Answers per chunk and bucket: training count of each of the chunk's distinct tokens.
+def word_counts(chunked: DataFrame, bits: int, folds: int) -> DataFrame:
+    """Answers per chunk and bucket: training count and place in the bucket of each of the chunk's distinct tokens.
 
-    One more row per bucket (chunk -1) has its number of training tokens and known words, and
-    its words that may reach ``share``.
+    One more row per bucket (chunk -1) has its number of training tokens, known words and words.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,80 +117,255 @@ def word_counts(chunked: DataFrame, bits: int, folds: int, share: float) -> Data
     def group(table: pa.Table) -> pa.Table:
         parts = [_unpack(e) for e in table.column("entries").to_pylist()]
         keys, sums, place = _add_up(parts)
-        answers = [x.astype("<i8").tobytes() for x in np.split(sums[place], np.cumsum([len(k) for k, _ in parts])[:-1])]
-        often = (sums > 0) & (sums >= share * sums.sum())
-        bucket = table.column("bucket")[0].as_py()
+        answers = [_zip(sums[x].astype("<i8"), x.astype("<i8")) for x in np.split(place, np.cumsum([len(k) for k, _ in parts])[:-1])]
+        bucket, none = table.column("bucket")[0].as_py(), [0] * len(parts)
         return pa.table({"bucket": [bucket] * (len(parts) + 1), "chunk": [*table.column("chunk").to_pylist(), -1],
-                         "answer": [*answers, _pack(keys[often], sums[often])],
-                         "tokens": [0] * len(parts) + [int(sums.sum())], "distinct": [0] * len(parts) + [int((sums > 0).sum())]},
-                        schema=COUNTS)
+                         "answer": [*answers, None], "tokens": [*none, int(sums.sum())],
+                         "known": [*none, int((sums > 0).sum())], "size": [*none, len(keys)]}, schema=COUNTS)
 
     return chunked.select("chunk", "payload").mapInArrow(ask, X.ASKED_SQL).groupBy("bucket").applyInArrow(group, COUNTS_SQL)
 
 
-def frequent(counts: DataFrame, share: float) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Training tokens, known words, and the hashes and counts of the words with ``share`` of the tokens."""
-    stats = counts.where("chunk = -1")
-    total = stats.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    least = max(1.0, share * total[0])
+@dataclass
+class Rules:
+    """What chunks and buckets need besides answers; a few numbers per bucket."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                keys, n = _unpack(data)
-                yield pa.RecordBatch.from_pydict({"entries": [_pack(keys[n >= least], n[n >= least])]}, pa.schema([("entries", pa.binary())]))
+    folds: int
+    bits: int            # of the buckets of pairs
+    numbers: np.ndarray  # first vocabulary number of each bucket of words
+    tokens: int
+    known: int
+    min_count: int
+    min_divergence: float
+    smoothing: float
+    failed: list[np.ndarray] = field(default_factory=list)  # per depth, sorted keys of the widely dealt contexts that fail
+
+    @property
+    def wide(self) -> int:
+        """Training occurrences beyond which a context is dealt to several buckets."""
+        return max(self.min_count, self.tokens >> self.bits)
 
-    # at most 1 / share words pass
-    parts = [_unpack(r[0]) for r in stats.select("answer").mapInArrow(keep, "entries binary").collect()]
-    keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
-    n = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
-    word = keys != END_HASH
-    order = np.lexsort((keys[word], -n[word]))
-    return total[0], total[1], keys[word][order], n[word][order]
 
+@dataclass
+class Asked:
+    """Distinct pairs of one depth of a chunk, in the order in which they are sent."""
+
+    at: np.ndarray       # positions that a context stands before
+    key: np.ndarray      # of the context, per position
+    n: np.ndarray        # training occurrences of the context, per position
+    place: np.ndarray    # the pair, per position
+    bucket: np.ndarray   # per pair
+    context: np.ndarray  # per pair
+    contexts: np.ndarray
+    totals: np.ndarray   # per context
+    number: np.ndarray   # vocabulary number of the next word, per pair
+    example: np.ndarray  # a position, per pair
+
+    def runs(self) -> np.ndarray:
+        """Where the pairs of a context begin in a bucket, and the number of pairs."""
+        new = (self.bucket[1:] != self.bucket[:-1]) | (self.context[1:] != self.context[:-1])
+        return np.flatnonzero(np.r_[True, new, True]) if len(self.bucket) else np.zeros(1, np.int64)
+
+
+def pairs(rules: Rules, at: np.ndarray, key: np.ndarray, n: np.ndarray, number: np.ndarray) -> Asked:
+    """The distinct pairs of the contexts ``key`` and the words ``number`` at positions ``at``."""
+    contexts, first, which = np.unique(key, return_index=True, return_inverse=True)
+    totals = n[first]
+    both, example, place = np.unique((which.astype(np.uint64) << NUMBER) | number[at], return_index=True, return_inverse=True)
+    context, word = (both >> NUMBER).astype(np.int64), both & np.uint64((1 << 32) - 1)
+    parts = -(-totals // rules.wide)
+    part = mix(word, 21) % np.maximum(parts, 1).astype(np.uint64)[context]
+    bucket = (mix(contexts[context] + part, 22) >> np.uint64(64 - rules.bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return Asked(at, key, n, rank[place], bucket[order], context[order], contexts, totals, word[order], at[example[order]])
+
+
+class Walk:
+    """The tokens of a chunk and their probabilities given ever longer contexts."""
+
+    def __init__(self, payload: bytes, answers: pa.Table, rules: Rules):
+        self.rules, self.batch = rules, X.unseal(payload)
+        keys, place, ends, _, self.first, self.train = _tokens(self.batch, rules.folds)
+        own = np.r_[0, np.cumsum(np.diff(self.first) + 1)]  # with the end token of each row
+        token = np.empty(own[-1], np.int64)
+        inside = np.ones(own[-1], bool)
+        inside[own[1:] - 1] = False
+        token[inside], token[~inside] = place, ends
+        self.own, self.inside = own, inside
+        self.train_at = np.repeat(self.train, np.diff(own))
+        sums, number = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
+        done = 0
+        for bucket, answer in self._level(answers, 0):
+            raw = np.frombuffer(_unzip(answer), "<i8")
+            k = len(raw) // 2
+            sums[done:done + k] = raw[:k]
+            number[done:done + k] = (raw[k:] + rules.numbers[bucket]).astype(np.uint64)
+            done += k
+        self.count = sums[token]
+        self.number = number[token]
+        self.p = (self.count + ADD) / (rules.tokens + ADD * (rules.known + 1))
+        # contexts of one word
+        at = np.flatnonzero(inside) + 1
+        at = at[self.count[at - 1] >= rules.min_count]
+        self.ahead = at, mix(self.number[at - 1], 11), self.count[at - 1]
+        for depth in range(1, len(rules.failed) + 1):
+            self._step(answers, depth)
 
-def code(chunked: DataFrame, counts: DataFrame, symbols: np.ndarray, bits: int, folds: int) -> DataFrame:
-    """Chunk rows of symbol numbers and base sums."""
-    order = np.argsort(symbols)
-    shared = chunked.sparkSession.sparkContext.broadcast((symbols[order], (order + FIRST).astype(np.uint16)))
+    @staticmethod
+    def _level(answers: pa.Table, depth: int) -> Iterator[tuple[int, bytes]]:
+        own = answers.filter(pc.equal(answers.column("depth"), depth))
+        return zip(own.column("bucket").to_pylist(), own.column("answer").to_pylist(), strict=True)
+
+    def asked(self) -> Asked:
+        return pairs(self.rules, *self.ahead, self.number)
+
+    def _step(self, answers: pa.Table, depth: int) -> None:
+        """Use the answers for contexts of ``depth`` words, and find the contexts of one more."""
+        a, rules = self.asked(), self.rules
+        runs = a.runs()
+        sums, kept = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        cuts = np.flatnonzero(np.r_[True, a.bucket[1:] != a.bucket[:-1], True]) if len(a.bucket) else np.zeros(1, int)
+        for lo, hi, (_, answer) in zip(cuts[:-1], cuts[1:], self._level(answers, depth), strict=True):
+            raw = _unzip(answer)
+            sums.append(np.frombuffer(raw, "<i8", hi - lo))
+            n_runs = int(np.searchsorted(runs, hi) - np.searchsorted(runs, lo))
+            kept.append(np.frombuffer(raw, np.uint8, n_runs, 8 * (hi - lo)).astype(bool))
+        sums = np.concatenate(sums)
+        keep = np.repeat(np.concatenate(kept), np.diff(runs))
+        keep &= ~np.isin(a.contexts, rules.failed[depth - 1])[a.context]
+        c = sums[a.place]
+        longer = (c + rules.smoothing * self.p[a.at]) / (a.n + rules.smoothing)
+        self.p[a.at] = np.where(keep[a.place], longer, self.p[a.at])
+        on = self.inside[a.at] & (c >= rules.min_count)
+        self.ahead = a.at[on] + 1, mix(a.key[on] ^ mix(self.number[a.at[on]], 12), 13), c[on]
+
+
+def ask_pairs(walk: Walk, chunk: int) -> pa.Table:
+    a = walk.asked()
+    runs = a.runs()
+    trained = np.bincount(a.place, walk.train_at[a.at], len(a.bucket)).astype("<u4")
+    suffix = walk.p[a.example].astype("<f4")
+
+    def pack(lo: int, hi: int) -> bytes:
+        own = runs[np.searchsorted(runs, lo):np.searchsorted(runs, hi) + 1]
+        context = a.context[own[:-1]]
+        return np.array([len(context), hi - lo], "<u4").tobytes() + _zip(
+            a.contexts[context].astype("<u8"), a.totals[context].astype("<i8"), np.diff(own).astype("<u4"),
+            a.number[lo:hi].astype("<u4"), trained[lo:hi], suffix[lo:hi])
+
+    return pa.Table.from_batches([X.by_bucket(chunk, a.bucket.astype(np.uint64), walk.rules.bits, pack, walk.rules.bits)])
+
+
+def read_pairs(entries: bytes) -> tuple[np.ndarray, ...]:
+    """Contexts, their counts and numbers of pairs; next words, training counts and suffix probabilities of the pairs."""
+    k, n = np.frombuffer(entries, "<u4", 2).tolist()
+    raw, out, at = _unzip(entries[8:]), [], 0
+    for kind, size in (("<u8", k), ("<i8", k), ("<u4", k), ("<u4", n), ("<u4", n), ("<f4", n)):
+        out.append(np.frombuffer(raw, kind, size, at))
+        at += out[-1].nbytes
+    return tuple(out)
+
+
+def held_against_suffix(rules: Rules, entries: list[bytes]) -> tuple[list[bytes], bytes | None]:
+    """The answer to each chunk's pairs, and this bucket's share of the contexts that are dealt to several."""
+    parts = [read_pairs(e) for e in entries]
+    contexts, first, which = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    totals = np.concatenate([p[1] for p in parts])[first].astype(float)
+    context = np.repeat(which, np.concatenate([p[2] for p in parts])).astype(np.uint64)
+    both = (context << NUMBER) | np.concatenate([p[3] for p in parts])
+    keys, example, place = np.unique(both, return_index=True, return_inverse=True)
+    sums = np.bincount(place, np.concatenate([p[4] for p in parts]), len(keys))
+    suffix = np.concatenate([p[5] for p in parts])[example].astype(float)
+    of = (keys >> NUMBER).astype(np.int64)
+    listed = sums > 0
+    of, c, q = of[listed], sums[listed], suffix[listed]
+    k = len(contexts)
+    p = (c + rules.smoothing * q) / (totals[of] + rules.smoothing)
+    gain, mass = np.bincount(of, p * np.log(p / q), k), np.bincount(of, q, k)
+    wide = totals > rules.wide
+    keep = wide | (gain + others(mass, totals, rules.smoothing) >= rules.min_divergence)
+    answers, n, m = [], 0, 0
+    for e in parts:
+        answers.append(_zip(sums[place[n:n + len(e[3])]].astype("<i8"), keep[which[m:m + len(e[0])]].astype(np.uint8)))
+        n, m = n + len(e[3]), m + len(e[0])
+    share = np.stack([contexts[wide].view("<f8"), totals[wide], gain[wide], mass[wide]]).tobytes() if wide.any() else None
+    return answers, share
+
+
+def others(mass: np.ndarray, totals: np.ndarray, smoothing: float) -> np.ndarray:
+    """Part of the divergence of what a context never precedes; ``mass``: suffix probability of what it does."""
+    scale = smoothing / (totals + smoothing)
+    return np.clip(1 - mass, 0, 1) * scale * np.log(scale)
+
+
+PAIRS_SQL = "bucket int, chunk long, answer binary, depth int"
+
+
+def level(chunked: DataFrame, answered: DataFrame, depth: int, rules: Rules) -> DataFrame:
+    """Answers for the contexts of ``depth`` words; notes in ``rules`` which of the widely dealt ones fail."""
 
     def use(chunk: int, payload: bytes, answer: pa.Table) -> pa.Table:
-        known, number = shared.value
-        batch = X.unseal(payload)
-        keys, place, ends, _, first, train = _tokens(batch, folds)
-        sums = np.concatenate([np.frombuffer(a, "<i8") for a in answer.column("answer").to_pylist()])
-        symbol = np.zeros(len(keys), np.uint16)
-        if len(known):
-            slot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            symbol = np.where(known[slot] == keys, number[slot], OTHER).astype(np.uint16)
-        ids, c = symbol[place], sums[place]
-        log = np.log10(c + ADD)
-
-        def per_row(x: np.ndarray) -> np.ndarray:
-            return np.diff(np.r_[0.0, np.cumsum(x)][first])
-
-        sealed = pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(~train), pa.array(per_row(log) + np.log10(sums[ends] + ADD)),
-             pa.array(per_row(np.where(ids == OTHER, log, 0.0))),
-             pa.array((per_row(c > 0) + (sums[ends] > 0)).astype(np.int64)),
-             pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))],
-            names=["doc_id", "held_out", "base", "other", "n_known", "ids"])
-        return pa.table({"payload": pa.array([X.seal(sealed)], pa.binary())})
-
-    return materialize(X.told(chunked, counts.where("chunk >= 0").select("bucket", "chunk", "answer"), use, "payload binary"), "coded", "none")
-
-
-def _sequence(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all rows with their end tokens, place within the row, and first place of each row."""
-    ids = batch.column("ids")
-    at = np.asarray(ids.offsets)
-    n = np.diff(at)
-    first = np.r_[0, np.cumsum(n + 1)]
-    out = np.full(first[-1], END, np.uint64)
-    inside = np.ones(first[-1], bool)
-    inside[first[1:] - 1] = False
-    out[inside] = np.asarray(ids.values)[at[0]:at[-1]]
-    return out, np.arange(first[-1]) - np.repeat(first[:-1], n + 1), first
+        return ask_pairs(Walk(payload, answer, rules), chunk)
+
+    def group(table: pa.Table) -> pa.Table:
+        answers, share = held_against_suffix(rules, table.column("entries").to_pylist())
+        bucket, chunk = table.column("bucket").to_pylist(), table.column("chunk").to_pylist()
+        if share is not None:
+            answers, bucket, chunk = [*answers, share], [*bucket, bucket[0]], [*chunk, -1]
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array(chunk, pa.int64()),
+                         "answer": pa.array(answers, pa.binary()), "depth": pa.array([depth] * len(chunk), pa.int32())})
+
+    asked = X.told(chunked, answered, use, X.ASKED_SQL)
+    out = materialize(asked.groupBy("bucket").applyInArrow(group, PAIRS_SQL), "pairs", "none")
+    # a context has at most as many shares as its count is multiples of the average bucket, so all have two per bucket
+    shares = [np.frombuffer(r[0], "<f8").reshape(4, -1) for r in out.where("chunk = -1").select("answer").collect()]
+    rules.failed.append(failing(np.concatenate(shares, axis=1) if shares else np.zeros((4, 0)), rules))
+    return out.where("chunk >= 0")
+
+
+def failing(shares: np.ndarray, rules: Rules) -> np.ndarray:
+    key, first, place = np.unique(np.ascontiguousarray(shares[0]).view(np.uint64), return_index=True, return_inverse=True)
+    gain, mass = np.bincount(place, shares[2], len(key)), np.bincount(place, shares[3], len(key))
+    return key[gain + others(mass, shares[1][first], rules.smoothing) < rules.min_divergence]
+
+
+def lm_scores(docs: DataFrame, folds: int = FOLDS, min_count: int = MIN_COUNT, depth: int = DEPTH,
+              min_divergence: float = MIN_DIVERGENCE, smoothing: float = SMOOTHING) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    chunked = X.chunks(docs.select("doc_id", "text"), "lm-chunks", CHUNK_BYTES)
+    size = X.total(chunked, "bytes")
+    bits = X.bucket_bits(chunked, size / 25)
+    counts = materialize(word_counts(chunked, bits, folds), "word-counts", "none")
+    stats = {r[0]: r[1:] for r in counts.where("chunk = -1").select("bucket", "tokens", "known", "size").collect()}
+    sizes = np.array([stats[b][2] if b in stats else 0 for b in range(1 << bits)], np.int64)
+    assert sizes.sum() < 1 << int(NUMBER), "more words than vocabulary numbers"
+    rules = Rules(folds, X.bucket_bits(chunked, size / 6), np.cumsum(sizes) - sizes, sum(s[0] for s in stats.values()),
+                  sum(s[1] for s in stats.values()), max(1, min_count), min_divergence, smoothing)
+    answered = counts.where("chunk >= 0").select("bucket", "chunk", "answer", F.lit(0).alias("depth"))
+    for d in range(1, depth + 1):
+        answered = answered.unionByName(level(chunked, answered, d, rules))
+
+    base = np.log10(rules.tokens + ADD * (rules.known + 1))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def score(chunk: int, payload: bytes, answer: pa.Table) -> pa.Table:
+        walk = Walk(payload, answer, rules)
+        n, first = np.diff(walk.own), walk.own[:-1]
+        return pa.table(
+            [walk.batch.column("doc_id"), pa.array(~walk.train), pa.array(n.astype(np.int64)),
+             pa.array(np.add.reduceat((walk.count > 0).astype(np.int64), first)), pa.array(np.full(len(n), rules.tokens, np.int64)),
+             pa.array(np.add.reduceat(np.log10(walk.count + ADD), first) - n * base), pa.array(np.add.reduceat(np.log10(walk.p), first))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return X.told(chunked, answered, score, schema)
+
+
+# The same model in one process, for small corpora. Words are numbers from FIRST to 65,535.
+
+FIRST = 2
 
 
 def _context(symbols: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,103 +439,3 @@ class Tree:
         keep = gain >= min_divergence
         listed = keep[which]
         self.levels.append(Level(contexts[keep], np.log10(rest / parent_rest)[keep], entries[listed], np.log10(p[listed])))
-
-
-def continuations(coded: DataFrame, depth: int, contexts: np.ndarray, least: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact training counts of context << 16 | symbol that reach ``least``, for the given contexts."""
-    shared = coded.sparkSession.sparkContext.broadcast(contexts)
-    width = 16 * (depth + 1)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def send() -> pa.RecordBatch:
-            keys, sums, _ = _add_up(held)
-            held.clear()
-            # spread the dense keys: the bucket is a hash of the key
-            spread = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-            order = np.argsort(spread, kind="stable")
-            keys, sums, spread = keys[order], sums[order], spread[order]
-            return X.by_bucket(0, spread, bits, lambda lo, hi: _pack(keys[lo:hi], sums[lo:hi]), bits)
-
-        for batch in batches:
-            for payload in batch.column(0).to_pylist():
-                rows = X.unseal(payload)
-                symbols, place, first = _sequence(rows)
-                at, key = _context(symbols, place, depth)
-                train = ~np.repeat(rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(first))
-                if depth > 1:
-                    use = train[at] & _find(known, key)[1]
-                else:
-                    use = train[at]
-                held.append(np.unique((key[use] << np.uint64(16)) | symbols[at[use]], return_counts=True))
-                if sum(len(k) for k, _ in held) > HELD_ENTRIES:
-                    yield send()
-        if held:
-            yield send()
-
-    def group(table: pa.Table) -> pa.Table:
-        keys, sums, _ = _add_up([_unpack(e) for e in table.column("entries").to_pylist()])
-        return pa.table({"entries": pa.array([_pack(keys[sums >= least], sums[sums >= least])], pa.binary())})
-
-    assert width <= 64, "a context of more than three words does not fit its key"
-    rows = (coded.mapInArrow(ask, X.ASKED_SQL).groupBy("bucket").applyInArrow(group, "entries binary")).collect()
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, sums, _ = _add_up([_unpack(r[0]) for r in rows])
-    return keys, sums
-
-
-def lm_scores(docs: DataFrame, folds: int = FOLDS, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE,
-              depth: int = DEPTH, min_divergence: float = MIN_DIVERGENCE, smoothing: float = SMOOTHING) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    chunked = X.chunks(docs.select("doc_id", "text"), "lm-chunks", CHUNK_BYTES)
-    bits = X.bucket_bits(chunked, X.total(chunked, "bytes") / 25)
-    counts = materialize(word_counts(chunked, bits, folds, word_share), "word-counts")
-    tokens, distinct, symbols, symbol_counts = frequent(counts, word_share)
-    coded = code(chunked, counts, symbols, bits, folds)
-
-    n_end = coded_training_rows(coded)
-    own = np.r_[max(0, tokens - n_end - int(symbol_counts.sum())), n_end, symbol_counts].astype(float)
-    tree = Tree(np.log10((own + ADD) / (own.sum() + ADD * len(own))))
-    contexts, totals = np.arange(len(symbols), dtype=np.uint64) + np.uint64(FIRST), symbol_counts
-    for d in range(1, depth + 1):
-        entries, n = continuations(coded, d, contexts, max(1.0, pair_share * tokens), bits)
-        tree.grow(entries, n, contexts, totals, d, min_divergence, smoothing)
-        longer = (n >= max(2.0, word_share * tokens)) & ((entries & np.uint64(0xFFFF)) >= FIRST)
-        contexts, totals = entries[longer], n[longer]
-        if not len(contexts):
-            break
-    model = spark.sparkContext.broadcast(tree)
-
-    inside = np.log10(max(ADD, own[OTHER] + ADD * (distinct - len(symbols) - (n_end > 0) + 1)))
-    base = np.log10(tokens + ADD * (distinct + 1))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0).to_pylist():
-                rows = X.unseal(payload)
-                symbols_, place, first = _sequence(rows)
-                n = np.diff(first)
-                others = np.add.reduceat((symbols_ == OTHER).astype(np.int64), first[:-1])
-                value = np.add.reduceat(model.value.predict(symbols_, place), first[:-1])
-                value = value + rows.column("other").to_numpy() - others * inside
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("held_out"), pa.array(n.astype(np.int64)), rows.column("n_known"),
-                     pa.array(np.full(len(n), tokens, np.int64)), pa.array(rows.column("base").to_numpy() - n * base), pa.array(value)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return coded.mapInArrow(score, schema)
-
-
-def coded_training_rows(coded: DataFrame) -> int:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = sum(int((~X.unseal(p).column("held_out").to_numpy(zero_copy_only=False)).sum()) for p in batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_pydict({"n": [n]}, pa.schema([("n", pa.int64())]))
-
-    return X.total(coded.mapInArrow(count, "n long"), "n")

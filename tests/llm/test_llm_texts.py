@@ -231,6 +231,60 @@ def test_lm_scores(spark, documents, edge_docs, edge_rows, no_docs):
     assert lm_scoring.lm_scores(no_docs).count() == 0
 
 
+def suffix_tree_scores(rows, depth=3, min_count=2, min_divergence=0.01, smoothing=10.0):
+    """Scores by plain counters over all training rows; a text's end is None."""
+    texts = [[*brute.space_words(brute.lower(t)), None] for _, t in rows]
+    train = [ws for (i, _), ws in zip(rows, texts, strict=True) if zlib.crc32(str(i).encode()) % 10]
+    words = Counter(w for ws in train for w in ws)
+    n, v = sum(words.values()), len(words)
+    after: dict = {}
+    for ws in train:
+        for d in range(1, depth + 1):
+            for i in range(d, len(ws)):
+                after.setdefault(tuple(ws[i - d:i]), Counter())[ws[i]] += 1
+    kept: dict = {}
+
+    def p(context, w):
+        if not context:
+            return (words[w] + 0.1) / (n + 0.1 * (v + 1))
+        shorter = p(context[1:], w)
+        if not kept.get(context):
+            return shorter
+        c = after[context]
+        return (c[w] + smoothing * shorter) / (sum(c.values()) + smoothing)
+
+    for context in sorted(after, key=len):
+        c, total = after[context], sum(after[context].values())
+        if total >= min_count:
+            q = {w: p(context[1:], w) for w in c}
+            new = {w: (c[w] + smoothing * q[w]) / (total + smoothing) for w in c}
+            scale = smoothing / (total + smoothing)
+            gain = sum(new[w] * math.log(new[w] / q[w]) for w in c) + max(0, 1 - sum(q.values())) * scale * math.log(scale)
+            kept[context] = gain >= min_divergence
+    return [sum(math.log10(p(tuple(ws[max(0, i - depth):i]), ws[i])) for i in range(len(ws))) for ws in texts], kept
+
+
+def test_lm_rare_contexts_count_in_any_corpus(spark, monkeypatch):
+    """A phrase that two training texts hold is learned, however many other words there are."""
+    import random
+
+    rnd = random.Random(8)
+    often = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rnd.choice(often) for _ in range(rnd.randint(0, 400)))) for i in range(700)]
+    rows += [(i, "the of " * rnd.randint(1, 40) + rnd.choice(often)) for i in range(700, 1000)]  # a widely dealt context
+    held = next(i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    taught = [i for i in range(3000, 3100) if zlib.crc32(str(i).encode()) % 10][:2]
+    rows += [(i, "zorp quix blat vimmy") for i in [*taught, held]]
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 50_000)
+    out = {r.doc_id: r for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want, kept = suffix_tree_scores(rows)
+    assert out[held].train_tokens > 100_000 and ("zorp",) in kept and ("zorp", "quix", "blat") in kept
+    assert out[held].score > out[held].base_score + 5
+    assert len(set(kept.values())) == 2  # the divergence test decides both ways
+    for (i, _), score in zip(rows, want, strict=True):
+        assert out[i].score == pytest.approx(score, abs=1e-5)
+
+
 def test_next_symbol_probabilities_sum_to_one():
     tree = lm_scoring.Tree(np.log10(np.array([0.4, 0.1, 0.3, 0.2])))
     entries = np.array([(2 << 16) | 3, (3 << 16) | 1], np.uint64)
