@@ -72,8 +72,16 @@ def schedule(docs: DataFrame, **rule) -> DataFrame:
     ``position`` is where the first pass over the document begins (null if nothing is taken);
     ``second_position`` the same for the second pass.
     """
+    due = _due(docs, **rule)
+    second = F.col("positions")[1] if rule.get("max_passes", MAX_PASSES) > 1 else F.lit(None).cast("double")
+    return due.select("doc_id", "source", "size", "source_size", "target", "taken",
+                      F.col("positions")[0].alias("position"), second.alias("second_position"))
+
+
+def _due(docs: DataFrame, *keys: str, **rule) -> DataFrame:
+    """``schedule`` with the position of every pass as an array, and the columns ``keys`` of ``docs``."""
     max_passes = rule.get("max_passes", MAX_PASSES)
-    sizes = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    sizes = materialize(docs.select(*keys, "doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     targets = materialize(source_targets(sizes, **rule), "targets")
     ordered = running_sum(sizes.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))),
                           ["source"], ["_h", "size"], "size", "before")
@@ -94,8 +102,8 @@ def schedule(docs: DataFrame, **rule) -> DataFrame:
     taken = in_pass(0)
     for k in range(1, max_passes):
         taken = taken + in_pass(k)
-    return due.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-                      position(0).alias("position"), (position(1) if max_passes > 1 else F.lit(None).cast("double")).alias("second_position"))
+    return due.select(*keys, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
+                      F.array(*[position(k) for k in range(max_passes)]).alias("positions"))
 
 
 def mixing(docs: DataFrame, **rule) -> DataFrame:
@@ -108,18 +116,16 @@ def mix(docs: DataFrame, **rule) -> DataFrame:
     """The mixed documents in training order, with the columns of ``docs``.
 
     A document is repeated as often as it is taken. Texts stay whole: the one document of
-    a source that its target cuts is taken if at least half of it is due. Rows that repeat an id share
-    one schedule, the one that takes most; rows with a null id are not mixed.
+    a source that its target cuts is taken if at least half of it is due. Every row has its own schedule, also
+    rows that repeat an id or have none: ``docs`` is written once with a key per row.
     """
-    plan = materialize(schedule(docs, **rule).where("size > 0 AND doc_id IS NOT NULL"), "schedule")
+    keyed = materialize(docs.withColumn("__mix_key", F.monotonically_increasing_id()), "keyed")
     copies = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
-    chosen = (plan.select("doc_id", F.struct(copies.alias("n"), "position", F.coalesce("second_position", "position").alias("again")).alias("s"))
-              .groupBy("doc_id").agg(F.max("s").alias("s")).where("s.n > 0")
-              .select(F.col("doc_id").alias("__mix_id"),
-                      F.slice(F.array("s.position", "s.again"), F.lit(1), F.col("s.n")).alias("__mix_at")))
-    taken = docs.join(materialize(chosen, "chosen"), F.col("doc_id") == F.col("__mix_id"))
-    return (taken.withColumn("__mix_position", F.explode("__mix_at")).orderBy("__mix_position", "__mix_id")
-            .drop("__mix_id", "__mix_at", "__mix_position"))
+    chosen = (_due(keyed, "__mix_key", **rule).where("size > 0").withColumn("n", copies).where("n > 0")
+              .select("__mix_key", F.slice("positions", F.lit(1), F.col("n")).alias("__mix_at")))
+    taken = keyed.join(materialize(chosen, "chosen"), "__mix_key")
+    return (taken.withColumn("__mix_position", F.explode("__mix_at")).orderBy("__mix_position", "doc_id", "__mix_key")
+            .drop("__mix_key", "__mix_at", "__mix_position"))
 
 
 ORACLE_SQL = r"""

@@ -121,6 +121,21 @@ def test_mix_keeps_columns_and_texts(edge_docs, edge_rows):
     assert {r.text for r in out.collect()} <= {r[1] for r in edge_rows}
 
 
+def test_mix_takes_every_row_by_its_own_schedule(spark):
+    """Rows without an id, rows that share one, and more than two passes."""
+    rows = [(None if i % 3 == 0 else i % 7 if i % 3 == 1 else 100 + i, f"{'abc'[i % 3]}{i} " * (1 + i % 5), "st"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for rule in ({}, {"total_share": 3.5, "max_passes": 4, "weights": (9, 1)}):
+        targets = {r.source: r.target for r in mixing.schedule(docs, **rule).select("source", "target").distinct().collect()}
+        words: Counter = Counter()
+        copies = Counter(r.text for r in mixing.mix(docs, **rule).collect())
+        for _, text, source in rows:
+            words[source] += copies[text] * len(text.split())
+        assert all(abs(words[s] - targets[s]) <= 3 for s in "st")  # half a document of five words
+        assert max(copies.values()) == rule.get("max_passes", 2)
+        assert {text[0] for text in copies} == set("abc")
+
+
 def test_schedule_integrates_to_the_target(documents):
     """Words due in a slice of time are the integral of the source's weight over it."""
     rows = [r for r in mixing.schedule(documents, slopes=(1.0,)).collect() if r.position is not None]
