@@ -4,14 +4,14 @@
    signature of ``COORDINATES`` minima. Documents with equal sets are linked by their digest; one of
    them represents them from here on.
 2. A representative is posted under (coordinate, value) pairs. Two sets whose similarity reaches the
-   threshold agree in at least ``MATCHES`` coordinates but for a chance below 1e-6. Prefix: with the
-   pairs in one global order, rarest first, such sets share one of their first ``COORDINATES - MATCHES + 1``
+   threshold agree in at least ``matches(percent)`` coordinates but for a chance below ``MISSED``. Prefix: with the
+   pairs in one global order, rarest first, such sets share one of their first ``COORDINATES - matches + 1``
    pairs, so only those are posted. Skip: pairs that no other signature has are left out,
    and the frequent lists at the end of the order are never merged but looked up in the signatures, which
    the postings carry (one byte a coordinate).
 3. Each list first compares its members with its leader only, the member that agrees most with the commonest
    value of each coordinate, which is the text that copies stem from: collisions are counted over all
-   coordinates, and document pairs that reach ``MATCHES`` are confirmed on their full sets. Then lists whose
+   coordinates, and document pairs that reach ``matches`` are confirmed on their full sets. Then lists whose
    members are still in several components compare all members of different ones, and return a forest of
    components that may be linked. In each such cluster, members outside the largest component are held
    against all its members by exact intersection counts. So no link between components is lost, a list of
@@ -28,6 +28,7 @@ are one document whose links add up; an empty table gives no rows. Extra columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ from ledgerlens.llm.words import mix, windows, words
 
 SHINGLE = 5
 COORDINATES = 128
-MATCHES = 80
+MISSED = 1e-6
 TILE = 4096
 BLOCK = 1024
 SET_BYTES = 6
@@ -50,6 +51,18 @@ REMAINDER = 40
 _SLOPES = np.random.default_rng(7).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def matches(percent: int) -> int:
+    """The most coordinates in which sets at the threshold agree but for a chance below ``MISSED`` (binomial tail)."""
+    p = percent / 100
+    least, below = 0, (1 - p) ** COORDINATES
+    while below < MISSED and least < COORDINATES:
+        least += 1
+        below += math.comb(COORDINATES, least) * p ** least * (1 - p) ** (COORDINATES - least)
+    if not least:
+        raise ValueError(f"{COORDINATES} coordinates do not find sets that are {percent} % alike")
+    return least
+
+
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every row, one after another, and their bounds."""
     w = words(column, lower=True)
@@ -121,7 +134,7 @@ def _frequencies(entries: list[bytes]) -> list[bytes]:
     return [g.tobytes() for g in np.split(grade, np.cumsum(sizes)[:-1])]
 
 
-def postings(reps: DataFrame, id_type: str) -> DataFrame:
+def postings(reps: DataFrame, id_type: str, least: int) -> DataFrame:
     """token, grade (bits of the pair's frequency), doc, n, coarse (a byte of each coordinate)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +175,7 @@ def postings(reps: DataFrame, id_type: str) -> DataFrame:
         tokens = tokens.reshape(sig.shape)
         # rarest first, ties by key: the same order everywhere
         rank = (grade.astype(np.uint64) << np.uint64(58)) | (tokens >> np.uint64(max(0, bits + REMAINDER - 58)))
-        prefix = np.argpartition(rank, COORDINATES - MATCHES, axis=1)[:, :COORDINATES - MATCHES + 1]
+        prefix = np.argpartition(rank, COORDINATES - least, axis=1)[:, :COORDINATES - least + 1]
         rows = np.repeat(np.arange(len(sig)), prefix.shape[1])
         columns = prefix.ravel()
         shared = grade[rows, columns] > 1
@@ -189,20 +202,20 @@ def _leader(coarse: np.ndarray) -> int:
     return int((coarse == common).sum(axis=1).argmax())
 
 
-def _with_leader(component: np.ndarray, coarse: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the leader of one list with the members of other components that agree in MATCHES coordinates.
+def _with_leader(component: np.ndarray, coarse: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the leader of one list with the members of other components that agree in ``least`` coordinates.
 
     The leader is one of the members outside the largest component (all of them, at first)."""
     _, place, sizes = np.unique(component, return_inverse=True, return_counts=True)
     free = np.flatnonzero(place != sizes.argmax()) if sizes.max() > 1 else np.arange(len(doc))
     leader = free[_leader(coarse[free])]
     others = np.flatnonzero(place != place[leader])
-    hit = others[(coarse[others] == coarse[leader]).sum(axis=1) >= MATCHES]
+    hit = others[(coarse[others] == coarse[leader]).sum(axis=1) >= least]
     return [(doc[hit], np.full(len(hit), doc[leader]))] if len(hit) else []
 
 
-def _candidate_forest(component: np.ndarray, coarse: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Which components of one list may be linked: a forest over those with members that agree in MATCHES coordinates."""
+def _candidate_forest(component: np.ndarray, coarse: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which components of one list may be linked: a forest over those with members that agree in ``least`` coordinates."""
     names, place, sizes = np.unique(component, return_inverse=True, return_counts=True)
     root = np.arange(len(names))
 
@@ -216,7 +229,7 @@ def _candidate_forest(component: np.ndarray, coarse: np.ndarray, doc: np.ndarray
     # members outside the largest component against all members of other components
     for i in np.flatnonzero(place != largest):
         others = np.flatnonzero((place != place[i]) & ((place == largest) | (np.arange(len(place)) > i)))
-        for other in np.unique(place[others[(coarse[others] == coarse[i]).sum(axis=1) >= MATCHES]]):
+        for other in np.unique(place[others[(coarse[others] == coarse[i]).sum(axis=1) >= least]]):
             x, y = top(place[i]), top(other)
             if x != y:
                 root[max(x, y)] = min(x, y)
@@ -225,7 +238,7 @@ def _candidate_forest(component: np.ndarray, coarse: np.ndarray, doc: np.ndarray
     return [(names[moved], names[tops[moved]])] if moved.any() else []
 
 
-def compare_lists(named: DataFrame, id_type: str, every: bool) -> DataFrame:
+def compare_lists(named: DataFrame, id_type: str, every: bool, least: int) -> DataFrame:
     """Candidates from the lists that are not one component yet.
 
     Each list, or each block of a frequent one, compares its members with its leader: pairs of documents. With
@@ -254,13 +267,13 @@ def compare_lists(named: DataFrame, id_type: str, every: bool) -> DataFrame:
             coarse = _matrix(table.column("coarse").combine_chunks())
             # most lists have two members: all at once
             two = cuts[:-1][(np.diff(cuts) == 2)]
-            near = two[(component[two] != component[two + 1]) & ((coarse[two] == coarse[two + 1]).sum(axis=1) >= MATCHES)]
+            near = two[(component[two] != component[two + 1]) & ((coarse[two] == coarse[two + 1]).sum(axis=1) >= least)]
             name = component if every else doc
             pairs = [(name[near], name[near + 1])]
             longer = np.flatnonzero(np.diff(cuts) > 2)
             for lo, hi in zip(cuts[longer].tolist(), cuts[longer + 1].tolist(), strict=True):
                 if component[lo] != component[hi - 1]:
-                    pairs += pairs_of(component[lo:hi], coarse[lo:hi], doc[lo:hi])
+                    pairs += pairs_of(component[lo:hi], coarse[lo:hi], doc[lo:hi], least)
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             keep = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1])], names=["a", "b"])
@@ -373,7 +386,7 @@ def links_within(named: DataFrame, clusters: DataFrame, members: DataFrame, perc
 def near_links(docs: DataFrame, posted: DataFrame, width: int, percent: int, id_type: str) -> DataFrame:
     """node, component over all confirmed links: first links to leaders, then what they leave apart."""
     named = posted.withColumn("component", F.col("doc"))
-    pairs = materialize(compare_lists(named, id_type, False), "pairs")
+    pairs = materialize(compare_lists(named, id_type, False, matches(percent)), "pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     members = set_members(docs, wanted, width, id_type)
     links = confirm(pairs, members, percent, id_type)
@@ -381,7 +394,7 @@ def near_links(docs: DataFrame, posted: DataFrame, width: int, percent: int, id_
 
     named = materialize(posted.join(found.withColumnRenamed("node", "doc"), "doc", "left")
                         .withColumn("component", F.coalesce("component", "doc")), "named-postings")
-    clusters = materialize(components(compare_lists(named, id_type, True)), "candidate-clusters")
+    clusters = materialize(components(compare_lists(named, id_type, True, matches(percent))), "candidate-clusters")
     if clusters.isEmpty():
         return found
     inside = named.select("doc", "component").distinct().join(clusters.select(F.col("node").alias("component")), "component", "left_semi")
@@ -399,7 +412,7 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> Data
     equal = materialize(linked.groupBy("digest").agg(F.min("doc_id").alias("rep")), "equal-sets")
     reps = (linked.join(equal, (F.col("doc_id") == F.col("rep")) & (linked["digest"] == equal["digest"]))
             .dropDuplicates(["rep", "signature"]).select(F.col("rep").alias("doc"), "signature"))
-    posted = postings(reps, id_type)
+    posted = postings(reps, id_type, matches(percent))
     final = near_links(docs, posted, width, percent, id_type)
     members = (linked.join(equal, "digest").select("doc_id", "n_shingles", "rep")
                .join(final.withColumnRenamed("node", "rep"), "rep", "left")

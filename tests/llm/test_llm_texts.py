@@ -423,3 +423,19 @@ def test_further_pairs_reach_members_that_the_first_one_does_not(spark):
     rows = [(k, " ".join(words[12 * k:12 * k + 200])) for k in range(12)]
     out = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
     assert {r.component_id for r in out} == {0}
+
+
+def test_near_dedup_at_other_thresholds(spark):
+    """Pairs of texts just above the threshold are found, just below it not, whatever the threshold."""
+    for percent in (40, 60):
+        rows, want = [], {}
+        for k in range(60):
+            # two sets of 1,000 shingles each that share ``same``: the similarity is same / (2000 - same)
+            same = math.ceil(2000 * percent / (100 + percent)) + (3 if k % 2 else -3)
+            words = [f"p{k}w{i}" for i in range(2000 - same)]
+            rows += [(2 * k, " ".join(words[:1000])), (2 * k + 1, " ".join(words[-1000:]))]
+            want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (0 if k % 2 else 1)}
+        out = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()
+        assert {r.doc_id: r.component_id for r in out} == want
+    with pytest.raises(ValueError):
+        near_dedup.matches(5)
