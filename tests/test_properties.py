@@ -8,7 +8,7 @@ from decimal import Decimal
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import make_star
+from star_rows import make_star
 from ledgerlens.operators import gauges as G
 from ledgerlens.plans import rollup as RU
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import D, d, make_star, snap_row, time_row
+from star_rows import D, d, make_star, snap_row, time_row
 from ledgerlens.functions.compare import pct_change, status
 from ledgerlens.functions.params import reporting_friday
 from ledgerlens.operators import gauges as G

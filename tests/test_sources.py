@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import make_star
+from star_rows import make_star
 from ledgerlens.functions.params import days_before
 from ledgerlens.sources.schema import duplicate_keys
 from ledgerlens.sources.star import REPORT_DATES, from_test_tables
@@ -75,7 +75,7 @@ def test_amounts_are_never_rounded_on_load(spark):
 
 
 def test_duplicate_person_counts_once(spark):
-    from conftest import time_row
+    from star_rows import time_row
     from ledgerlens.operators import utilization as U
 
     star = make_star(spark, fct_time_entry=[time_row(day="2000-06-14")],
