@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ledgerlens.llm import embedding_dedup, exact_dedup, licenses, lm_scoring, mixing, near_dedup, packing, repeats, toxicity, warc
+from ledgerlens.llm import (
+    ann, divergence, embedding_dedup, exact_dedup, licenses, lm_scoring, mixing, near_dedup, packing, prefix_trie, repeats, toxicity, warc)
 from ledgerlens.llm.shared import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +79,10 @@ def _shipped(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     return {f.__name__: _shipped(f) for f in (
         op1_embedding_dedup, op2_substring_dedup, op3_mixing, op4_toxicity, op5_license_scan, op6_lm_scores,
-        op7_best_fit_packing, op8_exact_dedup, op9_minhash_dedup, op10_warc)} | {"pipeline": corpus_pipeline.run}
+        op7_best_fit_packing, op8_exact_dedup, op9_minhash_dedup, op10_warc,
+        op11_prefix_trie, op12_source_divergence, op13_nearest_neighbours)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL,
+            "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
