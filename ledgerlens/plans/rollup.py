@@ -14,12 +14,9 @@ the person and therefore reads the raw facts.
 
 Many as-of dates
 ----------------
-``series_sums`` computes conditional period sums for a list of as-of dates in one aggregate,
-globally or per group. Rows are first summed per day (and group), which is exact for the
-reasons above; then each day is placed (by a generator over the parameter list, not a
-join) at every as-of date whose two-year span contains it and once more at no date. The latter
-row counts a group's rows at all, so comparing it with the count in the span restores the
-``ELSE 0`` rule, and it lists the groups, each of which gets a row per date.
+``series_sums`` computes conditional period sums for a list of as-of dates, globally or per group, from running
+totals per day (``plans.running``): each period is the difference of two lookups. ``time_totals`` is
+the table of running totals to write next to the daily rollup; the series read it in place of the facts.
 """
 
 from __future__ import annotations
@@ -31,15 +28,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.params import apply_firm, as_of_date
-from ..functions.periods import PERIODS, PeriodWindows, iso_week_in_year
+from ..functions.periods import iso_week_in_year
 from ..operators import gauges as G
 from ..operators.measures import Measure
 from ..operators.snapshots import AR_OVER_60, RISK_TOP_K, ar_aging_columns, risk_lists
 from ..operators.utilization import staffed_levels
 from ..sources.star import StarSchema
+from .running import period_sums, running_totals
 
 GRAIN = ["member_firm_id", "service_line", "is_billable", "entry_date"]
 
@@ -59,18 +56,6 @@ def with_time_rollup(star: StarSchema, rollup: DataFrame | None = None) -> StarS
     return dataclasses.replace(star, fct_time_entry=rollup)
 
 
-def _windows_array(as_of_dates: Sequence[dt.date]):
-    structs = []
-    for a in as_of_dates:
-        w = PeriodWindows(a)
-        fields = [F.lit(a).alias("as_of"), F.lit(w.span()[0]).alias("span_lo")]
-        for p in PERIODS:
-            lo, hi = w.range(p)
-            fields += [F.lit(lo).alias(f"{p}_lo"), F.lit(hi).alias(f"{p}_hi")]
-        structs.append(F.struct(*fields))
-    return F.array(*structs)
-
-
 def series_sums(df: DataFrame, date_col: str, as_of_dates: Sequence[dt.date],
                 measures: Sequence[Measure], by: Sequence[str] = ()) -> DataFrame:
     """Conditional period sums of ``measures`` for every date in ``as_of_dates``.
@@ -78,42 +63,13 @@ def series_sums(df: DataFrame, date_col: str, as_of_dates: Sequence[dt.date],
     One row per as-of date (and group ``by``), equal to ``conditional_sums`` run once per date.
     The list is a parameter (its length is chosen by the caller, not the data).
     """
-    dates = sorted(set(as_of_dates))
-    d = F.col(date_col)
-    inputs = {f"_v{i}": m for i, m in enumerate({(m.value, m.coalesce): m for m in measures}.values())}
-    name_of = {(m.value, m.coalesce): n for n, m in inputs.items()}
-    per_day = df.groupBy(*by, date_col).agg(F.count(F.lit(1)).alias("_rows"),
-                                            *[F.sum(m.value_col()).alias(n) for n, m in inputs.items()])
-    windows = _windows_array(dates)
-    in_span = F.filter(windows, lambda s: (d >= s["span_lo"]) & (d <= s["as_of"]))
-    nowhere = F.transform(F.slice(windows, 1, 1), lambda s: F.lit(None).cast(windows_type(dates)))
-    placed = per_day.select(*by, date_col, "_rows", *inputs,
-                            F.explode(F.concat(in_span, nowhere)).alias("_w"))
-    cols = [F.sum(F.when(d.between(F.col(f"_w.{m.period}_lo"), F.col(f"_w.{m.period}_hi")),
-                         F.col(name_of[m.value, m.coalesce])).otherwise(F.lit(0))).alias(m.name)
-            for m in measures]
-    sums = placed.groupBy(*by, F.col("_w.as_of").alias("as_of")).agg(F.sum("_rows").alias("_rows"), *cols)
-    grid = F.explode(F.array(*[F.lit(a) for a in dates])).alias("as_of")
-    totals = sums.filter(F.col("as_of").isNull())
-    if by:
-        totals = totals.select(*by, F.col("_rows").alias("_all"))
-    else:  # without rows there is no total either, but still a row per date
-        totals = totals.agg(F.coalesce(F.max("_rows"), F.lit(0)).alias("_all"))
-    every = totals.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_all", grid)
-    same = reduce(lambda a, b: a & b,
-                  [every["as_of"] == sums["as_of"]]
-                  + [every[f"_by{i}"].eqNullSafe(sums[c]) for i, c in enumerate(by)])
-    joined = every.join(sums.filter(F.col("as_of").isNotNull()), same, "left")
-    outside = F.col("_all") > F.coalesce(F.col("_rows"), F.lit(0))
-    return joined.select(*[F.col(f"_by{i}").alias(c) for i, c in enumerate(by)], every["as_of"], *[
-        F.when(outside, F.coalesce(F.col(m.name), F.lit(0))).otherwise(F.col(m.name))
-        .alias(m.name) for m in measures])
-
-
-def windows_type(as_of_dates: Sequence[dt.date]) -> T.StructType:
-    """Type of one element of ``_windows_array``."""
-    names = ["as_of", "span_lo"] + [f"{p}_{end}" for p in PERIODS for end in ("lo", "hi")]
-    return T.StructType([T.StructField(n, T.DateType()) for n in names])
+    return period_sums(running_totals(df, date_col, measures, by), as_of_dates, measures, by)
+
+
+def time_totals(time_facts: DataFrame) -> DataFrame:
+    """Running totals of billable time per firm and service line, for the series of time gauges and service lines."""
+    return running_totals(time_facts.filter(F.col("is_billable")), "entry_date", G.TIME_MEASURES,
+                          ["member_firm_id", "service_line"])
 
 
 def _per_firm(star: StarSchema, series: DataFrame, dates: Sequence[dt.date]) -> DataFrame:
@@ -124,20 +80,27 @@ def _per_firm(star: StarSchema, series: DataFrame, dates: Sequence[dt.date]) ->
     return listed_firms(star).select(*BY, grid).join(series, [*BY, "as_of"], "left")
 
 
-def time_gauges_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
-                       firm: str | None = None, all_firms: bool = False) -> DataFrame:
+def _time_series(star: StarSchema, dates: Sequence[dt.date], measures: Sequence[Measure], by: Sequence[str],
+                 firm: str | None, totals: DataFrame | None) -> DataFrame:
+    if totals is None:
+        return series_sums(G.billable_time(star, firm), "entry_date", dates, measures, by)
+    return period_sums(apply_firm(totals, firm), dates, measures, by)
+
+
+def time_gauges_series(star: StarSchema, as_of_dates: Sequence[str | dt.date], firm: str | None = None,
+                       all_firms: bool = False, totals: DataFrame | None = None) -> DataFrame:
+    """``time_gauges`` for every date; ``totals`` is a written ``time_totals`` of the same facts."""
     dates = [as_of_date(a) for a in as_of_dates]
     by = ["member_firm_id"] if all_firms else []
-    out = series_sums(G.billable_time(star, firm), "entry_date", dates, G.TIME_MEASURES, by)
+    out = _time_series(star, dates, G.TIME_MEASURES, by, firm, totals)
     return _per_firm(star, out, dates) if all_firms else out
 
 
-def service_lines_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
-                         firm: str | None = None) -> DataFrame:
+def service_lines_series(star: StarSchema, as_of_dates: Sequence[str | dt.date], firm: str | None = None,
+                         totals: DataFrame | None = None) -> DataFrame:
     """``gauges.service_lines`` for every date: as_of, service_line and its measures."""
     dates = [as_of_date(a) for a in as_of_dates]
-    return series_sums(G.billable_time(star, firm), "entry_date", dates,
-                       G.SERVICE_LINE_MEASURES, ["service_line"])
+    return _time_series(star, dates, G.SERVICE_LINE_MEASURES, ["service_line"], firm, totals)
 
 
 def measures_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],

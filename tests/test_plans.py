@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import datetime as dt
 import io
 import re
 import uuid
@@ -11,6 +12,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.periods import PERIODS, PeriodWindows
 from ledgerlens.operators import gauges as G
 from ledgerlens.operators import snapshots as SN
 from ledgerlens.operators import utilization as U
@@ -122,10 +124,41 @@ def test_all_firms_gauges_scan_the_time_facts_once(spark):
     assert plan(AF.measures(star, AS_OF)).count("fct_time_entry]") == 1
 
 
-def test_series_sums_days_before_placing_them(star):
+def test_series_sum_days_before_the_running_totals(star):
     p = plan(RU.time_gauges_series(star, ["2000-06-16", "2000-06-23"]))
     tree = p[:p.index("(1) ")]
-    assert tree.index("Generate") < tree.rindex("HashAggregate")  # deeper nodes come later
+    assert tree.index("Generate") < tree.index("Window") < tree.rindex("HashAggregate")  # deeper nodes come later
+
+
+def test_series_make_a_row_per_group_and_bound(star):
+    """Rows that the generator of the lookups makes: groups x distinct bounds, whatever the days of the facts."""
+    from ledgerlens.plans import running
+
+    weeks = [dt.date(2000, 1, 7) + dt.timedelta(weeks=i) for i in range(52)]
+    totals = running.running_totals(star.fct_invoice, "invoice_date", G.INVOICE_MEASURES, ["member_firm_id"])
+    groups = star.fct_invoice.select("member_firm_id").distinct().count()
+    bounds = {d for a in weeks for p in PERIODS for lo, hi in [PeriodWindows(a).range(p)] for d in (lo - dt.timedelta(days=1), hi)}
+    out = running.period_sums(totals, weeks, G.INVOICE_MEASURES, ["member_firm_id"])
+    made = [int(n) for n in generated(out)]
+    assert len(made) == 2 and max(made) <= groups * (len(bounds) + 1) and min(made) <= groups * len(weeks)
+
+
+def generated(df) -> list[int]:
+    """Output rows of the generators of a plan that has run."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName() == "Generate":
+            found.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
 
 
 def test_a_day_with_half_of_the_rows_is_written_by_several_tasks(spark):
