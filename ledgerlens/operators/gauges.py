@@ -48,8 +48,8 @@ def billable_time(star: StarSchema, firm: str | None = None) -> DataFrame:
 
 
 def firms(star: StarSchema) -> DataFrame:
-    """Member firms that have time facts: id, and the id again as the name."""
-    f = (star.fct_time_entry
+    """Member firms that have time facts: id, and the id again as the name; from the date profile if there is one."""
+    f = (star.profiles.get("fct_time_entry", star.fct_time_entry)
          .filter(F.col("member_firm_id").isNotNull() & (F.col("member_firm_id") != ""))
          .select("member_firm_id").distinct())
     return (f.select("member_firm_id", F.col("member_firm_id").alias("member_firm_name"))

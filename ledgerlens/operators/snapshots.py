@@ -3,9 +3,9 @@
 ``latest_snapshot`` keeps the newest report date on or before the as-of date,
 chosen over the whole snapshot table (not per firm): a firm missing from that
 snapshot gets NULL sums or no risk rows, never an older snapshot of its own.
-The date is an uncorrelated scalar subquery; Spark runs it first and uses the
-result as a pushed equality filter, which prunes a ``report_date``-partitioned
-table to one partition.
+Where metadata lists the report dates (``StarSchema.report_dates``), the date is a literal and only its
+partition is opened. Else it is an uncorrelated scalar subquery; Spark runs it first and uses the
+result as a pushed equality filter.
 
 Bucket groups are added row-wise before summing (``SUM(a + b + ...)``), so a row
 with any NULL bucket drops out of that sum; buckets therefore need not add up to
@@ -18,7 +18,7 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.params import apply_firm, as_of_date
@@ -37,13 +37,22 @@ def row_sum(cols: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(c) for c in cols])
 
 
+def newest_report(dates: Sequence[dt.date], as_of: dt.date) -> dt.date | None:
+    """The newest of the report dates on or before ``as_of``."""
+    return max((d for d in dates if d <= as_of), default=None)
+
+
 def latest_report_date(snapshot: DataFrame, as_of: dt.date) -> Column:
     return (snapshot.filter(F.col("report_date") <= F.lit(as_of))
             .agg(F.max("report_date")).scalar())
 
 
-def latest_snapshot(snapshot: DataFrame, as_of: dt.date) -> DataFrame:
-    return snapshot.filter(F.col("report_date") == latest_report_date(snapshot, as_of))
+def latest_snapshot(star: StarSchema, table: str, as_of: dt.date) -> DataFrame:
+    """Rows of the newest report date on or before ``as_of`` (none without one)."""
+    snapshot, dates = getattr(star, table), star.report_dates.get(table)
+    if dates is None:
+        return snapshot.filter(F.col("report_date") == latest_report_date(snapshot, as_of))
+    return snapshot.filter(F.col("report_date") == F.lit(newest_report(dates, as_of)).cast("date"))
 
 
 def ar_aging_columns() -> list[Column]:
@@ -57,13 +66,13 @@ def ar_aging_columns() -> list[Column]:
 
 def ar_aging(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
              by: Sequence[str] = ()) -> DataFrame:
-    snap = apply_firm(latest_snapshot(star.fct_ar_aging_snapshot, as_of_date(as_of)), firm)
+    snap = apply_firm(latest_snapshot(star, "fct_ar_aging_snapshot", as_of_date(as_of)), firm)
     return snap.groupBy(*by).agg(*ar_aging_columns()) if by else snap.agg(*ar_aging_columns())
 
 
 def wip_aging(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
               by: Sequence[str] = ()) -> DataFrame:
-    snap = apply_firm(latest_snapshot(star.fct_wip_aging_snapshot, as_of_date(as_of)), firm)
+    snap = apply_firm(latest_snapshot(star, "fct_wip_aging_snapshot", as_of_date(as_of)), firm)
     cols = [F.sum("wip_0_30").alias("wip_0_30"),
             F.sum("wip_31_60").alias("wip_31_60"),
             F.sum("wip_61_90").alias("wip_61_90"),
@@ -74,7 +83,7 @@ def wip_aging(star: StarSchema, as_of: str | dt.date | None, firm: str | None =
 
 
 def risk_lists(snap: DataFrame, dim_client: DataFrame, buckets: Sequence[str], amount: str,
-               top: int, by: Sequence[str] = ()) -> DataFrame:
+               top: int, by: Sequence[str] = (), dropped: Observation | None = None) -> DataFrame:
     """Top ``top`` (client_name, partner_name) groups by the row-wise bucket sum.
 
     Groups are names, not keys: equal names with the same partner merge, and a
@@ -82,10 +91,22 @@ def risk_lists(snap: DataFrame, dim_client: DataFrame, buckets: Sequence[str], a
     per client key (partial aggregation, exact because SUM of per-key SUMs keeps
     the NULL-skipping rule), so the join to the client dimension carries at most
     one row per client instead of one per snapshot row.
+
+    ``dropped`` is told, when the list runs and at no further scan, what the inner join leaves out: ``facts`` and
+    ``amount`` of snapshot rows whose client is not in the dimension. A plan that Spark
+    proves empty observes nothing.
     """
-    per_client = snap.groupBy(*by, "client_key").agg(F.sum(row_sum(buckets)).alias("_amt"))
-    named = per_client.join(dim_client.select("client_key", "client_name", "partner_name"),
-                            "client_key")
+    per_client = snap.groupBy(*by, "client_key").agg(
+        F.count(F.lit(1)).alias("_facts"), F.sum(row_sum(buckets)).alias("_amt"))
+    names = dim_client.select("client_key", "client_name", "partner_name")
+    if dropped is None:
+        named = per_client.join(names, "client_key")
+    else:
+        unknown = F.col("_known").isNull()
+        named = (per_client.join(names.withColumn("_known", F.lit(True)), "client_key", "left")
+                 .observe(dropped, F.coalesce(F.sum(F.when(unknown, F.col("_facts"))), F.lit(0)).alias("facts"),
+                          F.coalesce(F.sum(F.when(unknown, F.col("_amt"))), F.lit(0)).alias("amount"))
+                 .filter("_known"))
     groups = (named.groupBy(*by, "client_name", "partner_name")
               .agg(F.sum("_amt").alias(amount))
               .filter(F.col(amount) > 0))
@@ -103,12 +124,12 @@ def risk_lists(snap: DataFrame, dim_client: DataFrame, buckets: Sequence[str], a
 
 
 def ar_risk(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
-            top: int = RISK_TOP_K, by: Sequence[str] = ()) -> DataFrame:
-    snap = apply_firm(latest_snapshot(star.fct_ar_aging_snapshot, as_of_date(as_of)), firm)
-    return risk_lists(snap, star.dim_client, AR_OVER_60, "ar_amount", top, by)
+            top: int = RISK_TOP_K, by: Sequence[str] = (), dropped: Observation | None = None) -> DataFrame:
+    snap = apply_firm(latest_snapshot(star, "fct_ar_aging_snapshot", as_of_date(as_of)), firm)
+    return risk_lists(snap, star.dim_client, AR_OVER_60, "ar_amount", top, by, dropped)
 
 
 def wip_risk(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
-             top: int = RISK_TOP_K, by: Sequence[str] = ()) -> DataFrame:
-    snap = apply_firm(latest_snapshot(star.fct_wip_aging_snapshot, as_of_date(as_of)), firm)
-    return risk_lists(snap, star.dim_client, WIP_OVER_60, "wip_amount", top, by)
+             top: int = RISK_TOP_K, by: Sequence[str] = (), dropped: Observation | None = None) -> DataFrame:
+    snap = apply_firm(latest_snapshot(star, "fct_wip_aging_snapshot", as_of_date(as_of)), firm)
+    return risk_lists(snap, star.dim_client, WIP_OVER_60, "wip_amount", top, by, dropped)

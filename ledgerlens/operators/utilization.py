@@ -21,7 +21,7 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.params import as_of_date
@@ -47,13 +47,33 @@ def staffed_levels(star: StarSchema) -> DataFrame:
 
 
 def utilization(star: StarSchema, as_of: str | dt.date | None, firm: str | None = None,
-                by: Sequence[str] = (), week_rule: str = "iso_week_in_year") -> DataFrame:
+                by: Sequence[str] = (), week_rule: str = "iso_week_in_year",
+                dropped: Observation | None = None) -> DataFrame:
+    """Headcount, hours and TVP per staff level in the week of the as-of date.
+
+    ``dropped`` is told, when the panel runs and at no further scan, what the inner join leaves out: ``facts``, ``hours`` and
+    ``tvp`` of time entries whose person is not in the dimension. A plan that Spark
+    proves empty observes nothing.
+    """
     t = as_of_date(as_of)
     week = billable_time(star, firm).filter(week_filter(t, week_rule))
     per_person = (week.groupBy(*by, "person_key")
-                  .agg(F.sum("hours").alias("hours"),
+                  .agg(F.count(F.lit(1)).alias("facts"), F.sum("hours").alias("hours"),
                        F.sum("production_amount").alias("tvp")))
-    joined = per_person.join(staffed_levels(star), "person_key")
+    return per_level(star, per_person, by, dropped)
+
+
+def per_level(star: StarSchema, per_person: DataFrame, by: Sequence[str] = (),
+              dropped: Observation | None = None) -> DataFrame:
+    """Headcount, hours and TVP per staff level from sums per person (``by``, person_key, facts, hours, tvp)."""
+    if dropped is None:
+        joined = per_person.join(staffed_levels(star), "person_key")
+    else:
+        known = star.dim_person.withColumn("_known", F.lit(True))
+        unknown = F.col("_known").isNull()
+        joined = (per_person.join(known, "person_key", "left")
+                  .observe(dropped, *[F.coalesce(F.sum(F.when(unknown, F.col(c))), F.lit(0)).alias(c) for c in ("facts", "hours", "tvp")])
+                  .filter(F.col("_known") & F.col("staff_level").isNotNull() & (F.col("staff_level") != "")))
     out = (joined.groupBy(*by, "staff_level", "staff_level_index")
            .agg(F.countDistinct("person_key").alias("headcount"),
                 F.sum("hours").alias("total_hours"),

@@ -29,6 +29,7 @@ from ..operators import gauges as G
 from ..operators import snapshots as SN
 from ..operators import utilization as U
 from ..operators.measures import measure_columns
+from ..session import written
 from ..sources.star import StarSchema
 from . import report as R
 
@@ -74,18 +75,24 @@ def cash_gauges(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     return _per_firm_row(star, G.cash_gauges(star, as_of, by=BY))
 
 
-def measures(star: StarSchema, as_of: str | dt.date | None, prune: bool | None = None) -> DataFrame:
-    """The 28 gauge sums of every listed firm; the firms are those of the time part, so the
-    list costs no scan of its own."""
-    time = time_gauges(star, as_of, prune).withColumn("_is_listed", F.lit(True))
-    parts = [time, G.invoice_gauges(star, as_of, by=BY, prune=prune),
-             G.cash_gauges(star, as_of, by=BY, prune=prune)]
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    """One row per firm of the first part: every other part has at most one row per firm and columns of its own."""
+    parts = [parts[0].withColumn("_is_listed", F.lit(True)), *parts[1:]]
     names = [c for p in parts for c in p.columns if c not in BY]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return (stacked.groupBy(*BY).agg(*[F.max(c).alias(c) for c in names])
             .filter("_is_listed").drop("_is_listed"))
 
 
+def measures(star: StarSchema, as_of: str | dt.date | None, prune: bool | None = None) -> DataFrame:
+    """The 28 gauge sums of every listed firm. The list of firms is one more part of the merge, not a
+    join: without pruning it is the time part itself, else the date profile (or the key column)."""
+    money = [G.invoice_gauges(star, as_of, by=BY, prune=prune), G.cash_gauges(star, as_of, by=BY, prune=prune)]
+    if prune or (prune is None and star.profiles):
+        return _merged([listed_firms(star), G.time_gauges(star, as_of, by=BY, prune=True), *money])
+    return _merged([time_gauges(star, as_of, prune=False), *money])
+
+
 def perf_table(star: StarSchema, as_of: str | dt.date | None,
                prune: bool | None = None) -> DataFrame:
     return R.perf_table(measures(star, as_of, prune), BY)
@@ -146,11 +153,13 @@ def wip_risk(star: StarSchema, as_of: str | dt.date | None, top: int = SN.RISK_T
     return _risk_for_listed(star, SN.wip_risk(star, as_of, top=top, by=BY), firms)
 
 
-def _risk_total(star: StarSchema, risk: DataFrame, amount: str) -> DataFrame:
+def _risk_total(star: StarSchema, risk: DataFrame, amount: str,
+                firms: DataFrame | None = None) -> DataFrame:
     """Per firm: items and total of its top-k list. A single-firm total over an
     empty list is (0, 0.0), so firms without at-risk clients get that row."""
     totals = R.risk_total(risk, amount, BY)
-    return (listed_firms(star).join(totals, BY, "left")
+    firms = listed_firms(star) if firms is None else firms
+    return (firms.join(totals, BY, "left")
             .select("member_firm_id", F.coalesce("items", F.lit(0)).alias("items"),
                     F.coalesce("total", F.lit(0.0)).alias("total")))
 
@@ -163,27 +172,72 @@ def wip_risk_total(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     return _risk_total(star, wip_risk(star, as_of), "wip_amount")
 
 
+# Numbers of the grouping sets of ``time_grains``: a bit per key (firm, service line, person), set if the set lacks it.
+FIRM_GRAIN, LINE_GRAIN, PERSON_GRAIN = 0b011, 0b001, 0b010
+
+
+def time_grains(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
+    """All that the page needs of the time facts, in one scan and one aggregate.
+
+    Grouping sets: per firm, per firm and service line, and per firm and person of the as-of date's
+    week. The billable test stands inside the sums; ``billable`` counts the rows that pass it, so
+    lines without one can be left out, and firms without one keep their NULLs.
+    """
+    t = as_of_date(as_of)
+    this_week = F.col("is_billable") & U.week_filter(t)
+    rows = (_listed(star.fct_time_entry)
+            .withColumn("_week", F.coalesce(this_week, F.lit(False)))
+            .withColumn("person", F.when(F.col("_week"), F.col("person_key"))))
+    sums = measure_columns("entry_date", PeriodWindows(t), G.TIME_MEASURES, F.col("is_billable"))
+    return (rows.groupingSets([["member_firm_id"], ["member_firm_id", "service_line"], ["member_firm_id", "person"]],
+                              "member_firm_id", "service_line", "person")
+            .agg(F.grouping_id().alias("grain"), F.count_if("is_billable").alias("billable"), *sums,
+                 F.sum(F.when(F.col("_week"), F.col("hours"))).alias("week_hours"),
+                 F.sum(F.when(F.col("_week"), F.col("production_amount"))).alias("week_tvp")))
+
+
+def _cut(grains: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three grains: gauges per firm, service lines per firm, hours per firm and person of the week."""
+    firm = grains.filter(F.col("grain") == FIRM_GRAIN).select(*BY, *[m.name for m in G.TIME_MEASURES])
+    lines = (grains.filter((F.col("grain") == LINE_GRAIN) & (F.col("billable") > 0))
+             .select(*BY, "service_line", *[m.name for m in G.SERVICE_LINE_MEASURES]))
+    people = (grains.filter((F.col("grain") == PERSON_GRAIN) & F.col("person").isNotNull())
+              .select(*BY, F.col("person").alias("person_key"), F.col("week_hours").alias("hours"), F.col("week_tvp").alias("tvp")))
+    return firm, lines, people
+
+
 def scorecard(star: StarSchema, as_of: str | dt.date | None,
-              time_rollup: DataFrame | None = None, firms: DataFrame | None = None,
-              firm_measures: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All panels for all listed firms; ``time_rollup`` as in ``report.scorecard``.
+              time_rollup: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All panels of the page for all listed firms.
 
-    The firm list and the 28 measures per firm feed several panels. Nothing is cached here; a
-    caller that runs the panels as separate jobs can pass ``listed_firms`` and ``measures``
-    that it has cached, and release them afterwards.
+    The time facts are scanned once (``time_grains``), invoices and receipts once, and each risk list is
+    computed once for the list and its total. What several panels read is written to the shared folder (rows
+    per firm, line, person of the week, or top-k), so panels can run as separate jobs without a cache.
+    ``time_rollup`` as in ``report.scorecard``: gauges and lines from the rollup, utilization from the facts.
     """
     from .rollup import with_time_rollup
 
     t = page_date(as_of)
-    gstar = star if time_rollup is None else with_time_rollup(star, time_rollup)
-    m = measures(gstar, t) if firm_measures is None else firm_measures
+    if time_rollup is None:
+        time, lines, people = _cut(written(time_grains(star, t), "time-grains"))
+        levels = U.per_level(star, people, BY)
+    else:
+        rolled = with_time_rollup(star, time_rollup)
+        time, lines, levels = time_gauges(rolled, t, prune=False), service_lines(rolled, t), utilization(star, t)
+    m = written(_merged([time, G.invoice_gauges(star, t, by=BY), G.cash_gauges(star, t, by=BY)]), "firm-measures")
+    firms = m.select(*BY)
+    wip, ar = (written(_risk_for_listed(star, risk(star, t, by=BY), firms), name)
+               for risk, name in ((SN.wip_risk, "wip-risk"), (SN.ar_risk, "ar-risk")))
     return {
-        "perf_table": R.perf_table(m, BY),
-        "gauges": R.gauges_table(m, BY),
         "tvp_summary": R.tvp_summary(m, BY),
-        "service_line_change": service_line_change(gstar, t),
-        "utilization_share": utilization_share(star, t),
+        "gauges": R.gauges_table(m, BY),
+        "perf_table": R.perf_table(m, BY),
+        "service_line_change": R.service_line_change(lines, BY),
+        "utilization": R.utilization_metrics(levels, BY),
+        "utilization_share": R.utilization_share(levels, BY),
         "ar_distribution": ar_distribution(star, t, firms),
-        "wip_risk": wip_risk(star, t, firms=firms),
-        "ar_risk": ar_risk(star, t, firms=firms),
+        "wip_risk": wip,
+        "wip_risk_total": _risk_total(star, wip, "wip_amount", firms),
+        "ar_risk": ar,
+        "ar_risk_total": _risk_total(star, ar, "ar_amount", firms),
     }

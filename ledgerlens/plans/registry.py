@@ -25,6 +25,7 @@ from ..operators import snapshots as SN
 from ..operators import utilization as U
 from ..sources.star import StarSchema, from_test_tables, with_null_bucket, without_firm
 from . import all_firms as AF
+from . import headcount as H
 from . import report as R
 from . import rollup as RU
 from .adhoc import adhoc
@@ -298,6 +299,15 @@ register("ar_aging_series", lambda: Q.ar_aging_series(SERIES))(
     lambda s: RU.ar_aging_series(s, SERIES))
 register("ar_risk_series", lambda: Q.ar_risk_series(SERIES))(
     lambda s: RU.ar_risk_series(s, SERIES))
+# utilization from bitmaps of people, and series from the written kind of running totals
+register("utilization_weekly_people", lambda: Q.utilization(YEAR_EDGE))(
+    lambda s: H.utilization(H.weekly_people(s), YEAR_EDGE))
+register("utilization_series_weekly_people", lambda: Q.utilization_series(SERIES))(
+    lambda s: H.utilization_series(H.weekly_people(s), SERIES))
+register("service_lines_series_totals", lambda: Q.service_lines_series(SERIES))(
+    lambda s: RU.service_lines_series(s, SERIES, totals=RU.time_totals(s.fct_time_entry)))
+register("time_gauges_series_totals", lambda: FQ.time_gauges_series(SERIES))(
+    lambda s: RU.time_gauges_series(s, SERIES, all_firms=True, totals=RU.time_totals(s.fct_time_entry)))
 # the page as one frame
 register("scorecard", lambda: PQ.scorecard(AS_OF))(
     lambda s: R.long_form(R.scorecard(s, AS_OF)))

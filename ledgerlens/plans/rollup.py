@@ -33,7 +33,7 @@ from ..functions.params import apply_firm, as_of_date
 from ..functions.periods import iso_week_in_year
 from ..operators import gauges as G
 from ..operators.measures import Measure
-from ..operators.snapshots import AR_OVER_60, RISK_TOP_K, ar_aging_columns, risk_lists
+from ..operators.snapshots import AR_OVER_60, RISK_TOP_K, ar_aging_columns, newest_report, risk_lists
 from ..operators.utilization import staffed_levels
 from ..sources.star import StarSchema
 from .running import period_sums, running_totals
@@ -146,22 +146,27 @@ def utilization_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
                  F.sum("hours").alias("total_hours"), F.sum("tvp").alias("total_tvp")))
 
 
-def _newest_reports(snapshot: DataFrame, dates: Sequence[dt.date]) -> DataFrame:
-    """as_of and the newest report date on or before it (NULL without one), in one aggregate."""
+def _newest_reports(star: StarSchema, table: str, dates: Sequence[dt.date]) -> tuple[DataFrame, DataFrame]:
+    """as_of and the newest report date on or before it (NULL without one), and the snapshot's rows of those dates."""
+    snapshot, known = getattr(star, table), star.report_dates.get(table)
+    if known is not None:
+        pairs = [(a, newest_report(known, a)) for a in dates]
+        newest = snapshot.sparkSession.createDataFrame(pairs, "as_of date, report_date date")
+        return newest, snapshot.filter(F.col("report_date").isin(sorted({d for _, d in pairs if d})))
     cols = [F.max(F.when(F.col("report_date") <= F.lit(a), F.col("report_date"))).alias(f"_d{i}")
             for i, a in enumerate(dates)]
     pairs = F.array(*[F.struct(F.lit(a).alias("as_of"), F.col(f"_d{i}").alias("report_date"))
                       for i, a in enumerate(dates)])
-    return snapshot.agg(*cols).select(F.explode(pairs).alias("_p")).select("_p.*")
+    newest = snapshot.agg(*cols).select(F.explode(pairs).alias("_p")).select("_p.*")
+    return newest, snapshot.join(newest.select("report_date").distinct(), "report_date", "left_semi")
 
 
 def ar_aging_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
                     firm: str | None = None) -> DataFrame:
-    """``ar_aging`` for every date, each with its own newest snapshot."""
+    """``ar_aging`` for every date, each with its own newest snapshot; other snapshots are not aggregated."""
     dates = sorted({as_of_date(a) for a in as_of_dates})
-    newest = _newest_reports(star.fct_ar_aging_snapshot, dates)
-    panels = (apply_firm(star.fct_ar_aging_snapshot, firm).groupBy("report_date")
-              .agg(*ar_aging_columns()))
+    newest, wanted = _newest_reports(star, "fct_ar_aging_snapshot", dates)
+    panels = apply_firm(wanted, firm).groupBy("report_date").agg(*ar_aging_columns())
     return newest.join(panels, "report_date", "left").drop("report_date")
 
 
@@ -169,9 +174,6 @@ def ar_risk_series(star: StarSchema, as_of_dates: Sequence[str | dt.date],
                    firm: str | None = None, top: int = RISK_TOP_K) -> DataFrame:
     """``ar_risk`` for every date: the top clients of its newest snapshot."""
     dates = sorted({as_of_date(a) for a in as_of_dates})
-    newest = _newest_reports(star.fct_ar_aging_snapshot, dates)
-    # only the report dates that are asked for
-    wanted = apply_firm(star.fct_ar_aging_snapshot, firm).join(
-        newest.select("report_date").distinct(), "report_date", "left_semi")
-    lists = risk_lists(wanted, star.dim_client, AR_OVER_60, "ar_amount", top, ["report_date"])
+    newest, wanted = _newest_reports(star, "fct_ar_aging_snapshot", dates)
+    lists = risk_lists(apply_firm(wanted, firm), star.dim_client, AR_OVER_60, "ar_amount", top, ["report_date"])
     return newest.join(lists, "report_date").drop("report_date")

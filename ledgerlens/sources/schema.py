@@ -90,6 +90,9 @@ PARTITION_COLUMNS = {
     "fct_ar_aging_snapshot": "report_date",
     "fct_wip_aging_snapshot": "report_date",
 }
+# Join keys that facts and dimensions are bucketed by in a catalog.
+BUCKET_KEYS = {"fct_time_entry": "person_key", "dim_person": "person_key", "fct_ar_aging_snapshot": "client_key",
+               "fct_wip_aging_snapshot": "client_key", "dim_client": "client_key"}
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

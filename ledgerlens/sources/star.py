@@ -13,16 +13,21 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import re
+import warnings
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import manifest as M
 from . import schema as S
 from .snapshots import aging_snapshot
 
 TABLES = list(S.STAR_SCHEMAS)
 PROFILES = "_date_profiles"
+REPORTS = "_report_dates"
 
 
 @dataclass
@@ -36,6 +41,8 @@ class StarSchema:
     dim_client: DataFrame
     # date profiles by table name, as written by ``materialize``
     profiles: dict[str, DataFrame] = field(default_factory=dict)
+    # report dates of the snapshots by table name, where metadata lists them (ascending)
+    report_dates: dict[str, list[dt.date]] = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: getattr(self, t) for t in TABLES}
@@ -51,16 +58,48 @@ class StarSchema:
     # -- constructors ------------------------------------------------------
     @classmethod
     def from_catalog(cls, spark: SparkSession, namespace: str) -> "StarSchema":
-        return cls(**{t: S.conform(spark.table(f"{namespace}.{t}"), S.STAR_SCHEMAS[t])
+        """Tables of a catalog namespace; dimension keys are checked, as duplicates would multiply facts."""
+        star = cls(**{t: S.conform(spark.table(f"{namespace}.{t}"), S.STAR_SCHEMAS[t])
                       for t in TABLES})
+        star.validate()
+        return star
+
+    def save_to_catalog(self, namespace: str, buckets: int = 64) -> "StarSchema":
+        """Write the tables into a catalog namespace, bucketed by the keys of their joins.
+
+        Facts and their dimension have the same buckets (time entries and people by person, snapshots and clients by
+        client), so the sums per person or client and the joins to the dimension need no exchange. Choose
+        ``buckets`` so that a bucket of the largest fact is a few hundred MB per report date or year.
+        """
+        self.validate()
+        for name, df in self.tables().items():
+            key = S.BUCKET_KEYS.get(name)
+            writer = df.repartition(buckets, key).write if key else df.write
+            if key:
+                writer = writer.bucketBy(buckets, key).sortBy(key)
+            writer.mode("overwrite").saveAsTable(f"{namespace}.{name}")
+        return StarSchema.from_catalog(self.fct_time_entry.sparkSession, namespace)
 
     @classmethod
     def from_path(cls, spark: SparkSession, root: str, profiles: bool = False) -> "StarSchema":
-        """Tables below ``root``; ``profiles`` if :meth:`materialize` wrote them there."""
-        star = cls(**{t: S.conform(spark.read.parquet(os.path.join(root, t)), S.STAR_SCHEMAS[t])
-                      for t in TABLES})
-        if profiles:
-            star.profiles = {t: spark.read.parquet(os.path.join(root, PROFILES, t)) for t in S.DATE_COLUMNS}
+        """Tables below ``root``.
+
+        ``profiles``: with what :meth:`materialize` wrote next to them. A profile or list of report dates
+        answers for its table only while the table has the files it was made from; else it is left out with a
+        warning, and queries scan the facts. Report dates then come from the partition listing.
+        """
+        star = cls(**{t: _stored(spark, root, t) for t in TABLES})
+        for t in S.PARTITION_COLUMNS if profiles else ():
+            if _trusted(spark, root, t):
+                dates = spark.read.parquet(os.path.join(root, REPORTS, t)).collect()  # one row per report date
+                star.report_dates[t] = sorted(r.report_date for r in dates)
+        for t in S.DATE_COLUMNS if profiles else ():
+            if _trusted(spark, root, t):
+                star.profiles[t] = spark.read.parquet(os.path.join(root, PROFILES, t))
+        for t in S.PARTITION_COLUMNS:
+            if t not in star.report_dates:
+                star.report_dates[t] = listed_report_dates(getattr(star, t))
+        star.report_dates = {t: dates for t, dates in star.report_dates.items() if dates}
         return star
 
     def materialize(self, root: str, mode: str = "overwrite") -> "StarSchema":
@@ -71,7 +110,8 @@ class StarSchema:
         ``PARTITION_COLUMNS``): the keys after the date let a day with very many rows go
         to several tasks. Dimension keys are checked first. Next to each transaction fact lies
         its date profile (rows per day, firm and billable flag), which lets period queries skip
-        the history. ``root`` should be a shared folder (see ``session.shared_path``); the
+        the history, next to each snapshot the list of its report dates, and next to both the manifest of the files they
+        were made from. ``root`` should be a shared folder (see ``session.shared_path``); the
         written tables also cut the lineage of the mapping joins, so a lost executor re-reads
         files instead of recomputing the star build.
         """
@@ -86,13 +126,42 @@ class StarSchema:
             if part:
                 writer = writer.partitionBy(part)
             writer.parquet(os.path.join(root, name))
-        written = StarSchema.from_path(spark, root)
+        written = StarSchema(**{t: _stored(spark, root, t) for t in TABLES})
         for name, date_col in S.DATE_COLUMNS.items():
-            (date_profile(getattr(written, name), date_col).repartition(1)  # one row per day, firm and flag
-             .write.mode(mode).parquet(os.path.join(root, PROFILES, name)))
+            profile = date_profile(getattr(written, name), date_col)
+            profile.hint("rebalance").write.mode(mode).parquet(os.path.join(root, PROFILES, name))
+        for name in S.PARTITION_COLUMNS:
+            dates = [(d,) for d in listed_report_dates(getattr(written, name))]
+            (spark.createDataFrame(dates, "report_date date").coalesce(1)  # a row per partition folder
+             .write.mode(mode).parquet(os.path.join(root, REPORTS, name)))
+        for name in [*S.DATE_COLUMNS, *S.PARTITION_COLUMNS]:
+            M.record(spark, os.path.join(root, name), os.path.join(root, M.MANIFESTS, name), mode)
         return StarSchema.from_path(spark, root, profiles=True)
 
 
+def _stored(spark: SparkSession, root: str, table: str) -> DataFrame:
+    path, schema = os.path.join(root, table), S.STAR_SCHEMAS[table]
+    try:
+        return S.conform(spark.read.parquet(path), schema)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.read.schema(schema).parquet(path)  # a partitioned table without rows has no file
+
+
+def _trusted(spark: SparkSession, root: str, table: str) -> bool:
+    if M.is_current(spark, os.path.join(root, table), os.path.join(root, M.MANIFESTS, table)):
+        return True
+    warnings.warn(f"{table} is not what its profile was made from; it is read without", stacklevel=3)
+    return False
+
+
+def listed_report_dates(snapshot: DataFrame) -> list[dt.date]:
+    """Report dates of a snapshot that is partitioned by them, from its file listing; no file is opened."""
+    found = {m[1] for f in snapshot.inputFiles() if (m := re.search(r"/report_date=(\d{4}-\d\d-\d\d)/", f))}
+    return sorted(dt.date.fromisoformat(d) for d in found)
+
+
 def date_profile(facts: DataFrame, date_col: str) -> DataFrame:
     """Rows per day, firm and (if there is one) billable flag of a transaction fact."""
     keys = [c for c in (date_col, "member_firm_id", "is_billable") if c in facts.columns]
@@ -278,7 +347,7 @@ def without_firm(star: StarSchema, firm: str, since: dt.date) -> StarSchema:
     """Edge input: a firm that stopped reporting, absent from snapshots since a date."""
     gone = (F.coalesce(F.col("member_firm_id") == firm, F.lit(False))
             & (F.col("report_date") >= F.lit(since)))
-    return replace(star, fct_ar_aging_snapshot=star.fct_ar_aging_snapshot.filter(~gone),
+    return replace(star, report_dates={}, fct_ar_aging_snapshot=star.fct_ar_aging_snapshot.filter(~gone),
                    fct_wip_aging_snapshot=star.fct_wip_aging_snapshot.filter(~gone))
 
 

@@ -15,21 +15,21 @@ FIRMS_CTE = ("f AS (SELECT DISTINCT member_firm_id FROM fct_time_entry "
              "WHERE member_firm_id IS NOT NULL AND member_firm_id != '')")
 
 
-def _grouped(cols: list[str], table: str, where: str) -> str:
+def _grouped(cols: list[str], table: str, where: str = "") -> str:
     return (f"SELECT t.member_firm_id,\n    " + ",\n    ".join(cols)
-            + f"\nFROM {table} t WHERE {where}\nGROUP BY t.member_firm_id")
+            + f"\nFROM {table} t {where}\nGROUP BY t.member_firm_id")
 
 
 def _tg(as_of: str) -> str:
-    return _grouped(Q.time_gauge_cols(as_of), "fct_time_entry", "t.is_billable = true")
+    return _grouped(Q.time_gauge_cols(as_of), "fct_time_entry", "WHERE t.is_billable = true")
 
 
 def _ig(as_of: str) -> str:
-    return _grouped(Q.invoice_gauge_cols(as_of), "fct_invoice", "1=1")
+    return _grouped(Q.invoice_gauge_cols(as_of), "fct_invoice")
 
 
 def _cg(as_of: str) -> str:
-    return _grouped(Q.cash_gauge_cols(as_of), "fct_cash_receipt", "1=1")
+    return _grouped(Q.cash_gauge_cols(as_of), "fct_cash_receipt")
 
 
 def time_gauges(as_of: str) -> str:

@@ -57,7 +57,9 @@ def scorecard(as_of: str, firm: str | None = None) -> str:
 
 def scorecard_all_firms(as_of: str) -> str:
     return _long({
-        "perf_table": FQ.perf_table(as_of), "gauges": FQ.gauges(as_of), "tvp_summary": FQ.tvp_summary(as_of),
-        "service_line_change": FQ.service_line_change(as_of), "utilization_share": FQ.utilization_share(as_of),
-        "ar_distribution": FQ.ar_distribution(as_of), "wip_risk": FQ.wip_risk(as_of), "ar_risk": FQ.ar_risk(as_of)},
+        "tvp_summary": FQ.tvp_summary(as_of), "gauges": FQ.gauges(as_of), "perf_table": FQ.perf_table(as_of),
+        "service_line_change": FQ.service_line_change(as_of), "utilization": FQ.utilization_metrics(as_of),
+        "utilization_share": FQ.utilization_share(as_of), "ar_distribution": FQ.ar_distribution(as_of),
+        "wip_risk": FQ.wip_risk(as_of), "wip_risk_total": FQ.risk_total("wip", as_of),
+        "ar_risk": FQ.ar_risk(as_of), "ar_risk_total": FQ.risk_total("ar", as_of)},
         ["member_firm_id"])

@@ -78,15 +78,35 @@ def test_year_edge_week_is_pushed_as_two_ranges(star):
     assert "GreaterThanOrEqual(entry_date,1997-12-29)" in p
 
 
-def test_latest_snapshot_prunes_partitions(star):
-    p = plan(SN.ar_aging(star, AS_OF))
-    # The newest report date is a subquery run first; its result prunes the
-    # report_date partitions of the outer scan, and the inner MAX reads only
-    # partitions up to the as-of date.
+def test_latest_snapshot_opens_the_chosen_date_only(star):
+    """The date comes from the list of report dates: a literal partition filter, no subquery."""
+    for df in (SN.ar_aging(star, AS_OF), SN.wip_risk(star, AS_OF)):
+        p = plan(df)
+        assert "Subquery" not in p
+        assert re.search(r"PartitionFilters: \[.*\(report_date#\d+ = 2000-03-31\)", p)
+    p = plan(RU.ar_aging_series(star, ["2000-06-16", "2000-06-23", "2001-01-05"]))
+    assert re.search(r"PartitionFilters: \[.*report_date#\d+ IN \(2000-03-31,2000-12-31\)", p)
+
+
+def test_without_a_list_the_newest_date_is_a_subquery_that_prunes(star):
+    from dataclasses import replace
+
+    p = plan(SN.ar_aging(replace(star, report_dates={}), AS_OF))
     assert re.search(r"PartitionFilters: \[.*\(report_date#\d+ = Subquery", p)
     assert re.search(r"PartitionFilters: \[.*\(report_date#\d+ <= 2000-06-16\)", p)
 
 
+def test_page_of_all_firms_scans_the_time_facts_once(star):
+    p = plan(AF.time_grains(star, AS_OF))
+    assert count_nodes(p, "Scan parquet") == 1 and count_nodes(p, "Expand") == 1
+    panels = AF.scorecard(star, AS_OF)
+    assert len(panels) == 11
+    for name, df in panels.items():
+        assert "fct_time_entry" not in plan(df), name
+        if "ar_distribution" not in name:
+            assert "fct_" not in plan(df), name
+
+
 def test_risk_is_bounded_top_k(star):
     assert "TakeOrderedAndProject" in plan(SN.ar_risk(star, AS_OF))
     p = plan(AF.ar_risk(star, AS_OF))

@@ -263,7 +263,9 @@ def test_all_firms_scorecard_panels_equal_standalone_queries(spark):
         "service_line_change": AF.service_line_change(star, AS_OF),
         "utilization_share": AF.utilization_share(star, AS_OF),
         "ar_distribution": AF.ar_distribution(star, AS_OF),
-        "wip_risk": AF.wip_risk(star, AS_OF), "ar_risk": AF.ar_risk(star, AS_OF)}
+        "utilization": R.utilization_metrics(AF.utilization(star, AS_OF), AF.BY),
+        "wip_risk": AF.wip_risk(star, AS_OF), "ar_risk": AF.ar_risk(star, AS_OF),
+        "wip_risk_total": AF.wip_risk_total(star, AS_OF), "ar_risk_total": AF.ar_risk_total(star, AS_OF)}
     assert set(panels) == set(standalone)
     for name, df in standalone.items():
         got = sorted(map(str, normalize(panels[name]).collect()))
