@@ -5,7 +5,7 @@
 2. Packing depends on the lengths alone, so it is decided on their histogram, which has at most ``CAPACITY``
    entries whatever the corpus: first the reduction permanently fixes sets that dominate every other set
    with their largest piece (a piece that fits with no other; a pair that fills a sequence; the
-   largest partner where no three pieces fit), then best-fit decreasing places what remains. The
+   largest partner where no three pieces fit; a set of three that covers every other pair where no four fit), then best-fit decreasing places what remains. The
    result is a list of patterns with multiplicities.
 3. Each piece gets its rank among the pieces of its length (two-level prefix sums, so a length that a third of all
    pieces have is many tasks), and the rank names the sequence and offset through the patterns.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,33 @@ def reduce_histogram(counts: dict[int, int], capacity: int) -> tuple[list[PATTER
                 break
         return out
 
+    def triple(big: int, partner: int, room: int) -> int | None:
+        """The third piece of a dominating set of three: at most two pieces fit with ``big``, ``partner`` is the largest that fits alone,
+        and every pair that fits has its smaller piece covered by the third (or all of it by the partner)."""
+        three = smallest(big, 3)
+        if len(three) == 3 and sum(three) <= room:
+            return None  # sets of four
+        free = {x: left[x] - (x == big) for x in lengths}
+        free[partner] -= 1
+        third = max((x for x in lengths if x <= room - partner and free[x] > 0), default=None)
+        if third is None:
+            return None
+        free[partner] += 1
+        for i, y in enumerate(lengths):  # y: the smaller piece of a pair, with the smallest partner at least as large
+            if not free[y] or 2 * y > room:
+                continue
+            x = y if free[y] > 1 else next((z for z in lengths[i + 1:] if free[z] > 0), None)
+            if x is not None and x + y <= room and y > third and largest_pair(free, i, y, room) > partner:
+                return None
+        return third
+
+    def largest_pair(free: dict[int, int], i: int, y: int, room: int) -> int:
+        """The largest total of a pair that fits and whose smaller piece is ``y``."""
+        for x in reversed(lengths[i + 1:]):
+            if free[x] and x + y <= room:
+                return x + y
+        return 2 * y
+
     changed = True
     while changed:
         changed = False
@@ -87,7 +115,17 @@ def reduce_histogram(counts: dict[int, int], capacity: int) -> tuple[list[PATTER
                 partner = lengths[at]
                 alone = len(least) < 2 or sum(least) > room  # no third piece fits with it
                 if partner != room and not alone:
-                    break
+                    third = triple(big, partner, room)
+                    if third is None:
+                        break
+                    members = Counter([big, partner, third])
+                    # decisions hang on which lengths there are, and which of them twice: alike until one runs out
+                    n = max(1, min((left[x] - 2) // m for x, m in members.items()))
+                    fixed.append((n, [big, partner, third]))
+                    for x, m in members.items():
+                        take(x, n * m)
+                    changed = True
+                    continue
                 n = left[big] // 2 if partner == big else min(left[big], left[partner])
                 fixed.append((n, [big, partner]))
                 take(big, n)

@@ -4,10 +4,16 @@ A text is cut at places where no token can cross whatever stands around them (be
 space or a line break between two visible characters, and before a full stop or comma after a letter), so
 its ids are those of its units, one after another. Units are found on the bytes with numpy; each
 distinct one is encoded by the ``tokenizers`` library and kept in a bounded cache of the worker process.
+
+Strings of the tokenizer's added tokens are taken for those tokens wherever a text holds them, as the file says. They
+are units of their own, and the text between them is cut like a row; a file whose added tokens also take the space
+around them, or look at a normalised text, has whole rows as units.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -64,7 +70,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer for t in added)
+        longest_first = sorted((t.content.encode() for t in added if t.content), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, longest_first))) if longest_first else None
         self.clear()
 
     def clear(self) -> None:
@@ -72,6 +81,26 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
+    def _units(self, data: np.ndarray, raw: bytes, at: np.ndarray) -> np.ndarray:
+        """Start of each unit of the rows that begin at ``at``."""
+        if not self.plain:
+            return np.unique(at[:-1])
+        spans, pos = [], 0
+        while self.added and (m := self.added.search(raw, pos)):
+            row = np.searchsorted(at, m.start(), "right")
+            if m.end() <= at[row]:
+                spans.append(m.span())
+                pos = m.end()
+            else:  # put together from two rows
+                pos = m.start() + 1
+        if not spans:
+            return unit_starts(data, at)
+        starts = unit_starts(data, np.union1d(at, np.ravel(spans)))
+        first, last = np.array(spans).T
+        around = np.searchsorted(first, starts, "left") - 1  # the last added token before each start
+        within = (around >= 0) & (starts < last[np.maximum(around, 0)])
+        return starts[~within]
+
     def _encode(self, units: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)]
 
@@ -108,10 +137,10 @@ class Encoder:
         data, at = flat(column)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        starts = unit_starts(data, at)
+        raw = data.tobytes()
+        starts = self._units(data, raw, at)
         starts = starts[starts < len(data)]
         ends = np.r_[starts[1:], len(data)]
-        raw = data.tobytes()
         first, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         short = np.flatnonzero(ends - starts <= LONG_UNIT)
         hashes = mix(rolling(_BYTE_CODE[data], starts[short], ends[short], 0))

@@ -321,7 +321,6 @@ def test_packing(spark, documents, edge_docs, no_docs):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(packing.default_tokenizer())
-    plain.encode_special_tokens = True
     rows = packing.packing(documents, with_ids=True).collect()
     by_doc: dict = {}
     bins: dict = {}
@@ -368,6 +367,60 @@ def test_packing_plan_places_every_piece_once():
             assert [a for a, _ in own] == list(np.cumsum([0, *[b for _, b in own]])[:-1])
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endof", "text|>", "end. <|endoftext|>,\n<|endoftext|> the", None,
+             "<|endoftext|<|endoftext|>", " <|endoftext|>" * 600]
+    rows = packing.packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, t in enumerate(texts):
+        ids = [x for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece) for x in r.ids]
+        assert ids == plain.encode(t or "", add_special_tokens=False).ids + [2]
+
+
+def exact_sequences(pieces: tuple[int, ...], capacity: int) -> int:
+    """Fewest sequences, by trying every place of every piece."""
+    best = [len(pieces)]
+
+    def put(i: int, rooms: list[int]) -> None:
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for j in {room: j for j, room in enumerate(rooms)}.values():
+            if rooms[j] >= pieces[i]:
+                put(i + 1, rooms[:j] + [rooms[j] - pieces[i]] + rooms[j + 1:])
+        put(i + 1, [*rooms, capacity - pieces[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_reduction_keeps_the_fewest_sequences():
+    rnd = np.random.default_rng(11)
+    threes = 0
+    for trial in range(400):
+        capacity = int(rnd.integers(10, 40))
+        low = capacity // 4 + 1 if trial % 2 else 1  # sets of four cannot fit, so sets of three are tried
+        pieces = rnd.integers(low, capacity + 1, int(rnd.integers(1, 9))).tolist()
+        if trial % 3 == 0:
+            pieces = [max(low, p // 2) for p in pieces]
+        fixed, rest = packing.reduce_histogram(dict(Counter(pieces)), capacity)
+        used = Counter(rest)
+        for n, members in fixed:
+            assert n > 0 and sum(members) <= capacity
+            threes += len(members) == 3
+            for x in members:
+                used[x] += n
+        assert used == Counter(pieces)
+        left = tuple(sorted((x for x, n in rest.items() for _ in range(n)), reverse=True))
+        assert sum(n for n, _ in fixed) + exact_sequences(left, capacity) == exact_sequences(tuple(sorted(pieces, reverse=True)), capacity), (pieces, capacity)
+    assert threes > 20
+
+
 def test_units_are_encoded_like_whole_texts():
     import random
 
@@ -376,7 +429,6 @@ def test_units_are_encoded_like_whole_texts():
     from ledgerlens.llm.tokens import Encoder
 
     plain = Tokenizer.from_file(packing.default_tokenizer())
-    plain.encode_special_tokens = True
     rnd = random.Random(1)
     alphabet = ["a", "b", "The", " ", "  ", "\n", "\n\n", ".", ",", "'s", "'", "1", "22", "é", "ß", " ", "中", "\t", "\r\n",
                 "!?", "-", "<|endoftext|>", "x" * 70, "👍", "\x7f", "\x01", " ", "　", "\x85"]
