@@ -144,19 +144,43 @@ def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
 def unique(docs: DataFrame, **bounds) -> DataFrame:
     """One row of ``docs`` for each distinct text: the one with the smallest id, unchanged.
 
-    The texts move only for joins with the (few) rows that go; rows that repeat both id and
-    text are reduced to one.
+    Texts that a filter over the repeated ones rules out pass straight through; only the others move, for
+    joins with the rows that go. Rows that repeat both id and text are reduced to one.
     """
     found = materialize(exact_dedup(docs, **bounds).where("group_size > 1"), "equal-texts")
     pair = [F.col("doc_id").alias("__equal_id"), F.col("text_sha256").alias("__equal_sha")]
     gone = found.where("NOT kept").select(*pair).distinct()
     twice = materialize(found.where("kept").select(*pair).groupBy("__equal_id", "__equal_sha").count().where("count > 1").drop("count"), "repeated-rows")
     here = F.col("doc_id").eqNullSafe(F.col("__equal_id")) & (F.col("__equal_digest") == F.col("__equal_sha"))
-    left = docs.withColumn("__equal_digest", text_digest()).join(gone, here, "left_anti")
-    if twice.isEmpty():
-        return left.drop("__equal_digest")
-    one = left.join(twice, here, "left_semi").dropDuplicates(["doc_id", "__equal_digest"])
-    return left.join(twice, here, "left_anti").unionByName(one).drop("__equal_digest")
+    rest, near = _by_filter(docs, found.select(F.xxhash64("text_sha256").alias("h")).distinct())
+    left = near.join(gone, here, "left_anti")
+    if not twice.isEmpty():
+        one = left.join(twice, here, "left_semi").dropDuplicates(["doc_id", "__equal_digest"])
+        left = left.join(twice, here, "left_anti").unionByName(one)
+    return rest.unionByName(left.drop("__equal_digest"))
+
+
+def _by_filter(docs: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows whose text is certainly not among ``hashes``, and the others, with their digest."""
+    hashes = materialize(hashes, "repeated-hashes")
+    cells, n = BLOCK_CELLS, hashes.count()
+    while cells < n * CELLS_PER_ROW and cells < MAX_CELLS:
+        cells *= 2
+    once, _ = build_filter(hashes, cells)
+    shared = docs.sparkSession.sparkContext.broadcast(once.tobytes())
+
+    def side(maybe: bool) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            plane = np.frombuffer(shared.value, np.uint8)
+            for batch in batches:
+                at = _cells(batch.column("__equal_h").to_numpy().view(np.uint64), cells).astype(np.int64)
+                hit = np.all((plane[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1, axis=0).astype(bool)
+                yield batch.filter(pa.array(hit == maybe))
+
+        return keyed.mapInArrow(keep, keyed.schema)
+
+    keyed = docs.withColumn("__equal_digest", text_digest()).withColumn("__equal_h", F.xxhash64("__equal_digest"))
+    return side(False).select(*docs.columns), side(True).drop("__equal_h")
 
 
 ORACLE_SQL = r"""
