@@ -28,6 +28,7 @@ targets are 0. Extra columns are passed on by :func:`mix`, whatever their names.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,15 +118,28 @@ def mix(docs: DataFrame, **rule) -> DataFrame:
 
     A document is repeated as often as it is taken. Texts stay whole: the one document of
     a source that its target cuts is taken if at least half of it is due. Every row has its own schedule, also
-    rows that repeat an id or have none: ``docs`` is written once with a key per row.
+    rows that repeat an id or have none: rows are named by their place in the stored table.
     """
-    keyed = materialize(docs.withColumn("__mix_key", F.monotonically_increasing_id()), "keyed")
+    keyed, key = _with_row_key(docs)
     copies = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
-    chosen = (_due(keyed, "__mix_key", **rule).where("size > 0").withColumn("n", copies).where("n > 0")
-              .select("__mix_key", F.slice("positions", F.lit(1), F.col("n")).alias("__mix_at")))
-    taken = keyed.join(materialize(chosen, "chosen"), "__mix_key")
-    return (taken.withColumn("__mix_position", F.explode("__mix_at")).orderBy("__mix_position", "doc_id", "__mix_key")
-            .drop("__mix_key", "__mix_at", "__mix_position"))
+    chosen = (_due(keyed, *key, **rule).where("size > 0").withColumn("n", copies).where("n > 0")
+              .select(*key, F.slice("positions", F.lit(1), F.col("n")).alias("__mix_at")))
+    taken = keyed.join(materialize(chosen, "chosen"), key)
+    return (taken.withColumn("__mix_position", F.explode("__mix_at")).orderBy("__mix_position", "doc_id", *key)
+            .drop(*key, "__mix_at", "__mix_position"))
+
+
+def _with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns that name each row, the same ones whenever it is read.
+
+    A stored table has them: the file and the row's place in it. Anything else is written once.
+    """
+    key = ["__mix_file", "__mix_row"]
+    try:
+        return docs.select("*", F.col("_metadata.file_path").alias(key[0]), F.col("_metadata.row_index").alias(key[1])), key
+    except AnalysisException:
+        keyed = docs.withColumn(key[0], F.lit("")).withColumn(key[1], F.monotonically_increasing_id())
+        return materialize(keyed, "keyed"), key
 
 
 ORACLE_SQL = r"""
