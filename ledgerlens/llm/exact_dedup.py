@@ -152,7 +152,7 @@ def unique(docs: DataFrame, **bounds) -> DataFrame:
     gone = found.where("NOT kept").select(*pair).distinct()
     twice = materialize(found.where("kept").select(*pair).groupBy("__equal_id", "__equal_sha").count().where("count > 1").drop("count"), "repeated-rows")
     here = F.col("doc_id").eqNullSafe(F.col("__equal_id")) & (F.col("__equal_digest") == F.col("__equal_sha"))
-    rest, near = _by_filter(docs, found.select(F.xxhash64("text_sha256").alias("h")).distinct())
+    rest, near = _by_filter(docs, found.select("text_sha256").distinct())
     left = near.join(gone, here, "left_anti")
     if not twice.isEmpty():
         one = left.join(twice, here, "left_semi").dropDuplicates(["doc_id", "__equal_digest"])
@@ -160,27 +160,26 @@ def unique(docs: DataFrame, **bounds) -> DataFrame:
     return rest.unionByName(left.drop("__equal_digest"))
 
 
-def _by_filter(docs: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` in two: rows whose text is certainly not among ``hashes``, and the others, with their digest."""
-    hashes = materialize(hashes, "repeated-hashes")
-    cells, n = BLOCK_CELLS, hashes.count()
+def _by_filter(docs: DataFrame, digests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows whose text is certainly not among ``digests``, and the others, with their digest.
+
+    The filter has one bit a cell in blocks of 4 KB, at most ``MAX_CELLS`` / 8 bytes in all, and is broadcast; texts stay in the scan.
+    """
+    digests = materialize(digests.withColumnRenamed("text_sha256", "__equal_digest"), "repeated-digests")
+    cells, n = BLOCK_CELLS, digests.count()
     while cells < n * CELLS_PER_ROW and cells < MAX_CELLS:
         cells *= 2
-    once, _ = build_filter(hashes, cells)
-    shared = docs.sparkSession.sparkContext.broadcast(once.tobytes())
-
-    def side(maybe: bool) -> DataFrame:
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            plane = np.frombuffer(shared.value, np.uint8)
-            for batch in batches:
-                at = _cells(batch.column("__equal_h").to_numpy().view(np.uint64), cells).astype(np.int64)
-                hit = np.all((plane[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1, axis=0).astype(bool)
-                yield batch.filter(pa.array(hit == maybe))
-
-        return keyed.mapInArrow(keep, keyed.schema)
-
-    keyed = docs.withColumn("__equal_digest", text_digest()).withColumn("__equal_h", F.xxhash64("__equal_digest"))
-    return side(False).select(*docs.columns), side(True).drop("__equal_h")
+    cell = F.pmod(F.xxhash64("__equal_digest"), F.lit(cells)) + 1
+    blocks = (digests.select(cell.alias("__equal_cell")).groupBy(F.bitmap_bucket_number("__equal_cell").alias("__equal_block"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__equal_cell")).alias("__equal_bits")))
+    keyed = (docs.withColumn("__equal_digest", text_digest()).withColumn("__equal_cell", cell)
+             .withColumn("__equal_at", F.bitmap_bit_position("__equal_cell"))
+             .withColumn("__equal_block", F.bitmap_bucket_number("__equal_cell")))
+    byte = "conv(hex(substring(__equal_bits, CAST(__equal_at div 8 AS INT) + 1, 1)), 16, 10)"
+    marked = (keyed.join(F.broadcast(blocks), "__equal_block", "left")
+              .withColumn("__equal_maybe", F.expr(f"coalesce(getbit(CAST({byte} AS INT), CAST(__equal_at % 8 AS INT)) = 1, false)")))
+    return (marked.where("NOT __equal_maybe").select(*docs.columns),
+            marked.where("__equal_maybe").select(*docs.columns, "__equal_digest"))
 
 
 ORACLE_SQL = r"""

@@ -171,3 +171,16 @@ def test_pipeline_whole_table_against_brute_force(spark):
     assert total == pytest.approx(1.5 * before, rel=0.05)
     packed = stages["best_fit_packing"](spark, mixed, SF).collect()
     assert sum(1 for r in packed if r.piece == 0) == mixed.count()
+
+
+def test_texts_that_are_alone_pass_the_filter(spark, edge_docs):
+    """The filter lets every repeated text through to the join, and few others."""
+    from ledgerlens.llm import exact_dedup
+
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 10 = 0, concat('twin ', id div 20), concat('alone ', id)) AS text", "id AS __x")
+    twins = docs.where("doc_id % 10 = 0").select(exact_dedup.text_digest().alias("text_sha256")).distinct()
+    rest, near = exact_dedup._by_filter(docs, twins)
+    assert near.where("doc_id % 10 = 0").count() == 300 and rest.count() + near.count() == 3000
+    assert near.count() < 300 + 2700 / 8 and rest.columns == docs.columns
+    kept = sorted(r.doc_id for r in exact_dedup.unique(docs).collect())
+    assert kept == [i for i in range(3000) if i % 20 != 10]
