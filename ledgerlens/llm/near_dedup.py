@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import exchange as X
 from ledgerlens.llm.components import components
-from ledgerlens.llm.shared import materialize, slices
+from ledgerlens.llm.shared import materialize, slices, small_batches
 from ledgerlens.llm.words import mix, windows, words
 
 SHINGLE = 5
@@ -423,6 +423,7 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> Data
 
 def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group of near-duplicates, unchanged."""
+    small_batches(docs.sparkSession)
     gone = (near_dedup(docs, width, percent).where("doc_id IS NOT NULL")
             .groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__gone")))
     return docs.join(materialize(gone, "near-copies"), docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import materialize, running_sum, slices
+from ledgerlens.llm.shared import materialize, running_sum, slices, small_batches
 from ledgerlens.llm.tokens import Encoder
 
 CAPACITY = 1024
@@ -211,6 +211,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
 def packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
+    small_batches(docs.sparkSession)
     cut_up = materialize(pieces(docs, tokenizer, capacity, with_ids), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     fixed, rest = reduce_histogram(counts, capacity)

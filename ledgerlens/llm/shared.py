@@ -56,6 +56,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         yield batch.slice(first)
 
 
+#: Bytes of one Arrow batch of texts.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands texts to Python in Arrow batches of about ``BATCH_BYTES``.
+
+    Spark's default is 64 MB, held by the executor and by the worker at once, for every running task. A longer
+    text is a batch of its own; results do not depend on batches.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
                 rows_per_block: int = 4_000) -> DataFrame:
     """Add ``out``: the sum of ``value`` over earlier rows of the same ``keys`` in ``order``.

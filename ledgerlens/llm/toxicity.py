@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import slices
+from ledgerlens.llm.shared import slices, small_batches
 from ledgerlens.llm.words import ALPHANUMERIC, Words, mix, rolling, words, _BYTE_CODE
 
 FOLDS = 5
@@ -359,6 +359,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, **bounds) -
 
 def clean(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, unchanged; no shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **bounds))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
