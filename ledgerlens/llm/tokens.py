@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from ledgerlens.llm.words import _BYTE_CODE, flat, mix, rolling
 
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 400_000
 LONG_UNIT = 64  # longer units are encoded each time
 
 _VISIBLE = np.zeros(256, bool)

@@ -38,7 +38,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64; kept up to a few MB."""
+    """base ** 0 .. base ** n modulo 2 ** 64; kept up to 8 MB, as idle workers hold on to it."""
     base &= 0xFFFFFFFFFFFFFFFF
     have = _powers.get(base)
     if have is None or len(have) <= n:
@@ -46,7 +46,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 9 << 20:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[:n + 1]
 
