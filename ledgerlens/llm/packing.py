@@ -189,7 +189,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             ids, bounds = encoder.rows(batch.column("text"))
             row, piece, start, length, crc, own = [], [], [], [], [], []
             for r in range(batch.num_rows):

@@ -21,6 +21,7 @@ from ledgerlens.llm.words import _BYTE_CODE, flat, mix, rolling
 
 CACHE_UNITS = 400_000
 LONG_UNIT = 64  # longer units are encoded each time
+ENCODED_AT_ONCE = 2_000  # units; an encoding takes some hundred times the memory of its ids
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -104,15 +105,20 @@ class Encoder:
     def _encode(self, units: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)]
 
-    def _store(self, encoded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        n = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(n.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        first = self.used + np.cumsum(n) - n
-        self.ids[self.used:self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
-        self.used += total
-        return first, n
+    def _store(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """First id and number of ids of each unit, encoded and kept."""
+        n = np.zeros(len(units), np.int64)
+        begin = self.used
+        for lo in range(0, len(units), ENCODED_AT_ONCE):
+            encoded = self._encode(units[lo:lo + ENCODED_AT_ONCE])
+            own = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            total = int(own.sum())
+            while self.used + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+            self.ids[self.used:self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
+            n[lo:lo + len(encoded)] = own
+            self.used += total
+        return begin + np.cumsum(n) - n, n
 
     def _lookup(self, keys: np.ndarray, units) -> tuple[np.ndarray, np.ndarray]:
         first, n = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
@@ -122,7 +128,7 @@ class Encoder:
             first[hit], n[hit] = at[slot[hit]], count[slot[hit]]
         missing = np.flatnonzero(n < 0)
         if len(missing):
-            first[missing], n[missing] = self._store(self._encode([units(i) for i in missing]))
+            first[missing], n[missing] = self._store([units(i) for i in missing])
             self.known.append((keys[missing], first[missing], n[missing]))
             while len(self.known) > 1 and len(self.known[-2][0]) < 2 * len(self.known[-1][0]):
                 both = [np.concatenate(x) for x in zip(*self.known[-2:], strict=True)]
@@ -151,7 +157,7 @@ class Encoder:
         long = np.flatnonzero(ends - starts > LONG_UNIT)
         mark = self.used
         if len(long):
-            first[long], n[long] = self._store(self._encode([raw[starts[i]:ends[i]] for i in long]))
+            first[long], n[long] = self._store([raw[starts[i]:ends[i]] for i in long])
         total = np.cumsum(n)
         out = self.ids[np.arange(total[-1]) - np.repeat(total - n - first, n)]
         self.used = mark  # the long ones are not kept
