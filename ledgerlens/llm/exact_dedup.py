@@ -6,11 +6,11 @@ so a row with a smaller cell is certainly alone and passes straight through. Onl
 other rows (true repeats and the filter's false positives) shuffle, as (digest, id) without their
 texts, and are grouped exactly. A false positive costs a shuffled row, never a wrong result.
 
-The filter is built per task, merged in Spark over two levels (cell blocks x shards of tasks, then
-cell blocks), and broadcast. It has 16 cells of two bits per row and at most ``max_cells``
-cells, so what is broadcast is at most ``max_cells / 4`` bytes (64 MB by default). Beyond
-about ``max_cells / 16`` rows the filter fills up and more rows shuffle; the rows returned
-stay the same.
+A filter is built per task as lists of cells, merged in Spark over two levels (cell blocks x shards of tasks, then
+cell blocks), and the plane that tells repeats is broadcast. It has 16 cells per row and at most ``max_cells``
+cells, so what the driver holds is at most ``max_cells / 4`` bytes (64 MB by default) and what is broadcast half of that. More rows than
+that suits are dealt to ranges by another hash of the digest, and each range has a filter of its own, one after another:
+rows that are alone pass straight through whatever the size of the corpus.
 
 Defined cases: a null text counts as empty, so null and empty texts are equal. Rows that share both
 ``doc_id`` and text are one document: each gets ``kept`` = true if the document stays. A null
@@ -20,6 +20,7 @@ An empty table gives no rows. Extra columns of the input are not looked at.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import SPACE_CLASS, materialize
+from ledgerlens.llm.shared import SPACE_CLASS, materialize, settled
 
 PROBES = 4
 CELLS_PER_ROW = 16
@@ -49,6 +50,17 @@ def _cells(hashes: np.ndarray, cells: int) -> np.ndarray:
     return np.stack([(low + np.uint64(i) * high) & np.uint64(cells - 1) for i in range(PROBES)])
 
 
+def _gather(once: list[bytes], twice: list[bytes]) -> tuple[bytes, bytes]:
+    """The two bit planes of a block, from lists of the cells that tasks saw, and saw more than once."""
+    a, b = np.zeros(BLOCK_CELLS, bool), np.zeros(BLOCK_CELLS, bool)
+    for x, y in zip(once, twice, strict=True):
+        x = np.frombuffer(x, "<u2")
+        b[x[a[x]]] = True
+        b[np.frombuffer(y, "<u2")] = True
+        a[x] = True
+    return np.packbits(a).tobytes(), np.packbits(b).tobytes()
+
+
 def _merge(once: list[bytes], twice: list[bytes]) -> tuple[bytes, bytes]:
     """Saturating sum of two-bit cells held as two bit planes."""
     a, b = np.zeros(BLOCK_CELLS // 8, np.uint8), np.zeros(BLOCK_CELLS // 8, np.uint8)
@@ -77,27 +89,27 @@ def build_filter(hashes: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]
             block = (cell // np.uint64(BLOCK_CELLS)).astype(np.int64)
             bounds = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                inside = (cell[lo:hi] % np.uint64(BLOCK_CELLS)).astype(np.int64)
-                a, b = np.zeros(BLOCK_CELLS, bool), np.zeros(BLOCK_CELLS, bool)
-                a[inside] = True
-                b[inside[n[lo:hi] > 1]] = True
+                inside = (cell[lo:hi] % np.uint64(BLOCK_CELLS)).astype("<u2")
                 rows["block"].append(int(block[lo]))
                 rows["shard"].append(shard)
-                rows["once"].append(np.packbits(a).tobytes())
-                rows["twice"].append(np.packbits(b).tobytes())
+                rows["once"].append(inside.tobytes())
+                rows["twice"].append(inside[n[lo:hi] > 1].tobytes())
             yield pa.RecordBatch.from_pydict(rows, pa.schema([
                 ("block", pa.int32()), ("shard", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
 
-    def merge(pdf):
-        import pandas as pd
+    def joined(planes):
+        def merge(pdf):
+            import pandas as pd
 
-        a, b = _merge(list(pdf["once"]), list(pdf["twice"]))
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "shard": [pdf["shard"].iloc[0]],
-                             "once": [a], "twice": [b]})
+            a, b = planes(list(pdf["once"]), list(pdf["twice"]))
+            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "shard": [pdf["shard"].iloc[0]],
+                                 "once": [a], "twice": [b]})
+
+        return merge
 
     merged = (hashes.select("h").mapInArrow(count, schema)
-              .groupBy("block", "shard").applyInPandas(merge, schema)
-              .withColumn("shard", F.lit(0)).groupBy("block").applyInPandas(merge, schema))
+              .groupBy("block", "shard").applyInPandas(joined(_gather), schema)
+              .withColumn("shard", F.lit(0)).groupBy("block").applyInPandas(joined(_merge), schema))
     once, twice = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
     width = BLOCK_CELLS // 8
     for row in merged.collect():  # cells / 4 bytes at most
@@ -106,17 +118,18 @@ def build_filter(hashes: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]
     return once, twice
 
 
-def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
-    """Return doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
-    spark = docs.sparkSession
-    digests = materialize(docs.select("doc_id", text_digest().alias("text_sha256"))
-                          .withColumn("h", F.xxhash64("text_sha256")), "digests")
+def filter_size(rows: int, max_cells: int) -> tuple[int, int]:
+    """Cells of one filter (a power of two), and number of filters, for so many rows."""
     cells = BLOCK_CELLS
-    n = digests.count()
-    while cells < n * CELLS_PER_ROW and cells < max_cells:
+    while cells < rows * CELLS_PER_ROW and cells * 2 <= max_cells:
         cells *= 2
-    _, twice = build_filter(digests, cells)
-    shared = spark.sparkContext.broadcast(twice.tobytes())
+    return cells, max(1, -(-rows * CELLS_PER_ROW // (2 * cells)))
+
+
+def _probed(hashed: DataFrame, cells: int) -> DataFrame:
+    """The rows of ``hashed`` with ``maybe``: false if no other row of it has the same hash."""
+    _, twice = build_filter(hashed, cells)
+    shared = hashed.sparkSession.sparkContext.broadcast(twice.tobytes())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane = np.frombuffer(shared.value, np.uint8)
@@ -127,8 +140,29 @@ def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
                 [batch.column("doc_id"), batch.column("text_sha256"), pa.array(hit)],
                 names=["doc_id", "text_sha256", "maybe"])
 
-    id_type = digests.schema["doc_id"].dataType.simpleString()
-    probed = materialize(digests.mapInArrow(probe, f"doc_id {id_type}, text_sha256 string, maybe boolean"), "probed")
+    id_type = hashed.schema["doc_id"].dataType.simpleString()
+    out = hashed.select("doc_id", "text_sha256", "h").mapInArrow(probe, f"doc_id {id_type}, text_sha256 string, maybe boolean")
+    out = materialize(out, "probed")
+    shared.destroy()
+    return out
+
+
+def _in_ranges(docs: DataFrame, max_cells: int) -> DataFrame:
+    """doc_id, text_sha256 and ``maybe`` of every row, one filter per range of digests."""
+    digests = materialize(docs.select("doc_id", text_digest().alias("text_sha256"))
+                          .withColumn("h", F.xxhash64("text_sha256")), "digests")
+    cells, ranges = filter_size(digests.count(), max_cells)
+    if ranges == 1:
+        return _probed(digests, cells)
+    # sorted inside each file, so that a range reads its own pages only; nothing shuffles
+    part = F.pmod(F.crc32(F.col("text_sha256").cast("binary")), F.lit(ranges)).cast("int")
+    dealt = materialize(digests.withColumn("part", part).sortWithinPartitions("part"), "digest-ranges")
+    return functools.reduce(DataFrame.unionByName, [_probed(dealt.where(F.col("part") == r), cells) for r in range(ranges)])
+
+
+def exact_dedup(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Return doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
+    probed = _in_ranges(docs, max_cells)
     maybe = probed.where("maybe").drop("maybe")
     # a table of its own, so that both sides of the join are plain exchanges and a hot key can be split
     groups = materialize(maybe.groupBy("text_sha256")
@@ -147,7 +181,7 @@ def unique(docs: DataFrame, **bounds) -> DataFrame:
     Texts that a filter over the repeated ones rules out pass straight through; only the others move, for
     joins with the rows that go. Rows that repeat both id and text are reduced to one.
     """
-    found = materialize(exact_dedup(docs, **bounds).where("group_size > 1"), "equal-texts")
+    found = settled(lambda: exact_dedup(docs, **bounds).where("group_size > 1"), "equal-texts")
     pair = [F.col("doc_id").alias("__equal_id"), F.col("text_sha256").alias("__equal_sha")]
     gone = found.where("NOT kept").select(*pair).distinct()
     twice = materialize(found.where("kept").select(*pair).groupBy("__equal_id", "__equal_sha").count().where("count > 1").drop("count"), "repeated-rows")

@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import SPACE_CLASS, materialize, running_sum
+from ledgerlens.llm.shared import SPACE_CLASS, materialize, running_sum, settled
 
 WEIGHTS = (3, 1, 2)
 SLOPES = (-0.5, 0.5, 0.0)
@@ -122,9 +122,9 @@ def mix(docs: DataFrame, **rule) -> DataFrame:
     """
     keyed, key = _with_row_key(docs)
     copies = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
-    chosen = (_due(keyed, *key, **rule).where("size > 0").withColumn("n", copies).where("n > 0")
-              .select(*key, F.slice("positions", F.lit(1), F.col("n")).alias("__mix_at")))
-    taken = keyed.join(materialize(chosen, "chosen"), key)
+    chosen = settled(lambda: _due(keyed, *key, **rule).where("size > 0").withColumn("n", copies).where("n > 0")
+                     .select(*key, F.slice("positions", F.lit(1), F.col("n")).alias("__mix_at")), "chosen")
+    taken = keyed.join(chosen, key)
     return (taken.withColumn("__mix_position", F.explode("__mix_at")).orderBy("__mix_position", "doc_id", *key)
             .drop(*key, "__mix_at", "__mix_position"))
 

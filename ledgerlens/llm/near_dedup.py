@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import exchange as X
 from ledgerlens.llm.components import components
-from ledgerlens.llm.shared import materialize, slices, small_batches
+from ledgerlens.llm.shared import materialize, settled, slices, small_batches
 from ledgerlens.llm.words import mix, windows, words
 
 SHINGLE = 5
@@ -390,18 +390,18 @@ def near_links(docs: DataFrame, posted: DataFrame, width: int, percent: int, id_
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     members = set_members(docs, wanted, width, id_type)
     links = confirm(pairs, members, percent, id_type)
-    found = materialize(components(links), "components")
+    found = settled(lambda: components(links), "components")
 
     named = materialize(posted.join(found.withColumnRenamed("node", "doc"), "doc", "left")
                         .withColumn("component", F.coalesce("component", "doc")), "named-postings")
-    clusters = materialize(components(compare_lists(named, id_type, True, matches(percent))), "candidate-clusters")
+    clusters = settled(lambda: components(compare_lists(named, id_type, True, matches(percent))), "candidate-clusters")
     if clusters.isEmpty():
         return found
     inside = named.select("doc", "component").distinct().join(clusters.select(F.col("node").alias("component")), "component", "left_semi")
     more = materialize(inside.select(F.col("doc").alias("id")).join(members.select("id"), "id", "left_anti"), "wanted")
     members = members.unionByName(set_members(docs, more, width, id_type))
     late = links_within(named, clusters, members, percent, id_type)
-    return found if late.isEmpty() else materialize(components(links.unionByName(late)), "components")
+    return found if late.isEmpty() else settled(lambda: components(links.unionByName(late)), "components")
 
 
 def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -424,6 +424,6 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> Data
 def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group of near-duplicates, unchanged."""
     small_batches(docs.sparkSession)
-    gone = (near_dedup(docs, width, percent).where("doc_id IS NOT NULL")
-            .groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__gone")))
-    return docs.join(materialize(gone, "near-copies"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = settled(lambda: near_dedup(docs, width, percent).where("doc_id IS NOT NULL")
+                   .groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__gone")), "near-copies")
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,9 +32,43 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     path = shared_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", compression).parquet(path)
+    if getattr(_open, "scopes", None):
+        _open.scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open = threading.local()
+
+
+def settled(make: Callable[[], DataFrame], name: str, compression: str = "zstd") -> DataFrame:
+    """The rows of ``make()`` as a table of their own; the intermediate tables written on the way are deleted.
+
+    Only tables that :func:`materialize` writes while ``make`` runs are deleted, once the result is whole, so
+    nothing that is still to be read, or to be made again after a lost executor, needs them.
+    """
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        out = make()
+        passed = list(scopes[-1])
+        kept = materialize(out, name, compression)
+        remove(out.sparkSession, passed)
+        scopes[-1] = scopes[-1][len(passed):]
+        return kept
+    finally:
+        left = scopes.pop()
+        if scopes:  # an enclosing scope deletes them in its turn
+            scopes[-1].extend(left)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder, by the file system that holds them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ledgerlens.llm import components, embedding_dedup, queries, warc
+from ledgerlens.llm import components, embedding_dedup, queries, shared, warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -147,25 +147,25 @@ def test_pipeline(spark, edge_docs, no_docs):
             out = stage(spark, given, SF)
             if n != names[-1]:
                 assert out.columns == docs.columns
-            given = corpus_pipeline.materialize(out, "test-stage")
+            given = shared.materialize(out, "test-stage")
         assert (given.count() > 0) == (docs is edge_docs)
 
 
 def test_pipeline_whole_table_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
-    clean = corpus_pipeline.materialize(stages["toxicity"](spark, docs, SF), "test-stage")
+    clean = shared.materialize(stages["toxicity"](spark, docs, SF), "test-stage")
     texts = {r.doc_id: r.text for r in clean.collect()}
     first: dict = {}
     for i in sorted(texts):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i] or ""), i)
-    distinct = corpus_pipeline.materialize(stages["exact_dedup"](spark, clean, SF), "test-stage")
+    distinct = shared.materialize(stages["exact_dedup"](spark, clean, SF), "test-stage")
     assert {r.doc_id for r in distinct.collect()} == set(first.values())
     sets = {i: brute.shingles(texts[i], 5) for i in first.values()}
     root = brute.smallest_reachable(sets, brute.near_links(sets))
-    apart = corpus_pipeline.materialize(stages["minhash_near_dedup"](spark, distinct, SF), "test-stage")
+    apart = shared.materialize(stages["minhash_near_dedup"](spark, distinct, SF), "test-stage")
     assert {r.doc_id for r in apart.collect()} == {i for i in sets if root[i] == i}
-    mixed = corpus_pipeline.materialize(stages["mixing"](spark, apart, SF), "test-stage")
+    mixed = shared.materialize(stages["mixing"](spark, apart, SF), "test-stage")
     total = sum(len(brute.space_words(r.text)) for r in mixed.collect())
     before = sum(len(brute.space_words(r.text)) for r in apart.collect())
     assert total == pytest.approx(1.5 * before, rel=0.05)

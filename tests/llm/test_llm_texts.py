@@ -40,7 +40,6 @@ def check_exact(rows, out):
 
 def test_exact_dedup_edges(edge_docs, edge_rows, no_docs):
     check_exact(edge_rows, exact_dedup.exact_dedup(edge_docs))
-    # a filter that is full lets every row shuffle, and changes nothing
     check_exact(edge_rows, exact_dedup.exact_dedup(edge_docs, max_cells=1))
     assert exact_dedup.exact_dedup(no_docs).count() == 0
 
@@ -53,6 +52,36 @@ def test_bloom_filter_counts_saturate_at_two(spark):
     assert hit.tolist() == [True, False]
 
 
+def test_filters_per_range_keep_rows_that_are_alone_from_the_shuffle(spark):
+    """More rows than one filter holds: several filters, few false positives, the same rows."""
+    rows = [(i, f"text {i % 17000}") for i in range(20000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cells = exact_dedup.BLOCK_CELLS
+    assert exact_dedup.filter_size(len(rows), cells) == (cells, 3) and exact_dedup.filter_size(0, cells) == (cells, 1)
+    assert exact_dedup.filter_size(10 ** 9, exact_dedup.MAX_CELLS) == (1 << 28, 30)
+    probed = exact_dedup._in_ranges(docs, cells)
+    assert probed.count() == len(rows)
+    assert 6000 <= probed.where("maybe").count() <= 8500 and probed.where("NOT maybe").join(docs.where("doc_id < 3000 OR doc_id >= 17000"), "doc_id").isEmpty()
+    check_exact(rows, exact_dedup.exact_dedup(docs, max_cells=cells))
+
+
+def test_settled_deletes_what_it_passed_over(spark):
+    import os
+
+    from ledgerlens.llm import shared
+
+    inner = []
+
+    def make():
+        inner.append(shared.materialize(spark.range(5), "inner"))
+        return shared.settled(lambda: shared.materialize(inner[0].where("id > 1"), "innermost"), "middle")
+
+    out = shared.settled(make, "outer")
+    assert sorted(r.id for r in out.collect()) == [2, 3, 4] and all(os.path.exists(f.removeprefix("file:")) for f in out.inputFiles())
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in inner[0].inputFiles())
+    assert not shared._open.scopes
+
+
 def test_unique_keeps_one_row_of_each_text(edge_docs, no_docs):
     out = exact_dedup.unique(edge_docs)
     assert out.columns == edge_docs.columns
