@@ -5,8 +5,8 @@ whole documents, the first by CRC-32 of the id), from the training fold only:
 
 1. words of the sample are labelled: in a toxic document, a word (or its beginning) is toxic if the
    smoothed share of toxic documents among those that hold it is at least ``WORD_SHARE``, at the label
-   frequencies of all training rows, and at least ``WORD_SUPPORT`` of the toxic ones hold it; every
-   other word is clean;
+   frequencies of all training rows, and enough of the toxic ones hold it (``WORD_SUPPORT`` of them, from
+   ``MIN_SUPPORT`` to ``MAX_SUPPORT``); every other word is clean. Equal texts count once;
 2. a two-state chain (clean, toxic) with hashed features of the word, its beginnings and end and
    its neighbours is fitted by Adagrad on the exact gradient (forward-backward);
 3. a logistic regression maps the marginals of a document (largest, sum, mean, number above one half) to
@@ -44,6 +44,8 @@ MAX_CLEAN = 3000
 WORD_SHARE = 0.6
 WORD_SUPPORT = 0.01
 MIN_SUPPORT = 3
+MAX_SUPPORT = 8  # toxic documents that make a rare word a mark, however large the sample
+REACH = 6  # words before a mark whose variety tells documents from near copies
 PRIOR_DOCS = 4.0
 BITS = 18
 ROUNDS = 25
@@ -239,11 +241,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1
 def tag_words(shards: list[Shard], clean_weight: float, share: float = WORD_SHARE, support: float = WORD_SUPPORT) -> None:
     """Tag the words of toxic documents whose own hash or first 8 bytes mark toxic documents.
 
-    A mark stands in at least ``support`` of the toxic documents, and they are ``share`` of all
-    documents with it, where a clean document of the sample counts ``clean_weight`` times.
+    A mark stands in at least ``support`` of the toxic documents (``MAX_SUPPORT`` of them suffice), and they are ``share`` of all
+    documents with it, where a clean document of the sample counts ``clean_weight`` times. Toxic documents
+    support a mark by the variety of words before it, next to it or ``REACH`` words away, so near copies add little support, while
+    a mark that always ends the same phrase has its full support.
     """
     toxic = np.concatenate([s.toxic for s in shards])
-    least = max(MIN_SUPPORT, support * toxic.sum())
+    least = max(MIN_SUPPORT, min(MAX_SUPPORT, support * toxic.sum()))
     base = toxic.sum() / (toxic.sum() + clean_weight * (~toxic).sum())
 
     def distinct(key: np.ndarray, other: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,14 +260,18 @@ def tag_words(shards: list[Shard], clean_weight: float, share: float = WORD_SHAR
     for key in (0, 3):
         held = [distinct(s.keys[key], s.row, s.toxic[s.row]) for s in shards]  # each word once per document
         word, bad = (np.concatenate(x) for x in zip(*held, strict=True))
-        # and once per word before it in toxic documents: copies of a document add no support
-        pairs = [(s.keys[key][1:], s.keys[0][:-1], s.toxic[s.row][1:]) for s in shards if len(s.row) > 1]
-        places, before, of = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (word[:0],) * 3
-        where, _ = distinct(places[of], before[of], of[of])
         names, place = np.unique(word, return_inverse=True)
+        # and once per word before it in toxic documents: near copies of a document add little support
+        variety = np.zeros(len(names), np.int64)
+        for back in (1, REACH):
+            pairs = [(s.keys[key][back:], s.keys[0][:-back], s.toxic[s.row][back:]) for s in shards if len(s.row) > back]
+            places, before, of = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (word[:0],) * 3
+            of = of.astype(bool)
+            where, _ = distinct(places[of], before[of], of[of])
+            variety = np.maximum(variety, np.bincount(np.searchsorted(names, where), minlength=len(names)))
         in_toxic = np.bincount(place, bad.astype(float), len(names))
         in_clean = np.bincount(place, 1.0 - bad, len(names))
-        in_toxic = np.minimum(in_toxic, np.bincount(np.searchsorted(names, where), minlength=len(names)))
+        in_toxic = np.minimum(in_toxic, variety)
         shared = (in_toxic + PRIOR_DOCS * base) / (in_toxic + clean_weight * in_clean + PRIOR_DOCS)
         marks.append(names[(shared >= share) & (in_toxic >= least)])
     for s in shards:
@@ -296,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_toxic: int
               .unionByName(marks.where("toxic = 0").orderBy(order, "doc_id").limit(max_clean)))
     # at most max_toxic + max_clean ids: small enough to broadcast, so the texts are not shuffled
     sample = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-              .dropDuplicates(["doc_id"]).toArrow())
+              .dropDuplicates(["doc_id"]).dropDuplicates(["text", "toxic"]).toArrow())
     y = sample.column("toxic").to_numpy().astype(bool)
     if not y.any() or y.all():
         n = counts.get(0, 0) + counts.get(1, 0)
