@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerlens.llm import exact_dedup, licenses, lm_scoring, mixing, near_dedup, packing, repeats, toxicity
+from ledgerlens.llm import exact_dedup, licenses, lm_scoring, mixing, near_dedup, notices, packing, repeats, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -240,6 +241,87 @@ def test_license_scan_edges(spark, documents, no_docs, edge_docs):
     assert licenses.licenses(no_docs).count() == 0 and licenses.licenses(edge_docs).count() == edge_docs.count()
 
 
+def test_every_standard_notice_is_labelled(spark):
+    texts = list(notices.standard().items())
+    rows = []
+    for i, (text, _) in enumerate(texts):
+        body = "\n".join(f" * {line}" for line in text.upper().splitlines())
+        rows.append((i, f"/* Copyright (c) 2019-2021 Some Body and others\n{body}\n */ import os"))
+    out = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # a base phrase in the notice (cc by nc) keeps its label
+    wrong = {text: (label, out[i].labels) for i, (text, label) in enumerate(texts)
+             if set(out[i].labels.split(",")) - set(out[i].base_labels.split(",")) | {label} != {label} or label not in out[i].labels.split(",")}
+    assert not wrong
+    assert all(r.score == 1.0 for r in out.values())
+    for i, (text, label) in enumerate(texts):
+        w, n = out[i].n_words, len(licenses.template_words(text))
+        span = max(out[i].spans, key=lambda s: s.last - s.first)
+        assert (span.label, span.last - span.first + 1, span.cover) == (label, n, 1.0) and span.last == w - 3
+
+
+def test_changed_notices(spark):
+    bodies = dict((label, text) for label, text in notices.BODIES if label in ("bsd-2", "bsd-3", "isc", "mit"))
+    gpl = "This program is under the terms of the GNU General Public License as published by the Free Software Foundation"
+    cases = [
+        (bodies["bsd-3"].replace("copyright holder nor", "Regents of the University of California nor"), "bsd-3"),
+        (bodies["bsd-2"].replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "AUTHOR"), "bsd-2"),
+        (bodies["isc"].replace("modify, and/or distribute", "modify, and distribute"), "isc"),
+        (bodies["isc"] + "\n---\n" + bodies["mit"] + "\n---\n" + bodies["isc"], "isc,mit"),
+        (bodies["bsd-2"] + "\n" + bodies["bsd-3"], "bsd-2,bsd-3"),
+        (gpl + ", either version 3 of the License", "gpl-3"),
+        (gpl + "; either version 2 of the License, or (at your option) any later version", "gpl-2"),
+        (gpl, ""),  # no version, so nothing decides between them
+        (gpl.replace("General", "Lesser General") + "; either version 2.1 of the License", "lgpl-2.1"),
+        ("SPDX-License-Identifier: something", ""),
+        ("in the software the copyright holders of this software and the license of the software", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r.labels for r in licenses.licenses(docs).orderBy("doc_id").collect()] == [label for _, label in cases]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chains_match_exhaustive_search(seed):
+    rng = random.Random(seed)
+    templates = {" ".join(rng.choices("abcde", k=rng.randint(4, 12))): f"t{i}" for i in range(3)}
+    scanner = licenses.Scanner({"b c d": "base"}, templates, 2, 2, 0.5)
+    sequences = [["b", "c", "d"], *(t.split() for t in templates)]
+    text = []
+    while len(text) < 16:
+        s = rng.choice(sequences)
+        k = rng.randrange(len(s))
+        text += s[k:k + rng.randint(2, 6)] + rng.choices(["x", *"abcde"], k=rng.randint(0, 2))
+
+    want: dict = {}
+    for t, s in enumerate(sequences):
+        matches = [(a, b, x) for a in range(len(text)) for b in range(a + 2, len(text) + 1) for x in range(b - a, len(s) + 1)
+                   if s[x - b + a:x] == text[a:b] and (a == 0 or x == b - a or text[a - 1] != s[x - b + a - 1])
+                   and (b == len(text) or x == len(s) or text[b] != s[x])]
+
+        def extend(chain, covered, t=t, matches=matches):
+            first, (_, end, at) = chain[0], chain[-1]
+            want[t, first[0]] = max(want.get((t, first[0]), 0), covered)
+            for a, b, x in matches:
+                if b > end and a - end <= 2 and x > at:
+                    extend([*chain, (a, b, x)], covered + min(b - a, b - end, x - at))
+
+        for m in matches:
+            extend([m], m[1] - m[0])
+    number = {w: i for i, w in enumerate(sorted({w for s in sequences for w in s}))}
+    at = np.array([i for i, w in enumerate(text) if w in number])
+    coded = np.array([number[text[i]] for i in at])
+    places, matches = [], []
+    for lo, hi in scanner.runs(at, coded, np.zeros(len(at), int)):
+        scanner.scan(coded[lo:hi].tolist(), int(at[lo]), places, matches)
+    found: dict = {}
+    for t, first, _, covered in scanner.found(matches):
+        found[t, first] = max(found.get((t, first), 0), covered)
+    # equal chains may start at different matches: compared is the best cover of each template
+    assert {t: max(v for (u, _), v in want.items() if u == t) for t, _ in want} == \
+           {t: max(v for (u, _), v in found.items() if u == t) for t, _ in found}
+    assert all(v <= want[k] for k, v in found.items())
+    assert sorted(p for p, _ in places) == [k for k in range(len(text) - 2) if text[k:k + 3] == ["b", "c", "d"]]
+
+
 def test_automaton_finds_every_substring():
     auto = licenses.Automaton()
     sequences = [[1, 2, 3, 1, 2], [2, 3, 4], [3, 1, 2, 5]]
