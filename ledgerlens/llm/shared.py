@@ -108,35 +108,40 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
                 rows_per_block: int = 4_000) -> DataFrame:
     """Add ``out``: the sum of ``value`` over earlier rows of the same ``keys`` in ``order``.
 
-    Two levels, so that a key with a third of all rows is not one task: the rows of a key are
-    dealt to blocks by a leading piece of the first order column (a hex digest), each block
-    is summed, blocks are summed in order, and rows are summed within their block. Both
-    windows stay bounded: the first by the number of blocks, the second by the block. The
-    number of hex digits follows the size of the largest key.
+    In levels, so that a key with a third of all rows is not one task: the rows of a key are dealt to blocks by a
+    leading piece of the first order column (a hex digest) and summed within their block; the sums of the
+    blocks are added up the same way, by fewer digits, until a key has few enough. So every window stays bounded,
+    at the lowest level by ``rows_per_block`` and above by 4,096 blocks. The number of hex digits follows the size of
+    the largest key.
 
     ``keys`` may hold nulls (one group). Rows equal in ``order`` are told apart by no more
     than that, so their order among themselves is free.
     """
-    df = df.withColumn("_one", F.lit(1))
-    largest = df.groupBy(*keys).agg(F.sum("_one").alias("n")).agg(F.max("n")).first()[0] or 0
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     digits = 0
     while largest > rows_per_block * 16 ** digits:
         digits += 1
-    df = df.withColumn("_block", F.substring(F.col(order[0]), 1, digits) if digits else F.lit(""))
-    sums = df.groupBy(*keys, "_block").agg(F.sum(value).alias("_in_block"))
-    before = (Window.partitionBy(*keys).orderBy("_block")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_in_block").over(before), F.lit(0)))
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                       F.col("_block").alias("_kb"), "_before")
-    same: Column = F.col("_block") == F.col("_kb")
+    return _sums_before(df, keys, order, value, out, digits)
+
+
+def _sums_before(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, digits: int) -> DataFrame:
+    """``running_sum`` with blocks by ``digits`` leading digits of the first order column."""
+    earlier = (Window.unboundedPreceding, -1)
+    if not digits:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*earlier)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(whole), F.lit(0)))
+    block, below, base = f"_block{digits}", f"_in_block{digits}", f"_before{digits}"
+    df = df.withColumn(block, F.substring(F.col(order[0]), 1, digits))
+    sums = df.groupBy(*keys, block).agg(F.sum(value).alias(below))
+    sums = _sums_before(sums, keys, [block], below, base, max(0, digits - 3))
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(block).alias("_kb"), base)
+    same: Column = F.col(block) == F.col("_kb")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = (Window.partitionBy(*keys, "_block").orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(*earlier)
     return (df.join(sums, same, "left")
-            .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-            .drop("_one", "_block", "_kb", "_before", *[f"_k{i}" for i in range(len(keys))]))
+            .withColumn(out, F.col(base) + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+            .drop(block, "_kb", base, *[f"_k{i}" for i in range(len(keys))]))
 
 
 def ship(spark: SparkSession) -> None:

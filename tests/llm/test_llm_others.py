@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
+from collections import Counter
 
 import brute
 import duckdb
@@ -184,3 +186,18 @@ def test_texts_that_are_alone_pass_the_filter(spark, edge_docs):
     assert near.count() < 300 + 2700 / 8 and rest.columns == docs.columns
     kept = sorted(r.doc_id for r in exact_dedup.unique(docs).collect())
     assert kept == [i for i in range(3000) if i % 20 != 10]
+
+
+@pytest.mark.parametrize("rows_per_block", [1, 5, 1000])
+def test_running_sums_in_levels(spark, rows_per_block):
+    # one key holds most rows, so that blocks of one row take three levels; a null key is a group
+    rows = [("a" if i % 4 else None if i % 8 else "b", hashlib.md5(str(i).encode()).hexdigest(), i % 13) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, h string, v long")
+    out = shared.running_sum(df, ["k"], ["h"], "v", "before", rows_per_block)
+    assert out.columns == ["k", "h", "v", "before"]
+    want, total = [], Counter()
+    for k, h, v in sorted(rows, key=lambda r: r[1]):
+        want.append((str(k), h, v, total[k]))
+        total[k] += v
+    assert sorted((str(r.k), r.h, r.v, r.before) for r in out.collect()) == sorted(want)
+    assert shared.running_sum(df.limit(0), ["k"], ["h"], "v", "before", rows_per_block).count() == 0

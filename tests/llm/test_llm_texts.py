@@ -145,6 +145,12 @@ def test_mixing_edges(edge_docs, edge_rows, no_docs):
     assert mixing.mixing(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
+def test_reruns_of_the_mix_agree(edge_docs, documents):
+    for docs in (edge_docs, documents):
+        first, again = (sorted(map(str, mixing.mixing(docs.repartition(n)).collect())) for n in (3, 7))
+        assert first == again
+
+
 def test_mix_keeps_columns_and_texts(edge_docs, edge_rows):
     out = mixing.mix(edge_docs)
     assert out.columns == edge_docs.columns
