@@ -125,6 +125,22 @@ def test_divergence_in_small_blocks_and_tiles(spark):
     assert same_as_sql(divergence.divergence(docs, levels=4, tile=3), divergence.ORACLE_SQL, documents=docs) > 500
 
 
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_rows_of_one_id_are_one_document(spark, monkeypatch, broadcast):
+    """A term of nine documents is not kept when some come twice; its occurrences count in every row."""
+    monkeypatch.setattr(divergence, "BROADCAST_IDS", broadcast)
+    rows = [(i, "kept Kept", "en", "st"[i % 2]) for i in range(10)] + [(i, "nine", "en", "s") for i in range(20, 29)]
+    rows += [(20, "nine", "en", "s"), (21, "nine", "en", "t"), (0, "kept", "en", "s"), (5, "nine", "de", "s")]
+    rows += [(None, "bare", "en", "t")] * 10  # without an id each row is a document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {tuple(r) for r in divergence.divergence(docs).select("lang", "source", "part", "item", "value").collect()}
+    s, t, both = (1 + 10 ** 9 * 13 // 15, 1 + 10 ** 9 * 2 // 15), (1 + 10 ** 9 * 12 // 24, 1 + 10 ** 9 * 12 // 24), (1 + 10 ** 9 * 23 // 35, 1 + 10 ** 9 * 12 // 35)
+    price = [sum((p - q) ** 2 // (p + q) for p, q in zip(a, b, strict=True)) for a, b in ((s, t), (t, s))]
+    assert got == {("en", "s", "pair", "t", price[0]), ("en", "t", "pair", "s", price[1]),
+                   ("en", "s", "term", "kept", (s[0] - both[0]) ** 2 // (s[0] + both[0])),
+                   ("en", "t", "term", "bare", (t[1] - both[1]) ** 2 // (t[1] + both[1]))}
+
+
 def test_divergence_without_rows(spark, no_docs):
     assert divergence.divergence(no_docs).collect() == []
 
