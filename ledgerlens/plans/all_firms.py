@@ -18,6 +18,7 @@ To give each firm exactly what its single-firm query gives:
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -177,9 +178,10 @@ FIRM_GRAIN, LINE_GRAIN, PERSON_GRAIN = 0b011, 0b001, 0b010
 
 
 def time_grains(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
-    """All that the page needs of the time facts, in one scan and one aggregate.
+    """All that the page needs of the time facts, in one scan.
 
-    Grouping sets: per firm, per firm and service line, and per firm and person of the as-of date's
+    The facts are summed once, per firm, service line and person of the as-of date's week (null in other rows); the
+    grouping sets repeat only these sums: per firm, per firm and service line, and per firm and person of the as-of date's
     week. The billable test stands inside the sums; ``billable`` counts the rows that pass it, so
     lines without one can be left out, and firms without one keep their NULLs.
     """
@@ -189,11 +191,14 @@ def time_grains(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
             .withColumn("_week", F.coalesce(this_week, F.lit(False)))
             .withColumn("person", F.when(F.col("_week"), F.col("person_key"))))
     sums = measure_columns("entry_date", PeriodWindows(t), G.TIME_MEASURES, F.col("is_billable"))
-    return (rows.groupingSets([["member_firm_id"], ["member_firm_id", "service_line"], ["member_firm_id", "person"]],
-                              "member_firm_id", "service_line", "person")
-            .agg(F.grouping_id().alias("grain"), F.count_if("is_billable").alias("billable"), *sums,
+    fine = (rows.groupBy("member_firm_id", "service_line", "person")
+            .agg(F.count_if("is_billable").alias("billable"), *sums,
                  F.sum(F.when(F.col("_week"), F.col("hours"))).alias("week_hours"),
                  F.sum(F.when(F.col("_week"), F.col("production_amount"))).alias("week_tvp")))
+    totals = [F.sum(f.name).cast(f.dataType).alias(f.name) for f in fine.schema.fields[3:]]
+    return (fine.groupingSets([["member_firm_id"], ["member_firm_id", "service_line"], ["member_firm_id", "person"]],
+                              "member_firm_id", "service_line", "person")
+            .agg(F.grouping_id().alias("grain"), *totals))
 
 
 def _cut(grains: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -206,12 +211,20 @@ def _cut(grains: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return firm, lines, people
 
 
+def _with_latest(star: StarSchema, table: str, t: dt.date) -> StarSchema:
+    """The star with the newest snapshot on or before ``t`` written as all of ``table``, unless metadata lists its dates."""
+    if table in star.report_dates:
+        return star
+    latest = written(SN.latest_snapshot(star, table, t), "latest-snapshot")
+    return replace(star, **{table: latest}, dated={k: v for k, v in star.dated.items() if k != table})
+
+
 def scorecard(star: StarSchema, as_of: str | dt.date | None,
               time_rollup: DataFrame | None = None) -> dict[str, DataFrame]:
     """All panels of the page for all listed firms.
 
     The time facts are scanned once (``time_grains``), invoices and receipts once, and each risk list is
-    computed once for the list and its total. What several panels read is written to the shared folder (rows
+    computed once for the list and its total; two panels read the written newest AR snapshot. What several panels read is written to the shared folder (rows
     per firm, line, person of the week, or top-k), so panels can run as separate jobs without a cache.
     ``time_rollup`` as in ``report.scorecard``: gauges and lines from the rollup, utilization from the facts.
     """
@@ -226,6 +239,7 @@ def scorecard(star: StarSchema, as_of: str | dt.date | None,
         time, lines, levels = time_gauges(rolled, t, prune=False), service_lines(rolled, t), utilization(star, t)
     m = written(_merged([time, G.invoice_gauges(star, t, by=BY), G.cash_gauges(star, t, by=BY)]), "firm-measures")
     firms = m.select(*BY)
+    star = _with_latest(star, "fct_ar_aging_snapshot", t)
     wip, ar = (written(_risk_for_listed(star, risk(star, t, by=BY), firms), name)
                for risk, name in ((SN.wip_risk, "wip-risk"), (SN.ar_risk, "ar-risk")))
     return {

@@ -16,12 +16,23 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAIN = ["report_date", "client_key", "member_firm_id"]
 
 
+def _due(report_dates: Sequence[dt.date]) -> Column:
+    """The report dates on or after ``item_date``."""
+    dates = F.array(*[F.lit(d) for d in sorted(report_dates)])
+    return F.filter(dates, lambda r: r >= F.col("item_date"))
+
+
+def dates_with_rows(open_items: DataFrame, report_dates: Sequence[dt.date]) -> DataFrame:
+    """The report dates of which ``aging_snapshot`` has rows, from the distinct days of the items: no snapshot is built."""
+    return open_items.select("item_date").distinct().select(F.explode(_due(report_dates)).alias("report_date")).distinct()
+
+
 def aging_snapshot(open_items: DataFrame, report_dates: Sequence[dt.date],
                    buckets: Sequence[tuple[str, int, int | None]],
                    total_col: str) -> DataFrame:
@@ -31,8 +42,7 @@ def aging_snapshot(open_items: DataFrame, report_dates: Sequence[dt.date],
     and ``amount``. ``buckets`` lists (column, lowest age, highest age or None).
     Bucket sums use ``ELSE 0``, so every bucket of a non-empty group is non-null.
     """
-    dates = F.array(*[F.lit(d) for d in sorted(report_dates)])
-    due = F.filter(dates, lambda r: r >= F.col("item_date"))
+    due = _due(report_dates)
     per_day = (open_items.groupBy("client_key", "member_firm_id", "item_date")
                .agg(F.sum("amount").alias("amount")))
     placed = (per_day

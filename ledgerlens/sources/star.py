@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import manifest as M
 from . import schema as S
-from .snapshots import aging_snapshot
+from .snapshots import aging_snapshot, dates_with_rows
 
 TABLES = list(S.STAR_SCHEMAS)
 PROFILES = "_date_profiles"
@@ -43,6 +43,8 @@ class StarSchema:
     profiles: dict[str, DataFrame] = field(default_factory=dict)
     # report dates of the snapshots by table name, where metadata lists them (ascending)
     report_dates: dict[str, list[dt.date]] = field(default_factory=dict)
+    # lazy frames of the report dates of which a snapshot has rows, by table name, where they cost less than the snapshot
+    dated: dict[str, DataFrame] = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: getattr(self, t) for t in TABLES}
@@ -307,18 +309,21 @@ def _signed(amount_col: str):
     return F.when(F.col("client_key") % 10 == 0, -amt).otherwise(amt)
 
 
-def ar_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_items = (_orders_with_firm(spark, sf_dir, "o_orderdate", "o_totalprice", "o_orderstatus")
                   .filter(F.col("o_orderstatus") != "F")
                   .select(F.col("o_custkey").alias("client_key"), "member_firm_id",
                           F.col("o_orderdate").cast("date").alias("item_date"),
                           F.col("o_totalprice")))
-    open_items = open_items.withColumn("amount", _signed("o_totalprice"))
-    snap = aging_snapshot(open_items, REPORT_DATES, AR_AGE_BUCKETS, "ar_total")
+    return open_items.withColumn("amount", _signed("o_totalprice"))
+
+
+def ar_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap = aging_snapshot(ar_items(spark, sf_dir), REPORT_DATES, AR_AGE_BUCKETS, "ar_total")
     return S.conform(snap, S.FCT_AR_AGING_SNAPSHOT)
 
 
-def wip_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wip_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = (_read(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_shipdate",
                 "l_linestatus")
           .filter(F.col("l_linestatus") == "O"))
@@ -327,8 +332,11 @@ def wip_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .select(F.col("o_custkey").alias("client_key"), "member_firm_id",
                           F.col("l_shipdate").cast("date").alias("item_date"),
                           F.col("l_extendedprice")))
-    open_items = open_items.withColumn("amount", _signed("l_extendedprice"))
-    snap = aging_snapshot(open_items, REPORT_DATES, WIP_AGE_BUCKETS, "wip_total")
+    return open_items.withColumn("amount", _signed("l_extendedprice"))
+
+
+def wip_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap = aging_snapshot(wip_items(spark, sf_dir), REPORT_DATES, WIP_AGE_BUCKETS, "wip_total")
     return S.conform(snap, S.FCT_WIP_AGING_SNAPSHOT)
 
 
@@ -347,7 +355,7 @@ def without_firm(star: StarSchema, firm: str, since: dt.date) -> StarSchema:
     """Edge input: a firm that stopped reporting, absent from snapshots since a date."""
     gone = (F.coalesce(F.col("member_firm_id") == firm, F.lit(False))
             & (F.col("report_date") >= F.lit(since)))
-    return replace(star, report_dates={}, fct_ar_aging_snapshot=star.fct_ar_aging_snapshot.filter(~gone),
+    return replace(star, report_dates={}, dated={}, fct_ar_aging_snapshot=star.fct_ar_aging_snapshot.filter(~gone),
                    fct_wip_aging_snapshot=star.fct_wip_aging_snapshot.filter(~gone))
 
 
@@ -361,4 +369,6 @@ def from_test_tables(spark: SparkSession, sf_dir: str) -> StarSchema:
         fct_wip_aging_snapshot=wip_snapshot(spark, sf_dir),
         dim_person=persons(spark, sf_dir),
         dim_client=clients(spark, sf_dir),
+        dated={"fct_ar_aging_snapshot": dates_with_rows(ar_items(spark, sf_dir), REPORT_DATES),
+               "fct_wip_aging_snapshot": dates_with_rows(wip_items(spark, sf_dir), REPORT_DATES)},
     )

@@ -198,3 +198,16 @@ def test_no_pair_producing_join_or_python_udf(spark, name):
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
                 "ArrowEvalPython"):
         assert bad not in p, (name, bad)
+
+
+def test_page_repeats_sums_and_not_facts(spark):
+    """The grouping sets of the all-firms page stand above an aggregate of the facts."""
+    df = AF.time_grains(from_test_tables(spark, "/root/testdata/sf0.001"), "2000-06-16")
+    p = df._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("Expand") == 1 and "Aggregate" in p[p.index("Expand"):]
+
+
+def test_dates_of_a_snapshot_need_no_snapshot(spark):
+    star = from_test_tables(spark, "/root/testdata/sf0.001")
+    for table in ("fct_ar_aging_snapshot", "fct_wip_aging_snapshot"):
+        assert {r[0] for r in star.dated[table].collect()} == {r[0] for r in getattr(star, table).select("report_date").distinct().collect()}
