@@ -50,6 +50,7 @@ ROUNDS = 25
 RATE = 0.5
 L2 = 1e-3
 SEGMENTS = 1024
+MARKED = (0, 3)  # keys that can mark toxic documents: the word, and its first 8 bytes
 
 
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -158,7 +159,8 @@ def _run(m: np.ndarray) -> np.ndarray:
 class Shard:
     """A few hundred thousand words of the training sample; training never holds more than one expanded."""
 
-    keys: np.ndarray
+    texts: pa.Array
+    keys: dict[int, np.ndarray]  # by number, those that tell the marks
     first: np.ndarray
     toxic: np.ndarray
     slots: np.ndarray = None
@@ -253,13 +255,13 @@ def tag_words(shards: list[Shard], clean_weight: float, share: float = WORD_SHAR
         return k[fresh], of[order][fresh]
 
     marks = []
-    for key in (0, 3):
+    for key in MARKED:
         held = [distinct(s.keys[key], s.row, s.toxic[s.row]) for s in shards]  # each word once per document
         word, bad = (np.concatenate(x) for x in zip(*held, strict=True))
         # and once per word before it in toxic documents: copies of a document add no support
-        pairs = [(s.keys[key][1:], s.keys[0][:-1], s.toxic[s.row][1:]) for s in shards if len(s.row) > 1]
-        places, before, of = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (word[:0],) * 3
-        where, _ = distinct(places[of], before[of], of[of])
+        pairs = [(s.keys[key][1:][of], s.keys[0][:-1][of]) for s in shards if len(s.row) > 1 for of in [s.toxic[s.row][1:]]]
+        places, before = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (word[:0],) * 2
+        where, _ = distinct(places, before, places)
         names, place = np.unique(word, return_inverse=True)
         in_toxic = np.bincount(place, bad.astype(float), len(names))
         in_clean = np.bincount(place, 1.0 - bad, len(names))
@@ -304,14 +306,15 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_toxic: int
     shards = []
     for piece in slices(iter(sample.to_batches()), "text", 1 << 20):
         w = words(piece.column("text"), ALPHANUMERIC, lower=True)
-        shards.append(Shard(keys(w), w.first, piece.column("toxic").to_numpy().astype(bool)))
+        k = keys(w)
+        shards.append(Shard(piece.column("text"), {i: k[i].copy() for i in MARKED}, w.first, piece.column("toxic").to_numpy().astype(bool)))
     clean_weight = (counts.get(0, 0) / (~y).sum()) / (counts.get(1, 0) / y.sum())
     tag_words(shards, clean_weight)
     if not any(s.tags.any() for s in shards):
         return Model(None, np.array([counts.get(1, 0) / (counts.get(0, 0) + counts.get(1, 0))]))
-    for s in shards:
-        s.slots = features(s.keys, s.begins, BITS)
+    for s in shards:  # the other keys are made again rather than held
         s.keys = None
+        s.slots = features(keys(words(s.texts, ALPHANUMERIC, lower=True)), s.begins, BITS)
     chain = fit_chain(shards)
     chain.weights = chain.weights.astype(np.float32)
     x = np.concatenate([document_features(chain.marginals(s.slots, s.begins), s.first) for s in shards])
