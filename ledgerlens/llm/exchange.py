@@ -46,19 +46,21 @@ def unseal(payload: bytes) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
 
 
-def chunks(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Write ``docs`` (with a column ``text``) as chunk rows: chunk, entries (bytes of text), payload."""
+def chunks(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES, sealed: Callable[[pa.RecordBatch], tuple[bytes, ...]] | None = None,
+           parts: tuple[str, ...] = ("payload",)) -> DataFrame:
+    """Write ``docs`` (with a column ``text``) as chunk rows: chunk, bytes (of text), and ``parts``, which ``sealed`` makes of the rows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         for n, piece in enumerate(slices(batches, "text", chunk_bytes)):
+            made = sealed(piece) if sealed else (seal(piece),)
             yield pa.RecordBatch.from_pydict(
-                {"chunk": [(task << 32) + n], "bytes": [int(piece.column("text").nbytes)], "payload": [seal(piece)]},
-                pa.schema([("chunk", pa.int64()), ("bytes", pa.int64()), ("payload", pa.binary())]))
+                {"chunk": [(task << 32) + n], "bytes": [int(piece.column("text").nbytes)], **{p: [x] for p, x in zip(parts, made, strict=True)}},
+                pa.schema([("chunk", pa.int64()), ("bytes", pa.int64()), *[(p, pa.binary()) for p in parts]]))
 
-    return materialize(docs.mapInArrow(pack, "chunk long, bytes long, payload binary"), name, "none")
+    return materialize(docs.mapInArrow(pack, "chunk long, bytes long, " + ", ".join(f"{p} binary" for p in parts)), name, "none")
 
 
 def bucket_bits(df: DataFrame, entries: float) -> int:

@@ -1,7 +1,8 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 Counts come from all training documents and stay in tables that are hash-partitioned; nothing that grows with the
-corpus is collected or broadcast. Each chunk of documents asks hash buckets and gets answers in order (``exchange``):
+corpus is collected or broadcast. Each chunk of documents asks hash buckets and gets answers in order (``exchange``).
+Texts are cut into words once: a chunk holds its distinct word hashes and the place of every token among them.
 
 1. Words: each chunk sends its distinct words (64-bit hashes) with their training counts; the answers are
    the counts over all chunks and the words' vocabulary numbers (place in the bucket; buckets are numbered on).
@@ -62,28 +63,71 @@ def in_training(ids: list, folds: int) -> np.ndarray:
     return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % folds != 0 for i in ids], bool)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order of appearance, where each appears first, and the place of every value among them; by hashing."""
+    import pandas as pd
+
+    place, found = pd.factorize(values)
+    first = np.empty(len(found), np.int64)
+    first[place[::-1]] = np.arange(len(values))[::-1]
+    return found, first, place
+
+
 def _tokens(batch: pa.RecordBatch, folds: int):
     """Distinct token hashes of a chunk, place of each token among them, training counts, row bounds."""
     w = words(batch.column("text"), lower=True)
     rows = batch.num_rows
     n = np.diff(w.first)
     train = in_training(batch.column("doc_id").to_pylist(), folds)
-    every = np.r_[w.hashes(), np.full(rows, END_HASH)]
-    keys, place = np.unique(every, return_inverse=True)
+    found, _, at = distinct(np.r_[w.hashes(), np.full(rows, END_HASH)])
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    keys, place = found[order], rank[at]
     counts = np.bincount(place, np.r_[np.repeat(train, n), train].astype(float), len(keys)).astype(np.int64)
     return keys, place[:len(w.starts)], place[len(w.starts):], counts, w.first, train
 
 
+def sealed(batch: pa.RecordBatch, folds: int) -> tuple[bytes, bytes]:
+    """The ids and tokens of a chunk; its distinct tokens and their training counts.
+
+    Tokens are written by falling frequency, so most are small numbers, which compress well.
+    """
+    keys, place, ends, counts, first, train = _tokens(batch, folds)
+    order = np.argsort(-np.bincount(np.r_[place, ends], minlength=len(keys)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ids = X.seal(pa.RecordBatch.from_arrays([batch.column("doc_id")], names=["doc_id"]))
+    tokens = _zip(order.astype("<u4"), rank[place].astype("<u4"), rank[ends].astype("<u4"), first.astype("<i8"), train.astype("u1"))
+    return np.array([len(ids), len(keys), len(place), len(train)], "<i8").tobytes() + ids + tokens, _pack(keys, counts)
+
+
+def unsealed(payload: bytes) -> tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids, the number of distinct tokens, and place, ends, first and train as in ``_tokens``."""
+    size, k, n, rows = np.frombuffer(payload, "<i8", 4).tolist()
+    order, place, ends, first, train = _unzip(payload[32 + size:], ("<u4", k), ("<u4", n), ("<u4", rows), ("<i8", rows + 1), ("u1", rows))
+    return X.unseal(payload[32:32 + size]), k, order[place].astype(np.int64), order[ends].astype(np.int64), first, train.astype(bool)
+
+
 def _zip(*parts: np.ndarray) -> bytes:
+    """Compressed with the first bytes of all numbers first, as most numbers are small."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+    planes = [np.ascontiguousarray(np.ascontiguousarray(p).view(np.uint8).reshape(len(p), p.itemsize).T) for p in parts]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
 
 
-def _unzip(data: bytes) -> bytes:
+def _unzip(data: bytes, *parts: tuple[str, int | None]) -> list[np.ndarray]:
+    """The arrays of ``_zip``, by type and length; without lengths, all have the same."""
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data)
+    raw, out, at = zstandard.ZstdDecompressor().decompress(data), [], 0
+    alike = len(raw) // sum(np.dtype(kind).itemsize for kind, _ in parts)
+    for kind, n in parts:
+        n, width = alike if n is None else n, np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    return out
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -91,8 +135,8 @@ def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(_unzip(data), "<u8")
-    return raw[:len(raw) // 2], raw[len(raw) // 2:].view("<i8")
+    keys, counts = _unzip(data, ("<u8", None), ("<i8", None))
+    return keys, counts
 
 
 def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]):
@@ -102,7 +146,7 @@ def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]):
     return keys, sums, place
 
 
-def word_counts(chunked: DataFrame, bits: int, folds: int) -> DataFrame:
+def word_counts(chunked: DataFrame, bits: int) -> DataFrame:
     """Answers per chunk and bucket: training count and place in the bucket of each of the chunk's distinct tokens.
 
     One more row per bucket (chunk -1) has its number of training tokens, known words and words.
@@ -110,8 +154,8 @@ def word_counts(chunked: DataFrame, bits: int, folds: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, payload in zip(batch.column(0), batch.column(1), strict=True):
-                keys, _, _, counts, _, _ = _tokens(X.unseal(payload.as_py()), folds)
+            for chunk, listed in zip(batch.column(0), batch.column(1), strict=True):
+                keys, counts = _unpack(listed.as_py())
                 yield X.by_bucket(chunk.as_py(), keys, bits, lambda lo, hi, k=keys, c=counts: _pack(k[lo:hi], c[lo:hi]))
 
     def group(table: pa.Table) -> pa.Table:
@@ -123,7 +167,7 @@ def word_counts(chunked: DataFrame, bits: int, folds: int) -> DataFrame:
                          "answer": [*answers, None], "tokens": [*none, int(sums.sum())],
                          "known": [*none, int((sums > 0).sum())], "size": [*none, len(keys)]}, schema=COUNTS)
 
-    return chunked.select("chunk", "payload").mapInArrow(ask, X.ASKED_SQL).groupBy("bucket").applyInArrow(group, COUNTS_SQL)
+    return chunked.select("chunk", "words").mapInArrow(ask, X.ASKED_SQL).groupBy("bucket").applyInArrow(group, COUNTS_SQL)
 
 
 @dataclass
@@ -169,25 +213,34 @@ class Asked:
 
 def pairs(rules: Rules, at: np.ndarray, key: np.ndarray, n: np.ndarray, number: np.ndarray) -> Asked:
     """The distinct pairs of the contexts ``key`` and the words ``number`` at positions ``at``."""
-    contexts, first, which = np.unique(key, return_index=True, return_inverse=True)
+    contexts, first, which = distinct(key)
     totals = n[first]
-    both, example, place = np.unique((which.astype(np.uint64) << NUMBER) | number[at], return_index=True, return_inverse=True)
+    both, example, place = distinct((which.astype(np.uint64) << NUMBER) | number[at])
     context, word = (both >> NUMBER).astype(np.int64), both & np.uint64((1 << 32) - 1)
     parts = -(-totals // rules.wide)
     part = mix(word, 21) % np.maximum(parts, 1).astype(np.uint64)[context]
     bucket = (mix(contexts[context] + part, 22) >> np.uint64(64 - rules.bits)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = by_bucket_and_context(bucket, context)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return Asked(at, key, n, rank[place], bucket[order], context[order], contexts, totals, word[order], at[example[order]])
 
 
+def by_bucket_and_context(bucket: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Order by bucket, then context; in passes of 16 bits, which numpy sorts without comparisons."""
+    order = np.arange(len(bucket))
+    for values in (context, bucket):
+        for shift in range(0, int(values.max(initial=0)).bit_length(), 16):
+            order = order[np.argsort((values[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
 class Walk:
     """The tokens of a chunk and their probabilities given ever longer contexts."""
 
     def __init__(self, payload: bytes, answers: pa.Table, rules: Rules):
-        self.rules, self.batch = rules, X.unseal(payload)
-        keys, place, ends, _, self.first, self.train = _tokens(self.batch, rules.folds)
+        self.rules = rules
+        self.batch, size, place, ends, self.first, self.train = unsealed(payload)
         own = np.r_[0, np.cumsum(np.diff(self.first) + 1)]  # with the end token of each row
         token = np.empty(own[-1], np.int64)
         inside = np.ones(own[-1], bool)
@@ -195,13 +248,13 @@ class Walk:
         token[inside], token[~inside] = place, ends
         self.own, self.inside = own, inside
         self.train_at = np.repeat(self.train, np.diff(own))
-        sums, number = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
+        sums, number = np.zeros(size, np.int64), np.zeros(size, np.uint64)
         done = 0
         for bucket, answer in self._level(answers, 0):
-            raw = np.frombuffer(_unzip(answer), "<i8")
-            k = len(raw) // 2
-            sums[done:done + k] = raw[:k]
-            number[done:done + k] = (raw[k:] + rules.numbers[bucket]).astype(np.uint64)
+            counts, places = _unzip(answer, ("<i8", None), ("<i8", None))
+            k = len(counts)
+            sums[done:done + k] = counts
+            number[done:done + k] = (places + rules.numbers[bucket]).astype(np.uint64)
             done += k
         self.count = sums[token]
         self.number = number[token]
@@ -228,10 +281,10 @@ class Walk:
         sums, kept = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         cuts = np.flatnonzero(np.r_[True, a.bucket[1:] != a.bucket[:-1], True]) if len(a.bucket) else np.zeros(1, int)
         for lo, hi, (_, answer) in zip(cuts[:-1], cuts[1:], self._level(answers, depth), strict=True):
-            raw = _unzip(answer)
-            sums.append(np.frombuffer(raw, "<i8", hi - lo))
             n_runs = int(np.searchsorted(runs, hi) - np.searchsorted(runs, lo))
-            kept.append(np.frombuffer(raw, np.uint8, n_runs, 8 * (hi - lo)).astype(bool))
+            counts, keep = _unzip(answer, ("<i8", hi - lo), ("u1", n_runs))
+            sums.append(counts)
+            kept.append(keep.astype(bool))
         sums = np.concatenate(sums)
         keep = np.repeat(np.concatenate(kept), np.diff(runs))
         keep &= ~np.isin(a.contexts, rules.failed[depth - 1])[a.context]
@@ -261,21 +314,17 @@ def ask_pairs(walk: Walk, chunk: int) -> pa.Table:
 def read_pairs(entries: bytes) -> tuple[np.ndarray, ...]:
     """Contexts, their counts and numbers of pairs; next words, training counts and suffix probabilities of the pairs."""
     k, n = np.frombuffer(entries, "<u4", 2).tolist()
-    raw, out, at = _unzip(entries[8:]), [], 0
-    for kind, size in (("<u8", k), ("<i8", k), ("<u4", k), ("<u4", n), ("<u4", n), ("<f4", n)):
-        out.append(np.frombuffer(raw, kind, size, at))
-        at += out[-1].nbytes
-    return tuple(out)
+    return tuple(_unzip(entries[8:], ("<u8", k), ("<i8", k), ("<u4", k), ("<u4", n), ("<u4", n), ("<f4", n)))
 
 
 def held_against_suffix(rules: Rules, entries: list[bytes]) -> tuple[list[bytes], bytes | None]:
     """The answer to each chunk's pairs, and this bucket's share of the contexts that are dealt to several."""
     parts = [read_pairs(e) for e in entries]
-    contexts, first, which = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    contexts, first, which = distinct(np.concatenate([p[0] for p in parts]))
     totals = np.concatenate([p[1] for p in parts])[first].astype(float)
     context = np.repeat(which, np.concatenate([p[2] for p in parts])).astype(np.uint64)
     both = (context << NUMBER) | np.concatenate([p[3] for p in parts])
-    keys, example, place = np.unique(both, return_index=True, return_inverse=True)
+    keys, example, place = distinct(both)
     sums = np.bincount(place, np.concatenate([p[4] for p in parts]), len(keys))
     suffix = np.concatenate([p[5] for p in parts])[example].astype(float)
     of = (keys >> NUMBER).astype(np.int64)
@@ -334,10 +383,10 @@ def failing(shares: np.ndarray, rules: Rules) -> np.ndarray:
 def lm_scores(docs: DataFrame, folds: int = FOLDS, min_count: int = MIN_COUNT, depth: int = DEPTH,
               min_divergence: float = MIN_DIVERGENCE, smoothing: float = SMOOTHING) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    chunked = X.chunks(docs.select("doc_id", "text"), "lm-chunks", CHUNK_BYTES)
+    chunked = X.chunks(docs.select("doc_id", "text"), "lm-chunks", CHUNK_BYTES, lambda batch: sealed(batch, folds), ("payload", "words"))
     size = X.total(chunked, "bytes")
     bits = X.bucket_bits(chunked, size / 25)
-    counts = materialize(word_counts(chunked, bits, folds), "word-counts", "none")
+    counts = materialize(word_counts(chunked, bits), "word-counts", "none")
     stats = {r[0]: r[1:] for r in counts.where("chunk = -1").select("bucket", "tokens", "known", "size").collect()}
     sizes = np.array([stats[b][2] if b in stats else 0 for b in range(1 << bits)], np.int64)
     assert sizes.sum() < 1 << int(NUMBER), "more words than vocabulary numbers"

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerlens.llm import exact_dedup, licenses, lm_scoring, mixing, near_dedup, notices, packing, repeats, toxicity
+from ledgerlens.llm import exact_dedup, exchange, licenses, lm_scoring, mixing, near_dedup, notices, packing, repeats, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -608,3 +608,50 @@ def test_near_dedup_at_other_thresholds(spark):
         assert {r.doc_id: r.component_id for r in out} == want
     with pytest.raises(ValueError):
         near_dedup.matches(5)
+
+
+def test_lm_chunks_hold_tokens_and_unpack_to_them():
+    texts = [None, "", "A a b", *(" ".join(f"w{(i * j) % 91}" for j in range(300)) for i in range(60))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [None, *range(1, len(texts))], "text": texts}, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    keys, place, ends, counts, first, train = lm_scoring._tokens(batch, 10)
+    assert (np.diff(keys.astype(object)) > 0).all()
+    payload, listed = lm_scoring.sealed(batch, 10)
+    ids, size, *got = lm_scoring.unsealed(payload)
+    assert ids.column(0).equals(batch.column(0)) and size == len(keys) and len(payload) < len(exchange.seal(batch)) * 2
+    for a, b in zip([*got, *lm_scoring._unpack(listed)], [place, ends, first, train, keys, counts], strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_pairs_of_a_context_stand_together_in_its_bucket():
+    rnd = np.random.default_rng(3)
+    bucket, context = rnd.integers(0, 70_000, 5000), rnd.integers(0, 200_000, 5000)
+    order = lm_scoring.by_bucket_and_context(bucket, context)
+    assert np.array_equal(order, np.lexsort((context, bucket)))
+    found, first, place = lm_scoring.distinct(context.astype(np.uint64))
+    assert np.array_equal(found[place], context) and np.array_equal(context[first], found) and (np.diff(first) > 0).all()
+
+
+def test_toxicity_training_keeps_two_keys_of_a_word(monkeypatch):
+    """While words are tagged, a shard of the sample holds 16 bytes a word; the other keys are made again afterwards."""
+    seen = []
+
+    def tag(shards, weight):
+        seen.extend(sum(k.nbytes for k in s.keys.values()) / len(s.row) for s in shards)
+        for s in shards:
+            s.tags = np.zeros(len(s.row))
+
+    class Sample:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def collect(self):
+            return [{"toxic": 0, "n": 5}, {"toxic": 1, "n": 5}]
+
+        def toArrow(self):
+            return pa.table({"doc_id": range(10), "text": ["some words here"] * 10, "toxic": [0, 1] * 5})
+
+    monkeypatch.setattr(toxicity, "tag_words", tag)
+    monkeypatch.setattr(toxicity, "F", Sample())
+    monkeypatch.setattr(toxicity, "fold", lambda *a: 0)
+    toxicity.train(Sample(), Sample())
+    assert seen == [16.0]
