@@ -75,6 +75,11 @@ class PeriodWindows:
     def ranges(self) -> dict[str, DateRange]:
         return {p: self.range(p) for p in PERIODS}
 
+    def cuts(self) -> list[dt.date]:
+        """First days of the stretches of days that lie in the same periods (ascending); all days before them lie in none."""
+        ends = {hi + dt.timedelta(days=1) for _, hi in self.ranges().values() if hi < dt.date.max}
+        return sorted({lo for lo, _ in self.ranges().values()} | ends)
+
     def span(self) -> DateRange:
         """Smallest range covering all six periods: Jan 1 of PY to the as-of date."""
         return dt.date(self.prior_year, 1, 1), self.as_of

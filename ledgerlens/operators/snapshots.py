@@ -6,6 +6,7 @@ snapshot gets NULL sums or no risk rows, never an older snapshot of its own.
 Where metadata lists the report dates (``StarSchema.report_dates``), the date is a literal and only its
 partition is opened. Else it is an uncorrelated scalar subquery over the snapshot, or over its dates alone where the
 star has them (``StarSchema.dated``); Spark runs it first and uses the result as a pushed equality filter.
+Where the star can build that one report date alone (``StarSchema.newest``), nothing else of the snapshot is built.
 
 Bucket groups are added row-wise before summing (``SUM(a + b + ...)``), so a row
 with any NULL bucket drops out of that sum; buckets therefore need not add up to
@@ -50,6 +51,9 @@ def latest_report_date(snapshot: DataFrame, as_of: dt.date) -> Column:
 def latest_snapshot(star: StarSchema, table: str, as_of: dt.date) -> DataFrame:
     """Rows of the newest report date on or before ``as_of`` (none without one)."""
     snapshot, dates = getattr(star, table), star.report_dates.get(table)
+    whole, newest = star.newest.get(table, (None, None))
+    if whole is snapshot:
+        return newest(as_of)
     if dates is None:
         return snapshot.filter(F.col("report_date") == latest_report_date(star.dated.get(table, snapshot), as_of))
     return snapshot.filter(F.col("report_date") == F.lit(newest_report(dates, as_of)).cast("date"))

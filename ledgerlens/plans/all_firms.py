@@ -180,25 +180,27 @@ FIRM_GRAIN, LINE_GRAIN, PERSON_GRAIN = 0b011, 0b001, 0b010
 def time_grains(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     """All that the page needs of the time facts, in one scan.
 
-    The facts are summed once, per firm, service line and person of the as-of date's week (null in other rows); the
-    grouping sets repeat only these sums: per firm, per firm and service line, and per firm and person of the as-of date's
-    week. The billable test stands inside the sums; ``billable`` counts the rows that pass it, so
+    The facts are summed once, per firm, service line, person of the as-of date's week (null in other rows), billable test
+    and stretch of days that lie in the same periods (named by its first day, null before all periods): three sums per
+    fact, not one per measure. The measures and grouping sets repeat only these sums: per firm, per firm and service
+    line, and per firm and person of the as-of date's week. ``billable`` counts the rows that pass the test, so
     lines without one can be left out, and firms without one keep their NULLs.
     """
     t = as_of_date(as_of)
-    this_week = F.col("is_billable") & U.week_filter(t)
+    windows, billable = PeriodWindows(t), F.coalesce("is_billable", F.lit(False))
+    stretch = reduce(lambda when, d: F.when(F.col("entry_date") >= F.lit(d), F.lit(d)).otherwise(when), windows.cuts(), F.lit(None).cast("date"))
     rows = (_listed(star.fct_time_entry)
-            .withColumn("_week", F.coalesce(this_week, F.lit(False)))
+            .withColumn("_week", F.coalesce(billable & U.week_filter(t), F.lit(False)))
             .withColumn("person", F.when(F.col("_week"), F.col("person_key"))))
-    sums = measure_columns("entry_date", PeriodWindows(t), G.TIME_MEASURES, F.col("is_billable"))
-    fine = (rows.groupBy("member_firm_id", "service_line", "person")
-            .agg(F.count_if("is_billable").alias("billable"), *sums,
-                 F.sum(F.when(F.col("_week"), F.col("hours"))).alias("week_hours"),
-                 F.sum(F.when(F.col("_week"), F.col("production_amount"))).alias("week_tvp")))
-    totals = [F.sum(f.name).cast(f.dataType).alias(f.name) for f in fine.schema.fields[3:]]
+    fine = (rows.groupBy("member_firm_id", "service_line", "person", "_week", billable.alias("is_billable"), stretch.alias("entry_date"))
+            .agg(F.count(F.lit(1)).alias("facts"), F.sum("hours").alias("hours"), F.sum("production_amount").alias("production_amount"),
+                 F.sum(F.coalesce("write_up_down", F.lit(0))).alias("write_up_down")))
+    sums = measure_columns("entry_date", windows, G.TIME_MEASURES, F.col("is_billable"))
     return (fine.groupingSets([["member_firm_id"], ["member_firm_id", "service_line"], ["member_firm_id", "person"]],
                               "member_firm_id", "service_line", "person")
-            .agg(F.grouping_id().alias("grain"), *totals))
+            .agg(F.grouping_id().alias("grain"), F.sum(F.when(F.col("is_billable"), F.col("facts")).otherwise(0)).alias("billable"), *sums,
+                 F.sum(F.when(F.col("_week"), F.col("hours"))).alias("week_hours"),
+                 F.sum(F.when(F.col("_week"), F.col("production_amount"))).alias("week_tvp")))
 
 
 def _cut(grains: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

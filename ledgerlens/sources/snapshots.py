@@ -9,6 +9,7 @@ it is, then amounts are summed per bucket.
 Items are first summed per client, firm and day (a client that holds a large share of the
 items sends one row per day and map task), then placed by a generator over the
 (parameter-sized) list of report dates and summed per snapshot row; there is no join.
+Where one report date is asked for, ``snapshot_of`` builds its rows alone.
 """
 
 from __future__ import annotations
@@ -58,3 +59,23 @@ def aging_snapshot(open_items: DataFrame, report_dates: Sequence[dt.date],
             for name, lo, hi in buckets]
     aggs.append(F.sum("amount").alias(total_col))
     return placed.groupBy(*GRAIN).agg(*aggs)
+
+
+def snapshot_of(day: dt.date, open_items: DataFrame, clients: DataFrame,
+                buckets: Sequence[tuple[str, int, int | None]], total_col: str) -> DataFrame:
+    """The rows that ``aging_snapshot`` has of the one report date ``day``; ``buckets`` must not overlap.
+
+    ``open_items`` needs no firm here: items are first summed per client and bucket, so at most a row per bucket of a
+    client meets ``clients`` (``client_key`` and ``member_firm_id``), and the rows that a client has then
+    lie together already for the sums per snapshot row.
+    """
+    age = F.datediff(F.lit(day), F.col("item_date"))
+    numbers = [F.when((age >= lo) if hi is None else age.between(lo, hi), F.lit(i)) for i, (_, lo, hi) in enumerate(buckets)]
+    per_bucket = (open_items.filter(F.col("item_date") <= F.lit(day))
+                  .groupBy("client_key", F.coalesce(*numbers).alias("_bucket"))
+                  .agg(F.sum("amount").alias("amount")))
+    aggs = [F.sum(F.when(F.col("_bucket") == i, F.col("amount")).otherwise(F.lit(0))).alias(name)
+            for i, (name, _, _) in enumerate(buckets)]
+    return (per_bucket.join(clients, "client_key")
+            .withColumn("report_date", F.lit(day)).groupBy(*GRAIN)
+            .agg(*aggs, F.sum("amount").alias(total_col)))

@@ -15,6 +15,7 @@ import datetime as dt
 import os
 import re
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import manifest as M
 from . import schema as S
-from .snapshots import aging_snapshot, dates_with_rows
+from .snapshots import aging_snapshot, dates_with_rows, snapshot_of
 
 TABLES = list(S.STAR_SCHEMAS)
 PROFILES = "_date_profiles"
@@ -45,6 +46,9 @@ class StarSchema:
     report_dates: dict[str, list[dt.date]] = field(default_factory=dict)
     # lazy frames of the report dates of which a snapshot has rows, by table name, where they cost less than the snapshot
     dated: dict[str, DataFrame] = field(default_factory=dict)
+    # by table name, a snapshot and what gives its rows of the newest report date on or before a day at less cost than the
+    # whole snapshot; not used once another frame stands in the snapshot's place
+    newest: dict[str, tuple[DataFrame, Callable[[dt.date], DataFrame]]] = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: getattr(self, t) for t in TABLES}
@@ -309,13 +313,19 @@ def _signed(amount_col: str):
     return F.when(F.col("client_key") % 10 == 0, -amt).otherwise(amt)
 
 
+def _firms_of_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customers_with_firm(spark, sf_dir).select(F.col("c_custkey").alias("client_key"), "member_firm_id")
+
+
+def _open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = (_read(spark, sf_dir, "orders", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+              .filter(F.col("o_orderstatus") != "F")
+              .select(F.col("o_custkey").alias("client_key"), F.col("o_orderdate").cast("date").alias("item_date"), "o_totalprice"))
+    return orders.withColumn("amount", _signed("o_totalprice"))
+
+
 def ar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    open_items = (_orders_with_firm(spark, sf_dir, "o_orderdate", "o_totalprice", "o_orderstatus")
-                  .filter(F.col("o_orderstatus") != "F")
-                  .select(F.col("o_custkey").alias("client_key"), "member_firm_id",
-                          F.col("o_orderdate").cast("date").alias("item_date"),
-                          F.col("o_totalprice")))
-    return open_items.withColumn("amount", _signed("o_totalprice"))
+    return _open_orders(spark, sf_dir).join(_firms_of_clients(spark, sf_dir), "client_key")
 
 
 def ar_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,23 +333,42 @@ def ar_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.conform(snap, S.FCT_AR_AGING_SNAPSHOT)
 
 
-def wip_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _open_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = (_read(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_shipdate",
                 "l_linestatus")
           .filter(F.col("l_linestatus") == "O"))
-    orders = _orders_with_firm(spark, sf_dir, "o_orderkey")
+    orders = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     open_items = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-                  .select(F.col("o_custkey").alias("client_key"), "member_firm_id",
+                  .select(F.col("o_custkey").alias("client_key"),
                           F.col("l_shipdate").cast("date").alias("item_date"),
                           F.col("l_extendedprice")))
     return open_items.withColumn("amount", _signed("l_extendedprice"))
 
 
+def wip_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _open_lines(spark, sf_dir).join(_firms_of_clients(spark, sf_dir), "client_key")
+
+
 def wip_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap = aging_snapshot(wip_items(spark, sf_dir), REPORT_DATES, WIP_AGE_BUCKETS, "wip_total")
     return S.conform(snap, S.FCT_WIP_AGING_SNAPSHOT)
 
 
+def _newest_snapshot(whole: DataFrame, open_items: DataFrame, clients: DataFrame, buckets: list, total_col: str, schema) -> tuple:
+    """An entry of ``StarSchema.newest`` for a snapshot over ``REPORT_DATES``.
+
+    An item is placed in every report date on or after its day, so where the newest report date has no row,
+    no earlier one has any.
+    """
+    def newest(as_of: dt.date) -> DataFrame:
+        day = max((d for d in REPORT_DATES if d <= as_of), default=None)
+        if day is None:
+            return whole.filter(F.lit(False))
+        return S.conform(snapshot_of(day, open_items, clients, buckets, total_col), schema)
+
+    return whole, newest
+
+
 def with_null_bucket(star: StarSchema) -> StarSchema:
     """Edge input: the 121-150 bucket is unknown (NULL) for client keys % 25 == 1."""
     unknown = F.col("client_key") % 25 == 1
@@ -361,14 +390,20 @@ def without_firm(star: StarSchema, firm: str, since: dt.date) -> StarSchema:
 
 def from_test_tables(spark: SparkSession, sf_dir: str) -> StarSchema:
     """Star schema over the driver's test tables (lazy)."""
+    firms = _firms_of_clients(spark, sf_dir)
+    ar, wip = ar_snapshot(spark, sf_dir), wip_snapshot(spark, sf_dir)
     return StarSchema(
         fct_time_entry=time_entries(spark, sf_dir),
         fct_invoice=invoices(spark, sf_dir),
         fct_cash_receipt=cash_receipts(spark, sf_dir),
-        fct_ar_aging_snapshot=ar_snapshot(spark, sf_dir),
-        fct_wip_aging_snapshot=wip_snapshot(spark, sf_dir),
+        fct_ar_aging_snapshot=ar,
+        fct_wip_aging_snapshot=wip,
         dim_person=persons(spark, sf_dir),
         dim_client=clients(spark, sf_dir),
         dated={"fct_ar_aging_snapshot": dates_with_rows(ar_items(spark, sf_dir), REPORT_DATES),
                "fct_wip_aging_snapshot": dates_with_rows(wip_items(spark, sf_dir), REPORT_DATES)},
+        newest={"fct_ar_aging_snapshot": _newest_snapshot(ar, _open_orders(spark, sf_dir), firms, AR_AGE_BUCKETS, "ar_total",
+                                                          S.FCT_AR_AGING_SNAPSHOT),
+                "fct_wip_aging_snapshot": _newest_snapshot(wip, _open_lines(spark, sf_dir), firms, WIP_AGE_BUCKETS, "wip_total",
+                                                           S.FCT_WIP_AGING_SNAPSHOT)},
     )

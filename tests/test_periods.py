@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -112,3 +113,15 @@ def test_reporting_friday_driver_side():
     assert reporting_friday_of(dt.datetime(2000, 6, 16, 17, 0)) == dt.date(2000, 6, 16)
     assert reporting_friday_of(dt.datetime(2000, 6, 17, 9, 0)) == dt.date(2000, 6, 16)
     assert reporting_friday_of(dt.datetime(2000, 6, 22, 23, 0)) == dt.date(2000, 6, 16)
+
+
+@pytest.mark.parametrize("as_of", ["2000-06-16", "2000-02-29", "2001-03-01", "1999-12-31", "2000-01-01", "9999-12-31"])
+def test_days_of_a_stretch_lie_in_the_same_periods(as_of):
+    w = PeriodWindows(dt.date.fromisoformat(as_of))
+    cuts, day = w.cuts(), dt.date(w.prior_year - 1, 12, 1)
+    last = dt.date.fromordinal(min(dt.date.max.toordinal(), w.as_of.toordinal() + 40) - 1)
+    inside = lambda d: [lo <= d <= hi for lo, hi in w.ranges().values()]
+    while day < last:
+        first = max((c for c in cuts if c <= day), default=None)
+        assert inside(day) == (inside(first) if first else [False] * len(PERIODS))
+        day += dt.timedelta(days=1)

@@ -7,6 +7,7 @@ import datetime as dt
 import io
 import re
 import uuid
+from dataclasses import replace
 
 import pytest
 
@@ -211,3 +212,48 @@ def test_dates_of_a_snapshot_need_no_snapshot(spark):
     star = from_test_tables(spark, "/root/testdata/sf0.001")
     for table in ("fct_ar_aging_snapshot", "fct_wip_aging_snapshot"):
         assert {r[0] for r in star.dated[table].collect()} == {r[0] for r in getattr(star, table).select("report_date").distinct().collect()}
+
+
+def test_newest_snapshot_is_built_alone(spark):
+    """No item is placed in other report dates, and a fact adds three sums to the page's aggregate, not one per measure."""
+    star = from_test_tables(spark, "/root/testdata/sf0.001")
+    for risk in (SN.ar_risk, SN.wip_risk):
+        assert "explode" not in risk(star, AS_OF, by=AF.BY)._jdf.queryExecution().optimizedPlan().toString()
+    p = AF.time_grains(star, AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    assert p[p.index("Expand"):].count(" sum(") <= 3
+
+
+def test_newest_snapshot_has_the_rows_of_the_whole(spark, tmp_path):
+    """Repeated and unknown clients, null keys, days and amounts; none before the first report date; a replaced frame is read."""
+    day = lambda s: None if s is None else dt.datetime.fromisoformat(s)
+    tables = {
+        "nation": ("n_nationkey long, n_name string", [(0, "A"), (1, "B"), (2, "C"), (3, "D")]),
+        "customer": ("c_custkey long, c_name string, c_nationkey long",
+                     [(10, "x", 2), (10, "y", 2), (10, "z", 3), (11, "u", 0), (12, "v", 1), (None, "w", 2), (14, "n", None)]),
+        "supplier": ("s_suppkey long, s_nationkey long", [(1, 2)]),
+        "part": ("p_partkey long, p_size int, p_type string", [(1, 2, "t")]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double, o_orderstatus string",
+                   [(k, c, day(d), p, s) for k, c, d, p, s in
+                    [(1, 10, "2000-01-05", 5.25, "O"), (2, 10, "1998-01-05", None, "P"), (3, 11, "2000-06-30", 7.5, "O"), (4, 12, None, 3.0, "O"),
+                     (5, None, "2000-01-01", 2.0, "O"), (6, 99, "2000-01-01", 2.0, "O"), (7, 14, "2000-01-01", 2.0, "O"), (7, 11, "1999-12-01", 2.0, None),
+                     (8, 12, "2000-03-30", 4.0, "F"), (8, 12, "2000-03-31", 4.0, "O"), (9, 11, "2000-01-07", None, "O")]]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                     "l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+                     [(k, 1, 1, 1, 1.0, p, 0.1, "N", s, day(d)) for k in (1, 2, 3, 7, 8, 9, 77, None) for p, s, d in
+                      [(1.5, "O", "2000-01-05"), (1.5, "O", "2000-01-05"), (None, "O", "1999-10-05"), (2.0, "F", "1999-01-01"), (9.0, "O", "1997-01-01"),
+                       (4.0, "O", None), (8.0, None, "2000-01-01"), (3.0, "O", "2000-04-01")]]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    star = from_test_tables(spark, str(tmp_path))
+    for table in ("fct_ar_aging_snapshot", "fct_wip_aging_snapshot"):
+        whole = getattr(star, table)
+        for as_of in (dt.date(1999, 3, 30), dt.date(1999, 3, 31), dt.date(2000, 3, 31), dt.date(2000, 6, 16), dt.date(2005, 1, 1)):
+            last = whole.filter(F.col("report_date") <= F.lit(as_of)).agg(F.max("report_date")).first()[0]
+            expected = whole.filter(F.col("report_date") == F.lit(last)) if last else whole.limit(0)
+            got = SN.latest_snapshot(star, table, as_of)
+            assert got.schema == whole.schema
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect())), (table, as_of)
+            assert last is None or got.count() > 0
+        other = replace(star, dated={}, **{table: whole.filter("report_date < '2000-01-01'")})
+        assert {str(r[0]) for r in SN.latest_snapshot(other, table, dt.date(2000, 6, 16)).select("report_date").collect()} == {"1999-12-31"}
