@@ -5,12 +5,13 @@ corpus is collected or broadcast. Each chunk of documents asks hash buckets and
 Texts are cut into words once: a chunk holds its distinct word hashes and the place of every token among them.
 
 1. Words: each chunk sends its distinct words (64-bit hashes) with their training counts; the answers are
-   the counts over all chunks and the words' vocabulary numbers (place in the bucket; buckets are numbered on).
+   the counts over all chunks and the words' vocabulary numbers (place in the bucket by falling count, then the
+   bucket, so that the numbers of frequent words are small and compress well).
    They give the base score, the number of known words, and the probability without context.
 2. For each depth, a context is a run of that many words that training documents hold at least
    ``min_count`` times, known from the answers of the depth before. A chunk sends the distinct pairs of such
    a context and the word (or end) after it, with their training counts and the probability that the longest
-   retained suffix of the context gives. The buckets, by context, add up the counts and test the context.
+   retained suffix of the context gives (without a suffix, the count that gives it). The buckets, by context, add up the counts and test the context.
    Every continuation counts, also one seen once.
 3. A context is retained if the divergence (Kullback-Leibler, in nats) of its next-word distribution from the
    one of its longest retained suffix is at least ``min_divergence``. Its distribution is smoothed
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import exchange as X
-from ledgerlens.llm.shared import materialize
+from ledgerlens.llm.shared import materialize, paths_written, remove, shuffles_deleted
 from ledgerlens.llm.words import mix, words
 
 FOLDS = 10
@@ -147,7 +148,7 @@ def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]):
 
 
 def word_counts(chunked: DataFrame, bits: int) -> DataFrame:
-    """Answers per chunk and bucket: training count and place in the bucket of each of the chunk's distinct tokens.
+    """Answers per chunk and bucket: training count and place in the bucket, by falling count, of each of the chunk's distinct tokens.
 
     One more row per bucket (chunk -1) has its number of training tokens, known words and words.
     """
@@ -161,7 +162,9 @@ def word_counts(chunked: DataFrame, bits: int) -> DataFrame:
     def group(table: pa.Table) -> pa.Table:
         parts = [_unpack(e) for e in table.column("entries").to_pylist()]
         keys, sums, place = _add_up(parts)
-        answers = [_zip(sums[x].astype("<i8"), x.astype("<i8")) for x in np.split(place, np.cumsum([len(k) for k, _ in parts])[:-1])]
+        rank = np.empty(len(keys), np.int64)
+        rank[np.argsort(-sums, kind="stable")] = np.arange(len(keys))
+        answers = [_zip(sums[x].astype("<i8"), rank[x].astype("<i8")) for x in np.split(place, np.cumsum([len(k) for k, _ in parts])[:-1])]
         bucket, none = table.column("bucket")[0].as_py(), [0] * len(parts)
         return pa.table({"bucket": [bucket] * (len(parts) + 1), "chunk": [*table.column("chunk").to_pylist(), -1],
                          "answer": [*answers, None], "tokens": [*none, int(sums.sum())],
@@ -176,7 +179,7 @@ class Rules:
 
     folds: int
     bits: int            # of the buckets of pairs
-    numbers: np.ndarray  # first vocabulary number of each bucket of words
+    word_bits: int       # of the buckets of words
     tokens: int
     known: int
     min_count: int
@@ -189,6 +192,15 @@ class Rules:
         """Training occurrences beyond which a context is dealt to several buckets."""
         return max(self.min_count, self.tokens >> self.bits)
 
+    @property
+    def counted(self) -> str:
+        """Type of a training count, which is at most the number of tokens."""
+        return "<u4" if self.tokens < 1 << 32 else "<i8"
+
+    def alone(self, count: np.ndarray) -> np.ndarray:
+        """The probability of a token without context, by its training count."""
+        return (count + ADD) / (self.tokens + ADD * (self.known + 1))
+
 
 @dataclass
 class Asked:
@@ -254,11 +266,11 @@ class Walk:
             counts, places = _unzip(answer, ("<i8", None), ("<i8", None))
             k = len(counts)
             sums[done:done + k] = counts
-            number[done:done + k] = (places + rules.numbers[bucket]).astype(np.uint64)
+            number[done:done + k] = ((places << rules.word_bits) | bucket).astype(np.uint64)
             done += k
         self.count = sums[token]
         self.number = number[token]
-        self.p = (self.count + ADD) / (rules.tokens + ADD * (rules.known + 1))
+        self.p = rules.alone(self.count)
         # contexts of one word
         at = np.flatnonzero(inside) + 1
         at = at[self.count[at - 1] >= rules.min_count]
@@ -282,8 +294,8 @@ class Walk:
         cuts = np.flatnonzero(np.r_[True, a.bucket[1:] != a.bucket[:-1], True]) if len(a.bucket) else np.zeros(1, int)
         for lo, hi, (_, answer) in zip(cuts[:-1], cuts[1:], self._level(answers, depth), strict=True):
             n_runs = int(np.searchsorted(runs, hi) - np.searchsorted(runs, lo))
-            counts, keep = _unzip(answer, ("<i8", hi - lo), ("u1", n_runs))
-            sums.append(counts)
+            counts, keep = _unzip(answer, (rules.counted, hi - lo), ("u1", n_runs))
+            sums.append(counts.astype(np.int64))
             kept.append(keep.astype(bool))
         sums = np.concatenate(sums)
         keep = np.repeat(np.concatenate(kept), np.diff(runs))
@@ -299,27 +311,28 @@ def ask_pairs(walk: Walk, chunk: int) -> pa.Table:
     a = walk.asked()
     runs = a.runs()
     trained = np.bincount(a.place, walk.train_at[a.at], len(a.bucket)).astype("<u4")
-    suffix = walk.p[a.example].astype("<f4")
+    suffix = walk.p[a.example].astype("<f4") if walk.rules.failed else walk.count[a.example].astype(walk.rules.counted)
 
     def pack(lo: int, hi: int) -> bytes:
         own = runs[np.searchsorted(runs, lo):np.searchsorted(runs, hi) + 1]
         context = a.context[own[:-1]]
         return np.array([len(context), hi - lo], "<u4").tobytes() + _zip(
-            a.contexts[context].astype("<u8"), a.totals[context].astype("<i8"), np.diff(own).astype("<u4"),
+            a.contexts[context].astype("<u8"), a.totals[context].astype(walk.rules.counted), np.diff(own).astype("<u4"),
             a.number[lo:hi].astype("<u4"), trained[lo:hi], suffix[lo:hi])
 
     return pa.Table.from_batches([X.by_bucket(chunk, a.bucket.astype(np.uint64), walk.rules.bits, pack, walk.rules.bits)])
 
 
-def read_pairs(entries: bytes) -> tuple[np.ndarray, ...]:
+def read_pairs(rules: Rules, entries: bytes) -> tuple[np.ndarray, ...]:
     """Contexts, their counts and numbers of pairs; next words, training counts and suffix probabilities of the pairs."""
     k, n = np.frombuffer(entries, "<u4", 2).tolist()
-    return tuple(_unzip(entries[8:], ("<u8", k), ("<i8", k), ("<u4", k), ("<u4", n), ("<u4", n), ("<f4", n)))
+    *read, suffix = _unzip(entries[8:], ("<u8", k), (rules.counted, k), ("<u4", k), ("<u4", n), ("<u4", n), ("<f4" if rules.failed else rules.counted, n))
+    return *read, suffix if rules.failed else rules.alone(suffix).astype("<f4")
 
 
 def held_against_suffix(rules: Rules, entries: list[bytes]) -> tuple[list[bytes], bytes | None]:
     """The answer to each chunk's pairs, and this bucket's share of the contexts that are dealt to several."""
-    parts = [read_pairs(e) for e in entries]
+    parts = [read_pairs(rules, e) for e in entries]
     contexts, first, which = distinct(np.concatenate([p[0] for p in parts]))
     totals = np.concatenate([p[1] for p in parts])[first].astype(float)
     context = np.repeat(which, np.concatenate([p[2] for p in parts])).astype(np.uint64)
@@ -337,7 +350,7 @@ def held_against_suffix(rules: Rules, entries: list[bytes]) -> tuple[list[bytes]
     keep = wide | (gain + others(mass, totals, rules.smoothing) >= rules.min_divergence)
     answers, n, m = [], 0, 0
     for e in parts:
-        answers.append(_zip(sums[place[n:n + len(e[3])]].astype("<i8"), keep[which[m:m + len(e[0])]].astype(np.uint8)))
+        answers.append(_zip(sums[place[n:n + len(e[3])]].astype(rules.counted), keep[which[m:m + len(e[0])]].astype(np.uint8)))
         n, m = n + len(e[3]), m + len(e[0])
     share = np.stack([contexts[wide].view("<f8"), totals[wide], gain[wide], mass[wide]]).tobytes() if wide.any() else None
     return answers, share
@@ -366,8 +379,9 @@ def level(chunked: DataFrame, answered: DataFrame, depth: int, rules: Rules) ->
         return pa.table({"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array(chunk, pa.int64()),
                          "answer": pa.array(answers, pa.binary()), "depth": pa.array([depth] * len(chunk), pa.int32())})
 
-    asked = X.told(chunked, answered, use, X.ASKED_SQL)
-    out = materialize(asked.groupBy("bucket").applyInArrow(group, PAIRS_SQL), "pairs", "none")
+    answers_of = X.told(chunked, answered, use, X.ASKED_SQL).groupBy("bucket").applyInArrow(group, PAIRS_SQL)
+    with shuffles_deleted(answers_of.sparkSession):
+        out = materialize(answers_of, "pairs", "none")
     # a context has at most as many shares as its count is multiples of the average bucket, so all have two per bucket
     shares = [np.frombuffer(r[0], "<f8").reshape(4, -1) for r in out.where("chunk = -1").select("answer").collect()]
     rules.failed.append(failing(np.concatenate(shares, axis=1) if shares else np.zeros((4, 0)), rules))
@@ -383,14 +397,17 @@ def failing(shares: np.ndarray, rules: Rules) -> np.ndarray:
 def lm_scores(docs: DataFrame, folds: int = FOLDS, min_count: int = MIN_COUNT, depth: int = DEPTH,
               min_divergence: float = MIN_DIVERGENCE, smoothing: float = SMOOTHING) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    chunked = X.chunks(docs.select("doc_id", "text"), "lm-chunks", CHUNK_BYTES, lambda batch: sealed(batch, folds), ("payload", "words"))
+    with paths_written() as listed:
+        chunked = X.chunks(docs.select("doc_id", "text"), "lm-chunks", CHUNK_BYTES, lambda batch: sealed(batch, folds), ("payload", "words"))
     size = X.total(chunked, "bytes")
     bits = X.bucket_bits(chunked, size / 25)
-    counts = materialize(word_counts(chunked, bits), "word-counts", "none")
+    with shuffles_deleted(docs.sparkSession):
+        counts = materialize(word_counts(chunked, bits), "word-counts", "none")
+    chunked = materialize(chunked.select("chunk", "payload"), "lm-tokens", "none")  # the lists of words are not needed again
+    remove(docs.sparkSession, listed)
     stats = {r[0]: r[1:] for r in counts.where("chunk = -1").select("bucket", "tokens", "known", "size").collect()}
-    sizes = np.array([stats[b][2] if b in stats else 0 for b in range(1 << bits)], np.int64)
-    assert sizes.sum() < 1 << int(NUMBER), "more words than vocabulary numbers"
-    rules = Rules(folds, X.bucket_bits(chunked, size / 6), np.cumsum(sizes) - sizes, sum(s[0] for s in stats.values()),
+    assert max((s[2] for s in stats.values()), default=0) << bits <= 1 << int(NUMBER), "more words than vocabulary numbers"
+    rules = Rules(folds, X.bucket_bits(chunked, size / 6), bits, sum(s[0] for s in stats.values()),
                   sum(s[1] for s in stats.values()), max(1, min_count), min_divergence, smoothing)
     answered = counts.where("chunk >= 0").select("bucket", "chunk", "answer", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):

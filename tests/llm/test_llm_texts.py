@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,6 +18,7 @@ import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import exact_dedup, exchange, licenses, lm_scoring, mixing, near_dedup, notices, packing, repeats, toxicity
+from ledgerlens.llm.shared import materialize, paths_written
 
 SF = "/root/testdata/sf0.01"
 
@@ -655,3 +659,26 @@ def test_toxicity_training_keeps_two_keys_of_a_word(monkeypatch):
     monkeypatch.setattr(toxicity, "fold", lambda *a: 0)
     toxicity.train(Sample(), Sample())
     assert seen == [16.0]
+
+
+def test_lm_leaves_no_shuffle_behind_and_numbers_words_by_count(spark, monkeypatch):
+    """Only the last join's shuffle is still to be made when the scores are asked for; frequent words have small numbers."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.6)) % 3000}" for _ in range(400))) for i in range(200)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    seen = []
+    monkeypatch.setattr(lm_scoring, "word_counts", lambda chunked, bits, make=lm_scoring.word_counts: seen.append(materialize(make(chunked, bits), "seen")) or seen[0])
+    before = files()
+    with paths_written() as written:
+        lm_scoring.lm_scores(documents)
+    assert [p for p in written if os.path.exists(p) and "words" in spark.read.parquet(p).columns] == []
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert sum(os.path.getsize(f) for f in left if os.path.exists(f)) < 10_000  # sums over tables, no exchange of pairs
+    for r in seen[0].where("chunk >= 0").select("answer").collect():
+        counts, places = lm_scoring._unzip(r[0], ("<i8", None), ("<i8", None))
+        assert (np.diff(counts[np.argsort(places)]) <= 0).all()
