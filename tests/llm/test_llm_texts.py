@@ -561,6 +561,39 @@ def test_units_are_encoded_like_whole_texts():
             assert ids[at[i]:at[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+def test_words_go_to_the_model_at_once(tmp_path):
+    """Units that no byte-level tokenizer splits skip the whole encoding; ids are those of whole texts all the same."""
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    from ledgerlens.llm.tokens import Encoder
+
+    path = packing.default_tokenizer()
+    plain = Tokenizer.from_file(path)
+    rnd = random.Random(2)
+    parts = ["a", "Zq", "é", "ß", "Ñ", "×", "÷", "ɿ", "ʰ", "Ж", "ҁ", "ω", "中", "\u0301", "7", "٣", "²", "-", "_", "***", "'", "'ll", "’", "<|", "|>", "<|endoftext|>", " ", "  ", "\n"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    encoder, whole = Encoder(path), []
+    encode, encoder.tokenizer = encoder.tokenizer.encode_batch, type("Counting", (), {
+        "encode_batch": staticmethod(lambda units, **kw: whole.extend(units) or encode(units, **kw))})
+    ids, at = encoder.rows(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[at[i]:at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
+    whole.clear()
+    encoder.rows(pa.array([" ".join(f"{a}{b}ü{c}***" for a in "abc" for b in ("Über", "слово") for c in ("", "x", "ñ"))]))
+    assert whole == []
+
+    spec = json.load(open(path))  # not byte-level words: the library's whole encoding for every unit
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "prefixed.json").write_text(json.dumps(spec))
+    spec["pre_tokenizer"]["add_prefix_space"] = False
+    spec["added_tokens"].append(dict(spec["added_tokens"][0], id=50257, content="Zq"))
+    (tmp_path / "added.json").write_text(json.dumps(spec))
+    assert Encoder(path).model and not Encoder(str(tmp_path / "prefixed.json")).model and not Encoder(str(tmp_path / "added.json")).model
+
+
 # -- near dedup -------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("width", [2, 5])
