@@ -18,10 +18,11 @@ To give each firm exactly what its single-firm query gives:
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import as_of_date, page_date
@@ -29,7 +30,7 @@ from ..functions.periods import PeriodWindows
 from ..operators import gauges as G
 from ..operators import snapshots as SN
 from ..operators import utilization as U
-from ..operators.measures import measure_columns
+from ..operators.measures import Measure, measure_columns
 from ..session import written
 from ..sources.star import StarSchema
 from . import report as R
@@ -173,6 +174,21 @@ def wip_risk_total(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     return _risk_total(star, wip_risk(star, as_of), "wip_amount")
 
 
+def _stretch(date_col: str, windows: PeriodWindows) -> Column:
+    """The first day of the stretch of days that lie in the same periods; null before all periods."""
+    return reduce(lambda when, d: F.when(F.col(date_col) >= F.lit(d), F.lit(d)).otherwise(when), windows.cuts(), F.lit(None).cast("date"))
+
+
+def money_sums(facts: DataFrame, date_col: str, as_of: str | dt.date | None, measures: Sequence[Measure]) -> DataFrame:
+    """The measures of one amount per firm, as ``conditional_sums`` has them.
+
+    A fact adds one sum, per firm and stretch of days, not one per measure; the measures repeat only these sums.
+    """
+    windows, amount = PeriodWindows(as_of_date(as_of)), measures[0].value
+    stretches = facts.groupBy(*BY, _stretch(date_col, windows).alias(date_col)).agg(F.sum(amount).alias(amount))
+    return stretches.groupBy(*BY).agg(*measure_columns(date_col, windows, measures))
+
+
 # Numbers of the grouping sets of ``time_grains``: a bit per key (firm, service line, person), set if the set lacks it.
 FIRM_GRAIN, LINE_GRAIN, PERSON_GRAIN = 0b011, 0b001, 0b010
 
@@ -188,11 +204,10 @@ def time_grains(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     """
     t = as_of_date(as_of)
     windows, billable = PeriodWindows(t), F.coalesce("is_billable", F.lit(False))
-    stretch = reduce(lambda when, d: F.when(F.col("entry_date") >= F.lit(d), F.lit(d)).otherwise(when), windows.cuts(), F.lit(None).cast("date"))
     rows = (_listed(star.fct_time_entry)
             .withColumn("_week", F.coalesce(billable & U.week_filter(t), F.lit(False)))
             .withColumn("person", F.when(F.col("_week"), F.col("person_key"))))
-    fine = (rows.groupBy("member_firm_id", "service_line", "person", "_week", billable.alias("is_billable"), stretch.alias("entry_date"))
+    fine = (rows.groupBy("member_firm_id", "service_line", "person", "_week", billable.alias("is_billable"), _stretch("entry_date", windows).alias("entry_date"))
             .agg(F.count(F.lit(1)).alias("facts"), F.sum("hours").alias("hours"), F.sum("production_amount").alias("production_amount"),
                  F.sum(F.coalesce("write_up_down", F.lit(0))).alias("write_up_down")))
     sums = measure_columns("entry_date", windows, G.TIME_MEASURES, F.col("is_billable"))
@@ -239,7 +254,8 @@ def scorecard(star: StarSchema, as_of: str | dt.date | None,
     else:
         rolled = with_time_rollup(star, time_rollup)
         time, lines, levels = time_gauges(rolled, t, prune=False), service_lines(rolled, t), utilization(star, t)
-    m = written(_merged([time, G.invoice_gauges(star, t, by=BY), G.cash_gauges(star, t, by=BY)]), "firm-measures")
+    money = [money_sums(star.fct_invoice, "invoice_date", t, G.INVOICE_MEASURES), money_sums(star.fct_cash_receipt, "receipt_date", t, G.CASH_MEASURES)]
+    m = written(_merged([time, *money]), "firm-measures")
     firms = m.select(*BY)
     star = _with_latest(star, "fct_ar_aging_snapshot", t)
     wip, ar = (written(_risk_for_listed(star, risk(star, t, by=BY), firms), name)
