@@ -30,7 +30,7 @@ from ..functions.periods import PeriodWindows
 from ..operators import gauges as G
 from ..operators import snapshots as SN
 from ..operators import utilization as U
-from ..operators.measures import Measure, measure_columns
+from ..operators.measures import Measure, in_range, measure_columns
 from ..session import written
 from ..sources.star import StarSchema
 from . import report as R
@@ -183,8 +183,11 @@ def money_sums(facts: DataFrame, date_col: str, as_of: str | dt.date | None, mea
     """The measures of one amount per firm, as ``conditional_sums`` has them.
 
     A fact adds one sum, per firm and stretch of days, not one per measure; the measures repeat only these sums.
+    Facts outside all periods only name their firm: their amounts are neither cast nor added.
     """
     windows, amount = PeriodWindows(as_of_date(as_of)), measures[0].value
+    inside = in_range(date_col, *windows.span())
+    facts = facts.withColumn(amount, F.when(inside, F.col(amount)))
     stretches = facts.groupBy(*BY, _stretch(date_col, windows).alias(date_col)).agg(F.sum(amount).alias(amount))
     return stretches.groupBy(*BY).agg(*measure_columns(date_col, windows, measures))
 
@@ -200,16 +203,19 @@ def time_grains(star: StarSchema, as_of: str | dt.date | None) -> DataFrame:
     and stretch of days that lie in the same periods (named by its first day, null before all periods): three sums per
     fact, not one per measure. The measures and grouping sets repeat only these sums: per firm, per firm and service
     line, and per firm and person of the as-of date's week. ``billable`` counts the rows that pass the test, so
-    lines without one can be left out, and firms without one keep their NULLs.
+    lines without one can be left out, and firms without one keep their NULLs. Facts outside all periods and the week
+    are counted, but their amounts, which no measure has, are neither cast nor added: most facts of a long history.
     """
     t = as_of_date(as_of)
     windows, billable = PeriodWindows(t), F.coalesce("is_billable", F.lit(False))
     rows = (_listed(star.fct_time_entry)
             .withColumn("_week", F.coalesce(billable & U.week_filter(t), F.lit(False)))
             .withColumn("person", F.when(F.col("_week"), F.col("person_key"))))
+    used = in_range("entry_date", *windows.span()) | F.col("_week")
+    amounts = {"hours": F.col("hours"), "production_amount": F.col("production_amount"), "write_up_down": F.coalesce("write_up_down", F.lit(0))}
+    rows = rows.withColumns({name: F.when(used, amount) for name, amount in amounts.items()})
     fine = (rows.groupBy("member_firm_id", "service_line", "person", "_week", billable.alias("is_billable"), _stretch("entry_date", windows).alias("entry_date"))
-            .agg(F.count(F.lit(1)).alias("facts"), F.sum("hours").alias("hours"), F.sum("production_amount").alias("production_amount"),
-                 F.sum(F.coalesce("write_up_down", F.lit(0))).alias("write_up_down")))
+            .agg(F.count(F.lit(1)).alias("facts"), *[F.sum(name).alias(name) for name in amounts]))
     sums = measure_columns("entry_date", windows, G.TIME_MEASURES, F.col("is_billable"))
     return (fine.groupingSets([["member_firm_id"], ["member_firm_id", "service_line"], ["member_firm_id", "person"]],
                               "member_firm_id", "service_line", "person")
